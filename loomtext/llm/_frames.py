@@ -41,3 +41,14 @@ def table(spark, sf_dir: str, name: str) -> DataFrame:
 def as_text(df: DataFrame, column: str):
     """The column as text, null as the empty text."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
+
+
+#: Rows of a few numbers that may be broadcast (some tens of MB at most).
+BROADCAST_ROWS = 500_000
+
+
+def small(df: DataFrame, rows: int | None = None, most: int = BROADCAST_ROWS) -> DataFrame:
+    """df with a broadcast hint if it has at most ``most`` rows; beyond that df
+    as it is, so that Spark shuffles. ``rows``: the count, if it is known."""
+    n = df.limit(most + 1).count() if rows is None else rows
+    return F.broadcast(df) if n <= most else df

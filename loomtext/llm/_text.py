@@ -152,5 +152,5 @@ def shingle_hashes(words: np.ndarray, first: np.ndarray, size: int) -> tuple[np.
     out[whole] = total[place[whole]]
     for d in np.flatnonzero((count > 0) & (count < size)):
         part = words[first[d] : first[d + 1]]
-        out[at[d]] = mix((part * _POSITION[: len(part)]).sum(dtype=_U, keepdims=True) + _U(len(part)) * _U(0xA24BAED4963EE407))[0]
+        out[at[d]] = mix((part * _POSITION[: len(part)]).sum(dtype=_U, keepdims=True) + stream(len(part), 1))[0]
     return out, at

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, html, licences, quality
+from . import chat, html, licences, ngram_join, quality
 from ._frames import table
 
 
@@ -34,6 +34,11 @@ def op9_licence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", F.size("detections").alias("n_detections"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_quality_ftrl, op5_chat_template, op7_html_density, op9_licence_rules)}
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 4-word shingles have a Jaccard similarity of 0.85."""
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), size=4, percent=85)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_quality_ftrl, op5_chat_template, op7_html_density, op9_licence_rules, op10_ngram_jaccard)}
 
 ORACLE_SQL: dict[str, str] = {}
