@@ -6,10 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, html, licences, ngram_join, quality
+from . import chat, decontaminate, html, licences, materialise, mixing, ngram_join, quality, topk, toxicity
 from ._frames import table
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, with the item and the best window."""
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op2_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity probabilities of every document."""
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place of every document in a mix by the square roots of the sources' sizes."""
+    mixed = mixing.mix_sources(table(spark, sf_dir, "documents").select("doc_id", "source"))
+    parts = (F.col(f"mix.{c}").alias("mix_order" if c == "order" else c) for c in ("rank", "block", "cycle", "slot", "release", "deadline", "order"))
+    return mixed.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), *parts)
+
+
 def op4_quality_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document."""
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -23,11 +40,21 @@ def op5_chat_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(rows.unionByName(extra)))
 
 
+def op6_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as token sequences in their training slots."""
+    return materialise.materialise(table(spark, sf_dir, "documents"))
+
+
 def op7_html_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return html.extract_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest of every row whose id is divisible by 50."""
+    return topk.top_k(table(spark, sf_dir, "embeddings"), lambda i: i % 50 == 0)
+
+
 def op9_licence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License detections of every document."""
     found = licences.scan_licences(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -39,6 +66,13 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), size=4, percent=85)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_quality_ftrl, op5_chat_template, op7_html_density, op9_licence_rules, op10_ngram_jaccard)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        op1_decontamination, op2_toxicity_chain, op3_mix_sources, op4_quality_ftrl, op5_chat_template, op6_token_shards, op7_html_density, op8_exact_topk,
+        op9_licence_rules, op10_ngram_jaccard,
+    )
+}
 
-ORACLE_SQL: dict[str, str] = {}
+#: Where SQL can express the whole result and is quick on whole tables.
+ORACLE_SQL: dict[str, str] = {"op3_mix_sources": mixing.ORACLE_SQL, "op8_exact_topk": topk.ORACLE_SQL}
