@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
-FLAGSHIP = ""
+from . import catalogue, search, text  # noqa: F401  register their queries
+from ._register import ORACLE_SQL, QUERIES
+
+FLAGSHIP = "bm25_top10"
+
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
