@@ -11,6 +11,12 @@ from ..functions import text as X
 from .ranking import ranked
 
 
+def each(df: DataFrame, elements: Column, name: str, *keep: str) -> DataFrame:
+    """One row per element. Not explode: the size test that Spark would push
+    below it computes costly arrays twice, and once for each run inside a lambda."""
+    return df.select(*keep, F.explode_outer(elements).alias(name)).where(F.col(name).isNotNull())
+
+
 def token_rows(df: DataFrame, tokens: Column, *keep: str) -> DataFrame:
     """One row per token with its place (from 0)."""
     return df.select(*keep, F.posexplode(tokens).alias("pos", "w"))
@@ -18,12 +24,12 @@ def token_rows(df: DataFrame, tokens: Column, *keep: str) -> DataFrame:
 
 def gram_counts(df: DataFrame, tokens: Column, n: int) -> DataFrame:
     """gram (joined by spaces) and c over all rows; counted map-side first."""
-    return df.select(tokens.alias("_t")).select(F.explode(X.ngrams(F.col("_t"), n)).alias("g")).groupBy(F.array_join("g", " ").alias("gram")).agg(F.count("*").alias("c"))
+    return each(df.select(tokens.alias("_t")), X.ngrams(F.col("_t"), n), "g").groupBy(F.array_join("g", " ").alias("gram")).agg(F.count("*").alias("c"))
 
 
 def content_grams(df: DataFrame, tokens: Column, n: int, stop: tuple[str, ...] = X.STOP_WORDS, drop_if: str = "any") -> DataFrame:
     """Gram counts without those in which any (or all) words are stop words."""
-    rows = df.select(tokens.alias("_t")).select(F.explode(X.ngrams(F.col("_t"), n)).alias("g"))
+    rows = each(df.select(tokens.alias("_t")), X.ngrams(F.col("_t"), n), "g")
     test = F.exists if drop_if == "any" else F.forall
     return rows.where(~test("g", lambda w: w.isin(*stop))).groupBy(F.array_join("g", " ").alias("gram")).agg(F.count("*").alias("c"))
 
@@ -47,7 +53,7 @@ def rank_frequency(counts: DataFrame) -> DataFrame:
 
 def successors(df: DataFrame, tokens: Column, *keep: str) -> DataFrame:
     """(w, next) pairs of neighbouring tokens."""
-    return df.select(*keep, tokens.alias("_t")).select(*keep, F.explode(X.ngrams(F.col("_t"), 2)).alias("g")).select(*keep, F.col("g")[0].alias("w"), F.col("g")[1].alias("next"))
+    return each(df.select(*keep, tokens.alias("_t")), X.ngrams(F.col("_t"), 2), "g", *keep).select(*keep, F.col("g")[0].alias("w"), F.col("g")[1].alias("next"))
 
 
 def stem_disagreements(stems: DataFrame, a: str = "porter", b: str = "snowball") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import catalogue, lm, search, text  # noqa: F401  register their queries
+from . import catalogue, learning, lm, search, streams, text  # noqa: F401  register their queries
 from ._register import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "bm25_top10"

@@ -102,7 +102,7 @@ def language_fingerprint(spark, sf_dir):
     from ..operators.ranking import top_per_group
 
     chars = _docs(spark, sf_dir).select("lang", X.characters(F.lower("text")).alias("chars"))
-    c = chars.select("lang", F.explode(X.char_ngrams(F.col("chars"), 3)).alias("g")).groupBy("lang", "g").agg(F.count("*").alias("c"))
+    c = T.each(chars, X.char_ngrams(F.col("chars"), 3), "g", "lang").groupBy("lang", "g").agg(F.count("*").alias("c"))
     return top_per_group(c, "lang", [F.desc("c"), F.col("g")], 20).drop("rank")
 
 
