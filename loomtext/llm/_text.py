@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled at once; a longer single text is still whole.
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 1_000_000
 
 _U = np.uint64
 

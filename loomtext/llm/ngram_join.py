@@ -9,14 +9,20 @@ components of these links without making all pairs of a group of copies:
 2. A second scan keeps, per document, the set's size and digest, its prefix in
    that order (two linked sets share a prefix shingle) and a bitmap of the set.
    Documents of equal digest are one class.
-3. Similar classes are gathered: each is compared with one centre for each of
-   its first shingles; verified links form groups.
+3. Similar classes are gathered into groups: each is compared with one centre
+   for each of its least hashes, the class of that hash with the fewest rare
+   shingles. A class joins the group of its best centre that its bitmap allows to
+   be half alike; those that may link to it are verified.
 4. The token-group matrix has a row for each shingle and group in whose
-   members' prefixes it occurs. A class's overlap with a group's shingles bounds its
-   overlap with every member, so only groups that it overlaps, and whose sizes
-   fit, are opened. Members must then pass the bitmap bound, which is exact in
-   one direction: shingles that are surely missing can't be too many.
-5. Surviving pairs are verified on their whole sets.
+   members' prefixes it occurs, with the members' sizes and best places. If that is
+   the first shingle a class shares with a member, what follows it in both
+   bounds their overlap, so another group is opened only if it can hold a member
+   that reaches the threshold; members must then pass the bitmap bound, which is
+   exact in one direction (shingles that are surely missing can't be too many).
+   A class's own group is opened if its centre isn't linked to it: its members
+   are counted against it in chunks of bounded size, without making pairs.
+5. Surviving pairs are verified on their whole sets. A link to one member of a
+   component stands for those to its other members.
 
 Defined results: null or empty texts and texts without words have n_shingles
 0 and are their own component; null ids make a component of their class but
@@ -39,8 +45,12 @@ from .graph import components
 FREQUENT = 32
 #: ... if they are among this many most frequent ones (8 MB are broadcast).
 MAX_FREQUENT = 1 << 20
-#: First shingles for which a class is compared with a centre.
+#: Least hashes for which a class is compared with a centre.
 CENTRES = 4
+#: Percent that a class and its group's centre may be alike, at least.
+ALIKE = 50
+#: Members of a group that meet in a task, about.
+CHUNK = 1024
 
 
 def token_sets(raw: np.ndarray, at: np.ndarray, size: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
@@ -75,11 +85,11 @@ def frequent_shingles(docs: DataFrame, size: int, percent: int) -> tuple[np.ndar
         for batch in batches:
             for _, raw, at in chunks(batch, "text"):
                 sets, _, _ = token_sets(raw, at, size)
-                early = [s[: len(s) * (100 - percent) // 50 + 16] for s in sets]
+                early = [s[: len(s) * (100 - percent) // 80 + 8] for s in sets]
                 tokens, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *early]), return_counts=True)
-                yield pa.RecordBatch.from_arrays([_signed(tokens), pa.array(counts.astype(np.int64))], names=["token", "c"])
+                yield pa.RecordBatch.from_arrays([_signed(tokens), pa.array(counts.astype(np.int32))], names=["token", "c"])
 
-    counts = docs.select("text").mapInArrow(leading, "token long, c long").groupBy("token").agg(F.sum("c").alias("c"))
+    counts = docs.select("text").mapInArrow(leading, "token long, c int").groupBy("token").agg(F.sum("c").alias("c"))
     rows = counts.where(F.col("c") > FREQUENT).orderBy(F.desc("c"), "token").limit(MAX_FREQUENT).toArrow()
     tokens = rows.column("token").to_numpy().view(np.uint64)
     level = np.log2(np.maximum(rows.column("c").to_numpy(), 2)).astype(np.uint8)
@@ -88,7 +98,8 @@ def frequent_shingles(docs: DataFrame, size: int, percent: int) -> tuple[np.ndar
 
 
 def signatures(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], size: int, percent: int) -> DataFrame:
-    """doc_id, n, class, prefix (in the common order) and bitmap of each row."""
+    """doc_id, n, class, the number of rare shingles, the least hashes, the prefix
+    (in the common order) and the bitmap of each row."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches):
@@ -104,7 +115,9 @@ def signatures(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], size: i
                     place = np.minimum(np.searchsorted(hot, every[maybe]), len(hot) - 1)
                     found = hot[place] == every[maybe]
                     rank[maybe[found]] = level[place[found]]
-                prefixes, bits = [], []
+                prefixes, bits, rare = [], [], np.diff(np.concatenate([[0], np.cumsum(rank == 0)])[own])
+                least, least_at = zip(*((s[:CENTRES], min(len(s), CENTRES)) for s in sets), strict=True)
+                keys = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(least_at)]), pa.int32()), _signed(np.concatenate([np.zeros(0, np.uint64), *least])))
                 for s, a, b in zip(sets, own[:-1], own[1:], strict=True):
                     most = len(s) - (percent * len(s) + 99) // 100 + 1 if len(s) else 0
                     late = rank[a:b]
@@ -113,9 +126,9 @@ def signatures(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], size: i
                     bits.append(bitmap(s))
                 lengths = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])])
                 lists = pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), _signed(np.concatenate([np.zeros(0, np.uint64), *prefixes])))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(np.diff(own)), _signed(digests(every, own)), lists, pa.array(bits, pa.binary())], names=["doc_id", "n", "class", "prefix", "bits"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(np.diff(own)), _signed(digests(every, own)), pa.array(rare), keys, lists, pa.array(bits, pa.binary())], names=["doc_id", "n", "class", "rare", "keys", "prefix", "bits"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, class long, prefix array<long>, bits binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, class long, rare long, keys array<long>, prefix array<long>, bits binary")
 
 
 def bitmap(tokens: np.ndarray) -> bytes:
@@ -144,7 +157,8 @@ def _fits(a: str, b: str, percent: int):
 
 
 def _bounded(pairs: DataFrame, cards: DataFrame, percent: int) -> DataFrame:
-    """Pairs of classes (a, b) that sizes and bitmaps don't rule out."""
+    """Pairs of classes (a, b) whose similarity may be percent, by their sizes
+    and bitmaps; best: the largest that it may be."""
     ends = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
     wanted = cards.select("class", "n", "bits").join(small(ends), "class", "left_semi").dropDuplicates(["class"])
     both = pairs
@@ -155,17 +169,18 @@ def _bounded(pairs: DataFrame, cards: DataFrame, percent: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             na, nb = (batch.column(c).to_numpy() for c in ("na", "nb"))
-            # intersection >= percent / (100 + percent) * (na + nb)
-            least = -(-(percent * (na + nb)) // (100 + percent))
-            keep = [surely_missing(x, y) <= p - m and surely_missing(y, x) <= q - m for x, y, p, q, m in zip(batch.column("bitsa").to_pylist(), batch.column("bitsb").to_pylist(), na, nb, least, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            gone = [(surely_missing(x, y), surely_missing(y, x)) for x, y in zip(batch.column("bitsa").to_pylist(), batch.column("bitsb").to_pylist(), strict=True)]
+            lost = np.array(gone, np.int64).reshape(-1, 2)
+            common = np.minimum(na - lost[:, 0], nb - lost[:, 1])
+            best = common / np.maximum(na + nb - common, 1)
+            keep = common * 100 >= (na + nb - common) * percent
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(best)], names=["a", "b", "best"]).filter(pa.array(keep))
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(run, "a long, b long, best double")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs of classes that link, by their whole sets."""
-    ends = written(pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct())
+def _class_sets(ends: DataFrame, docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
+    """class and tokens of the wanted classes, from their whole texts."""
     who = written(classes.join(small(ends), "class", "left_semi").select("class", F.col("first_id").alias("wanted")))
 
     def run(batches):
@@ -177,12 +192,118 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int,
                 yield pa.RecordBatch.from_arrays([part.column("class"), lists], names=["class", "tokens"]).filter(pa.array(asked == digests(every, own)))
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small(who), F.col("doc_id").eqNullSafe(F.col("wanted"))).select("class", "text")
-    sets = written(texts.mapInArrow(run, "class long, tokens array<long>").dropDuplicates(["class"]), "none")
+    return written(texts.mapInArrow(run, "class long, tokens array<long>").dropDuplicates(["class"]), "none")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs of classes that link, by their whole sets."""
+    ends = written(pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct())
+    sets = _class_sets(ends, docs, classes, size)
     both = small(pairs).join(sets.select(F.col("class").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("class").alias("b"), F.col("tokens").alias("tb")), "b")
     common = F.size(F.array_intersect("ta", "tb"))
     return both.where(common * 100 >= (F.size("ta") + F.size("tb") - common) * percent).select("a", "b")
 
 
+def _overlaps(left: list[np.ndarray], right: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """Sizes of all intersections, from the shingles that several sets have."""
+    sets = left + right
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    tokens, place, times = np.unique(np.concatenate([np.zeros(0, np.int64), *sets]), return_inverse=True, return_counts=True)
+    common = times > 1
+    keep = common[place]
+    column, owner = (np.cumsum(common) - 1)[place[keep]], owner[keep]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    out = np.zeros((len(left), len(right)), np.float32)
+    for at in range(0, int(common.sum()), width):
+        a, b = np.searchsorted(column, (at, at + width))
+        block = np.zeros((len(sets), width), np.float32)
+        block[owner[a:b], column[a:b] - at] = 1
+        out += block[: len(left)] @ block[len(left) :].T
+    return out.astype(np.int64)
+
+
+def _links_inside(groups: DataFrame, docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links between members of one group: each member whose component isn't the
+    centre's against all members, in chunks; one link for each component."""
+    open_ = groups.where("comp <> hub").select("group").distinct()
+    members = written(groups.join(small(open_), "group", "left_semi").select("group", "class", "comp", "hub"))
+    shape = members.groupBy("group").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+    sets = _class_sets(members.select("class").distinct(), docs, classes, size)
+    full = written(members.join(sets, "class").join(small(shape), "group"), "none")
+    own = F.pmod(F.xxhash64("class"), F.col("chunks")).cast("int")
+    asked = full.where("comp <> hub").withColumn("part", F.pmod(F.xxhash64("class", F.lit(1)), F.col("chunks")).cast("int"))
+    # a group of k chunks has k * k tasks' worth of keys, each of bounded size
+    left = full.select("group", own.alias("chunk"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("part"), "class", "comp", "tokens")
+    right = asked.select("group", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "part", "class", "comp", "tokens")
+
+    def search(block: pa.Table, queries: pa.Table) -> pa.Table:
+        found: list[tuple[int, int, int]] = []
+        if block.num_rows and queries.num_rows:
+            read = lambda t: (t.column("class").to_numpy(), t.column("comp").to_numpy(), [x.values.to_numpy() for x in t.column("tokens")])
+            who, comp, sets_ = read(block)
+            n = np.array([len(x) for x in sets_])
+            ids, own_comp, asked_sets = read(queries)
+            for at in range(0, len(ids), 256):
+                mine = asked_sets[at : at + 256]
+                common = _overlaps(mine, sets_)
+                m = np.array([len(x) for x in mine])[:, None]
+                linked = (common * 100 >= (m + n - common) * percent) & (own_comp[at : at + 256, None] != comp)
+                for q, d in zip(*np.nonzero(linked), strict=True):
+                    found.append((int(ids[at + q]), int(comp[d]), int(who[d])))
+        once = {(a, c): b for a, c, b in found}
+        return pa.table({"a": pa.array([a for a, _ in once], pa.int64()), "b": pa.array(list(once.values()), pa.int64())})
+
+    return left.groupBy("group", "chunk", "part").cogroup(right.groupBy("group", "chunk", "part")).applyInArrow(search, "a long, b long")
+
+
+def _folded(bits: np.ndarray, width: int) -> np.ndarray:
+    """Bitmaps (rows of bytes) folded to a smaller width."""
+    while bits.shape[-1] > width:
+        half = bits.shape[-1] // 2
+        bits = bits[..., :half] | bits[..., half:]
+    return bits
+
+
+def _opened_members(opened: DataFrame, members: DataFrame, cards: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of a class and a member of a group that it opens (a, group),
+    as far as sizes and bitmaps allow. A group of one is a pair; a larger one
+    meets its classes in chunks of bounded size, and only survivors leave."""
+    opened = written(opened)
+    shape = members.groupBy("group").agg(F.count("*").alias("size"), F.min("class").alias("one"))
+    alone = opened.join(shape.where("size = 1"), "group").select("a", F.col("one").alias("b"))
+    near = _bounded(alone, cards, percent).select("a", "b")
+
+    many = shape.where("size > 1").select("group", F.ceil(F.col("size") / CHUNK).cast("int").alias("chunks"))
+    asked = opened.join(many, "group")
+    inside = members.join(asked.select("group", "chunks").distinct(), "group")
+    ends = asked.select(F.col("a").alias("class")).union(inside.select("class")).distinct()
+    wanted = written(cards.select("class", "n", "bits").join(small(ends), "class", "left_semi").dropDuplicates(["class"]), "none")
+    left = inside.join(wanted, "class").select("group", F.pmod(F.xxhash64("class"), F.col("chunks")).cast("int").alias("chunk"), "class", "n", "bits")
+    right = asked.select(F.col("a").alias("class"), "group", "chunks").join(wanted, "class").select("group", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.col("class").alias("q"), F.col("n").alias("m"), F.col("bits").alias("x"))
+
+    def search(block: pa.Table, queries: pa.Table) -> pa.Table:
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        if block.num_rows and queries.num_rows:
+            who, n = block.column("class").to_numpy(), block.column("n").to_numpy()
+            raw = block.column("bits").to_pylist()
+            by_width = {w: np.array([i for i, x in enumerate(raw) if len(x) == w]) for w in {len(x) for x in raw}}
+            maps = {w: np.array([np.frombuffer(raw[i], np.uint8) for i in rows]) for w, rows in by_width.items()}
+            for q, m, x in zip(*(queries.column(c).to_pylist() for c in ("q", "m", "x")), strict=True):
+                own = np.frombuffer(x, np.uint8)
+                for w, rows in by_width.items():
+                    both = min(w, len(own))
+                    mine, other = _folded(own, both), _folded(maps[w], both)
+                    common = np.minimum(m - _ONES[mine & ~other].sum(axis=1), n[rows] - _ONES[other & ~mine].sum(axis=1))
+                    hit = rows[(common * 100 >= (m + n[rows] - common) * percent) & (who[rows] != q)]
+                    if len(hit):
+                        found.append((np.full(len(hit), q, np.int64), who[hit]))
+        a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*found, strict=True) if found else ((), ())))
+        return pa.table({"a": pa.array(a), "b": pa.array(b)})
+
+    return near.unionAll(left.groupBy("group", "chunk").cogroup(right.withColumnRenamed("group", "g").withColumnRenamed("chunk", "c").groupBy("g", "c")).applyInArrow(search, "a long, b long"))
+
+
 def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id reachable by
     links) of every row of docs."""
@@ -190,26 +311,34 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     some = cards.where("n > 0")
     classes = written(some.groupBy("class").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n")))
 
-    # similar classes meet at a centre of each of their first shingles
-    keys = some.select("class", F.explode(F.slice("prefix", 1, CENTRES)).alias("token")).distinct()
-    centres = keys.groupBy("token").agg(F.min("class").alias("centre"), F.max("class").alias("last")).where("centre <> last").select("token", "centre")
-    near = keys.join(centres, "token").where("class <> centre").select(F.col("class").alias("a"), F.col("centre").alias("b")).distinct()
-    linked = written(_verified(written(_bounded(written(near), some, percent)), docs, classes, size, percent))
-    groups = written(components(linked).select(F.col("node").alias("class"), F.col("comp").alias("group")))
+    # similar classes meet at a centre of each of their least hashes
+    keys = some.select("class", "rare", F.explode("keys").alias("token")).distinct()
+    centres = keys.groupBy("token").agg(F.min(F.struct("rare", "class")).alias("centre"), F.min("class").alias("least"), F.max("class").alias("last")).where("least <> last").select("token", "centre")
+    near = keys.join(centres, "token").where("class <> centre.class").select(F.col("class").alias("a"), F.col("centre.class").alias("b"), F.col("centre.rare").alias("rare")).distinct()
+    near = written(near)
+    alike = written(_bounded(near.select("a", "b"), some, ALIKE))
+    linked = written(_verified(written(alike.where(F.col("best") * 100 >= percent - 0.001).select("a", "b")), docs, classes, size, percent))
+    comps = written(components(linked).select(F.col("node").alias("class"), "comp"))
+    best = alike.join(near, ["a", "b"]).groupBy("a").agg(F.min(F.struct("rare", "b")).alias("centre")).select(F.col("a").alias("class"), F.col("centre.b").alias("group"))
+    with_comp = lambda df, name, out: df.join(small(comps.select(F.col("class").alias(name), F.col("comp").alias(out))), name, "left").withColumn(out, F.coalesce(out, name))
+    centre = best.select("group").distinct()
+    groups = best.join(small(centre.select(F.col("group").alias("class"))), "class", "left_anti").union(centre.select(F.col("group").alias("class"), "group"))
+    groups = written(with_comp(with_comp(groups, "class", "comp"), "group", "hub").select("class", "group", "comp", "hub"))
+    inside = written(_links_inside(groups, docs, classes, size, percent))
 
     # the token-group matrix, of shingles that several groups have
-    rows = some.select("class", "n", "prefix").join(small(groups), "class", "left").select("class", "n", F.coalesce("group", "class").alias("group"), F.explode("prefix").alias("token"))
+    rows = some.select("class", "n", "prefix").join(small(groups.select("class", "group")), "class", "left").select("class", "n", F.coalesce("group", "class").alias("group"), F.posexplode("prefix").alias("place", "token"))
     shared = written(rows.groupBy("token").agg(F.min("group").alias("least"), F.max("group").alias("last")).where("least <> last").select("token"))
-    rows = written(rows.join(small(shared), "token", "left_semi").distinct())
-    matrix = rows.groupBy("token", "group").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    opened = (
-        rows.alias("q").join(matrix.alias("g"), "token").where((F.col("q.group") != F.col("g.group")) & (F.col("q.n") * 100 >= F.col("g.least") * percent) & (F.col("g.most") * 100 >= F.col("q.n") * percent))
-        .groupBy("q.class", F.col("q.n").alias("nq"), F.col("g.group").alias("open")).agg(F.count("*").alias("overlap")).where("overlap >= 1")
-    )
-    members = rows.select(F.col("class").alias("member"), F.col("n").alias("nm"), F.col("group").alias("open")).distinct()
-    pairs = opened.join(members, "open").where(_fits("nq", "nm", percent)).select(F.least("class", "member").alias("a"), F.greatest("class", "member").alias("b")).distinct()
-    more = _verified(written(_bounded(written(pairs), some, percent)), docs, classes, size, percent)
-    final = written(components(linked.union(more)).select(F.col("node").alias("class"), F.col("comp").alias("group")))
+    # reach: how large a partner may be, times percent, if this shingle is the first in common
+    rows = written(rows.join(small(shared), "token", "left_semi").withColumn("reach", (F.col("n") - F.col("place")) * (100 + percent) - F.col("n") * percent).drop("place").distinct())
+    matrix = rows.groupBy("token", "group").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("reach").alias("reach"))
+    both_reach = (F.col("q.reach") >= F.col("g.least") * percent) & (F.col("g.reach") >= F.col("q.n") * percent)
+    opened = rows.alias("q").join(matrix.alias("g"), "token").where((F.col("q.group") < F.col("g.group")) & both_reach & (F.col("q.n") * 100 >= F.col("g.least") * percent) & (F.col("g.most") * 100 >= F.col("q.n") * percent))
+    opened = opened.select(F.col("q.class").alias("a"), F.col("g.group").alias("group")).distinct()
+    members = written(rows.select("class", "group").distinct())
+    pairs = written(_opened_members(opened, members, some, percent))
+    more = _verified(pairs, docs, classes, size, percent)
+    final = written(components(linked.union(inside).union(more)).select(F.col("node").alias("class"), F.col("comp").alias("group")))
 
     named = classes.join(final, "class", "left").withColumn("group", F.coalesce("group", "class"))
     least = named.groupBy("group").agg(F.min("first_id").alias("component_id"))
