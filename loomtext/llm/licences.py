@@ -183,7 +183,7 @@ _NOTICE = re.compile(rb"(?:licensed|released|distributed|redistributed|available
 
 def normalised(text: str | bytes | None) -> bytes:
     """The words of a text, joined by one space."""
-    raw = (text or b"").encode() if isinstance(text, str) else (text or b"")
+    raw = text.encode() if isinstance(text, str) else (text or b"")
     return b" ".join(raw.translate(_SPACES).split())
 
 
