@@ -4,7 +4,8 @@ Words are runs of letters and digits, A-Z lower-cased; shingles have five
 words. A shingle's weight grows with its rarity among the items. For every item size
 (number of shingles), windows of that size slide over a document. A window that
 shares no shingle with any item has similarity 0, so only windows over at
-least one item shingle are fingerprinted (64-bit weighted SimHash). Fingerprints
+least one item shingle are fingerprinted (64-bit weighted SimHash). A document
+that is shorter than an item is a single window. Fingerprints
 are looked up in a multi-index: the 64 bits are cut into 10 blocks, and a
 pair within 19 bits agrees in at least one block up to one bit, so the block
 tables (with all values one bit away) find every item of that size within the
@@ -129,33 +130,32 @@ class ItemIndex:
         """(item, similarity, first word, number of words) of matching windows."""
         for size in sorted({s for x in shingles[hits].tolist() for s in self.size_of[x]}):
             at = np.array([h for h in hits.tolist() if size in self.size_of[int(shingles[h])]])
-            if len(shingles) < size:
-                continue
-            cover = np.zeros(len(shingles) - size + 2, np.int64)
-            np.add.at(cover, np.maximum(at - size + 1, 0), 1)
-            np.add.at(cover, np.minimum(at, len(shingles) - size) + 1, -1)
+            width = min(size, len(shingles))
+            cover = np.zeros(len(shingles) - width + 2, np.int64)
+            np.add.at(cover, np.maximum(at - width + 1, 0), 1)
+            np.add.at(cover, np.minimum(at, len(shingles) - width) + 1, -1)
             starts = np.flatnonzero(np.cumsum(cover)[:-1] > 0)
             for part in np.split(starts, np.flatnonzero(np.diff(starts) > 1) + 1):
                 for block in range(0, len(part), 4096):
-                    yield from self._windows(shingles, part[block : block + 4096], size, threshold)
+                    yield from self._windows(shingles, part[block : block + 4096], size, width, threshold)
 
-    def _windows(self, shingles: np.ndarray, starts: np.ndarray, size: int, threshold: float) -> Iterator[tuple[object, float, int, int]]:
+    def _windows(self, shingles: np.ndarray, starts: np.ndarray, size: int, width: int, threshold: float) -> Iterator[tuple[object, float, int, int]]:
         if not len(starts):
             return
-        region = shingles[starts[0] : starts[-1] + size]
+        region = shingles[starts[0] : starts[-1] + width]
         weights = self.weight(region)
         sums = np.concatenate([np.zeros((1, 64), np.int64), np.cumsum(_signs(region, weights), axis=0)])
-        window, item = self.within_radius(_packed(sums[size:] - sums[:-size]), size)
+        window, item = self.within_radius(_packed(sums[width:] - sums[:-width]), size)
         group, bags = self.sizes[size], {}
         for w, i in zip(window.tolist(), item.tolist(), strict=True):
             mine = bags.get(w)
             if mine is None:
-                mine = bags[w] = self.bag(region[w : w + size], weights[w : w + size])
+                mine = bags[w] = self.bag(region[w : w + width], weights[w : w + width])
             other = group["bags"][i]
             common = sum(min(x, other[k]) for k, x in mine.items() if k in other)
             similarity = common / (sum(mine.values()) + sum(other.values()) - common)
             if similarity >= threshold:
-                yield group["items"][i], similarity, int(starts[0]) + w, size + SHINGLE - 1
+                yield group["items"][i], similarity, int(starts[0]) + w, width + SHINGLE - 1
 
 
 def _words(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -16,8 +16,10 @@ labels, null first and last word, score 0); repeated rows give equal rows.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import accumulate, groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
@@ -169,7 +171,7 @@ def rules() -> tuple[Rule, ...]:
             pattern = re.sub(r"\b([NI])\b", lambda m, n=name, s=short: n if m[1] == "N" else s, form)
             out.append(Rule(label, key.encode(), _compiled(pattern), priority, confidence))
     out += [
-        Rule("copyright-notice", b"copyright", _compiled(r"copyright (?:c )?(?:\d{4} )+"), 5, 0.4),
+        Rule("copyright-notice", b"copyright", _compiled(r"copyright (?:c )?\d{4}(?: \d{4})*"), 5, 0.4),
         Rule("reserved-some", b"some rights", _compiled("some rights reserved"), 5, 0.5),
         Rule("proprietary", b"proprietary", _compiled("(?:proprietary and confidential|confidential and proprietary)"), 5, 0.7),
         Rule("no-redistribution", b"redistribution", _compiled("(?:no redistribution|redistribution (?:is )?(?:prohibited|not permitted))"), 5, 0.7),
@@ -177,6 +179,7 @@ def rules() -> tuple[Rule, ...]:
     return tuple(sorted(out, key=lambda r: -r.priority))
 
 
+_ONE_SPACE = re.compile(rb" ")
 #: Words that open a notice; rules of that form wait for one of them.
 _NOTICE = re.compile(rb"(?:licensed|released|distributed|redistributed|available|provided|published|covered) ")
 
@@ -199,12 +202,20 @@ def detections(words: bytes) -> tuple[list[Detection], list[Detection]]:
             here = seen[rule.keyword] = rule.keyword in words
         if here:
             found += [(m.start(), m.end(), rule) for m in rule.pattern.finditer(words)]
-    found = [Detection(words.count(b" ", 0, a), words.count(b" ", 0, b) + 1, rule) for a, b, rule in found]
+    spaces = [m.start() for m in _ONE_SPACE.finditer(words)] if found else []
+    found = [Detection(bisect_left(spaces, a), bisect_left(spaces, b) + 1, rule) for a, b, rule in found]
     base = [x for x in found if x.rule.base]
     kept: list[Detection] = []
-    for x in sorted(found, key=lambda x: (-x.rule.priority, x.start - x.end, x.start, x.rule.label)):
-        if not any(k.start <= x.start and x.end <= k.end for k in kept):
-            kept.append(x)
+    for _, group in groupby(sorted(found, key=lambda x: (-x.rule.priority, x.start, -x.end, x.rule.label)), lambda x: x.rule.priority):
+        better = sorted((k.start, k.end) for k in kept)
+        starts = [a for a, _ in better]
+        reach = list(accumulate((b for _, b in better), max))
+        last = -1
+        for x in group:
+            before = bisect_right(starts, x.start)
+            if x.end > last and not (before and x.end <= reach[before - 1]):
+                kept.append(x)
+            last = max(last, x.end)
     return base, sorted(kept, key=lambda x: (x.start, x.end))
 
 
