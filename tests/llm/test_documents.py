@@ -109,6 +109,13 @@ def test_decontamination_edges(spark, edges):
     assert decontaminate.drop_contaminated(edges, items).columns == edges.columns
 
 
+def test_document_shorter_than_an_item_is_one_window(spark):
+    words = [f"w{k}" for k in range(60)]
+    items = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    docs = spark.createDataFrame([(1, " ".join(words[:56])), (2, " ".join(words[:30]))], "doc_id long, text string")
+    assert [(r.doc_id, r.n_words) for r in decontaminate.contaminated(docs, items).collect()] == [(1, 56)]
+
+
 def test_simhash_finds_windows_at_the_threshold():
     rng = np.random.default_rng(1)
     missed = 0
@@ -252,6 +259,14 @@ def test_licence_suppression():
     assert [x.rule.label for x in kept] == ["gpl-3.0"] and len(licences.rules()) > 200
 
 
+def test_licence_suppression_equals_pairwise_comparison():
+    text = "Copyright (c) 2001 2002 X. Licensed under the MIT license. See the MIT License; GPL v3, GNU General Public License version 3. All rights reserved. " * 30
+    _, kept = licences.detections(licences.normalised(text))
+    assert {"copyright-notice", "mit", "gpl-3.0", "reserved"} <= {x.rule.label for x in kept} and kept
+    for a in kept:  # nothing stands inside one of a rule that is as good or better
+        assert not any(b is not a and b.start <= a.start and a.end <= b.end and b.rule.priority >= a.rule.priority for b in kept)
+
+
 def test_licence_edges(spark, edges):
     got = licences.scan_licences(edges)
     assert got.count() == len(EDGES) and licences.scan_licences(empty(edges)).count() == 0
