@@ -10,7 +10,8 @@ cut into segments of equal quantised impact: |value| div STEP. Segments are
 processed by descending impact, for all open queries at once; each adds its impact
 (the middle of its range) times the query's component to the accumulators of its
 vectors. What is left can change a score by at most sum |q_d| * (largest
-impact left in d, or half a range). A query stops only when its k-th lower bound
+impact left in d, or half a range; the whole largest impact of a dimension that
+no segment has touched yet). A query stops only when its k-th lower bound
 leaves so few possible members that rescoring them exactly is cheaper than
 going on, or when all segments are done; its possible members are then always
 rescored exactly. Ties go to the smaller id: members are all vectors whose upper
@@ -67,7 +68,8 @@ class ImpactIndex:
                 q = queries[open_, d] * (sign * (level * STEP + (STEP - 1) / 2))
                 scores[rows] += q
             done = level == min(self.segments)
-            left = weight[open_] @ np.where(self.largest < level * STEP, np.minimum(self.largest, (STEP - 1) / 2), max((STEP - 1) / 2, level * STEP - 1))
+            rest = max((STEP - 1) / 2, level * STEP - 1)
+            left = weight[open_] @ np.where(self.largest < level * STEP, self.largest, rest)
             if not done and level * STEP > 3 * STEP:
                 continue  # no proof can hold so early that pays for a look
             own = self.ids[:, None] == query_ids[open_][None, :]

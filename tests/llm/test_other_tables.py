@@ -101,6 +101,20 @@ def test_top_k_equals_brute_force(spark):
     assert topk.top_k(frame.where("vec_id < 3"), lambda i: i % 50 == 0).count() == 2 and topk.top_k(frame.where("false"), lambda i: i % 50 == 0).count() == 0
 
 
+def test_top_k_of_dimensions_of_different_ranges():
+    index = topk.ImpactIndex(np.array([1, 2, 3]), np.array([[250, 0], [100, 20], [24, 0]]))
+    assert index.top(np.array([0]), np.array([[1, 10]]), 1) == [(0, 2, 300)]
+    rng = np.random.default_rng(1)
+    for n, k in ((700, 5), (60, 1)):
+        span = np.r_[rng.integers(1, 24, 24), rng.integers(24, 300, 8)]
+        vectors = rng.integers(-span, span + 1, (n, len(span)))
+        queries = rng.integers(-200, 201, (20, len(span)))
+        for block in (vectors, np.where(np.arange(len(span)) % 3 == 0, vectors * 50, vectors // 8)):
+            got = topk.ImpactIndex(np.arange(n), block).top(np.arange(n, n + 20), queries, k)
+            scores = queries @ block.T
+            assert sorted(got) == sorted((n + q, int(i), int(scores[q, i])) for q in range(20) for i in np.lexsort((np.arange(n), -scores[q]))[:k])
+
+
 def test_top_k_of_the_table(spark):
     rows = [(r.vec_id, r.embedding) for r in table(spark, SF, "embeddings").collect()]
     assert {tuple(r) for r in op8_exact_topk(spark, SF).collect()} == brute_top(rows, [i for i, _ in rows if i % 50 == 0], 5)
