@@ -3,7 +3,8 @@
 A page becomes a tree of elements (unclosed paragraphs and list items end
 where the next one begins). Navigation, headers, footers, sidebars, notices,
 adverts, forms, comments, scripts and styles are cut out by their tags, roles
-and names. For every other node the link-adjusted density of characters per tag is
+and names, elements that are hidden by ``hidden`` or ``aria-hidden="true"``; no
+attribute cuts html, body, article or main. For every other node the link-adjusted density of characters per tag is
 computed; a node's sum is that of its children's densities. The node with the
 largest sum is found; the smallest density on its path up to the body is the
 threshold, and at every node that reaches it the subtree of the largest sum is
@@ -24,10 +25,13 @@ from pyspark.sql import DataFrame, types as T
 from ._frames import with_arrow_columns
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
-_ATTRIBUTE = re.compile(r"""(class|id|role|aria-label|hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+#: One attribute with its whole value, so that no value is searched for names.
+_ATTRIBUTE = re.compile(r"""([^\s/>=][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"?|'([^']*)'?|([^\s>]*)))?""")
+_NAMED = {"class", "id", "role", "aria-label"}
 _RAW = {"script", "style", "title", "textarea", "noscript", "template", "iframe", "svg", "math", "canvas", "object", "select", "option", "button"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _CUT = {"nav", "header", "footer", "aside", "form", "dialog", "menu", "label", "fieldset"}
+_KEPT = {"html", "body", "article", "main"}
 _INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img"}
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 _LIMITS = {"ul", "ol", "table", "dl", "div", "article", "section", "main", "body", "blockquote"}
@@ -48,9 +52,15 @@ class _Node:
 def _unwanted(tag: str, attributes: str) -> bool:
     if tag in _CUT:
         return True
+    if tag in _KEPT:
+        return False
+    seen = set()
     for m in _ATTRIBUTE.finditer(attributes):
+        if (name := m[1].lower()) in seen:
+            continue  # of an attribute that repeats, the first holds
+        seen.add(name)
         value = m[2] or m[3] or m[4] or ""
-        if m[1].lower() == "hidden" or _UNWANTED.search(value) and tag not in ("html", "body", "article", "main"):
+        if name == "hidden" or name == "aria-hidden" and value.strip().lower() == "true" or name in _NAMED and _UNWANTED.search(value):
             return True
     return False
 

@@ -71,6 +71,22 @@ def test_main_text_without_article_tags():
     assert text.count("\n") == 3 and "link" not in text
 
 
+@pytest.mark.parametrize("attributes", ['style="overflow:hidden"', 'aria-hidden="false"', 'title="Hidden gems"', 'data-url="/hidden-x"', 'data-href="?id=related"', 'data-grid="ads"', "data-x='class=menu' lang=en", 'class="text" class="menu"', "title='hidden", "title=a=hidden"])
+def test_values_and_longer_names_do_not_cut(attributes):
+    assert html.main_text(f"<body><div><p>One text</p><div {attributes}><p>Other text</p></div></div></body>") == "One text\nOther text"
+
+
+@pytest.mark.parametrize("attributes", ["hidden", "HIDDEN=''", "lang=en hidden", 'aria-hidden="true"', "aria-hidden=TRUE", 'class="x menu"', "id=related", 'role = "navigation"', "title='x'class=ads"])
+def test_hidden_and_unwanted_elements_are_cut(attributes):
+    assert html.main_text(f"<body><div><p>One text</p><div {attributes}><p>Other text</p></div></div></body>") == "One text"
+
+
+@pytest.mark.parametrize("tag", ["html", "body", "article", "main"])
+def test_no_attribute_cuts_the_page(tag):
+    for attributes in ('style="overflow-x:hidden"', "hidden", 'aria-hidden="true"', 'class="menu"'):
+        assert html.main_text(f"<{tag} {attributes}><p>Text of the page</p></{tag}>") == "Text of the page"
+
+
 def test_page_edges(spark):
     rows = spark.createDataFrame([(1, None), (2, ""), (3, "plain"), (4, "<<<>>>"), (5, "<p>a" * 3000), (6, "<a" * 5000), (7, "<!-- open"), (8, PAGE), (9, PAGE)], "page_id long, html string")
     got = {r.page_id: r.text for r in html.extract_pages(rows).collect()}
