@@ -16,8 +16,9 @@ at the threshold; a copy has distance 0.
 
 Items of fewer than five words match where their words stand in a row; items
 without words match nothing. The items are a query set: they are broadcast in
-blocks of ``MAX_ITEMS``, and each block meets all documents. Null and empty
-texts match nothing; rows that repeat match alike.
+blocks of ``MAX_ITEMS``, and each block meets all documents. Rarity is counted over
+all items, whatever their blocks. Null and empty texts match nothing; rows that
+repeat match alike. Items without an id are one item (of id null) for each text.
 """
 
 from __future__ import annotations
@@ -57,12 +58,22 @@ def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return sum(_POPULATION[((a ^ b) >> np.uint64(s)) & np.uint64(0xFFFF)].astype(np.int64) for s in (0, 16, 32, 48))
 
 
+def _repeated(seen: Counter) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles (rising) that several items have, and how many items."""
+    rows = sorted((x, n) for x, n in seen.items() if n > 1)
+    return np.array([x for x, _ in rows], np.uint64), np.array([n for _, n in rows], np.int64)
+
+
 @dataclass
 class ItemIndex:
     """Shingles, weights, fingerprints and block tables of a block of items."""
 
     words: list[tuple[object, np.ndarray]]
+    #: Of all items: how many have SHINGLE words, the shingles (rising) of two or
+    #: more of them, and of how many. Without it, the block's items are all.
+    everywhere: tuple[int, np.ndarray, np.ndarray] | None = None
     shingles: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    common: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
     weights: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     sizes: dict[int, dict] = field(default_factory=dict)
     size_of: dict[int, set[int]] = field(default_factory=dict)
@@ -82,9 +93,11 @@ class ItemIndex:
             return
         seen = Counter(int(x) for _, s in full for x in set(s.tolist()))
         self.shingles = np.array(sorted(seen), np.uint64)
-        scale = math.log(1 + len(full))
-        self.weights = np.array([round(8 * (1 + math.log((1 + len(full)) / seen[int(x)]) / scale)) for x in self.shingles], np.int64)
-        self.most = round(8 * (1 + math.log(1 + len(full)) / scale))
+        total, self.common, counts = self.everywhere or (len(full), *_repeated(seen))
+        self.everywhere = None
+        scale = math.log(1 + total)
+        self.weights = np.array([round(8 * (1 + math.log((1 + total) / n) / scale)) for n in counts.tolist()], np.int64)
+        self.most = round(8 * (1 + math.log(1 + total) / scale))
         for item, s in full:
             group = self.sizes.setdefault(len(s), {"items": [], "bags": [], "prints": []})
             w = self.weight(s)
@@ -105,8 +118,10 @@ class ItemIndex:
 
     def weight(self, shingles: np.ndarray) -> np.ndarray:
         """Weights; a shingle of no item weighs as much as one of a single item."""
-        at = np.minimum(np.searchsorted(self.shingles, shingles), len(self.shingles) - 1)
-        return np.where(self.shingles[at] == shingles, self.weights[at], self.most)
+        if not len(self.common):
+            return np.full(len(shingles), self.most, np.int64)
+        at = np.minimum(np.searchsorted(self.common, shingles), len(self.common) - 1)
+        return np.where(self.common[at] == shingles, self.weights[at], self.most)
 
     @staticmethod
     def bag(shingles: np.ndarray, weights: np.ndarray) -> dict[int, int]:
@@ -164,15 +179,42 @@ def _words(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return word_hashes(raw, starts, ends), first
 
 
+def shingle_counts(known: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
+    """ItemIndex.everywhere, counted by Spark over all items."""
+
+    def run(batches):
+        for batch in batches:
+            for _, raw, at in chunks(batch, "text"):
+                words, first = _words(raw, at)
+                full = [words[a:b] for a, b in zip(first[:-1], first[1:], strict=True) if b - a >= SHINGLE]
+                sets = [np.unique(shingle_hashes(w, np.array([0, len(w)]), SHINGLE)[0]) for w in full]
+                tokens, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_counts=True)
+                column = pa.array([None, *tokens.view(np.int64).tolist()], pa.int64())
+                yield pa.RecordBatch.from_arrays([column, pa.array([len(full), *counts.tolist()], pa.int64())], names=["token", "n"])
+
+    counts = known.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    rows = counts.where("token is null or n > 1").toArrow()
+    total = sum(n for t, n in zip(rows.column("token").to_pylist(), rows.column("n").to_pylist(), strict=True) if t is None)
+    rows = rows.filter(rows.column("token").is_valid())
+    tokens, n = rows.column("token").to_numpy().view(np.uint64), rows.column("n").to_numpy()
+    order = np.argsort(tokens)
+    return total, tokens[order], n[order]
+
+
 def item_indexes(items: DataFrame) -> Iterator[ItemIndex]:
-    """Indexes of all items, MAX_ITEMS at a time."""
-    known = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null")
+    """Indexes of all items, MAX_ITEMS at a time. Their items are (0, item_id),
+    or (1, number of the text) without an id."""
+    known = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
     blocks = max(1, -(-known.count() // MAX_ITEMS))
+    everywhere = shingle_counts(known) if blocks > 1 else None
+    block = F.pmod(F.when(F.col("item_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("item_id")), F.lit(blocks))
     for k in range(blocks):
-        part = known.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).orderBy("item_id", "text").toArrow()
+        part = known.where(block == k).orderBy("item_id", "text").toArrow()
         text = part.column("text").combine_chunks()
         words, first = _words(*text_buffer(text if isinstance(text, pa.Array) else pa.array([], pa.string())))
-        yield ItemIndex([(i, words[a:b]) for i, a, b in zip(part.column("item_id").to_pylist(), first[:-1], first[1:], strict=True)])
+        numbers: dict[str, int] = {}
+        keys = [(0, i) if i is not None else (1, numbers.setdefault(t, len(numbers))) for i, t in zip(part.column("item_id").to_pylist(), part.column("text").to_pylist(), strict=True)]
+        yield ItemIndex([(i, words[a:b]) for i, a, b in zip(keys, first[:-1], first[1:], strict=True)], everywhere)
 
 
 def _found(index: ItemIndex, gate: np.ndarray, raw: np.ndarray, at: np.ndarray, threshold: float) -> Iterator[tuple[int, object, float, int, int, int]]:
@@ -232,7 +274,7 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.8) -> D
             for batch in batches:
                 for part, raw, at in chunks(batch, "text"):
                     ids = part.column("doc_id")
-                    rows = [(ids[r].as_py(), *rest) for r, *rest in _found(shared.value, gate, raw, at, threshold)]
+                    rows = [(ids[r].as_py(), None if item[0] else item[1], *rest) for r, item, *rest in _found(shared.value, gate, raw, at, threshold)]
                     if rows:
                         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 

@@ -109,6 +109,28 @@ def test_decontamination_edges(spark, edges):
     assert decontaminate.drop_contaminated(edges, items).columns == edges.columns
 
 
+def test_weights_do_not_depend_on_blocks_of_items(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    stock = [" ".join(f"s{k}x{j}" for j in range(12)) for k in range(6)]
+    own = lambda k, n: " ".join(f"i{k}x{j}" for j in range(n))
+    texts = [f"{stock[k % 2]} {own(k, 20)} {stock[2 + k % 4]}" for k in range(40)]
+    items = spark.createDataFrame([(k, t) for k, t in enumerate(texts)] + [(None, own(90, 9)), (None, own(91, 9)), (None, own(91, 9))], "item_id long, text string")
+    rows = []
+    for k, t in enumerate(texts):
+        for cut in range(1, 8):
+            words = t.split()
+            words[-cut:] = f"{stock[2 + (k + 1) % 4]} {own(k + 100, 9)}".split()[:cut]
+            rows.append((len(rows), " ".join(words)))
+            rows.append((len(rows), " ".join(w if rng.random() > 0.02 * cut else "new" for w in t.split())))
+    docs = spark.createDataFrame([*rows, (9000, f"a {own(90, 9)} b"), (9001, own(91, 9))], "doc_id long, text string")
+    whole = sorted(map(str, decontaminate.contaminated(docs, items).collect()))
+    left = sorted(r.doc_id for r in decontaminate.drop_contaminated(docs, items).collect())
+    monkeypatch.setattr(decontaminate, "MAX_ITEMS", 5)
+    assert sorted(map(str, decontaminate.contaminated(docs, items).collect())) == whole
+    assert sorted(r.doc_id for r in decontaminate.drop_contaminated(docs, items).collect()) == left and not {9000, 9001} & set(left)
+    assert [r.doc_id for r in decontaminate.contaminated(docs, items).where("item_id is null").orderBy("doc_id").collect()] == [9000, 9001]
+
+
 def test_document_shorter_than_an_item_is_one_window(spark):
     words = [f"w{k}" for k in range(60)]
     items = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
