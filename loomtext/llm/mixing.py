@@ -6,7 +6,9 @@ weight. Block j (from 1) of a source with quota a may run from its release
 (j - 1) * C div a and must run before its deadline, j * C / a rounded up. At each
 slot the released block with the earliest deadline runs (ties: the first
 source by name). One processor that is exactly full meets all deadlines, so at every
-slot each source deviates from its weight by less than one block. The
+slot each source deviates from a div C of the slots by less than one block. The
+quotas are rounded to whole slots of a cycle, so the deviation from the weights
+themselves grows with the number of cycles. The
 cycle repeats for as long as blocks last; a source that has run out leaves its
 slots empty and no row is dropped or repeated.
 
