@@ -2,8 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
 as Parquet and read again for the next. All stages but the last return the columns of
-documents. The mixing stage writes its rows in the order of the mix; the last
-stage packs them in that order.
+documents. The mixing stage writes its rows in the order of the mix, but that order
+does not survive: the last stage's scan takes the files in its own order, and the
+permutation of slots spreads all sequences evenly.
 """
 
 from __future__ import annotations
