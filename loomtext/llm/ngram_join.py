@@ -36,7 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from ._frames import small
+from ._frames import free_name, small, with_arrow_columns
 from ._store import written
 from ._text import LOWER, NOT_SPACE, chunks, mix, shingle_hashes, spans, word_hashes
 from .graph import components
@@ -304,9 +304,9 @@ def _opened_members(opened: DataFrame, members: DataFrame, cards: DataFrame, per
     return near.unionAll(left.groupBy("group", "chunk").cogroup(right.withColumnRenamed("group", "g").withColumnRenamed("chunk", "c").groupBy("g", "c")).applyInArrow(search, "a long, b long"))
 
 
-def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest doc_id reachable by
-    links) of every row of docs."""
+def _class_groups(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The signatures of docs' rows, and class, first_id and group of every class
+    that has shingles: classes of a group are linked."""
     cards = written(signatures(docs, frequent_shingles(docs, size, percent), size, percent), "none")
     some = cards.where("n > 0")
     classes = written(some.groupBy("class").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n")))
@@ -340,18 +340,59 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     more = _verified(pairs, docs, classes, size, percent)
     final = written(components(linked.union(inside).union(more)).select(F.col("node").alias("class"), F.col("comp").alias("group")))
 
-    named = classes.join(final, "class", "left").withColumn("group", F.coalesce("group", "class"))
+    return cards, classes.join(final, "class", "left").withColumn("group", F.coalesce("group", "class"))
+
+
+def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles and component_id (the smallest doc_id reachable by
+    links) of every row of docs."""
+    cards, named = _class_groups(docs, size, percent)
+    some = cards.where("n > 0")
     least = named.groupBy("group").agg(F.min("first_id").alias("component_id"))
     component = named.join(least, "group").select("class", "component_id")
     linked_rows = some.select("doc_id", "n", "class").join(component, "class").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return linked_rows.unionAll(cards.where("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
+def _with_class(docs: DataFrame, name: str, size: int) -> DataFrame:
+    """docs with the class of each row's text (0 without a shingle) as ``name``."""
+
+    def make(batch):
+        for part, raw, at in chunks(batch, "text"):
+            _, every, own = token_sets(raw, at, size)
+            yield part, [_signed(digests(every, own))]
+
+    return with_arrow_columns(docs, [T.StructField(name, T.LongType())], make)
+
+
 def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs without those whose component has a smaller doc_id;
-    of rows that repeat a doc_id, one stays."""
-    found = written(jaccard_components(docs, size, percent))
-    drop = found.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(small(drop), "doc_id", "left_anti").select(*docs.columns)
-    again = found.groupBy("doc_id").count().where("count > 1 and doc_id is not null")
-    return kept.dropDuplicates(["doc_id"]) if again.limit(1).count() else kept
+    """One row of each component: that of the smallest doc_id (null ids last).
+
+    Rows are told apart by doc_id and class (the set of shingles), so each text of
+    a doc_id that repeats, and each row without an id, is judged by its own
+    component. Texts without a shingle are no copies of others; of rows that
+    repeat such a text under the same doc_id, one stays.
+    """
+    cards, named = _class_groups(docs, size, percent)
+    keys = cards.groupBy("doc_id", "class").agg(F.count("*").alias("rows"), F.max("n").alias("n"))
+    keys = written(keys)
+    grouped = written(keys.where("n > 0").join(named.select("class", "group"), "class"))
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "class")
+    best = grouped.groupBy("group").agg(F.min(order).alias("best"))
+    ranked = grouped.join(best, "group")
+    is_best = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("class") == F.col("best.class"))
+    drop = written(ranked.where(~is_best).select("doc_id", "class"))
+    again = keys.where("rows > 1 and (n > 0 or doc_id is not null)").select("doc_id", "class")
+
+    name, text = free_name(docs, "_class"), free_name(docs, "_own_text")
+    same = lambda k: F.col("doc_id").cast("long").eqNullSafe(k["_doc"]) & (F.col(name) == k["_of"])
+    named_keys = lambda k: small(k.select(F.col("doc_id").alias("_doc"), F.col("class").alias("_of")))
+    kept, gone = _with_class(docs, name, size), named_keys(drop)
+    kept = kept.join(gone, same(gone), "left_anti")
+    if again.limit(1).count():
+        twice = named_keys(again)
+        once = kept.join(twice, same(twice), "left_anti")
+        # texts without a shingle share the class 0
+        several = kept.join(twice, same(twice), "left_semi").withColumn(text, F.when(F.col(name) == 0, F.sha2(F.col("text").cast("string"), 256)))
+        kept = once.unionByName(several.dropDuplicates(["doc_id", name, text]).drop(text))
+    return kept.select(*docs.columns)

@@ -74,6 +74,24 @@ def test_jaccard_edges(spark, edges):
     assert kept.columns == edges.columns and {6, 4} <= {r.doc_id for r in kept.collect()} and 7 not in {r.doc_id for r in kept.collect()}
 
 
+def test_one_of_each_with_null_and_repeated_ids(spark):
+    text = lambda k: " ".join(f"t{k}w{j}" for j in range(30))
+    rows = [
+        (1, text(1), "a"), (2, text(1), "b"), (2, text(2), "c"), (2, text(3), "d"), (2, text(3), "e"), (None, text(4), "f"), (None, text(5), "g"),
+        (None, text(1), "h"), (None, text(5) + " more", "i"), (3, "short one", "j"), (3, "short one", "k"), (3, "short two", "l"), (None, "short", "m"), (None, "short", "n"), (4, None, "o"), (4, None, "q"), (None, "", "r"), (None, "", "s"), (None, text(4), "p"),
+    ]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, _class string")
+    got = ngram_join.one_of_each(frame, 5, 80)
+    kept = [(r.doc_id, r.text, r._class) for r in got.collect()]
+    assert got.columns == frame.columns and set(kept) <= set(rows)
+    pairs = collections.Counter((i, t) for i, t, _ in kept)
+    either = [k for k in pairs if k[0] is None and k[1] in (text(5), text(5) + " more")]
+    assert len(either) == 1
+    expected = collections.Counter([(1, text(1)), (2, text(2)), (2, text(3)), (None, text(4)), (3, "short one"), (3, "short two"), (None, "short"), (None, ""), (None, ""), (4, None)])
+    assert pairs - collections.Counter(either) == expected
+    assert ngram_join.one_of_each(empty(frame), 5, 80).count() == 0
+
+
 def test_decontamination_equals_brute_force(spark, docs):
     items = table(spark, SF, "benchmark")
     split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
