@@ -164,8 +164,10 @@ def fuzzy_terms(index: DataFrame, word: str, edits: int = 2) -> DataFrame:
 
 
 def fuzzy_search(index: DataFrame, word: str, edits: int = 2) -> DataFrame:
-    """doc_id of documents with a term within so many edits."""
-    return index.join(F.broadcast(fuzzy_terms(index, word, edits).select("term").limit(100_000)), "term", "left_semi").select("doc_id").distinct()
+    """doc_id of documents with a term within so many edits, however many such
+    terms there are: each posting is compared where it is read."""
+    near = F.abs(F.length("term") - len(word)) <= edits
+    return index.where(near & (F.levenshtein(F.col("term"), F.lit(word), edits) >= 0)).select("doc_id").distinct()
 
 
 def trigrams(c: Column) -> Column:

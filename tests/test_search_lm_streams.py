@@ -82,3 +82,10 @@ def test_embedding_subset_checks_the_width(spark, tmp_path):
     assert files.read_embeddings(spark, str(tmp_path / "v.txt"), words, 2).first()["vec"] == [1.0, 2.0]
     with pytest.raises(Exception, match="wrong width"):
         files.read_embeddings(spark, str(tmp_path / "v.txt"), spark.createDataFrame([("b",)], "word string"), 2).collect()
+
+
+def test_fuzzy_search_uses_every_term(spark):
+    index = spark.range(110_000).select(F.lpad(F.lower(F.hex("id")), 5, "0").alias("term"), F.col("id").alias("doc_id"))
+    index = index.unionAll(spark.createDataFrame([("zzzzzzzzzzz", 110_000), (None, 110_001), ("zz", 110_002)], "term string, doc_id long"))
+    got = S.fuzzy_search(index, "zzzzz", 5)
+    assert got.agg(F.count("*"), F.sum("doc_id")).first()[:] == (110_001, sum(range(110_000)) + 110_002)
