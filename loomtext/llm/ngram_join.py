@@ -12,17 +12,20 @@ components of these links without making all pairs of a group of copies:
 3. Similar classes are gathered into groups: each is compared with one centre
    for each of its least hashes, the class of that hash with the fewest rare
    shingles. A class joins the group of its best centre that its bitmap allows to
-   be half alike; those that may link to it are verified.
+   be half alike, and so on to where the chain of centres ends; classes that may
+   link to a centre are verified.
 4. The token-group matrix has a row for each shingle and group in whose
    members' prefixes it occurs, with the members' sizes and best places. If that is
    the first shingle a class shares with a member, what follows it in both
-   bounds their overlap, so another group is opened only if it can hold a member
-   that reaches the threshold; members must then pass the bitmap bound, which is
-   exact in one direction (shingles that are surely missing can't be too many).
-   A class's own group is opened if its centre isn't linked to it: its members
-   are counted against it in chunks of bounded size, without making pairs.
-5. Surviving pairs are verified on their whole sets. A link to one member of a
-   component stands for those to its other members.
+   bounds their overlap, so a group (another one, or its own if the class isn't
+   linked to its first centre) is opened only if it can hold a member that reaches
+   the threshold.
+5. Members of small groups are held against the classes that open them as pairs:
+   first by bitmaps, which are exact in one direction (shingles that are surely
+   missing can't be too many), then on whole sets. In larger groups the whole sets
+   meet in cells of bounded size, and a cell gives only as many links as join
+   its components. A link to one member of a component stands for those to its
+   other members.
 
 Defined results: null or empty texts and texts without words have n_shingles
 0 and are their own component; null ids make a component of their class but
@@ -49,8 +52,10 @@ MAX_FREQUENT = 1 << 20
 CENTRES = 4
 #: Percent that a class and its group's centre may be alike, at least.
 ALIKE = 50
-#: Members of a group that meet in a task, about.
-CHUNK = 1024
+#: Members of a group that meet in a task, and their shingles, about.
+CHUNK, CHUNK_TOKENS = 1024, 1 << 20
+#: Groups of at most so many members meet the classes that open them pair by pair.
+PAIRED = 16
 
 
 def token_sets(raw: np.ndarray, at: np.ndarray, size: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
@@ -159,8 +164,8 @@ def _fits(a: str, b: str, percent: int):
 def _bounded(pairs: DataFrame, cards: DataFrame, percent: int) -> DataFrame:
     """Pairs of classes (a, b) whose similarity may be percent, by their sizes
     and bitmaps; best: the largest that it may be."""
-    ends = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
-    wanted = cards.select("class", "n", "bits").join(small(ends), "class", "left_semi").dropDuplicates(["class"])
+    ends = written(pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct())
+    wanted = written(cards.select("class", "n", "bits").join(small(ends), "class", "left_semi").dropDuplicates(["class"]), "none")
     both = pairs
     for end in ("a", "b"):
         both = both.join(wanted.select(F.col("class").alias(end), F.col("n").alias(f"n{end}"), F.col("bits").alias(f"bits{end}")), end)
@@ -199,7 +204,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int,
     """The pairs of classes that link, by their whole sets."""
     ends = written(pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct())
     sets = _class_sets(ends, docs, classes, size)
-    both = small(pairs).join(sets.select(F.col("class").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("class").alias("b"), F.col("tokens").alias("tb")), "b")
+    both = pairs.join(sets.select(F.col("class").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("class").alias("b"), F.col("tokens").alias("tb")), "b")
     common = F.size(F.array_intersect("ta", "tb"))
     return both.where(common * 100 >= (F.size("ta") + F.size("tb") - common) * percent).select("a", "b")
 
@@ -223,85 +228,71 @@ def _overlaps(left: list[np.ndarray], right: list[np.ndarray], width: int = 4096
     return out.astype(np.int64)
 
 
-def _links_inside(groups: DataFrame, docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links between members of one group: each member whose component isn't the
-    centre's against all members, in chunks; one link for each component."""
-    open_ = groups.where("comp <> hub").select("group").distinct()
-    members = written(groups.join(small(open_), "group", "left_semi").select("group", "class", "comp", "hub"))
-    shape = members.groupBy("group").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
-    sets = _class_sets(members.select("class").distinct(), docs, classes, size)
-    full = written(members.join(sets, "class").join(small(shape), "group"), "none")
-    own = F.pmod(F.xxhash64("class"), F.col("chunks")).cast("int")
-    asked = full.where("comp <> hub").withColumn("part", F.pmod(F.xxhash64("class", F.lit(1)), F.col("chunks")).cast("int"))
-    # a group of k chunks has k * k tasks' worth of keys, each of bounded size
-    left = full.select("group", own.alias("chunk"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("part"), "class", "comp", "tokens")
-    right = asked.select("group", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "part", "class", "comp", "tokens")
+def spanning_links(block: tuple, queries: tuple, percent: int) -> list[tuple[int, int]]:
+    """Links between queries and members of a block that join all components which
+    their links join: fewer than there are components. Both sides are (classes,
+    components, sets); a link inside a component is left out."""
+    who, comp, sets = block
+    ids, own, asked = queries
+    names, place = np.unique(np.concatenate([comp, own]), return_inverse=True)
+    above = list(range(len(names)))
+
+    def root(x: int) -> int:
+        while above[x] != x:
+            above[x] = above[above[x]]
+            x = above[x]
+        return x
+
+    place, mine = place[: len(comp)], place[len(comp) :]
+    n, out = np.array([len(x) for x in sets], np.int64), []
+    for at in range(0, len(ids), 256):
+        part = asked[at : at + 256]
+        common = _overlaps(part, sets)
+        m = np.array([len(x) for x in part], np.int64)[:, None]
+        linked = (common * 100 >= (m + n - common) * percent) & (mine[at : at + 256, None] != place)
+        for q in np.flatnonzero(linked.any(axis=1)):
+            others, first = np.unique(place[linked[q]], return_index=True)
+            members = np.flatnonzero(linked[q])[first]
+            for other, member in zip(others.tolist(), members.tolist(), strict=True):
+                a, b = root(int(mine[at + q])), root(other)
+                if a != b:
+                    above[a] = b
+                    out.append((int(ids[at + q]), int(who[member])))
+    return out
 
-    def search(block: pa.Table, queries: pa.Table) -> pa.Table:
-        found: list[tuple[int, int, int]] = []
-        if block.num_rows and queries.num_rows:
-            read = lambda t: (t.column("class").to_numpy(), t.column("comp").to_numpy(), [x.values.to_numpy() for x in t.column("tokens")])
-            who, comp, sets_ = read(block)
-            n = np.array([len(x) for x in sets_])
-            ids, own_comp, asked_sets = read(queries)
-            for at in range(0, len(ids), 256):
-                mine = asked_sets[at : at + 256]
-                common = _overlaps(mine, sets_)
-                m = np.array([len(x) for x in mine])[:, None]
-                linked = (common * 100 >= (m + n - common) * percent) & (own_comp[at : at + 256, None] != comp)
-                for q, d in zip(*np.nonzero(linked), strict=True):
-                    found.append((int(ids[at + q]), int(comp[d]), int(who[d])))
-        once = {(a, c): b for a, c, b in found}
-        return pa.table({"a": pa.array([a for a, _ in once], pa.int64()), "b": pa.array(list(once.values()), pa.int64())})
-
-    return left.groupBy("group", "chunk", "part").cogroup(right.groupBy("group", "chunk", "part")).applyInArrow(search, "a long, b long")
-
-
-def _folded(bits: np.ndarray, width: int) -> np.ndarray:
-    """Bitmaps (rows of bytes) folded to a smaller width."""
-    while bits.shape[-1] > width:
-        half = bits.shape[-1] // 2
-        bits = bits[..., :half] | bits[..., half:]
-    return bits
-
-
-def _opened_members(opened: DataFrame, members: DataFrame, cards: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of a class and a member of a group that it opens (a, group),
-    as far as sizes and bitmaps allow. A group of one is a pair; a larger one
-    meets its classes in chunks of bounded size, and only survivors leave."""
-    opened = written(opened)
-    shape = members.groupBy("group").agg(F.count("*").alias("size"), F.min("class").alias("one"))
-    alone = opened.join(shape.where("size = 1"), "group").select("a", F.col("one").alias("b"))
-    near = _bounded(alone, cards, percent).select("a", "b")
-
-    many = shape.where("size > 1").select("group", F.ceil(F.col("size") / CHUNK).cast("int").alias("chunks"))
-    asked = opened.join(many, "group")
-    inside = members.join(asked.select("group", "chunks").distinct(), "group")
-    ends = asked.select(F.col("a").alias("class")).union(inside.select("class")).distinct()
-    wanted = written(cards.select("class", "n", "bits").join(small(ends), "class", "left_semi").dropDuplicates(["class"]), "none")
-    left = inside.join(wanted, "class").select("group", F.pmod(F.xxhash64("class"), F.col("chunks")).cast("int").alias("chunk"), "class", "n", "bits")
-    right = asked.select(F.col("a").alias("class"), "group", "chunks").join(wanted, "class").select("group", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.col("class").alias("q"), F.col("n").alias("m"), F.col("bits").alias("x"))
+
+def _links_in_groups(asked: DataFrame, members: DataFrame, docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (a, b) of the classes asked (group, class, comp) to the members of a
+    group, by whole sets. A group of k chunks is k * parts cells of bounded size;
+    a cell gives a spanning forest of the components it joins, never its pairs."""
+    inside = written(members.join(small(written(asked.select("group").distinct())), "group", "left_semi"))
+    ends = written(asked.select("class").union(inside.select("class")).distinct())
+    sets = _class_sets(ends, docs, classes, size).withColumn("n", F.size("tokens"))
+    cut = lambda df: df.join(sets.select("class", "n"), "class").groupBy("group").agg(F.ceil(F.greatest(F.count("*") / CHUNK, F.sum("n") / CHUNK_TOKENS)).cast("int").alias("cells"))
+    shape = written(cut(inside).withColumnRenamed("cells", "chunks").join(cut(asked).withColumnRenamed("cells", "parts"), "group"))
+    dealt = lambda df, mine, k, every, m: df.join(small(shape), "group").select("group", F.pmod(F.xxhash64("class"), F.col(k)).cast("int").alias(mine), F.explode(F.sequence(F.lit(0), F.col(m) - 1)).alias(every), "class", "comp").join(sets.drop("n"), "class")
+    left, right = dealt(inside, "chunk", "chunks", "part", "parts"), dealt(asked, "part", "parts", "chunk", "chunks")
+    read = lambda t: (t.column("class").to_numpy(), t.column("comp").to_numpy(), [x.values.to_numpy() for x in t.column("tokens")])
 
     def search(block: pa.Table, queries: pa.Table) -> pa.Table:
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-        if block.num_rows and queries.num_rows:
-            who, n = block.column("class").to_numpy(), block.column("n").to_numpy()
-            raw = block.column("bits").to_pylist()
-            by_width = {w: np.array([i for i, x in enumerate(raw) if len(x) == w]) for w in {len(x) for x in raw}}
-            maps = {w: np.array([np.frombuffer(raw[i], np.uint8) for i in rows]) for w, rows in by_width.items()}
-            for q, m, x in zip(*(queries.column(c).to_pylist() for c in ("q", "m", "x")), strict=True):
-                own = np.frombuffer(x, np.uint8)
-                for w, rows in by_width.items():
-                    both = min(w, len(own))
-                    mine, other = _folded(own, both), _folded(maps[w], both)
-                    common = np.minimum(m - _ONES[mine & ~other].sum(axis=1), n[rows] - _ONES[other & ~mine].sum(axis=1))
-                    hit = rows[(common * 100 >= (m + n[rows] - common) * percent) & (who[rows] != q)]
-                    if len(hit):
-                        found.append((np.full(len(hit), q, np.int64), who[hit]))
-        a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*found, strict=True) if found else ((), ())))
-        return pa.table({"a": pa.array(a), "b": pa.array(b)})
-
-    return near.unionAll(left.groupBy("group", "chunk").cogroup(right.withColumnRenamed("group", "g").withColumnRenamed("chunk", "c").groupBy("g", "c")).applyInArrow(search, "a long, b long"))
+        found = spanning_links(read(block), read(queries), percent) if block.num_rows and queries.num_rows else []
+        return pa.table({k: pa.array([x[i] for x in found], pa.int64()) for i, k in enumerate("ab")})
+
+    queries = right.select("group", "chunk", "part", "class", "comp", "tokens").toDF("q_group", "q_chunk", "q_part", "class", "comp", "tokens")
+    return left.groupBy("group", "chunk", "part").cogroup(queries.groupBy("q_group", "q_chunk", "q_part")).applyInArrow(search, "a long, b long")
+
+
+def _gathered(best: DataFrame) -> DataFrame:
+    """class and group: where the chain of best centres from a class ends. Each
+    centre comes before its class in one order, so chains end; each round halves
+    what is left of them."""
+    now = written(best)
+    while True:
+        step = now.join(now.select(F.col("class").alias("group"), F.col("group").alias("next")), "group", "left")
+        moved = written(step.select("class", F.coalesce("next", "group").alias("group"), F.col("next").isNotNull().alias("moved")))
+        now = moved.drop("moved")
+        if moved.where("moved").isEmpty():
+            return now
 
 
 def _class_groups(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -320,25 +311,31 @@ def _class_groups(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame,
     linked = written(_verified(written(alike.where(F.col("best") * 100 >= percent - 0.001).select("a", "b")), docs, classes, size, percent))
     comps = written(components(linked).select(F.col("node").alias("class"), "comp"))
     best = alike.join(near, ["a", "b"]).groupBy("a").agg(F.min(F.struct("rare", "b")).alias("centre")).select(F.col("a").alias("class"), F.col("centre.b").alias("group"))
-    with_comp = lambda df, name, out: df.join(small(comps.select(F.col("class").alias(name), F.col("comp").alias(out))), name, "left").withColumn(out, F.coalesce(out, name))
-    centre = best.select("group").distinct()
-    groups = best.join(small(centre.select(F.col("group").alias("class"))), "class", "left_anti").union(centre.select(F.col("group").alias("class"), "group"))
-    groups = written(with_comp(with_comp(groups, "class", "comp"), "group", "hub").select("class", "group", "comp", "hub"))
-    inside = written(_links_inside(groups, docs, classes, size, percent))
-
-    # the token-group matrix, of shingles that several groups have
-    rows = some.select("class", "n", "prefix").join(small(groups.select("class", "group")), "class", "left").select("class", "n", F.coalesce("group", "class").alias("group"), F.posexplode("prefix").alias("place", "token"))
-    shared = written(rows.groupBy("token").agg(F.min("group").alias("least"), F.max("group").alias("last")).where("least <> last").select("token"))
+    groups = _gathered(best)
+    groups = groups.union(groups.select("group").distinct().select(F.col("group").alias("class"), "group"))
+    # a class without a group is one of its own; hub: the group's first component
+    known = written(classes.select("class", "n").join(groups, "class", "left").withColumn("group", F.coalesce("group", "class")).join(comps, "class", "left").withColumn("comp", F.coalesce("comp", "class")))
+    hubs = known.where("class = group").select("group", F.col("comp").alias("hub"))
+
+    # the token-group matrix, of shingles that several classes have
+    rows = some.select("class", F.posexplode("prefix").alias("place", "token"))
+    shared = written(rows.groupBy("token").agg(F.min("class").alias("least"), F.max("class").alias("last")).where("least <> last").select("token"))
+    rows = rows.join(small(shared), "token", "left_semi").distinct().join(known, "class")
     # reach: how large a partner may be, times percent, if this shingle is the first in common
-    rows = written(rows.join(small(shared), "token", "left_semi").withColumn("reach", (F.col("n") - F.col("place")) * (100 + percent) - F.col("n") * percent).drop("place").distinct())
-    matrix = rows.groupBy("token", "group").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("reach").alias("reach"))
+    rows = written(rows.withColumn("reach", (F.col("n") - F.col("place")) * (100 + percent) - F.col("n") * percent).drop("place"))
+    matrix = rows.groupBy("token", "group").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("reach").alias("reach"), F.min("comp").alias("one"), F.max("comp").alias("other"))
     both_reach = (F.col("q.reach") >= F.col("g.least") * percent) & (F.col("g.reach") >= F.col("q.n") * percent)
-    opened = rows.alias("q").join(matrix.alias("g"), "token").where((F.col("q.group") < F.col("g.group")) & both_reach & (F.col("q.n") * 100 >= F.col("g.least") * percent) & (F.col("g.most") * 100 >= F.col("q.n") * percent))
-    opened = opened.select(F.col("q.class").alias("a"), F.col("g.group").alias("group")).distinct()
-    members = written(rows.select("class", "group").distinct())
-    pairs = written(_opened_members(opened, members, some, percent))
-    more = _verified(pairs, docs, classes, size, percent)
-    final = written(components(linked.union(inside).union(more)).select(F.col("node").alias("class"), F.col("comp").alias("group")))
+    elsewhere = (F.col("q.group") < F.col("g.group")) | ((F.col("q.group") == F.col("g.group")) & (F.col("g.one") < F.col("g.other")))
+    opened = rows.alias("q").join(matrix.alias("g"), "token").where(elsewhere & both_reach & (F.col("q.n") * 100 >= F.col("g.least") * percent) & (F.col("g.most") * 100 >= F.col("q.n") * percent))
+    opened = opened.select(F.col("q.class").alias("class"), F.col("q.comp").alias("comp"), F.col("q.group").alias("own"), F.col("g.group").alias("group")).distinct()
+    sizes = known.groupBy("group").agg(F.count("*").alias("size"))
+    opened = written(opened.join(hubs, "group").where("own <> group or comp <> hub").join(sizes, "group").select("class", "comp", "group", "size"))
+    members = known.select("group", F.col("class").alias("b"), F.col("comp").alias("with"))
+    few = opened.where(F.col("size") <= PAIRED).join(members, "group").where("class <> b and comp <> with").select(F.least("class", "b").alias("a"), F.greatest("class", "b").alias("b")).distinct()
+    more = _verified(written(_bounded(written(few), some, percent).select("a", "b")), docs, classes, size, percent)
+    many = opened.where(F.col("size") > PAIRED).select("group", "class", "comp")
+    inside = _links_in_groups(many, known.select("group", "class", "comp"), docs, classes, size, percent)
+    final = written(components(linked.union(more).union(inside)).select(F.col("node").alias("class"), F.col("comp").alias("group")))
 
     return cards, classes.join(final, "class", "left").withColumn("group", F.coalesce("group", "class"))
 
