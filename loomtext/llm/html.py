@@ -1,16 +1,22 @@
 """HTML extraction by composite text density.
 
-A page becomes a tree of elements (unclosed paragraphs and list items end
-where the next one begins). Navigation, headers, footers, sidebars, notices,
-adverts, forms, comments, scripts and styles are cut out by their tags, roles
-and names, elements that are hidden by ``hidden`` or ``aria-hidden="true"``; no
-attribute cuts html, body, article or main. For every other node the link-adjusted density of characters per tag is
-computed; a node's sum is that of its children's densities. The node with the
-largest sum is found; the smallest density on its path up to the body is the
-threshold, and at every node that reaches it the subtree of the largest sum is
-content. A selection inside an ``article`` or ``main`` stands for that whole element.
+A page becomes a tree of elements; end tags that HTML lets a page leave out are
+implied. What the contract of the scan names is marked as no content: navigation,
+footers, sidebars, forms and page headers by their tags and roles; adverts, notices,
+menus, comments and the like by a whole part of a class or id, never on html, body,
+main, article, a heading or what holds an article, main or h1; elements that are
+``hidden`` or ``aria-hidden="true"``.
+
+For every other node the link-adjusted density of characters per tag is computed; a
+node's sum is that of its children's densities. The subtree of the largest sum is
+content as a whole. The smallest density on its path up to the body is the
+threshold: beside each node of the path, a block whose density reaches it and
+that isn't mostly links is content too, and so are headings and paragraphs
+there, and inside the article or main of the path all that isn't mostly links.
 
 Null and empty pages give the empty text; a page without markup gives its text.
+A page of any length is parsed whole; repeated rows give equal rows; an empty table
+gives an empty one; a column of pages that is named text or n_chars is replaced.
 """
 
 from __future__ import annotations
@@ -27,54 +33,88 @@ from ._frames import with_arrow_columns
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 #: One attribute with its whole value, so that no value is searched for names.
 _ATTRIBUTE = re.compile(r"""([^\s/>=][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"?|'([^']*)'?|([^\s>]*)))?""")
-_NAMED = {"class", "id", "role", "aria-label"}
-_RAW = {"script", "style", "title", "textarea", "noscript", "template", "iframe", "svg", "math", "canvas", "object", "select", "option", "button"}
+#: Elements whose content is no markup.
+_RAW = {"script", "style", "title", "textarea", "noscript", "template", "iframe", "xmp", "noembed", "noframes"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-_CUT = {"nav", "header", "footer", "aside", "form", "dialog", "menu", "label", "fieldset"}
-_KEPT = {"html", "body", "article", "main"}
-_INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img"}
-_CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
-_LIMITS = {"ul", "ol", "table", "dl", "div", "article", "section", "main", "body", "blockquote"}
-_UNWANTED = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|sponsored|promo|banner|nav|navbar|navigation|menu|breadcrumbs?|sidebar|aside|header|masthead|footer|cookie|cookies|consent|notice|popup|modal|newsletter|subscribe|share|sharing|social|related|comments?|replies|disqus|complementary|contentinfo|search|toolbar|widget)(?:$|[\s_-])", re.I)
+_FOREIGN = {"svg", "math"}
+_CUT = {"nav", "footer", "aside", "form", "dialog", "menu", "label", "fieldset", "button", "select", "option", "optgroup", "datalist", "svg", "canvas", "object", "audio", "video", "head"}
+_CUT_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alertdialog", "menu", "menubar", "toolbar"}
+_HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+_KEPT = {"html", "body", "article", "main", *_HEADINGS}
+_BODY = {"body", "html", "#root"}
+_PROSE = {"p", "blockquote", "pre", "figcaption", *_HEADINGS}
+_INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img", "math", "mrow", "mi", "mn", "mo", "msup", "msub", "mfrac", "msqrt", "mtext", "semantics"}
+_CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"thead", "tbody", "tr", "td", "th"}, "option": {"option"}, "optgroup": {"option", "optgroup"}, "body": {"head"}} | {h: _HEADINGS for h in _HEADINGS}
+_LIMITS = {"ul", "ol", "table", "dl", "div", "article", "section", "main", "body", "blockquote", "select"}
+#: Parts of a class or id that name no content ...
+_UNWANTED = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "banner", "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "sidebar", "masthead", "footer", "cookie", "cookies", "consent", "notice", "popup", "modal", "newsletter", "subscribe", "share", "sharing", "social", "related", "comment", "comments", "replies", "disqus", "search", "toolbar", "widget", "header"}
+#: ... as the only part of a name on a paragraph or an inline element,
+_ALONE = {"ad", "ads", "advert", "adverts", "advertisement", "sponsored", "promo", "cookie", "notice", "breadcrumb", "breadcrumbs", "newsletter", "comment"}
+#: unless the name says where something else stands.
+_LAYOUT = {"has", "with", "without", "no", "hide", "show", "is", "left", "right", "content", "layout", "main", "page", "wrapper", "container", "body", "article", "post", "entry"}
 _SPACE = re.compile(r"\s+")
 
 
 class _Node:
-    __slots__ = ("chars", "density", "items", "link_chars", "link_tags", "parent", "sum", "tag", "tags", "top")
+    __slots__ = ("chars", "cut", "density", "items", "link_chars", "link_tags", "named", "parent", "sum", "tag", "tags", "top")
 
     def __init__(self, tag: str, parent: _Node | None) -> None:
         self.tag, self.parent, self.items = tag, parent, []
+        self.cut = self.named = False
         self.chars = self.link_chars = self.tags = self.link_tags = 0
         self.density = self.sum = 0.0
         self.top = self
 
+    @property
+    def inner(self) -> list[_Node]:
+        return [x for x in self.items if isinstance(x, _Node) and not x.cut]
+
+    @property
+    def linked(self) -> bool:
+        return 2 * self.link_chars > self.chars
+
+
+def _attributes(text: str) -> dict[str, str]:
+    """Names and values; of a name that repeats, the first holds."""
+    out: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(text):
+        out.setdefault(m[1].lower(), (m[2] or m[3] or m[4] or "").lower())
+    return out
+
+
+def _names_no_content(tag: str, name: str) -> bool:
+    parts = [x for x in re.split(r"[-_]+", name) if x]
+    if tag in _INLINE or tag in _PROSE or tag == "li":
+        return len(parts) == 1 and parts[0] in _ALONE
+    found = [x in _UNWANTED for x in parts]
+    return any(found) and (len(parts) == 1 or parts[0] not in _LAYOUT or (found[-1] and parts[0] not in {"has", "with", "without", "no", "hide", "show", "is"}))
 
-def _unwanted(tag: str, attributes: str) -> bool:
-    if tag in _CUT:
-        return True
-    if tag in _KEPT:
-        return False
-    seen = set()
-    for m in _ATTRIBUTE.finditer(attributes):
-        if (name := m[1].lower()) in seen:
-            continue  # of an attribute that repeats, the first holds
-        seen.add(name)
-        value = m[2] or m[3] or m[4] or ""
-        if name == "hidden" or name == "aria-hidden" and value.strip().lower() == "true" or name in _NAMED and _UNWANTED.search(value):
-            return True
-    return False
+
+def _mark(node: _Node, attributes: str) -> None:
+    """cut: no content by its tag, role or state; named: by its names."""
+    tag, own = node.tag, _attributes(attributes)
+    inside = node.parent
+    while tag == "header" and inside.tag not in ("article", "main", "#root"):
+        inside = inside.parent
+    if tag in _CUT or tag == "header" and inside.tag == "#root":
+        node.cut = True
+    elif tag not in ("html", "body", "article", "main") and ("hidden" in own or own.get("aria-hidden", "").strip() == "true"):
+        node.cut = True
+    elif tag not in _KEPT and own:
+        node.cut = own.get("role", "").strip() in _CUT_ROLES
+        names = own.get("class", "").split() + ([] if tag in _INLINE or tag in _PROSE else own.get("id", "").split())
+        node.named = own.get("role") != "main" and any(_names_no_content(tag, n) for n in names)
 
 
 def parse_page(page: str) -> _Node:
-    """The tree of what isn't cut out; its items are nodes and texts."""
+    """The tree of a page; items are nodes, texts and breaks (None)."""
     root = _Node("#root", None)
-    node, at, skip = root, 0, None
+    node, at, foreign = root, 0, None
     last = page.rfind(">") + 1  # no tag ends after it
     while at <= len(page):
         m = _TAG.search(page, at, last)
         if text := page[at : m.start() if m else len(page)]:
-            if not skip:
-                node.items.append(text)
+            node.items.append(text)
         if not m:
             break
         at = len(page) if m[0].startswith("<!--") and not m[0].endswith("-->") else m.end()
@@ -82,59 +122,59 @@ def parse_page(page: str) -> _Node:
         if not tag:
             continue
         if m[1] or m[4]:
-            if skip and any(k == tag for k in skip):
-                while skip.pop() != tag:
-                    pass
-                skip = skip or None
-            elif not skip:
-                walk = node
-                while walk.tag not in (tag, "#root") and not (tag in _INLINE and walk.tag not in _INLINE):
-                    walk = walk.parent
-                if walk.tag == tag:
-                    node = walk.parent
+            walk = node
+            while walk.tag not in (tag, "#root") and not (tag in _INLINE and walk.tag not in _INLINE):
+                walk = walk.parent
+            if walk.tag == tag and tag not in ("html", "body"):
+                node = walk.parent
+                foreign = foreign if foreign is not walk else None
             continue
         attributes = m[3] if m[3] is not None else m[6] or ""
         if tag in _RAW:
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
             at = end.end() if end else len(page)
             continue
-        if skip:
-            if tag not in _VOID and not attributes.endswith("/"):
-                skip.append(tag)
-            continue
         if tag in _VOID:
             if tag in ("br", "hr"):
                 node.items.append(None)
             continue
-        if tag not in _INLINE:
+        if tag not in _INLINE and not foreign:
             walk, closes = node, _CLOSES.get(tag, ())
             while walk.tag in _INLINE:
                 walk = walk.parent
             if walk.tag == "p":
-                node = walk.parent
+                node = walk = walk.parent
             while closes and walk.tag not in _LIMITS and walk.tag != "#root":
                 if walk.tag in closes:
                     node = walk.parent
                 walk = walk.parent
-        if _unwanted(tag, attributes):
-            node.items.append(None)
-            if not attributes.endswith("/"):
-                skip = [tag]
-            continue
         child = _Node(tag, node)
+        _mark(child, attributes)
         node.items.append(child)
-        node = child
+        if not (attributes.endswith("/") and (foreign or tag in _FOREIGN)):
+            node = child
+            if tag in _FOREIGN and not foreign:
+                foreign = child
     return root
 
 
 def _measure(root: _Node) -> None:
+    every, stack = [], [root]
+    while stack:
+        every.append(node := stack.pop())
+        stack += [x for x in node.items if isinstance(x, _Node)]
+    holders: set[int] = set()  # what holds an article, main or h1 isn't cut by its names
+    for node in reversed(every):
+        if id(node) in holders or node.tag in ("article", "main", "h1"):
+            node.named = False
+            holders.add(id(node.parent))
+        node.cut = node.cut or node.named
     order, stack = [], [root]
     while stack:
         order.append(node := stack.pop())
-        stack += [x for x in node.items if isinstance(x, _Node)]
+        stack += node.inner
     for node in reversed(order):
-        own = sum(len(x) - (len(x) - len(x.strip())) for x in node.items if isinstance(x, str))
-        node.chars += own
+        node.chars += sum(len(x.strip()) for x in node.items if isinstance(x, str))
         if node.tag == "a":
             node.link_chars, node.link_tags = node.chars, node.link_tags + 1
         if (up := node.parent) is not None:
@@ -149,12 +189,13 @@ def _measure(root: _Node) -> None:
             base = math.log(c / max(c - lc, 1) * lc + root.link_chars / whole * c + math.e)
             node.density = c / t * max(math.log(c / max(lc, 1) * t / lt), 0.0) / base
     for node in reversed(order):
-        inner = [x for x in node.items if isinstance(x, _Node)]
+        inner = node.inner
         node.sum = sum(x.density for x in inner)
         node.top = max([node, *(x.top for x in inner)], key=lambda x: x.sum)
 
 
-def _blocks(node: _Node, out: list[list[str]]) -> None:
+def _blocks(node: _Node, out: list[list[str]], wanted=None) -> None:
+    """Texts of the blocks of a node; wanted: of a node's items, those to take."""
     stack: list = [node]
     while stack:
         x = stack.pop()
@@ -162,10 +203,11 @@ def _blocks(node: _Node, out: list[list[str]]) -> None:
             out.append([])
         elif isinstance(x, str):
             out[-1].append(x)
-        elif x.tag in _INLINE:
-            stack += reversed(x.items)
-        else:
-            stack += [None, *reversed(x.items), None]
+        elif not x.cut:
+            items = x.items if wanted is None else wanted(x)
+            stack += reversed(items) if x.tag in _INLINE else [None, *reversed(items), None]
+        elif x.tag not in _INLINE:
+            stack.append(None)
 
 
 def main_text(page: str | None) -> str:
@@ -175,35 +217,35 @@ def main_text(page: str | None) -> str:
     root = parse_page(page)
     _measure(root)
     best = root.top
-    threshold, walk = best.density, best
-    while walk is not None and walk.tag not in ("body", "html", "#root"):
-        threshold, walk = min(threshold, walk.density), walk.parent
-    chosen: set[int] = set()
-    stack = [walk or root]
-    while stack:
-        node = stack.pop()
-        if node.density < threshold - 1e-9 and node.tag not in ("body", "html", "#root"):
-            continue
-        chosen.add(id(node.top))
-        stack += [x for x in node.items if isinstance(x, _Node)]
-    whole = best
-    while whole is not None and whole.tag not in ("article", "main"):
-        whole = whole.parent
-    out: list[list[str]] = [[]]
-    if whole is not None:
-        _blocks(whole, out)
-    else:
-        stack = [root]
-        while stack:
-            node = stack.pop()
-            if not isinstance(node, _Node):
-                continue
-            if id(node) in chosen:
-                out.append([])
-                _blocks(node, out)
-                out.append([])
+    path, walk = [], best
+    while walk is not None:
+        path.append(walk)
+        walk = walk.parent
+    threshold = min((x.density for x in path if x.tag not in _BODY), default=0.0)
+    within, inside = set(), False  # nodes of the path in an article or main
+    for x in reversed(path):
+        inside = inside or x.tag in ("article", "main")
+        if inside:
+            within.add(id(x))
+    on_path = {id(x) for x in path[1:]}
+
+    def wanted(x: _Node) -> list:
+        if id(x) not in on_path:
+            return x.items
+        out: list = []
+        for y in x.items:
+            if not isinstance(y, _Node):
+                out.append(y if y is None or id(x) in within or x.tag in _INLINE else None)
+            elif id(y) in on_path or y is best:
+                out.append(y)
+            elif y.tag in _INLINE or not y.chars:
+                out.append(y if id(x) in within else None)
             else:
-                stack += reversed(node.items)
+                out.append(y if not y.linked and (id(x) in within or y.tag in _PROSE or y.density >= threshold - 1e-9) else None)
+        return out
+
+    out: list[list[str]] = [[]]
+    _blocks(root, out, wanted)
     texts = (_SPACE.sub(" ", entities.unescape("".join(b))).strip() for b in out)
     return "\n".join(t for t in texts if t)
 
