@@ -1,6 +1,7 @@
 """Conversations, pages and vectors, and the pipeline."""
 
 import hashlib
+import random
 
 import numpy as np
 import pytest
@@ -145,3 +146,70 @@ def test_pipeline(spark):
         n = docs.count()
     out = corpus_pipeline.run(spark, SF)
     assert out.count() > 0 and out.agg({"n_docs": "sum"}).first()[0] >= n
+
+
+NOISE = [
+    "<nav><ul><li><a href=/a>{0}</a><li><a href=/b>{0}</a></ul></nav>", "<div class='ad'>{0}</div>", "<div id=sidebar><p>{0}</p></div>", "<aside><p>{0}</aside>",
+    "<div class='cookie-notice'>{0}</div>", "<p class=notice>{0}", "<form><label>{0}</label><input name=q></form>", "<script>if (a < b) {{ '{0}' }}</script>", "<style>p {{ {0} }}</style>",
+    "<div class='x-{1}'><ul><li><a href=/c>{0}</a></li><li><a href=/d>{0}</a></li></ul></div>", "<svg class='i'/>", "<select><option>{0}<option>{0}</select>", "<!-- {0} -->", "<div hidden>{0}</div>", "<div role=search>{0}</div>",
+]
+LAST = ["<section class=comments><p>{0}</p><p>{0}</p></section>", "<footer><p>&copy; {0}</p></footer>", "<div class='share-bar'><span>{0}</span></div>"]
+NAMES = ["", " id=social-impact", " id=related-work", " style='overflow:hidden'", " aria-hidden=false", " data-id=related", " class='lead search'", " title='Hidden gems'"]
+
+
+def generated_page(rng: random.Random) -> tuple[str, str]:
+    """A page and, written beside it, the blocks of its article."""
+    words = lambda low, high: " ".join("".join(rng.choices("abcdeiourst", k=rng.randint(2, 8))) for _ in range(rng.randint(low, high)))
+    noise = lambda kinds: rng.choice(kinds).format(words(3, 12), rng.randint(0, 99))
+    blocks, body = [words(3, 8)], []
+    title = f"<h1{rng.choice(NAMES)}>{blocks[0]}</h1>"
+    own = rng.random() < 0.3  # a header of the article, not of the page
+    body.append(f"<header>{title}</header>" if own else title)
+    for _ in range(rng.randint(3, 12)):
+        kind, one, two = rng.random(), words(25, 60), words(25, 60)
+        if kind < 0.5:
+            blocks.append(f"{one} & bold {two}")
+            body.append(f"<p{rng.choice(NAMES)}>{one} &amp; <b>bold</b>\n  {two}" + rng.choice(["</p>", "", " "]))
+        elif kind < 0.65:
+            blocks.append(short := words(2, 5))
+            body.append(f"<h2{rng.choice(NAMES)}>{short}</h2>")
+        elif kind < 0.75:
+            blocks += [one, two]
+            body.append(f"<ul><li>{one}<li>{two}</ul>")
+        elif kind < 0.85:
+            blocks += [one, two]
+            body.append(f"<p>{one}<br>{two}</p>")
+        else:
+            body.append(noise(NOISE[:9] + NOISE[10:]))
+    inner = "\n".join(body)
+    around = rng.choice(["<article>{}</article>", "<div class='page-with-comments'><article>{}</article></div>", "<main><div>{}</div></main>", "<div class='has-sidebar'><div class='b{}'>".replace("{}", "7") + "{}</div></div>"][: 3 if own else 4])
+    page = "<!DOCTYPE html><html><head><title>" + words(2, 4) + "</title></head><body>" + "".join(noise(NOISE) for _ in range(rng.randint(0, 4))) + around.format(inner) + "".join(noise(LAST + NOISE) for _ in range(rng.randint(0, 4))) + rng.choice(["</body></html>", ""])
+    return page, "\n".join(blocks)
+
+
+def test_main_text_of_generated_pages():
+    rng = random.Random(7)
+    pages = [generated_page(rng) for _ in range(500)]
+    assert [html.main_text(p) for p, _ in pages] == [t for _, t in pages]
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<article><h2 id='social-impact'>A b</h2><p>One.</p><h2 id='related-work'>C</h2><p class='lead search'>Two.</p></article>", "A b\nOne.\nC\nTwo."),
+        ("<div><svg class='i'/><p>Text after it.</p></div>", "Text after it."),
+        ("<body><p class='notice'>Note.<p>The text that stays.", "The text that stays."),
+        ("<article><header><h1>Title</h1></header><p>Text of it.</p></article>", "Title\nText of it."),
+        ("<article><h1>A</h1><p>First of two articles here.</p></article><article><h1>B</h1><p>Second of two articles here.</p></article>", "A\nFirst of two articles here.\nB\nSecond of two articles here."),
+        ("<p>x <math><mi>y</mi></math> z</p>", "x y z"),
+    ],
+)
+def test_what_is_no_boilerplate_stays(page, text):
+    assert html.main_text(page) == text
+
+
+def test_very_long_page_and_clashing_columns(spark):
+    long = "<article>" + "".join(f"<p>Paragraph number {i} of a very long page.</p>" for i in range(30_000)) + "</article>"
+    rows = spark.createDataFrame([(1, long, "old", 5), (2, "<p>b", None, None)], "page_id long, html string, text string, n_chars int")
+    got = {r.page_id: r for r in html.extract_pages(rows).collect()}
+    assert got[1].text.count("\n") == 29_999 and got[1].n_chars == len(got[1].text) and (got[2].text, got[2].n_chars) == ("b", 1)
