@@ -214,23 +214,61 @@ def test_chain_uses_out_of_fold_probabilities():
     assert len(models[0][1]) == 1 and len(models[1][1]) == 2 and models[1][1][1] > 0
 
 
-def test_mixing_deviates_by_less_than_a_block(spark):
+def earliest_deadline_first(parts, slots):
+    """The source that runs at each slot, one slot at a time."""
+    total, done, out = sum(parts.values()), dict.fromkeys(parts, 0), []
+    for t in range(slots):
+        ready = [(-((done[x] + 1) * total // -w), -w, x) for x, w in parts.items() if done[x] * total // w <= t]
+        x = min(ready)[2]
+        done[x] += 1
+        out.append(x)
+    return out
+
+
+@pytest.mark.parametrize("weights", [{"a": 5, "b": 3, "c": 2, "": 2}, {"a": 0.6664, "b": 0.3331, "c": 0.0005}, {"a": 0.4993, "b": 0.4993, "c": 0.0014}, {"a": 7, "b": 7, "c": 7, "d": 1, "e": 1}])
+def test_schedule_equals_earliest_deadline_first_and_deviates_by_less_than_a_block(spark, weights):
+    parts = mixing.whole_weights(weights)
+    total = sum(parts.values())
+    plan = mixing.schedule(mixing.target_weights(spark.createDataFrame([(s, 9) for s in weights], "source string, n long"), weights)).collect()
+    assert all(r.cycle_slots == total and r.weight == parts[r.source] == len(r.places) for r in plan)
+    got = [x for _, x in sorted((p, r.source) for r in plan for p in r.places)]
+    assert got == earliest_deadline_first(parts, total)
+    seen = collections.Counter()
+    for t, x in enumerate(got):
+        seen[x] += 1
+        assert all(abs(seen[s] * total - (t + 1) * w) < total for s, w in parts.items())
+    share = {s: w / sum(weights.values()) for s, w in weights.items()}
+    assert all(abs(w / total - share[s]) < 1e-6 for s, w in parts.items())
+
+
+def test_mixing_keeps_windows_and_deviation_over_many_cycles(spark):
     sizes = {"a": 700, "b": 200, "c": 90, None: 30}
     rows = [(i, s) for i, s in enumerate(s for s, n in sizes.items() for _ in range(n))]
-    weights = {"a": 5.0, "b": 3.0, "c": 2.0}
-    got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, source string"), weights, block=4, slots=12).select("source", "mix.*").toPandas()
-    plan = mixing.schedule(mixing.target_weights(spark.createDataFrame([("", 30), ("a", 700), ("b", 200), ("c", 90)], "source string, n long"), weights), 12).toPandas()
-    quota, cycle = dict(zip(plan.source, plan.quota, strict=True)), plan.cycle_slots[0]
-    assert len(got) == len(rows) and got.order.is_unique
-    assert ((got.release <= got.cycle * cycle + got.slot) & (got.cycle * cycle + got.slot < got.deadline)).all()
-    whole = min(n // 4 // quota[s or ""] for s, n in sizes.items()) * cycle
-    blocks = got.fillna("").drop_duplicates(["source", "block"]).assign(at=lambda x: x.cycle * cycle + x.slot).sort_values("at")
+    parts = {"a": 5, "b": 3, "c": 2, "": 2}  # a source that isn't named has the least weight
+    got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, source string"), {"a": 5.0, "b": 3.0, "c": 2.0}, block=4).select("source", "mix.*").toPandas()
+    at = got.cycle * 12 + got.slot
+    assert len(got) == len(rows) and got.order.is_unique and ((got.release <= at) & (at < got.deadline)).all()
+    whole = min(n // 4 * 12 // parts[s or ""] for s, n in sizes.items())
     seen = collections.Counter()
-    for at, s in zip(blocks["at"], blocks["source"], strict=True):
-        if at >= whole:
+    for t, s in sorted({(t, s or "") for t, s in zip(at, got.source, strict=True)}):
+        if t >= whole:
             break
         seen[s] += 1
-        assert all(abs(seen[x] - (at + 1) * quota[x] / cycle) < 1 for x in quota)
+        assert all(abs(seen[x] - (t + 1) * w / 12) < 1 for x, w in parts.items())
+
+
+def test_mixing_of_many_sources(spark):
+    counts = spark.range(20_000).select(F.concat(F.lit("s"), "id").alias("source"), (F.col("id") % 5 * 100 + 1).alias("n"))
+    plan = mixing.schedule(mixing.target_weights(counts)).select("weight", "cycle_slots", F.explode("places").alias("slot"))
+    total, slots, different = plan.agg(F.max("cycle_slots"), F.count("*"), F.count_distinct("slot")).first()
+    assert total == slots == different
+
+
+def test_hot_and_null_ids_are_ranked_by_their_content(spark):
+    rows = spark.range(500).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id") % 250).alias("text"), F.lit("s").alias("source"))
+    got = mixing.mix_sources(rows).select("text", "mix.rank").toPandas()
+    again = mixing.mix_sources(rows.repartition(7)).select("text", "mix.rank").toPandas()
+    assert sorted(got["rank"]) == list(range(500)) and sorted(map(tuple, got.values)) == sorted(map(tuple, again.values))
 
 
 def test_mixing_edges(spark, edges):
