@@ -280,7 +280,7 @@ def test_mixing_edges(spark, edges):
 
 def test_materialised_tokens_round_trip(spark, docs):
     out = materialise.materialise(docs, length=64, shard_rows=16).toPandas()
-    assert sorted(out.slot) == list(range(len(out))) and (out.shard == out.slot // 16).all() and (out.byte_offset == out.slot % 16 * 128).all()
+    assert sorted(out.slot) == list(range(len(out))) and (out.shard == out.slot // 16).all() and (out.byte_offset == out.slot % 16 * 129).all()
     tok = materialise.Tokenizer(materialise.read_vocabulary(materialise.DEFAULT_VOCABULARY))
     o = out.sort_values("sequence")
     ids = np.concatenate([np.frombuffer(x, tok.dtype)[:n] for x, n in zip(o.tokens, o.n_tokens, strict=True)])
@@ -291,13 +291,36 @@ def test_materialised_tokens_round_trip(spark, docs):
     assert dict(zip(out.slot, out.tokens, strict=True)) == dict(zip(again.slot, again.tokens, strict=True))
 
 
-def test_shards_have_a_fixed_stride(spark, docs, tmp_path):
-    placed = materialise.materialise(docs, length=32, shard_rows=8)
-    materialise.write_shards(placed, str(tmp_path / "s"))
-    by_slot = {r.slot: bytes(r.tokens) for r in placed.collect()}
-    for r in spark.read.parquet(str(tmp_path / "s")).collect():
-        parts = [bytes(r.payload[k : k + 64]) for k in range(0, len(r.payload), 64)]
-        assert parts == [by_slot[r.shard * 8 + k] for k in range(len(parts))]
+def test_shards_have_a_fixed_stride_and_resume(spark, docs, tmp_path):
+    placed = materialise.materialise(docs, length=32, shard_rows=8).persist()
+    path = str(tmp_path / "s")
+    materialise.write_shards(placed, path, shard_rows=8)
+    by_slot = {r.slot: r for r in placed.collect()}
+    for first in (0, 5, 8, 1003, len(by_slot)):
+        got = [x.tobytes() for x in materialise.read_sequences(spark, path, first, shard_rows=8, length=32)]
+        assert got == [bytes(by_slot[k].tokens) for k in range(first, len(by_slot))]
+    files = {int(m[1]) * 10**6 + int(m[2]): f for f in (tmp_path / "s").iterdir() if (m := re.search(r"part-(\d+).*-c(\d+)", f.name)) and f.suffix == ".txt"}
+    shards = [files[k].read_bytes() for k in sorted(files)]
+    assert all(shards[r.shard][r.byte_offset : r.byte_offset + 64] == r.tokens for r in by_slot.values())
+    placed.unpersist()
+
+
+def test_sequences_do_not_depend_on_how_files_are_split(spark, docs, tmp_path):
+    path = str(tmp_path / "d")
+    docs.repartition(3).write.option("parquet.block.size", 64 << 10).parquet(path)
+    out = []
+    for size in ("128m", "60k", "200k"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+        out.append(materialise.materialise(spark.read.parquet(path), length=32, shard_rows=8).orderBy("slot").toPandas())
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert out[0].equals(out[1]) and out[0].equals(out[2])
+
+
+def test_windows_of_the_order_stay_together(spark, docs):
+    out = materialise.materialise(docs, length=32, shard_rows=8, window=64).toPandas()
+    assert sorted(out.slot) == list(range(len(out))) and (out.slot // 64 == out.sequence // 64).all() and (out.slot != out.sequence).any()
 
 
 def test_tokenizer_cache_changes_nothing():
