@@ -53,7 +53,7 @@ CENTRES = 4
 #: Percent that a class and its group's centre may be alike, at least.
 ALIKE = 50
 #: Members of a group that meet in a task, and their shingles, about.
-CHUNK, CHUNK_TOKENS = 1024, 1 << 20
+CHUNK, CHUNK_TOKENS = 512, 1 << 19
 #: Groups of at most so many members meet the classes that open them pair by pair.
 PAIRED = 16
 
@@ -318,9 +318,13 @@ def _class_groups(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame,
     hubs = known.where("class = group").select("group", F.col("comp").alias("hub"))
 
     # the token-group matrix, of shingles that several classes have
-    rows = some.select("class", F.posexplode("prefix").alias("place", "token"))
-    shared = written(rows.groupBy("token").agg(F.min("class").alias("least"), F.max("class").alias("last")).where("least <> last").select("token"))
-    rows = rows.join(small(shared), "token", "left_semi").distinct().join(known, "class")
+    rows = some.select("class", "rare", F.posexplode("prefix").alias("place", "token"))
+    frequent = rows.where("place >= rare").select("token", "class", "place").distinct()
+    # the others have at most FREQUENT documents each, but for those beyond MAX_FREQUENT;
+    # both sides read all three columns, so that one shuffle serves them
+    others = rows.where("place < rare").select("token", "class", "place").repartition("token")
+    shared = others.groupBy("token").agg(F.min("class").alias("least"), F.max("class").alias("last"), F.min("place").alias("first")).where("least <> last and first >= 0").select("token")
+    rows = written(frequent.unionByName(others.join(shared.hint("merge"), "token").select("token", "class", "place").distinct())).join(known, "class")
     # reach: how large a partner may be, times percent, if this shingle is the first in common
     rows = written(rows.withColumn("reach", (F.col("n") - F.col("place")) * (100 + percent) - F.col("n") * percent).drop("place"))
     matrix = rows.groupBy("token", "group").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("reach").alias("reach"), F.min("comp").alias("one"), F.max("comp").alias("other"))
