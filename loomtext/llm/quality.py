@@ -86,7 +86,8 @@ def ftrl(examples: list[tuple[np.ndarray, int]], bits: int, alpha: float = 0.2,
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int = MAX_TRAINING_ROWS, excluded=None) -> DataFrame:
-    """At most ``most`` labelled texts, those with the smallest hash of doc_id.
+    """At most ``most`` labelled texts, those with the smallest hash of doc_id; of
+    the texts of an id that repeats, one (that of the smallest hash).
 
     The ids and labels of the sample are broadcast (``most`` rows bound them),
     so the documents are only scanned. ``excluded``: a predicate on doc_id.
@@ -96,7 +97,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int =
         known = known.where(~excluded(F.col("_id")))
     chosen = known.distinct().withColumn("_order", F.xxhash64(F.col("_id").cast("string"))).orderBy("_order", "_id", "_label").limit(most)
     texts = docs.select(F.col("doc_id").alias("_doc"), F.col("text").alias("_text"))
-    return texts.join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).select("_order", "_id", "_label", "_text")
+    found = texts.join(F.broadcast(chosen), F.col("_doc") == F.col("_id"))
+    return found.groupBy("_order", "_id", "_label").agg(F.min_by("_text", F.xxhash64("_text")).alias("_text"))
 
 
 def train_quality(sample: DataFrame, bits: int = 18) -> FtrlModel:

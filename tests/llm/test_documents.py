@@ -194,10 +194,29 @@ def test_quality_edges(spark, edges):
     assert quality.keep_quality(edges, labels, 0.0).columns == edges.columns
 
 
-def test_toxicity_finds_labelled_texts(spark):
-    d = "/root/testdata/sf0.01"
-    got = toxicity.classify(table(spark, d, "documents"), table(spark, d, "labels")).join(table(spark, d, "labels"), "doc_id").toPandas()
-    assert got[got.toxic == 0].predicted.mean() < 0.02 and got[got.toxic == 1].predicted.mean() > 0.7
+def test_toxicity_of_held_out_texts(spark):
+    d = "/root/testdata/sf0.1"
+    labels = table(spark, d, "labels")
+    docs = table(spark, d, "documents").join(F.broadcast(labels.select("doc_id")), "doc_id", "left_semi")
+    scored = toxicity.classify(docs, labels, excluded=quality.held_out).where(quality.held_out(F.col("doc_id")))
+    got = scored.join(docs, "doc_id").join(labels, "doc_id").toPandas()
+    listed = got.text.str.contains(r"\b(?:idiot|moron|stupid|clown|loser|trash|scum|worthless|disgusting|pathetic)\b", case=False)
+    assert got[got.toxic == 0].predicted.mean() < 0.02 and got[got.toxic == 1].predicted.mean() >= 0.9
+    assert got[(got.toxic == 1) & ~listed].predicted.mean() >= 0.8  # without a word that is plainly toxic
+
+
+def test_kinds_are_clusters_of_the_toxic_rows():
+    rows = [np.array(x) for x in [[1, 2, 9], [1, 2, 8], [1, 2]] * 4 + [[3, 4, 9], [3, 4]] * 4 + [[5, 6]] * 5 + [[7, 8], [7, 9], [7]] * 9 + [[8]]]
+    toxic = np.array([1] * 25 + [0] * 28)
+    kinds = toxicity.learned_kinds(rows, toxic)
+    assert set(kinds[toxic == 0]) == {-1} and all(len(set(kinds[k])) == 1 for k in (slice(0, 12), slice(12, 20), slice(20, 25))) and len(set(kinds[:25])) == 3
+
+
+def test_threshold_has_the_best_f1():
+    rng = np.random.default_rng(3)
+    chance, target = rng.integers(0, 9, 60) / 9, rng.integers(0, 2, 60)
+    f1 = lambda th: 2 * target[chance >= th].sum() / ((chance >= th).sum() + target.sum())
+    assert f1(toxicity.best_threshold(chance, target)) == max(f1(th) for th in chance)
 
 
 def test_toxicity_edges(spark, edges):
@@ -205,13 +224,22 @@ def test_toxicity_edges(spark, edges):
     assert toxicity.classify(edges, labels).count() == len(EDGES)
     assert {(r.score, r.predicted) for r in toxicity.classify(edges, empty(labels)).collect()} == {(0.5, 0)}
     assert toxicity.classify(empty(edges), labels).count() == 0
+    clash = toxicity.score_toxicity(edges.withColumn("p_toxic", F.lit("x")), toxicity.train_chain(toxicity.labelled_sample(edges, labels, "toxic")))
+    assert clash.columns.count("p_toxic") == 1 and {len({r.score for r in clash.collect() if r.text == "a b c d e f g h"})} == {1}
+
+
+def test_labelled_sample_bounds_rows_not_ids(spark):
+    docs = spark.range(1000).select((F.col("id") % 2).alias("doc_id"), F.col("id").cast("string").alias("text"))
+    labels = spark.createDataFrame([(0, 1), (1, 0), (None, 1)], "doc_id long, quality int")
+    got = quality.labelled_sample(docs, labels, "quality").collect()
+    assert sorted((r._id, r._label) for r in got) == [(0, 1), (1, 0)]
 
 
 def test_chain_uses_out_of_fold_probabilities():
     rows = [np.array([k % 2, 2 + k % 3]) for k in range(60)]
     targets = np.array([[k % 2, k % 2] for k in range(60)], float)
-    models = toxicity.fit_chain(rows, targets)
-    assert len(models[0][1]) == 1 and len(models[1][1]) == 2 and models[1][1][1] > 0
+    models, unseen = toxicity.fit_chain(rows, targets)
+    assert len(unseen) == 60 and len(models[0][1]) == 1 and len(models[1][1]) == 2 and models[1][1][1] > 0
 
 
 def earliest_deadline_first(parts, slots):
