@@ -16,7 +16,7 @@ at the threshold; a copy has distance 0.
 
 Items of fewer than five words match where their words stand in a row; items
 without words match nothing. The items are a query set: they are broadcast in
-blocks of ``MAX_ITEMS``, and each block meets all documents. Rarity is counted over
+blocks of about ``MAX_ITEMS`` or ``MAX_BYTES``, and each block meets all documents. Rarity is counted over
 all items, whatever their blocks. Null and empty texts match nothing; rows that
 repeat match alike. Items without an id are one item (of id null) for each text.
 """
@@ -35,8 +35,10 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from ._text import ALNUM, LOWER, chunks, mix, shingle_hashes, spans, text_buffer, word_hashes
 
 SHINGLE = 5
-#: Items that are broadcast at once (some tens of MB of tables at most).
-MAX_ITEMS = 20_000
+#: Items and bytes of their texts that are broadcast at once; more are more blocks.
+MAX_ITEMS, MAX_BYTES = 20_000, 32 << 20
+#: Pairs of windows and items that are looked up at once.
+_LOOKED_UP = 1 << 20
 #: 10 blocks with one bit of tolerance each find all within 10 * 2 - 1 bits.
 BLOCKS, RADIUS = 10, 19
 
@@ -54,6 +56,11 @@ def _packed(sums: np.ndarray) -> np.ndarray:
     return ((sums > 0).astype(np.uint64) << _BITS).sum(axis=1, dtype=np.uint64)
 
 
+def _block(prints: np.ndarray, a: int, b: int) -> np.ndarray:
+    """Bits a to b (exclusive) of each fingerprint."""
+    return ((prints >> np.uint64(a)) & np.uint64((1 << (b - a)) - 1)).astype(np.int64)
+
+
 def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return sum(_POPULATION[((a ^ b) >> np.uint64(s)) & np.uint64(0xFFFF)].astype(np.int64) for s in (0, 16, 32, 48))
 
@@ -108,13 +115,12 @@ class ItemIndex:
                 self.size_of.setdefault(x, set()).add(len(s))
         for group in self.sizes.values():
             group["prints"] = prints = np.array(group["prints"], np.uint64)
+            # a table of each block: items by the block's value, and where each value begins
             group["tables"] = []
             for a, b in zip(_EDGES[:-1], _EDGES[1:], strict=True):
-                table = np.zeros((1 << (b - a), len(prints)), bool)
-                value = ((prints >> np.uint64(a)) & np.uint64((1 << (b - a)) - 1)).astype(np.int64)
-                for near in (0, *(1 << k for k in range(b - a))):
-                    table[value ^ near, np.arange(len(prints))] = True
-                group["tables"].append(table)
+                value = _block(prints, a, b)
+                order = np.argsort(value, kind="stable")
+                group["tables"].append((order, np.searchsorted(value[order], np.arange((1 << (b - a)) + 1))))
 
     def weight(self, shingles: np.ndarray) -> np.ndarray:
         """Weights; a shingle of no item weighs as much as one of a single item."""
@@ -133,13 +139,24 @@ class ItemIndex:
 
     def within_radius(self, prints: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
         """(window, item) pairs of one size at a distance of at most RADIUS."""
-        group = self.sizes[size]
-        found = np.zeros((len(prints), len(group["prints"])), bool)
-        for table, a, b in zip(group["tables"], _EDGES[:-1], _EDGES[1:], strict=True):
-            found |= table[((prints >> np.uint64(a)) & np.uint64((1 << (b - a)) - 1)).astype(np.int64)]
-        window, item = np.nonzero(found)
-        near = _distance(prints[window], group["prints"][item]) <= RADIUS
-        return window[near], item[near]
+        group, out = self.sizes[size], []
+        n = len(group["prints"])
+        step = max(1, _LOOKED_UP // n)
+        for at in range(0, len(prints), step):
+            some = prints[at : at + step]
+            found = np.zeros(len(some) * n, bool)  # a pair that several blocks give counts once
+            for (order, begin), a, b in zip(group["tables"], _EDGES[:-1], _EDGES[1:], strict=True):
+                value = _block(some, a, b)
+                for near in (0, *(1 << k for k in range(b - a))):
+                    first, many = begin[value ^ near], begin[(value ^ near) + 1] - begin[value ^ near]
+                    if total := int(many.sum()):
+                        place = np.repeat(first - np.cumsum(many) + many, many) + np.arange(total)
+                        found[np.repeat(np.arange(len(some)) * n, many) + order[place]] = True
+            window, item = np.divmod(np.flatnonzero(found), n)
+            near = _distance(some[window], group["prints"][item]) <= RADIUS
+            out.append((at + window[near], item[near]))
+        window, item = (np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 2
+        return window, item
 
     def matches(self, words: np.ndarray, shingles: np.ndarray, hits: np.ndarray, threshold: float) -> Iterator[tuple[object, float, int, int]]:
         """(item, similarity, first word, number of words) of matching windows."""
@@ -205,7 +222,8 @@ def item_indexes(items: DataFrame) -> Iterator[ItemIndex]:
     """Indexes of all items, MAX_ITEMS at a time. Their items are (0, item_id),
     or (1, number of the text) without an id."""
     known = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
-    blocks = max(1, -(-known.count() // MAX_ITEMS))
+    number, size = known.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    blocks = max(1, -(-number // MAX_ITEMS), -(-size // MAX_BYTES))
     everywhere = shingle_counts(known) if blocks > 1 else None
     block = F.pmod(F.when(F.col("item_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("item_id")), F.lit(blocks))
     for k in range(blocks):
@@ -236,12 +254,12 @@ def _found(index: ItemIndex, gate: np.ndarray, raw: np.ndarray, at: np.ndarray,
         maybe = np.flatnonzero(gate[(shingles & np.uint64(len(gate) - 1)).astype(np.int64)])
         place = np.minimum(np.searchsorted(index.shingles, shingles[maybe]), len(index.shingles) - 1)
         hits = maybe[index.shingles[place] == shingles[maybe]]
-        rows = np.searchsorted(own, hits, "right") - 1
-        for row in np.unique(rows):
+        rows, begin = np.unique(np.searchsorted(own, hits, "right") - 1, return_index=True)
+        for row, of in zip(rows.tolist(), np.split(hits, begin[1:]) if len(hits) else (), strict=True):
             if first[row + 1] - first[row] >= SHINGLE:
                 mine = slice(own[row], own[row + 1])
-                for m in index.matches(words[first[row] : first[row + 1]], shingles[mine], hits[rows == row] - own[row], threshold):
-                    note(int(row), *m)
+                for m in index.matches(words[first[row] : first[row + 1]], shingles[mine], of - own[row], threshold):
+                    note(row, *m)
     for size, items in index.short.items():
         keys, at_key = shingle_hashes(words, first, size)
         for place in np.flatnonzero(np.isin(keys, np.array(list(items), np.uint64))):
