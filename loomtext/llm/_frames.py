@@ -7,6 +7,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from ._store import bounded_batches
+
 
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, with underscores before it if the table has that column."""
@@ -35,6 +37,7 @@ def with_arrow_columns(
 
 def table(spark, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables, wherever Spark can read it."""
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -8,6 +8,18 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Rows of an Arrow batch.
+BATCH_ROWS = 1_000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches hold whole documents: BATCH_ROWS rows at once instead of Spark's
+    default keep the executors' buffers small. A session's own setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session. Where it is unset (tests on one
     machine), a local folder is made and set as the checkpoint folder."""
@@ -29,6 +41,7 @@ def written(df: DataFrame, compression: str = "zstd") -> DataFrame:
     """The table written as Parquet to the shared folder and read again: later
     jobs start from the files, whichever executors are lost."""
     spark = df.sparkSession
+    bounded_batches(spark)
     path = f"{shared_folder(spark)}/loomtext-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
