@@ -447,6 +447,67 @@ def test_licence_suppression_equals_pairwise_comparison():
         assert not any(b is not a and b.start <= a.start and a.end <= b.end and b.rule.priority >= a.rule.priority for b in kept)
 
 
+@pytest.mark.parametrize("part", range(8))
+def test_gate_is_no_stricter_than_the_rules(part):
+    """Texts generated from each rule's own pattern pass its gate."""
+    rng = random.Random(part)
+    for rule in licences.rules()[part::8]:
+        for _ in range(4):
+            text = generated_from(re._parser.parse(rule.pattern.pattern.decode()), rng)
+            assert rule.pattern.search(text.encode()) and rule in licences.gated(f"aa {text} bb".encode()), (rule.label, text)
+
+
+def generated_from(pattern, rng):
+    """A random text that the pattern matches."""
+    out = ""
+    for kind, value in pattern:
+        kind = str(kind)
+        if kind == "LITERAL":
+            out += chr(value)
+        elif kind == "NOT_LITERAL" or kind == "IN" and str(value[0][0]) == "NEGATE":
+            out += "x"
+        elif kind == "IN":
+            out += rng.choice(["7" if str(k) == "CATEGORY" and "DIGIT" in str(v) else "x" if str(k) == "CATEGORY" else chr(v) for k, v in value])
+        elif kind in ("MAX_REPEAT", "MIN_REPEAT"):
+            low, high, inner = value
+            out += "".join(generated_from(inner, rng) for _ in range(rng.randint(low, min(high, low + 2))))
+        elif kind == "SUBPATTERN":
+            out += generated_from(value[3], rng)
+        elif kind == "BRANCH":
+            out += generated_from(rng.choice(value[1]), rng)
+        else:
+            assert kind == "ASSERT_NOT", kind
+    return out
+
+
+def test_labels_and_scores_equal_ungated_brute_force(spark, docs):
+    rng = random.Random(8)
+    pieces = [generated_from(re._parser.parse(rng.choice(licences.rules()).pattern.pattern.decode()), rng) for _ in range(300)]
+    texts = [r.text for r in docs.limit(60).collect()] + [" ".join(rng.sample(pieces, 3) + ["plain words"]) for _ in range(150)]
+    got = {r.doc_id: r for r in licences.scan_licences(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for k, text in enumerate(texts):
+        words = licences.normalised(text)
+        place = lambda at, w=words: w[:at].count(b" ")
+        found = [(place(m.start()), place(m.end()) + 1, r) for r in licences.rules() for m in r.pattern.finditer(words)]
+        inside = lambda a, b: b[0] <= a[0] and a[1] <= b[1]
+        kept = [x for x in found if not any(inside(x, y) and (y[2].priority > x[2].priority or y[2].priority == x[2].priority and (y[:2] != x[:2] or (y[2].label, found.index(y)) < (x[2].label, found.index(x)))) for y in found if y is not x)]
+        base = {x[2].label for x in found if x[2].base}
+        assert got[k].labels == ",".join(sorted(base | {x[2].label for x in kept})), text
+        assert got[k].score == max([x[2].confidence for x in kept] + [0.5] * bool(base), default=0.0)
+
+
+@pytest.mark.parametrize(
+    ("text", "label"),
+    [
+        ("GNU Library General Public License, version 2", "lgpl-2.0"), ("https://opensource.org/license/mit", "mit"), ("GPLv3", "gpl-3.0"), ("GPL-2.0+", "gpl-2.0"), ("License: MIT", "mit"), ("Apache 2.0 licence", "apache-2.0"),
+        ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "mit"),
+        ("Redistribution and use in source and binary forms, with or without\n modification, are permitted", "bsd"),
+    ],
+)
+def test_common_forms_of_licences(text, label):
+    assert label in {x.rule.label for x in licences.detections(licences.normalised(text))[1]}
+
+
 def test_licence_edges(spark, edges):
     got = licences.scan_licences(edges)
     assert got.count() == len(EDGES) and licences.scan_licences(empty(edges)).count() == 0
