@@ -1,17 +1,20 @@
-"""Full-text search over a postings table, and the scan that it replaces.
+"""Full-text search over stored postings, and the scan that they replace.
 
-Postings have a row for each token: (term, doc_id, field, pos). A query is a
-small tree of Term, Phrase, And, Or and Not; every node becomes a DataFrame of
-doc_ids, so Catalyst plans the joins. Phrases never cross fields.
+``postings`` has a row for each token: (term, doc_id, field, pos). ``stored`` writes
+them once for each version of a table, a row for each term, field and document with
+its places and the field's length, in ranges of terms: a query reads the row groups
+of its terms. A query is a small tree of Term, Phrase, And, Or and Not; all of its
+leaves are answered in one aggregation by document. Phrases never cross fields.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.text import STOP_WORDS
+from ..sources.stored import kept
 
 
 @dataclass(frozen=True)
@@ -39,6 +42,20 @@ class Not:
     part: object
 
 
+@dataclass(frozen=True)
+class Index:
+    """postings (see ``grouped``), terms (with docs and places) and sizes (avgdl and
+    docs of each field)."""
+
+    postings: DataFrame
+    terms: DataFrame
+    sizes: DataFrame
+
+
+#: Bytes of a row group of stored postings, so that a term reads little else.
+ROW_GROUP = 1 << 20
+
+
 def analyse(c: Column) -> Column:
     """Lower-case runs of letters and digits without stop words; places are kept."""
     tokens = F.regexp_extract_all(F.lower(c), F.lit(r"([\p{L}\p{N}]+)"), 1)
@@ -47,8 +64,7 @@ def analyse(c: Column) -> Column:
 
 
 def postings(docs: DataFrame, fields: tuple[str, ...], key: str = "doc_id") -> DataFrame:
-    """The postings of the fields. Write them partitioned or bucketed by term
-    for repeated use: ``.write.bucketBy(n, "term").sortBy("term")``."""
+    """The postings of the fields, from their texts."""
     out = None
     for f in fields:
         part = docs.select(F.col(key).alias("doc_id"), analyse(F.col(f)).alias("x")).select("doc_id", F.explode("x").alias("x")).select("x.term", "doc_id", F.lit(f).alias("field"), "x.pos")
@@ -56,41 +72,85 @@ def postings(docs: DataFrame, fields: tuple[str, ...], key: str = "doc_id") -> D
     return out
 
 
-def _words(q) -> set[str]:
-    if isinstance(q, Term):
-        return {q.word}
-    if isinstance(q, Phrase):
-        return set(q.words)
-    return _words(q.part) if isinstance(q, Not) else set().union(*(_words(p) for p in q.parts))
+def grouped(places: DataFrame) -> DataFrame:
+    """A row for each term, field and document: pos (its places, rising) and dl
+    (the places of all terms in the document's field)."""
+    rows = places.groupBy("term", "field", "doc_id").agg(F.sort_array(F.collect_list("pos")).alias("pos"))
+    lengths = rows.groupBy("field", "doc_id").agg(F.sum(F.size("pos")).alias("dl"))
+    return rows.join(lengths, ["field", "doc_id"]).select("term", "field", "doc_id", "pos", "dl")
+
+
+def stored(docs: DataFrame, path: str, fields: tuple[str, ...], name: str) -> Index:
+    """The index of docs' fields, made once for each version of the table at
+    ``path`` that docs comes from; ``name`` tells apart indexes of one table."""
+    spark = docs.sparkSession
+
+    def make(folder: str) -> None:
+        rows = grouped(postings(docs, fields))
+        ranges = rows.repartitionByRange("term").sortWithinPartitions("term", "field", "doc_id")
+        ranges.write.option("parquet.block.size", ROW_GROUP).parquet(f"{folder}/postings")
+        made = spark.read.parquet(f"{folder}/postings")
+        made.groupBy("term").agg(F.count_distinct("doc_id").alias("docs"), F.sum(F.size("pos")).alias("places")).write.parquet(f"{folder}/terms")
+        lengths = made.select("field", "doc_id", "dl").distinct()
+        lengths.groupBy("field").agg(F.avg("dl").alias("avgdl"), F.count("*").alias("docs")).coalesce(1).write.parquet(f"{folder}/sizes")
+
+    folder = kept(spark, path, name, make)
+    return Index(*(spark.read.parquet(f"{folder}/{x}") for x in ("postings", "terms", "sizes")))
+
+
+def in_memory(places: DataFrame) -> Index:
+    """An index of postings that aren't stored (small tables and tests)."""
+    rows = grouped(places)
+    lengths = rows.select("field", "doc_id", "dl").distinct()
+    return Index(rows, rows.groupBy("term").agg(F.count_distinct("doc_id").alias("docs"), F.sum(F.size("pos")).alias("places")), lengths.groupBy("field").agg(F.avg("dl").alias("avgdl"), F.count("*").alias("docs")))
+
+
+def _leaves(q) -> list:
+    if isinstance(q, (Term, Phrase)):
+        return [q]
+    parts = [q.part] if isinstance(q, Not) else q.parts
+    return list(dict.fromkeys(x for p in parts for x in _leaves(p)))
+
+
+def _phrase(hits: DataFrame, words: tuple[str, ...]) -> DataFrame:
+    """doc_id of documents with the words at places in a row, by one aggregation
+    over the places where the phrase would begin."""
+    terms = [F.when(F.col("term") == w, F.lit(k)) for k, w in enumerate(words)]
+    at = F.explode(F.array_compact(F.array(*terms))).alias("k")  # a word may stand twice in a phrase
+    begun = hits.where(F.col("term").isin(*words)).select("doc_id", "field", "pos", at)
+    begun = begun.select("doc_id", "field", "k", F.explode("pos").alias("pos")).groupBy("doc_id", "field", (F.col("pos") - F.col("k")).alias("begin"))
+    return begun.agg(F.count("*").alias("n")).where(F.col("n") == len(words)).select("doc_id")
 
 
-def search(index: DataFrame, query) -> DataFrame:
+def search(index: Index, query) -> DataFrame:
     """doc_id of the matching documents; a Not stands inside an And only."""
-    hits = index.where(F.col("term").isin(*sorted(_words(query))))
-
-    def run(q) -> DataFrame:
-        if isinstance(q, Term):
-            return hits.where(F.col("term") == q.word).select("doc_id").distinct()
-        if isinstance(q, Phrase):
-            rows = hits.where(F.col("term") == q.words[0]).select("doc_id", "field", "pos")
-            for k, w in enumerate(q.words[1:], 1):
-                rows = rows.join(hits.where(F.col("term") == w).select("doc_id", "field", (F.col("pos") - k).alias("pos")), ["doc_id", "field", "pos"], "left_semi")
-            return rows.select("doc_id").distinct()
-        if isinstance(q, Or):
-            out = run(q.parts[0])
+    leaves = _leaves(query)
+    words = sorted({w for x in leaves for w in (x.words if isinstance(x, Phrase) else (x.word,))})
+    hits = index.postings.where(F.col("term").isin(*words))
+    terms = [x for x in leaves if isinstance(x, Term)]
+    rows = None
+    if terms:
+        leaf = F.create_map(*(y for x in terms for y in (F.lit(x.word), F.lit(leaves.index(x)))))
+        rows = hits.where(F.col("term").isin(*(x.word for x in terms))).select("doc_id", leaf[F.col("term")].alias("leaf"))
+    for x in leaves:
+        if isinstance(x, Phrase):
+            part = _phrase(hits, x.words).select("doc_id", F.lit(leaves.index(x)).alias("leaf"))
+            rows = part if rows is None else rows.unionAll(part)
+    if len(leaves) == 1:
+        return rows.select("doc_id").distinct()
+    flags = rows.groupBy("doc_id").agg(*(F.bool_or(F.col("leaf") == k).alias(f"leaf{k}") for k in range(len(leaves))))
+
+    def holds(q) -> Column:
+        if isinstance(q, Not):
+            return ~holds(q.part)
+        if isinstance(q, (And, Or)):
+            out = holds(q.parts[0])
             for p in q.parts[1:]:
-                out = out.union(run(p))
-            return out.distinct()
-        wanted = [p for p in q.parts if not isinstance(p, Not)]
-        out = run(wanted[0])
-        for p in q.parts:
-            if isinstance(p, Not):
-                out = out.join(run(p.part), "doc_id", "left_anti")
-            elif p is not wanted[0]:
-                out = out.join(run(p), "doc_id", "left_semi")
-        return out
+                out = (out & holds(p)) if isinstance(q, And) else (out | holds(p))
+            return out
+        return F.col(f"leaf{leaves.index(q)}")
 
-    return run(query)
+    return flags.where(holds(query)).select("doc_id")
 
 
 def like(text: Column, query) -> Column:
@@ -108,14 +168,12 @@ def like(text: Column, query) -> Column:
     return out
 
 
-def bm25(index: DataFrame, terms: list[str], weights: dict[str, float], k1: float = 1.2, b: float = 0.75) -> DataFrame:
+def bm25(index: Index, terms: list[str], weights: dict[str, float], k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """doc_id and score: for each term the best weighted field, summed over terms.
     Lengths and document counts are per field."""
-    lengths = index.groupBy("field", "doc_id").agg(F.count("*").alias("dl"))
-    sizes = lengths.groupBy("field").agg(F.avg("dl").alias("avgdl"), F.count("*").alias("docs"))
-    tf = index.where(F.col("term").isin(*terms)).groupBy("term", "field", "doc_id").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term", "field").agg(F.count("*").alias("df"))
-    x = tf.join(F.broadcast(df), ["term", "field"]).join(F.broadcast(sizes), "field").join(lengths, ["field", "doc_id"])
+    tf = index.postings.where(F.col("term").isin(*terms)).select("term", "field", "doc_id", F.size("pos").alias("tf"), "dl")
+    df = tf.groupBy("term", "field").agg(F.count("*").alias("df"))  # a row for each term asked and field
+    x = tf.join(F.broadcast(df), ["term", "field"]).join(F.broadcast(index.sizes), "field")
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     s = idf * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     boost = F.create_map(*(F.lit(v) for kv in weights.items() for v in kv))[F.col("field")]
@@ -123,10 +181,26 @@ def bm25(index: DataFrame, terms: list[str], weights: dict[str, float], k1: floa
     return per_term.groupBy("doc_id").agg(F.sum("s").alias("score"))
 
 
-def cover_density(index: DataFrame, term: str, weights: dict[str, float]) -> DataFrame:
-    """doc_id and score of one term: the sum of its places' field weights."""
+def cover_density(index: Index, words: tuple[str, ...], weights: dict[str, float]) -> DataFrame:
+    """doc_id and score of documents that hold all the words, by cover density: a
+    cover is a stretch of places of a field's words that holds all of them and no
+    smaller stretch that does. It counts the harmonic mean of its words' weights,
+    divided by one more than the other places in it. Documents are ranked by the sum
+    of their covers; a single word's covers are its places."""
     w = F.create_map(*(F.lit(v) for kv in weights.items() for v in kv))[F.col("field")]
-    return index.where(F.col("term") == term).groupBy("doc_id").agg(F.sum(w).alias("score"))
+    hits = index.postings.where(F.col("term").isin(*words))
+    if len(words) == 1:
+        return hits.groupBy("doc_id").agg(F.sum(w * F.size("pos")).alias("score"))
+    word = F.create_map(*(y for k, x in enumerate(words) for y in (F.lit(x), F.lit(k))))[F.col("term")]
+    places = hits.select("doc_id", "field", word.alias("k"), F.explode("pos").alias("pos"))
+    # a cover ends at a place: it begins at the least of the last places of all words up to there
+    upto = W.partitionBy("doc_id", "field").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
+    last = [F.max(F.when(F.col("k") == k, F.col("pos"))).over(upto) for k in range(len(words))]
+    ended = places.select("doc_id", "field", "pos", F.when(F.array_contains(F.array(*(x.isNotNull() for x in last)), False), None).otherwise(F.least(*last)).alias("begin"))
+    # of ends with the same beginning the first is the smallest cover
+    covers = ended.where("begin is not null").groupBy("doc_id", "field", "begin").agg(F.min("pos").alias("end"))
+    other = F.col("end") - F.col("begin") + 1 - len(words)
+    return covers.groupBy("doc_id").agg(F.sum(w / (1 + F.greatest(other, F.lit(0)))).alias("score"))
 
 
 def top(scored: DataFrame, k: int = 10, key: str = "doc_id") -> DataFrame:
@@ -157,17 +231,17 @@ def range_facet(docs: DataFrame, column: str, start: int, end: int, gap: int) ->
     return buckets.join(counts, "bucket", "left").select("bucket", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def fuzzy_terms(index: DataFrame, word: str, edits: int = 2) -> DataFrame:
-    """Distinct terms within so many edits, by the threshold form of the distance."""
+def fuzzy_terms(terms: DataFrame, word: str, edits: int = 2) -> DataFrame:
+    """Those of the terms (each once) within so many edits, by the threshold form of
+    the distance."""
     d = F.levenshtein(F.col("term"), F.lit(word), edits)
-    return index.select("term").distinct().where(F.abs(F.length("term") - len(word)) <= edits).withColumn("distance", d).where("distance >= 0")
+    return terms.where(F.abs(F.length("term") - len(word)) <= edits).withColumn("distance", d).where("distance >= 0")
 
 
-def fuzzy_search(index: DataFrame, word: str, edits: int = 2) -> DataFrame:
+def fuzzy_search(index: Index, word: str, edits: int = 2) -> DataFrame:
     """doc_id of documents with a term within so many edits, however many such
-    terms there are: each posting is compared where it is read."""
-    near = F.abs(F.length("term") - len(word)) <= edits
-    return index.where(near & (F.levenshtein(F.col("term"), F.lit(word), edits) >= 0)).select("doc_id").distinct()
+    terms there are."""
+    return index.postings.join(fuzzy_terms(index.terms, word, edits).select("term"), "term", "left_semi").select("doc_id").distinct()
 
 
 def trigrams(c: Column) -> Column:
@@ -177,9 +251,9 @@ def trigrams(c: Column) -> Column:
 
 
 def word_similarity(terms: DataFrame, word: str, threshold: float = 0.6) -> DataFrame:
-    """Distinct terms whose trigrams cover enough of the word's."""
+    """Those of the terms (each once) whose trigrams cover enough of the word's."""
     mine = trigrams(F.lit(word))
-    scored = terms.select("term").distinct().withColumn("similarity", F.size(F.array_intersect(trigrams(F.col("term")), mine)) / F.size(mine))
+    scored = terms.select("term").withColumn("similarity", F.size(F.array_intersect(trigrams(F.col("term")), mine)) / F.size(mine))
     return scored.where(F.col("similarity") >= threshold)
 
 

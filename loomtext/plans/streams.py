@@ -2,22 +2,22 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..sources.stored import new_path
 from ..streaming import limits as L
 from ._register import query, table
 
 _T = "epoch_us(ts)"
 
 
-def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Runs a stream over what is there and returns what it has put out."""
-    name = f"q{uuid.uuid4().hex}"
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+def drained(stream: DataFrame) -> DataFrame:
+    """Runs a stream over what is there and returns what it has put out: files in
+    the shared folder, beside the stream's checkpoint."""
+    path = new_path(stream.sparkSession)
+    q = stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/out")
 
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,7 @@
 import json
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -38,7 +40,7 @@ def test_perplexity_is_infinite_without_smoothing(spark):
 
 def test_phrases_do_not_cross_fields(spark):
     docs = spark.createDataFrame([(1, "neural", "network models"), (2, "x", "a neural network")], "doc_id int, title string, body string")
-    found = S.search(S.postings(docs, ("title", "body")), S.Phrase(("neural", "network")))
+    found = S.search(S.in_memory(S.postings(docs, ("title", "body"))), S.Phrase(("neural", "network")))
     assert [r["doc_id"] for r in found.collect()] == [2]
 
 
@@ -87,5 +89,43 @@ def test_embedding_subset_checks_the_width(spark, tmp_path):
 def test_fuzzy_search_uses_every_term(spark):
     index = spark.range(110_000).select(F.lpad(F.lower(F.hex("id")), 5, "0").alias("term"), F.col("id").alias("doc_id"))
     index = index.unionAll(spark.createDataFrame([("zzzzzzzzzzz", 110_000), (None, 110_001), ("zz", 110_002)], "term string, doc_id long"))
+    index = S.in_memory(index.withColumns({"field": F.lit("t"), "pos": F.lit(0)}))
     got = S.fuzzy_search(index, "zzzzz", 5)
     assert got.agg(F.count("*"), F.sum("doc_id")).first()[:] == (110_001, sum(range(110_000)) + 110_002)
+
+
+def test_search_equals_a_scan_of_words(spark):
+    rng = random.Random(4)
+    rows = [(k, " ".join(rng.choices("abcdefg", k=rng.randint(0, 12)))) for k in range(300)]
+    index = S.in_memory(S.postings(spark.createDataFrame(rows, "doc_id int, t string"), ("t",)))
+    has = lambda t, *w: any(t.split()[i : i + len(w)] == list(w) for i in range(len(t.split())))
+    for query, wanted in [
+        (S.Phrase(("b", "c", "b")), lambda t: has(t, "b", "c", "b")), (S.Phrase(("d", "d")), lambda t: has(t, "d", "d")), (S.Or((S.Term("b"), S.Phrase(("c", "d")))), lambda t: has(t, "b") or has(t, "c", "d")),
+        (S.And((S.Or((S.Term("b"), S.Term("c"))), S.Phrase(("d", "e")), S.Not(S.Term("f")))), lambda t: (has(t, "b") or has(t, "c")) and has(t, "d", "e") and not has(t, "f")),
+    ]:
+        assert sorted(r.doc_id for r in S.search(index, query).collect()) == [k for k, t in rows if wanted(t)]
+
+
+def test_cover_density_of_several_words(spark):
+    rng = random.Random(6)
+    rows = [(k, " ".join(rng.choices("bcdefgh", k=rng.randint(0, 14)))) for k in range(200)]
+    index = S.in_memory(S.postings(spark.createDataFrame(rows, "doc_id int, t string"), ("t",)))
+    got = {r.doc_id: r.score for r in S.cover_density(index, ("b", "c", "d"), {"t": 0.4}).collect()}
+    expected = {}
+    for k, text in rows:
+        w = text.split()
+        covers = [(i, j) for i in range(len(w)) for j in range(i, len(w)) if {"b", "c", "d"} <= set(w[i : j + 1]) and not {"b", "c", "d"} <= set(w[i + 1 : j + 1]) and not {"b", "c", "d"} <= set(w[i:j])]
+        if covers:
+            expected[k] = sum(0.4 / (1 + max(0, j - i + 1 - 3)) for i, j in covers)
+    assert got == pytest.approx(expected)
+
+
+def test_an_index_is_made_once_for_each_version_of_a_table(spark, tmp_path):
+    path = str(tmp_path / "docs.parquet")
+    make = lambda texts: spark.createDataFrame(list(enumerate(texts)), "doc_id int, t string").write.mode("overwrite").parquet(path)
+    find = lambda: sorted(r.doc_id for r in S.search(S.stored(spark.read.parquet(path), path, ("t",), "t"), S.Term("x")).collect())
+    make(["x y", "y", "x"])
+    before = len(spark.sparkContext.__dict__.get("_loomtext_kept", {}))
+    assert find() == find() == [0, 2] and len(spark.sparkContext._loomtext_kept) == before + 1
+    make(["y", "x"])
+    assert find() == [1] and len(spark.sparkContext._loomtext_kept) == before + 2
