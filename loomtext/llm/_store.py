@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources import stored
 
 #: Rows of an Arrow batch.
 BATCH_ROWS = 1_000
@@ -20,28 +18,8 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session. Where it is unset (tests on one
-    machine), a local folder is made and set as the checkpoint folder."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if folder:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(folder)
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    local = getattr(spark.sparkContext, "_loomtext_folder", None)
-    if local is None:
-        local = spark.sparkContext._loomtext_folder = tempfile.mkdtemp(prefix="loomtext-")
-        spark.sparkContext.setCheckpointDir(local)
-    return local
-
-
 def written(df: DataFrame, compression: str = "zstd") -> DataFrame:
     """The table written as Parquet to the shared folder and read again: later
     jobs start from the files, whichever executors are lost."""
-    spark = df.sparkSession
-    bounded_batches(spark)
-    path = f"{shared_folder(spark)}/loomtext-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    bounded_batches(df.sparkSession)
+    return stored.written(df, compression)
