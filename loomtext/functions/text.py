@@ -46,6 +46,16 @@ def ngrams(tokens: Column, n: int) -> Column:
     return F.when(F.size(tokens) >= n, F.transform(F.sequence(F.lit(1), F.size(tokens) - (n - 1)), lambda i: F.slice(tokens, i, n))).otherwise(F.array().cast("array<array<string>>"))
 
 
+def joined_ngrams(tokens: Column, n: int) -> Column:
+    """All runs of n tokens, each joined by blanks. Give it a column, not an
+    expression."""
+    if n == 1:
+        return tokens
+    count = F.size(tokens) - (n - 1)
+    run = lambda i: F.concat_ws(" ", *(F.get(tokens, i + k) for k in range(n)))
+    return F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), run)).otherwise(F.array().cast("array<string>"))
+
+
 def char_ngrams(chars: Column, n: int) -> Column:
     """All runs of n characters, from the array of a text's characters."""
     return F.transform(ngrams(chars, n), lambda g: F.array_join(g, ""))

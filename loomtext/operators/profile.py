@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from .ranking import running
 
 
 def long_form(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -18,14 +20,34 @@ def null_report(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return sums.select("n", F.explode(rows).alias("x")).select("x.column", "x.missing", F.round(F.col("x.missing") * 100 / F.col("n"), 2).alias("percent"))
 
 
+def quantiles(df: DataFrame, column: str, shares: dict[str, float], *by: str) -> DataFrame:
+    """Of each group the interpolated quantiles of the known values, by counts of
+    equal values: no group's values meet in one buffer."""
+    counts = df.where(F.col(column).isNotNull()).groupBy(*by, F.col(column).cast("double").alias("_v")).agg(F.count("*").alias("_c"))
+    placed = running(counts, "_v", "_c", *by)
+
+    def at(place: Column) -> Column:
+        here = (F.col("before") <= place) & (place < F.col("before") + F.col("_c"))
+        return F.max(F.when(here, F.col("_v")))
+
+    out = placed.groupBy(*by)
+    parts = []
+    for name, share in shares.items():
+        place = (F.col("total") - 1) * share
+        parts += [at(F.floor(place)).alias(f"_l_{name}"), at(F.ceil(place)).alias(f"_h_{name}"), F.max(place - F.floor(place)).alias(f"_f_{name}")]
+    values = {n: (1 - F.col(f"_f_{n}")) * F.col(f"_l_{n}") + F.col(f"_f_{n}") * F.col(f"_h_{n}") for n in shares}
+    return out.agg(*parts).select(*by, *(v.alias(n) for n, v in values.items()))
+
+
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
     """n, missing, mean, median, mode (the least on a tie), min, max, quartiles,
     IQR, sample deviation, and fences of 1.5 IQR with the rows outside them."""
     rows = long_form(df, columns)
     stats = rows.groupBy("column").agg(
-        F.count("value").alias("n"), F.count_if(F.col("value").isNull()).alias("missing"), F.avg("value").alias("mean"), F.percentile("value", 0.5).alias("median"),
-        F.min("value").alias("min"), F.max("value").alias("max"), F.percentile("value", 0.25).alias("q1"), F.percentile("value", 0.75).alias("q3"), F.stddev_samp("value").alias("std"),
+        F.count("value").alias("n"), F.count_if(F.col("value").isNull()).alias("missing"), F.avg("value").alias("mean"),
+        F.min("value").alias("min"), F.max("value").alias("max"), F.stddev_samp("value").alias("std"),
     )
+    stats = stats.join(quantiles(rows, "value", {"q1": 0.25, "median": 0.5, "q3": 0.75}, "column"), "column", "left")
     modes = rows.where("value is not null").groupBy("column", "value").count().groupBy("column").agg(F.min_by("value", F.struct(-F.col("count"), F.col("value"))).alias("mode"))
     fences = stats.withColumn("iqr", F.col("q3") - F.col("q1")).withColumn("low", F.col("q1") - 1.5 * F.col("iqr")).withColumn("high", F.col("q3") + 1.5 * F.col("iqr"))
     outside = rows.join(F.broadcast(fences.select("column", "low", "high")), "column").groupBy("column").agg(F.count_if((F.col("value") < F.col("low")) | (F.col("value") > F.col("high"))).alias("outliers"))
@@ -47,8 +69,7 @@ def pearson(df: DataFrame, columns: list[str]) -> DataFrame:
 def average_rank(df: DataFrame, column: str) -> DataFrame:
     """value and its average rank: from the values' counts, so ties cost one row."""
     counts = df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("ties"))
-    before = F.coalesce(F.sum("ties").over(W.partitionBy(F.lit(0)).orderBy("value").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return counts.select("value", (before + (F.col("ties") + 1) / 2).alias("rank"))
+    return running(counts, "value", "ties").select("value", (F.col("before") + (F.col("ties") + 1) / 2).alias("rank"))
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -75,13 +96,13 @@ def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
 
 def box_stats(df: DataFrame, group: str, column: str) -> DataFrame:
     """Five numbers of each group."""
-    q = F.percentile(column, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return df.groupBy(group).agg(F.min(column).alias("min"), q.alias("q"), F.max(column).alias("max")).select(group, "min", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "max")
+    ends = df.groupBy(group).agg(F.min(column).alias("min"), F.max(column).alias("max"))
+    inner = quantiles(df, column, {"q1": 0.25, "median": 0.5, "q3": 0.75}, group).withColumnRenamed(group, "_group")
+    return ends.join(inner, F.col(group).eqNullSafe(F.col("_group")), "left").select(group, "min", "q1", "median", "q3", "max")
 
 
 def upper_median(df: DataFrame, column: str) -> DataFrame:
     """The value at place n div 2 (from 0) of the sorted column, by counts."""
     counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("c"))
-    total = F.sum("c").over(W.partitionBy(F.lit(0)))
-    upto = F.sum("c").over(W.partitionBy(F.lit(0)).orderBy("value").rowsBetween(W.unboundedPreceding, 0))
-    return counts.select("value", upto.alias("upto"), total.alias("total")).where("upto > floor(total / 2)").agg(F.min("value").alias("upper_median"))
+    placed = running(counts, "value", "c").where("before + c > floor(total / 2)")
+    return placed.agg(F.min("value").alias("upper_median"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..sources.stored import written
+
 
 def ranked(df: DataFrame, buckets: list[Column], order: list[Column], name: str = "rank") -> DataFrame:
     """A global row number (from 1) in the order (buckets, order): the buckets
@@ -23,10 +25,29 @@ def ranked(df: DataFrame, buckets: list[Column], order: list[Column], name: str
     return rows.withColumn("_inside", inside).join(sizes, condition).withColumn(name, (F.col("_before") + F.col("_inside")).cast("long")).select(*df.columns, name)
 
 
-def keep_first(df: DataFrame, key: str | list[str], order: list[Column]) -> DataFrame:
-    """One row of each key, the first in an explicit order."""
+def keep_first(df: DataFrame, key: str | list[str], order: list[str]) -> DataFrame:
+    """One row of each key, the first in an explicit order. Partial minima come
+    first, so a key that holds a third of the rows is no task of its own."""
     keys = [key] if isinstance(key, str) else key
-    return df.withColumn("_rn", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("_rn = 1").drop("_rn")
+    first = F.min_by(F.struct(*df.columns), F.struct(*order)).alias("_first")
+    return df.groupBy(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys))).agg(first).select("_first.*")
+
+
+def running(counts: DataFrame, value: str, count: str, *by: str) -> DataFrame:
+    """Adds before (the sum of ``count`` of smaller values) and total, within each
+    group. The rows are written in ranges of the values: a range sums its own rows,
+    and only the ranges' sums are run through, so no group is one sort."""
+    ranges = written(counts.repartitionByRange(*by, value).withColumn("_range", F.spark_partition_id()))
+    sums = ranges.groupBy(*by, "_range").agg(F.sum(count).alias("_sum"))
+    group = [F.lit(0), *by]
+    earlier = F.sum("_sum").over(W.partitionBy(*group).orderBy("_range").rowsBetween(W.unboundedPreceding, -1))
+    sums = sums.select(*(F.col(b).alias(f"_g{i}") for i, b in enumerate(by)), F.col("_range").alias("_r"), F.coalesce(earlier, F.lit(0)).alias("_earlier"), F.sum("_sum").over(W.partitionBy(*group)).alias("total"))
+    inside = F.sum(count).over(W.partitionBy(*by, "_range").orderBy(value).rowsBetween(W.unboundedPreceding, -1))
+    same = F.col("_range") == F.col("_r")
+    for i, b in enumerate(by):
+        same &= F.col(b).eqNullSafe(F.col(f"_g{i}"))
+    rows = ranges.withColumn("_inside", F.coalesce(inside, F.lit(0))).join(sums, same)
+    return rows.select(*counts.columns, (F.col("_earlier") + F.col("_inside")).alias("before"), "total")
 
 
 def top_per_group(df: DataFrame, group: str | list[str], order: list[Column], k: int) -> DataFrame:

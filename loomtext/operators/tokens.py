@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections import Counter
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import text as X
+from ..sources.stored import written
 from .ranking import ranked
 
 
@@ -24,7 +23,7 @@ def token_rows(df: DataFrame, tokens: Column, *keep: str) -> DataFrame:
 
 def gram_counts(df: DataFrame, tokens: Column, n: int) -> DataFrame:
     """gram (joined by spaces) and c over all rows; counted map-side first."""
-    return each(df.select(tokens.alias("_t")), X.ngrams(F.col("_t"), n), "g").groupBy(F.array_join("g", " ").alias("gram")).agg(F.count("*").alias("c"))
+    return each(df.select(tokens.alias("_t")), X.joined_ngrams(F.col("_t"), n), "gram").groupBy("gram").agg(F.count("*").alias("c"))
 
 
 def content_grams(df: DataFrame, tokens: Column, n: int, stop: tuple[str, ...] = X.STOP_WORDS, drop_if: str = "any") -> DataFrame:
@@ -73,26 +72,47 @@ def under_stemmed(stems: DataFrame, stem: str, lemma: str) -> DataFrame:
     return stems.groupBy(lemma).agg(F.countDistinct(stem).alias("n"), F.array_join(F.sort_array(F.collect_set(stem)), ",").alias("stems")).where("n > 1")
 
 
-def train_bpe(words: DataFrame, merges: int, most_words: int = 200_000) -> list[tuple[str, str]]:
-    """Byte-pair merges of a vocabulary (word, c). Counting the words is Spark's
-    work; the ``most_words`` most frequent distinct ones fit on the driver, where
-    the merges are found one by one. Ties: the pair that is met first."""
-    rows = words.orderBy(F.desc("c"), "word").limit(most_words).collect()
-    corpus = {tuple(r["word"]): r["c"] for r in rows}
+#: Pairs that one count brings back.
+_LEADING = 64
+
+
+def _merged(symbols: Column, pair: tuple[str, str]) -> Column:
+    """The symbols with every occurrence of the pair, from the left, as one."""
+    a, b = (F.lit(x) for x in pair)
+
+    def step(done, x):
+        joins = (F.size(done) > 0) & (F.get(done, F.size(done) - 1) == a) & (x == b)
+        return F.when(joins, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.concat(a, b)))).otherwise(F.concat(done, F.array(x)))
+
+    return F.aggregate(symbols, F.array().cast("array<string>"), step)
+
+
+def train_bpe(words: DataFrame, merges: int) -> list[tuple[str, str]]:
+    """Byte-pair merges of a vocabulary (word, c); ties: the first pair in the pairs'
+    own order. Neighbouring symbols are counted over all words by Spark, and only the
+    leading pairs come back. Of these, as many are merged at once as are sure to
+    follow one another: a merge changes only counts of pairs with its symbols, and
+    can't lift one above what such a pair had before."""
+    now = written(words.select(F.filter(F.split("word", ""), lambda x: x != "").alias("s"), "c"))
     out: list[tuple[str, str]] = []
-    for _ in range(merges):
-        pairs: Counter[tuple[str, str]] = Counter()
-        for w, n in corpus.items():
-            for pair in zip(w, w[1:]):
-                pairs[pair] += n
-        if not pairs:
+    while len(out) < merges:
+        pairs = now.select("c", F.explode(F.arrays_zip(F.slice("s", 1, F.size("s") - 1).alias("a"), F.slice("s", 2, F.size("s") - 1).alias("b"))).alias("p"))
+        rows = pairs.groupBy("p").agg(F.sum("c").alias("n")).orderBy(F.desc("n"), "p").limit(_LEADING).collect()
+        if not rows:
             break
-        best = max(pairs, key=pairs.get)  # the first met of the most frequent
-        out.append(best)
-        merged: Counter[tuple[str, ...]] = Counter()
-        for w, n in corpus.items():
-            merged[merge_pair(w, best)] += n
-        corpus = dict(merged)
+        used: set[str] = set()
+        batch: list[tuple[str, str]] = []
+        for k, r in enumerate(rows[: merges - len(out)]):
+            pair = (r["p"][0], r["p"][1])
+            touched = next((x["n"] for x in rows[k:] if used & {*x["p"]}), 0 if len(rows) < _LEADING else rows[-1]["n"])
+            if batch and (used & {*pair} or touched >= r["n"]):
+                break
+            batch.append(pair)
+            used |= {*pair, "".join(pair)}
+        out += batch
+        for pair in batch:
+            now = now.withColumn("s", _merged(F.col("s"), pair))
+        now = written(now.where(F.size("s") > 1))
     return out
 
 
@@ -132,9 +152,30 @@ def variant_stats(variants: DataFrame, base: str) -> DataFrame:
 
 
 def first_sentence_with(sentences: DataFrame, phrases: DataFrame) -> DataFrame:
-    """For each phrase (a small table) the first sentence that contains it."""
-    hit = sentences.join(F.broadcast(phrases), F.contains(F.col("sentence"), F.col("phrase")))
-    return hit.groupBy("phrase").agg(F.min_by("sentence", F.struct("doc_id", "pos")).alias("sentence"))
+    """For each phrase the first sentence (doc_id, pos) that contains it.
+
+    A phrase's words between its first and last blank stand whole in every sentence
+    that holds it, so phrase and sentence meet at the longest of them. A phrase of one
+    or two words meets the sentences that have a word with the longer one inside, by
+    the pieces of that length (only the lengths that occur). The empty phrase is in
+    the first sentence."""
+    parts = F.split("phrase", " ")
+    inner = F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0)))
+    longest = lambda ws: F.array_max(F.transform(F.filter(ws, lambda w: w != ""), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    keyed = phrases.where("phrase is not null").select("phrase", longest(inner).alias("whole"), longest(parts).alias("piece"))
+    words = sentences.select("doc_id", "pos", "sentence", F.explode(F.array_distinct(F.split("sentence", " "))).alias("w"))
+    hits = words.join(keyed.where("whole is not null").select("phrase", F.col("whole").alias("w")), "w")
+    short = keyed.where("whole is null and piece is not null").select("phrase", "piece")
+    for n in sorted(r[0] for r in short.select(F.length("piece")).distinct().collect()):
+        pieces = F.expr(f"CASE WHEN length(w) >= {n} THEN transform(sequence(1, length(w) - {n - 1}), i -> substring(w, i, {n})) END")
+        cut = words.select("doc_id", "pos", "sentence", F.explode(F.array_distinct(pieces)).alias("piece"))
+        hits = hits.unionByName(cut.join(short.where(F.length("piece") == n), "piece").withColumnRenamed("piece", "w"))
+    place = F.struct("doc_id", "pos")
+    found = hits.where(F.contains("sentence", "phrase")).groupBy("phrase").agg(F.min_by("sentence", place).alias("sentence"))
+    if keyed.where("piece is null").isEmpty():
+        return found
+    first = sentences.agg(F.min_by("sentence", place).alias("sentence"))
+    return found.unionByName(keyed.where("piece is null and phrase = ''").select("phrase").distinct().join(F.broadcast(first)))
 
 
 def song_lines(lines: DataFrame, own: str) -> DataFrame:

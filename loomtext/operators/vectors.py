@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..sources.stored import written
 from .tokens import each
 
 
@@ -27,6 +30,7 @@ def term_counts(docs: DataFrame, key: str, units: Column) -> DataFrame:
 def tf_idf(tf: DataFrame, key: str, min_df: int = 2, max_features: int = 50_000) -> DataFrame:
     """(key, term, weight): smooth idf ln((1 + N) / (1 + df)) + 1, rows of
     length one; the most frequent terms in the corpus are kept (ties by term)."""
+    tf = written(tf)  # read by four branches; counting it tokenises
     n = tf.agg(F.countDistinct(key).alias("docs"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).where(F.col("df") >= min_df).orderBy(F.desc("cf"), "term").limit(max_features)
     weights = tf.join(F.broadcast(df), "term").join(F.broadcast(n)).select(key, "term", (F.col("tf") * (F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1)).alias("x"))
@@ -52,16 +56,42 @@ def standardise(df: DataFrame, columns: list[str], fit_on: Column | None = None)
     return both.withColumns(scaled).select(*df.columns)
 
 
-def nearest(train: DataFrame, queries: DataFrame, k: int, query_block: int = 1000) -> DataFrame:
-    """(query, id, label, distance): the k nearest training rows of each query.
-    Queries are a stated, bounded set: they are broadcast in blocks."""
-    n = queries.count()
-    blocks = max(1, -(-n // query_block))
-    out = None
+#: Queries that meet a scan of the training rows at once.
+QUERY_BLOCK = 8192
+
+
+def nearest(train: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query, id, label, distance): the k nearest training rows (id, label, vec) of
+    each query (query, qvec), itself left out; ties to the smaller id.
+
+    Queries are a stated set: a block of them is sent to a scan of the training rows,
+    where each task keeps its own k best, so no pair beyond those leaves a task."""
+    spark, out = train.sparkSession, None
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    schema = f"query long, id long, label {train.schema['label'].dataType.simpleString()}, distance double"
     for b in range(blocks):
-        part = queries.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b)
-        d = F.sqrt(F.aggregate(F.zip_with("vec", "qvec", lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda s, x: s + x))
-        near = train.join(F.broadcast(part), F.col("id") != F.col("query")).select("query", "id", "label", d.alias("distance"))
+        part = queries.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b).select(F.col("query").cast("long").alias("query"), "qvec").toPandas()
+        sent = spark.sparkContext.broadcast((part["query"].to_numpy(), np.array(part["qvec"].tolist(), np.float64)))
+
+        def best(batches, sent=sent):
+            names, wanted = sent.value
+            held: dict[int, list] = {}
+            for batch in batches:
+                ids, labels = batch.column("id").to_numpy(), batch.column("label")
+                vecs = np.array(batch.column("vec").to_pylist(), np.float64)
+                for at in range(0, len(names) if len(ids) else 0, 32):
+                    d = np.sqrt(((wanted[at : at + 32, None, :] - vecs) ** 2).sum(axis=2))
+                    for q, row in zip(names[at : at + 32].tolist(), d, strict=True):
+                        row[ids == q] = np.inf
+                        near = np.lexsort((ids, row))[:k] if len(ids) <= 4 * k else np.flatnonzero(row <= np.partition(row, k)[k])
+                        mine = held.setdefault(q, []) + [(row[i], int(ids[i]), labels[i].as_py()) for i in near.tolist() if row[i] < np.inf]
+                        held[q] = sorted(mine, key=lambda x: x[:2])[:k]
+            rows = [(q, i, label, float(d)) for q, mine in held.items() for d, i, label in mine]
+            if rows:
+                kinds = [pa.int64(), pa.int64(), labels.type, pa.float64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["query", "id", "label", "distance"])
+
+        near = train.select(F.col("id").cast("long").alias("id"), "label", "vec").mapInArrow(best, schema)
         out = near if out is None else out.unionAll(near)
     over = W.partitionBy("query").orderBy("distance", "id")
     return out.withColumn("rank", F.row_number().over(over)).where(F.col("rank") <= k)

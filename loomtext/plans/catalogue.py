@@ -229,11 +229,12 @@ def catalogue_stats(spark, sf_dir):
     return part.agg(F.count("*").alias("total"), F.countDistinct("p_name").alias("unique_names"), F.lit(len(part.columns)).alias("attributes"), F.array_join(F.array_sort(F.collect_set("p_type")), ",").alias("types"))
 
 
-@query("SELECT md5(text) AS t, count(*) AS n, array_to_string(list_sort(list(doc_id)), ',') AS ids FROM documents GROUP BY text HAVING count(*) > 1")
+@query("SELECT md5(text) AS t, n, doc_id FROM (SELECT text, doc_id, count(*) OVER (PARTITION BY text) AS n FROM documents) WHERE n > 1 AND text IS NOT NULL")
 def duplicate_rows(spark, sf_dir):
-    """Texts that occur more than once and where."""
-    d = table(spark, sf_dir, "documents").groupBy(F.md5("text").alias("t")).agg(F.count("*").alias("n"), F.array_sort(F.collect_list("doc_id")).alias("ids")).where("n > 1")
-    return d.select("t", "n", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
+    """Texts that occur more than once, how often, and each place."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("t"))
+    often = rows.groupBy("t").agg(F.count("*").alias("n")).where("n > 1")
+    return rows.join(often, "t").select("t", "n", "doc_id")
 
 
 @query("""WITH u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) rn FROM documents) WHERE rn = 1)
@@ -242,7 +243,9 @@ def dedup_report(spark, sf_dir):
     """A21, W1."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("t"), "n_chars", "lang")
     kept = keep_first(docs, "t", ["doc_id"])
-    stats = kept.agg(F.count("*").alias("kept"), F.min("n_chars").alias("shortest"), F.max("n_chars").alias("longest"), F.round(F.avg("n_chars"), 6).alias("mean"), F.round(F.percentile("n_chars", 0.5), 6).alias("median"), F.count_if(F.col("lang") == "en").alias("english"))
+    stats = kept.agg(F.count("*").alias("kept"), F.min("n_chars").alias("shortest"), F.max("n_chars").alias("longest"), F.round(F.avg("n_chars"), 6).alias("mean"), F.count_if(F.col("lang") == "en").alias("english"))
+    median = P.quantiles(kept, "n_chars", {"median": 0.5}).select(F.round("median", 6).alias("median"))
+    stats = stats.join(F.broadcast(median))
     total = docs.agg(F.count("*").alias("total"))
     return total.join(stats).select("total", "kept", (F.col("total") - F.col("kept")).alias("duplicates"), "shortest", "longest", "mean", "median", "english")
 

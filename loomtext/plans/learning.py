@@ -46,7 +46,7 @@ _TFIDF = "f AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY 1, 2), d AS
 def word_tf_idf(spark, sf_dir):
     """M3: words and word pairs."""
     docs = _tokens(spark, sf_dir).select("doc_id", "tokens")
-    pairs = docs.withColumn("units", F.concat("tokens", F.transform(X.ngrams(F.col("tokens"), 2), lambda g: F.array_join(g, " "))))
+    pairs = docs.withColumn("units", F.concat("tokens", X.joined_ngrams(F.col("tokens"), 2)))
     return V.tf_idf(V.term_counts(pairs, "doc_id", F.col("units")), "doc_id").withColumn("weight", F.round("weight", 6))
 
 
@@ -57,11 +57,12 @@ def char_tf_idf(spark, sf_dir):
     return V.tf_idf(V.term_counts(words.withColumn("u", X.char_ngrams(F.col("c"), 3)), "doc_id", F.col("u")), "doc_id", max_features=2000).withColumn("weight", F.round("weight", 6))
 
 
-@query("WITH v AS (SELECT e.user_id, x.embedding AS vec FROM events e LEFT JOIN embeddings x ON x.vec_id = e.event_id % 1500) SELECT user_id, count(*) AS tokens, count(vec) AS known, round(coalesce(avg(CAST(vec[1] AS DOUBLE)), 0.0), 6) AS v0, round(coalesce(avg(CAST(vec[64] AS DOUBLE)), 0.0), 6) AS v63 FROM v GROUP BY 1")
+@query("WITH v AS (SELECT e.user_id, x.embedding AS vec FROM events e LEFT JOIN embeddings x ON x.vec_id = e.event_id % (SELECT 3 * count(*) // 2 FROM embeddings)) SELECT user_id, count(*) AS tokens, count(vec) AS known, round(coalesce(avg(CAST(vec[1] AS DOUBLE)), 0.0), 6) AS v0, round(coalesce(avg(CAST(vec[64] AS DOUBLE)), 0.0), 6) AS v63 FROM v GROUP BY 1")
 def mean_embeddings(spark, sf_dir):
     """The mean vector of each user's events, as far as vectors exist."""
-    tokens = table(spark, sf_dir, "events").select("user_id", (F.col("event_id") % 1500).alias("w"))
-    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("w"), F.col("embedding").alias("vec"))
+    embeddings = table(spark, sf_dir, "embeddings")
+    tokens = table(spark, sf_dir, "events").select("user_id", (F.col("event_id") % (embeddings.count() * 3 // 2)).alias("w"))
+    vectors = embeddings.select(F.col("vec_id").alias("w"), F.col("embedding").alias("vec"))
     m = V.mean_vectors(tokens, vectors, "user_id", 64)
     return m.select("user_id", "tokens", "known", F.round(F.col("vector")[0], 6).alias("v0"), F.round(F.col("vector")[63], 6).alias("v63"))
 
@@ -143,12 +144,12 @@ def cross_validation(spark, sf_dir):
 
 @query()
 def word_vectors(spark, sf_dir):
-    """M5: averaged skip-gram vectors of the labelled documents."""
+    """M5: averaged skip-gram vectors of the labelled documents, to six decimals."""
     data = _tokens(spark, sf_dir).select("doc_id", "tokens")
     model = Word2Vec(vectorSize=16, windowSize=5, minCount=5, maxIter=1, seed=42, inputCol="tokens", outputCol="v").fit(data)
     from pyspark.ml.functions import vector_to_array
 
-    return model.transform(data).select("doc_id", F.size(vector_to_array("v")).alias("width"))
+    return model.transform(data).select("doc_id", F.transform(vector_to_array("v"), lambda x: F.round(x, 6)).alias("vector"))
 
 
 @query()

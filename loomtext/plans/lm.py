@@ -9,7 +9,7 @@ from ..operators import lm as L
 from ._register import query, table
 
 _CLEAN = r"list_filter(string_split(trim(regexp_replace(lower(regexp_replace(text, '[^\p{L}\p{N}_\s]', '', 'g')), '\s+', ' ', 'g')), ' '), lambda w: w <> '')"
-_SENT = f"s AS (SELECT conv_id * 1000 + turn AS sid, conv_id % 10 = 0 AS held, {_CLEAN} AS t FROM conversations WHERE role = 'assistant'), tr0 AS (SELECT sid, t FROM s WHERE NOT held AND len(t) > 0), te0 AS (SELECT sid, t FROM s WHERE held AND len(t) > 0)"
+_SENT = f"s AS (SELECT conv_id || '-' || turn AS sid, conv_id % 10 = 0 AS held, {_CLEAN} AS t FROM conversations), tr0 AS (SELECT sid, t FROM s WHERE NOT held AND len(t) > 0), te0 AS (SELECT sid, t FROM s WHERE held AND len(t) > 0)"
 _VOC = f"{_SENT}, voc AS (SELECT w FROM (SELECT unnest(t) AS w FROM tr0) GROUP BY 1 HAVING count(*) >= 2), vl AS (SELECT list(w) AS v FROM voc), tr AS (SELECT sid, list_transform(t, lambda x: CASE WHEN list_contains(v, x) THEN x ELSE '<unk>' END) AS t FROM tr0, vl), te AS (SELECT sid, list_transform(t, lambda x: CASE WHEN list_contains(v, x) THEN x ELSE '<unk>' END) AS t FROM te0, vl)"
 
 
@@ -20,7 +20,7 @@ def _ctx(name: str, src: str, n: int, k: int) -> str:
 
 def _sentences(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """Training and held-out sentences: every tenth conversation is held out."""
-    rows = table(spark, sf_dir, "conversations").where("role = 'assistant'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("sid"), (F.col("conv_id") % 10 == 0).alias("held"), words(F.col("text")).alias("t")).where("size(t) > 0")
+    rows = table(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("sid"), (F.col("conv_id") % 10 == 0).alias("held"), words(F.col("text")).alias("t")).where("size(t) > 0")
     return rows.where("not held").select("sid", "t"), rows.where("held").select("sid", "t")
 
 

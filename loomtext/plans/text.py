@@ -171,13 +171,12 @@ def edit_scripts(spark, sf_dir):
 
 
 def _vocabulary(spark, sf_dir) -> DataFrame:
-    docs = _docs(spark, sf_dir).where("lang = 'en'")
-    return docs.select(F.explode(_words()).alias("w")).groupBy("w").agg(F.count("*").alias("c"))
+    return _docs(spark, sf_dir).select(F.explode(_words()).alias("w")).groupBy("w").agg(F.count("*").alias("c"))
 
 
 @query()
 def stem_table(spark, sf_dir):
-    """Words of the English documents whose two stems differ."""
+    """Words of the documents whose two stems differ."""
     return T.stem_disagreements(stemming.stem_vocabulary(_vocabulary(spark, sf_dir), "w"))
 
 
@@ -191,11 +190,11 @@ def over_and_under_stemming(spark, sf_dir):
 
 @query()
 def byte_pair_units(spark, sf_dir):
-    """Corpus tokens after 0, 25, 50 and 100 merges of one list."""
+    """Corpus tokens after 0, 10, 20 and 40 merges of one list."""
     counts = _vocabulary(spark, sf_dir).withColumnRenamed("w", "word")
-    merges = T.train_bpe(counts, 100)
+    merges = T.train_bpe(counts, 40)
     out = None
-    for k in (0, 25, 50, 100):
+    for k in (0, 10, 20, 40):
         pieces = T.apply_bpe(counts, "word", merges[:k]).agg(F.sum(F.size("pieces") * F.col("c")).alias("tokens")).select(F.lit(k).alias("merges"), "tokens")
         out = pieces if out is None else out.unionAll(pieces)
     return out

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -34,29 +35,40 @@ def rate_limited(log: DataFrame, client: str, time: str, event: str, requests: i
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, kept = None, []
         for pdf in batches:
-            out = []
-            for c, t in zip(pdf["client"], pdf["t"] / 1e6, strict=True):
-                if c != now:
-                    now, kept = c, []
-                decision, kept = accept([t], kept, requests, seconds)
+            out, times, clients = [], (pdf["t"] / 1e6).tolist(), pdf["client"].to_numpy()
+            begun = [0, *(np.flatnonzero(clients[1:] != clients[:-1]) + 1).tolist(), len(pdf)]
+            for a, b in zip(begun[:-1], begun[1:], strict=True):
+                if a < b and clients[a] != now:
+                    now, kept = clients[a], []
+                decision, kept = accept(times[a:b], kept, requests, seconds)
                 out += decision
             yield pd.DataFrame({"client": pdf["client"], "event": pdf["event"], "accepted": out})
 
     return dealt.mapInPandas(run, f"client {log.schema[client].dataType.simpleString()}, event {log.schema[event].dataType.simpleString()}, accepted boolean")
 
 
-def rate_limit_stream(log: DataFrame, client: str, time: str, event: str, requests: int = REQUESTS, seconds: float = SECONDS) -> DataFrame:
-    """The same over a stream; the accepted times are each client's state."""
+def rate_limit_stream(log: DataFrame, client: str, time: str, event: str, requests: int = REQUESTS, seconds: float = SECONDS, delay: str = "1 hour") -> DataFrame:
+    """The same over a stream; the accepted times, at most ``requests``, are each
+    client's state, which is dropped once the watermark (``delay`` behind the latest
+    request) has passed them. A client's requests of one micro-batch are sorted
+    in memory as times and ids: bound what a batch reads (maxFilesPerTrigger)."""
 
     def run(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         kept = list(state.get[0]) if state.exists else []
-        pdf = pd.concat(list(frames)).sort_values(["t", "event"])
-        decisions, kept = accept(list(pdf["t"] / 1e6), kept, requests, seconds)
+        parts = [(f["t"].to_numpy(), f["event"].to_numpy()) for f in frames]
+        t, event = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+        order = np.lexsort((event, t))
+        decisions, kept = accept((t[order] / 1e6).tolist(), kept, requests, seconds)
         state.update((kept,))
-        yield pd.DataFrame({"client": key[0], "event": pdf["event"], "accepted": decisions})
+        state.setTimeoutTimestamp(max(int((kept[-1] + seconds) * 1000), state.getCurrentWatermarkMs() + 1) if kept else state.getCurrentWatermarkMs() + 1)
+        yield pd.DataFrame({"client": key[0], "event": event[order], "accepted": decisions})
 
-    rows = log.select(F.col(client).cast("long").alias("client"), F.col(event).cast("long").alias("event"), F.unix_micros(F.col(time).cast("timestamp")).alias("t"))
-    return rows.groupBy("client").applyInPandasWithState(run, "client long, event long, accepted boolean", "kept array<double>", "append", GroupStateTimeout.NoTimeout)
+    log = log.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay)
+    rows = log.select(F.col(client).cast("long").alias("client"), F.col(event).cast("long").alias("event"), F.unix_micros(time).alias("t"), time)
+    return rows.groupBy("client").applyInPandasWithState(run, "client long, event long, accepted boolean", "kept array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def window_load(log: DataFrame, client: str, time: str, seconds: float = SECONDS) -> DataFrame:
