@@ -8,9 +8,10 @@ import pytest
 from hypothesis import given, settings, strategies as st
 
 import corpus_pipeline
-from loomtext.llm import chat, html, topk
+from loomtext.llm import chat, decontaminate, html, materialise, mixing, quality, topk
 from loomtext.llm._frames import table
 from loomtext.llm.queries import op5_chat_template, op7_html_density, op8_exact_topk
+from loomtext.sources import stored
 
 SF = "/root/testdata/sf0.001"
 
@@ -141,13 +142,89 @@ def test_pipeline(spark):
     docs = table(spark, SF, "documents")
     columns, n = docs.columns, docs.count()
     for _, stage in corpus_pipeline.STAGES[:-1]:
-        docs = corpus_pipeline.written(stage(spark, docs, SF))
+        docs = stored.written(stage(spark, docs, SF))
         assert docs.columns == columns and 0 < docs.count() <= n
         n = docs.count()
     out = corpus_pipeline.run(spark, SF)
     assert out.count() > 0 and out.agg({"n_docs": "sum"}).first()[0] >= n
 
 
+def stage(name):
+    return dict(corpus_pipeline.STAGES)[name]
+
+
+def five(text):
+    w = (text or "").lower().split()
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} - {()}
+
+
+def test_stages_equal_brute_force(spark):
+    docs = table(spark, SF, "documents")
+    rows = {r.doc_id: r for r in docs.collect()}
+    scores = {r.doc_id: r.score for r in quality.classify(docs, table(spark, SF, "labels")).collect()}
+    good = stage("quality")(spark, docs, SF)
+    assert {r.doc_id for r in good.collect()} == {k for k, x in scores.items() if x >= 0.7}
+
+    sets = {k: five(r.text) for k, r in rows.items()}
+    up = {k: k for k in rows}
+    for i in sorted(rows):
+        for j in sorted(rows):
+            if j < i and up[i] != up[j] and (both := len(sets[i] & sets[j])) and 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                low, high = sorted((up[i], up[j]))
+                up = {k: low if x == high else x for k, x in up.items()}
+    assert sorted(r.doc_id for r in stage("near_duplicates")(spark, docs, SF).collect()) == sorted(k for k, x in up.items() if k == x)
+
+    found = {r.doc_id for r in decontaminate.contaminated(docs, table(spark, SF, "benchmark")).collect()}
+    clean = stage("decontamination")(spark, docs, SF)
+    assert sorted(r.doc_id for r in clean.collect()) == sorted(set(rows) - found)
+
+    mixed = stored.written(stage("mixing")(spark, docs, SF))
+    order = [r.doc_id for r in mixing.mix_sources(docs).orderBy("mix.order").collect()]
+    got = [r.doc_id for r in materialise.in_file_order(mixed).orderBy("file", "row").collect()]
+    assert got == order
+
+    tokens = stage("tokens")(spark, mixed, SF).orderBy("sequence").toPandas()
+    tok = materialise.Tokenizer(materialise.read_vocabulary(materialise.DEFAULT_VOCABULARY))
+    ids = np.concatenate([np.frombuffer(x, tok.dtype)[:n] for x, n in zip(tokens.tokens, tokens.n_tokens, strict=True)])
+    assert ids.tobytes() == b"".join(tok.encode(rows[k].text or "") + np.array([tok.end], tok.dtype).tobytes() for k in order)
+
+
+def test_each_window_of_the_tokens_keeps_the_mix(spark, monkeypatch):
+    """Of a hot source and two small ones, every window of slots has the shares of the
+    mix for as long as no source has run out."""
+    rows = [(k, f"{s} " + f"word{k} " * 200, s) for k, s in enumerate(["hot"] * 1600 + ["b"] * 100 + ["c"] * 100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mixed = stored.written(stage("mixing")(spark, docs, SF))
+    monkeypatch.setattr(corpus_pipeline, "WINDOW", 256)
+    out = stage("tokens")(spark, mixed, SF).toPandas()
+    of = {k: s for k, _, s in rows}
+    weights = {r.source: r.weight for r in mixing.target_weights(spark.createDataFrame([("hot", 1600), ("b", 100), ("c", 100)], "source string, n long")).collect()}
+    whole = min(n * sum(weights.values()) // weights[s] for s, n in (("hot", 1600), ("b", 100), ("c", 100)))
+    sources = out.assign(window=out.slot // 256, source=out.first_doc_id.map(of)).groupby("window").source.value_counts(normalize=True)
+    windows = int(whole * len(out) / len(rows)) // 256
+    assert windows >= 2
+    for w in range(windows):
+        assert all(abs(sources[w].get(s, 0) - x / sum(weights.values())) < 0.2 for s, x in weights.items())
+
+
+def test_stages_on_odd_tables(spark, tmp_path):
+    odd = [(1, None), (2, ""), (3, "one"), (None, "a b c d e f g h"), (None, "a b c d e f g h"), (4, "a b c d e f g h"), (4, "other words of the same id here now"), (5, "x" * 60_000), (6, "word " * 20_000), (6, "word " * 20_000)]
+    frame = spark.createDataFrame([(i, t, None if k % 3 else "s", "extra", 0.5, 1) for k, (i, t) in enumerate(odd)], "doc_id long, text string, source string, score string, mix double, _class int")
+    for name, run in corpus_pipeline.STAGES:
+        for docs in (frame, frame.where("false")):
+            path = str(tmp_path / f"{name}{docs is frame}")
+            docs.write.parquet(path)
+            got = run(spark, spark.read.schema(docs.schema).parquet(path), SF)
+            rows = got.collect()
+            assert (docs is frame) or not rows
+            if name != "tokens":
+                assert got.columns == frame.columns
+    kept = corpus_pipeline.near_duplicate_stage(spark, frame, SF).collect()
+    texts = sorted((r.doc_id is None, r.doc_id or 0, len(r.text or "")) for r in kept)
+    assert texts == [(False, 1, 0), (False, 2, 0), (False, 3, 3), (False, 4, 15), (False, 4, 35), (False, 5, 60_000), (False, 6, 100_000)]
+    assert corpus_pipeline.mixing_stage(spark, frame, SF).count() == len(odd)
+
+
 NOISE = [
     "<nav><ul><li><a href=/a>{0}</a><li><a href=/b>{0}</a></ul></nav>", "<div class='ad'>{0}</div>", "<div id=sidebar><p>{0}</p></div>", "<aside><p>{0}</aside>",
     "<div class='cookie-notice'>{0}</div>", "<p class=notice>{0}", "<form><label>{0}</label><input name=q></form>", "<script>if (a < b) {{ '{0}' }}</script>", "<style>p {{ {0} }}</style>",
