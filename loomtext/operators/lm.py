@@ -8,7 +8,9 @@ the start mark is never predicted. Contexts are texts joined by a blank.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
+
+from ..sources.stored import written
 
 BOS, EOS, UNK = "<s>", "</s>", "<unk>"
 
@@ -97,25 +99,32 @@ def next_words(train: DataFrame, context: str, n: int, temperature: float = 1.0,
     return powered.join(F.broadcast(powered.agg(F.sum("x").alias("s")))).select("w", (F.col("x") / F.col("s")).alias("p"))
 
 
-def generate(train: DataFrame, n: int, words: int, seed: int = 1, start: str = "") -> list[str]:
-    """Draws words from the maximum-likelihood model, one small query for each:
-    the table of counts stays in Spark, only a context's successors come back."""
-    import numpy as np
-
-    table = counts(train, n).where(F.col("k") == n).cache()
-    rng, out = np.random.default_rng(seed), start.split()
-    for _ in range(words):
-        ctx = " ".join(([BOS] * (n - 1) + out)[len(out) :]) if n > 1 else ""
-        rows = table.where(F.col("ctx") == ctx).orderBy("w").select("w", "c").collect()
-        if not rows:
-            break
-        p = np.array([r["c"] for r in rows], float)
-        w = rows[int(rng.choice(len(rows), p=p / p.sum()))]["w"]
-        if w == EOS:
-            break
-        out.append(w)
-    table.unpersist()
-    return out
+def chance(seed: int, *parts: str) -> Column:
+    """A number in [0, 1) from a hash of the seed and the columns."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *(F.col(p).cast("string") for p in parts))), 1, 8), 16, 10).cast("double") / (1 << 32)
+
+
+def generate(train: DataFrame, n: int, texts: int, words: int, seed: int = 1) -> DataFrame:
+    """(text, pos, w): words drawn from the maximum-likelihood model, all texts at
+    once, a join for each place. A successor holds a part of [0, 1), in the order of
+    the words; a context has as many buckets as successors, and a text meets
+    those of one bucket, so a context that all texts share is no product."""
+    table = counts(train, n).where(F.col("k") == n)
+    upto = W.partitionBy("ctx").orderBy("w")
+    parts = table.select("ctx", "w", F.sum("c").over(upto).alias("hi"), "c", F.sum("c").over(W.partitionBy("ctx")).alias("total"), F.count("*").over(W.partitionBy("ctx")).alias("buckets"))
+    parts = parts.select("ctx", "w", "buckets", ((F.col("hi") - F.col("c")) / F.col("total")).alias("lo"), (F.col("hi") / F.col("total")).alias("hi"))
+    bucket = lambda x: F.least(F.floor(F.col(x) * F.col("buckets")), F.col("buckets") - 1)
+    parts = written(parts.select("ctx", "w", "lo", "hi", "buckets", F.explode(F.sequence(bucket("lo"), bucket("hi"))).alias("bucket")))
+    known = written(parts.groupBy("ctx").agg(F.max("buckets").alias("buckets")))
+    now = train.sparkSession.range(texts).select(F.col("id").alias("text"), F.lit(" ".join([BOS] * (n - 1))).alias("ctx"))
+    out = None
+    for pos in range(words):
+        drawn = now.join(known, "ctx").withColumn("pos", F.lit(pos)).withColumn("u", chance(seed, "text", "pos")).withColumn("bucket", bucket("u")).drop("buckets")
+        chosen = drawn.join(parts.drop("buckets"), ["ctx", "bucket"]).where((F.col("lo") <= F.col("u")) & (F.col("u") < F.col("hi"))).where(F.col("w") != EOS)
+        step = written(chosen.select("text", "pos", "w", "ctx"))
+        out = step if out is None else out.unionAll(step)
+        now = step.select("text", F.expr(f"array_join(slice(split(concat_ws(' ', nullif(ctx, ''), w), ' '), -{max(n - 1, 1)}, {max(n - 1, 1)}), ' ')").alias("ctx") if n > 1 else F.lit("").alias("ctx"))
+    return out.select("text", "pos", "w")
 
 
 def grams(units: DataFrame, n: int) -> DataFrame:

@@ -157,8 +157,7 @@ def first_sentence_with(sentences: DataFrame, phrases: DataFrame) -> DataFrame:
     A phrase's words between its first and last blank stand whole in every sentence
     that holds it, so phrase and sentence meet at the longest of them. A phrase of one
     or two words meets the sentences that have a word with the longer one inside, by
-    the pieces of that length (only the lengths that occur). The empty phrase is in
-    the first sentence."""
+    the pieces of that length (only the lengths that occur)."""
     parts = F.split("phrase", " ")
     inner = F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0)))
     longest = lambda ws: F.array_max(F.transform(F.filter(ws, lambda w: w != ""), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
@@ -172,10 +171,11 @@ def first_sentence_with(sentences: DataFrame, phrases: DataFrame) -> DataFrame:
         hits = hits.unionByName(cut.join(short.where(F.length("piece") == n), "piece").withColumnRenamed("piece", "w"))
     place = F.struct("doc_id", "pos")
     found = hits.where(F.contains("sentence", "phrase")).groupBy("phrase").agg(F.min_by("sentence", place).alias("sentence"))
-    if keyed.where("piece is null").isEmpty():
-        return found
-    first = sentences.agg(F.min_by("sentence", place).alias("sentence"))
-    return found.unionByName(keyed.where("piece is null and phrase = ''").select("phrase").distinct().join(F.broadcast(first)))
+    # phrases of blanks alone (and the empty one): as many as there are lengths
+    for blank in sorted(r[0] for r in keyed.where("piece is null").select("phrase").distinct().collect()):
+        first = sentences.where(F.contains("sentence", F.lit(blank))).agg(F.min_by("sentence", place).alias("sentence"))
+        found = found.unionByName(first.where("sentence is not null").select(F.lit(blank).alias("phrase"), "sentence"))
+    return found
 
 
 def song_lines(lines: DataFrame, own: str) -> DataFrame:

@@ -76,18 +76,31 @@ def lm_perplexity_kneser_ney(spark, sf_dir):
     return _report(L.score(*_mapped(spark, sf_dir), 2, "kn"))
 
 
-@query(" UNION ALL ".join(f"SELECT * FROM (WITH {_TOP2}, {_kn(d)} SELECT CAST({d} AS DOUBLE) AS discount, {_PP} FROM x)" for d in ("0.3", "0.75", "1.0")))
+@query(" UNION ALL ".join(f"SELECT * FROM (WITH {_TOP2}, {_kn(d)} SELECT CAST({d} AS DOUBLE) AS discount, {_PP} FROM x)" for d in ("0.3", "0.5", "0.75", "0.9", "1.0")))
 def lm_discounts(spark, sf_dir):
-    """Perplexity under three discounts."""
+    """Perplexity under five discounts."""
     train, test = _mapped(spark, sf_dir)
     out = None
-    for d in (0.3, 0.75, 1.0):
+    for d in (0.3, 0.5, 0.75, 0.9, 1.0):
         part = _report(L.score(train, test, 2, "kn", d)).select(F.lit(d).alias("discount"), "*")
         out = part if out is None else out.unionAll(part)
     return out
 
 
-@query()
+def _level(c: str, n: str, p: str) -> str:
+    return f"CASE WHEN {n}.total IS NULL THEN {p} ELSE greatest(coalesce({c}.c, 0) - 0.75, 0) / {n}.total + 0.75 * {n}.types / {n}.total * {p} END AS p"
+
+
+_TRI = f"""{_VOC}, {_ctx('u', 'tr', 3, 1)}, {_ctx('m2', 'tr', 3, 2)}, {_ctx('m3', 'tr', 3, 3)}, {_ctx('q', 'te', 3, 3)}, v AS (SELECT count(DISTINCT w) AS v FROM u),
+c3 AS (SELECT ctx, w, count(*) AS c FROM m3 GROUP BY 1, 2), n3 AS (SELECT ctx, sum(c) AS total, count(*) AS types FROM c3 GROUP BY 1),
+c2 AS (SELECT substr(ctx, instr(ctx, ' ') + 1) AS back, w, count(*) AS c FROM c3 GROUP BY 1, 2), n2 AS (SELECT back, sum(c) AS total, count(*) AS types FROM c2 GROUP BY 1),
+c1 AS (SELECT w, count(*) AS c FROM (SELECT DISTINCT ctx, w FROM m2) GROUP BY 1), n1 AS (SELECT sum(c) AS total, count(*) AS types FROM c1),
+a AS (SELECT q.ctx, q.w, substr(q.ctx, instr(q.ctx, ' ') + 1) AS back, greatest(coalesce(c1.c, 0) - 0.75, 0) / n1.total + 0.75 * n1.types / n1.total / v.v AS p FROM q LEFT JOIN c1 ON c1.w = q.w CROSS JOIN n1 CROSS JOIN v),
+b AS (SELECT a.ctx, a.w, {_level('c2', 'n2', 'a.p')} FROM a LEFT JOIN c2 ON c2.back = a.back AND c2.w = a.w LEFT JOIN n2 ON n2.back = a.back),
+x AS (SELECT {_level('c3', 'n3', 'b.p')} FROM b LEFT JOIN c3 ON c3.ctx = b.ctx AND c3.w = b.w LEFT JOIN n3 ON n3.ctx = b.ctx)"""
+
+
+@query(f"WITH {_TRI} SELECT {_PP} FROM x")
 def lm_trigram_kneser_ney(spark, sf_dir):
     """L7 of order three."""
     return _report(L.score(*_mapped(spark, sf_dir), 3, "kn"))
@@ -101,9 +114,8 @@ def lm_next_words(spark, sf_dir):
 
 @query()
 def lm_generate(spark, sf_dir):
-    """Twenty words drawn from the bigram model."""
-    text = L.generate(_sentences(spark, sf_dir)[0], 2, 20, seed=7)
-    return spark.createDataFrame([(i, w) for i, w in enumerate(text)], "pos int, w string")
+    """Twenty texts of at most twenty words from the bigram model."""
+    return L.generate(_sentences(spark, sf_dir)[0], 2, 20, 20, seed=7)
 
 
 _GRAM = "SELECT unnest(list_transform(range(1, len(t) - {m}), lambda i: array_to_string(t[i:i + {k}], ' '))) AS g FROM {src} WHERE len(t) >= {n}"
