@@ -140,9 +140,14 @@ def copied(generated: DataFrame, source: DataFrame, n: int) -> DataFrame:
 
 
 def longest_copied(generated: DataFrame, source: DataFrame, most: int = 12) -> DataFrame:
-    """The largest n up to ``most`` with a run that the source has."""
-    out = None
-    for n in range(1, most + 1):
-        part = grams(generated, n).join(grams(source, n).select("gram"), "gram", "left_semi").select(F.lit(n).alias("n"))
-        out = part if out is None else out.unionAll(part)
-    return out.agg(F.coalesce(F.max("n"), F.lit(0)).alias("longest"))
+    """The largest n up to ``most`` with a run that the source has: one scan of
+    each side makes the runs of all lengths."""
+
+    def runs(units: DataFrame) -> DataFrame:
+        at = units.where(F.size("t") > 0).select("t", F.explode(F.sequence(F.lit(1), F.size("t"))).alias("i"))
+        ends = F.sequence(F.lit(1), F.least(F.lit(most), F.size("t") - F.col("i") + 1))
+        return at.select("t", "i", F.explode(ends).alias("n")).select("n", F.array_join(F.slice("t", F.col("i"), F.col("n")), " ").alias("gram"))
+
+    # the generated side is the smaller one; where it is small, Spark sends it to the source's scan
+    hits = runs(source).join(runs(generated).distinct(), ["n", "gram"], "left_semi")
+    return hits.agg(F.coalesce(F.max("n"), F.lit(0)).alias("longest"))
