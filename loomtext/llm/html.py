@@ -50,8 +50,12 @@ _LIMITS = {"ul", "ol", "table", "dl", "div", "article", "section", "main", "body
 _UNWANTED = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "banner", "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "sidebar", "masthead", "footer", "cookie", "cookies", "consent", "notice", "popup", "modal", "newsletter", "subscribe", "share", "sharing", "social", "related", "comment", "comments", "replies", "disqus", "search", "toolbar", "widget", "header"}
 #: ... as the only part of a name on a paragraph or an inline element,
 _ALONE = {"ad", "ads", "advert", "adverts", "advertisement", "sponsored", "promo", "cookie", "notice", "breadcrumb", "breadcrumbs", "newsletter", "comment"}
-#: unless the name says where something else stands.
-_LAYOUT = {"has", "with", "without", "no", "hide", "show", "is", "left", "right", "content", "layout", "main", "page", "wrapper", "container", "body", "article", "post", "entry"}
+#: unless the name says what else is there,
+_BESIDE = {"has", "with", "without", "no", "hide", "show", "is"}
+#: or is one of the layout that only has such a part in its middle;
+_LAYOUT = {"left", "right", "content", "layout", "main", "page", "wrapper", "container", "body", "article", "post", "entry"}
+#: the header of one of these is the article's own.
+_OWN_HEADER = {"article", "post", "entry", "content", "story"}
 _SPACE = re.compile(r"\s+")
 
 
@@ -86,8 +90,8 @@ def _names_no_content(tag: str, name: str) -> bool:
     parts = [x for x in re.split(r"[-_]+", name) if x]
     if tag in _INLINE or tag in _PROSE or tag == "li":
         return len(parts) == 1 and parts[0] in _ALONE
-    found = [x in _UNWANTED for x in parts]
-    return any(found) and (len(parts) == 1 or parts[0] not in _LAYOUT or (found[-1] and parts[0] not in {"has", "with", "without", "no", "hide", "show", "is"}))
+    found = [x in _UNWANTED and not (k and parts[k - 1] in _BESIDE) and not (x == "header" and parts[0] in _OWN_HEADER) for k, x in enumerate(parts)]
+    return any(found) and (parts[0] not in _LAYOUT or found[-1])
 
 
 def _mark(node: _Node, attributes: str) -> None:

@@ -278,6 +278,8 @@ def test_main_text_of_generated_pages():
         ("<body><p class='notice'>Note.<p>The text that stays.", "The text that stays."),
         ("<article><header><h1>Title</h1></header><p>Text of it.</p></article>", "Title\nText of it."),
         ("<article><h1>A</h1><p>First of two articles here.</p></article><article><h1>B</h1><p>Second of two articles here.</p></article>", "A\nFirst of two articles here.\nB\nSecond of two articles here."),
+        ("<div class='main-content-with-sidebar'><p>One text of it.</p></div><div class='main-sidebar'><p>Two</p></div>", "One text of it."),
+        ("<div class='story'><div class='entry-header'><h2>Title</h2></div><p>Text of it.</p></div><div class='site-header'><p>Site</p></div>", "Title\nText of it."),
         ("<p>x <math><mi>y</mi></math> z</p>", "x y z"),
     ],
 )
