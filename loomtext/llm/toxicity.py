@@ -70,8 +70,9 @@ class ChainModel:
         return out
 
 
-def word_ids(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct hashed features of each text, rising, with n + 1 offsets."""
+def word_ids(raw: np.ndarray, at: np.ndarray, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashed features of each text, rising, with n + 1 offsets; only the
+    known ones (a flag for each feature), if these are given."""
     raw = LOWER[raw]
     starts, ends, first = spans(raw, at, ALNUM)
     owner = np.repeat(np.arange(len(at) - 1), np.diff(first))
@@ -80,8 +81,11 @@ def word_ids(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         long = ends - starts > k
         every.append(mix(word_hashes(raw, starts[long], starts[long] + k) + np.uint64(k)))
         of.append(owner[long])
-    ids = (np.concatenate(every) >> np.uint64(64 - BITS)).astype(np.int64)
-    pairs = np.unique(np.concatenate(of) << BITS | ids)
+    ids, of = (np.concatenate(every) >> np.uint64(64 - BITS)).astype(np.int64), np.concatenate(of)
+    if known is not None:
+        keep = np.flatnonzero(known[ids])
+        ids, of = ids[keep], of[keep]
+    pairs = np.unique(of << BITS | ids)
     return pairs & ((1 << BITS) - 1), np.searchsorted(pairs, np.arange(len(at)) << BITS)
 
 
@@ -207,8 +211,11 @@ def score_toxicity(docs: DataFrame, model: ChainModel, text: str = "text") -> Da
     fields = [T.StructField(f"p_{n}", T.DoubleType()) for n in model.names] + [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]
 
     def make(batch):
+        known = np.zeros(1 << BITS, bool)
+        for keys in shared.value.words:
+            known[keys] = True
         for part, raw, at in chunks(batch, text):
-            p = shared.value.probabilities(*word_ids(raw, at))
+            p = shared.value.probabilities(*word_ids(raw, at, known))
             yield part, [pa.array(c) for c in p.T.copy()] + [pa.array(p[:, -1].copy()), pa.array((p[:, -1] >= shared.value.threshold).astype(np.int32))]
 
     return with_arrow_columns(docs, fields, make)

@@ -263,6 +263,18 @@ def test_kinds_are_clusters_of_the_toxic_rows():
     assert set(kinds[toxic == 0]) == {-1} and all(len(set(kinds[k])) == 1 for k in (slice(0, 12), slice(12, 20), slice(20, 25))) and len(set(kinds[:25])) == 3
 
 
+def test_scoring_by_known_features_changes_nothing(docs):
+    texts = [r.text or "" for r in docs.limit(50).collect()]
+    raw, at = np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0] + [len(t.encode()) for t in texts])
+    ids, first = toxicity.word_ids(raw, at)
+    rng = np.random.default_rng(1)
+    keys = np.unique(rng.choice(ids, 500))
+    known = np.zeros(1 << toxicity.BITS, bool)
+    known[keys] = True
+    model = toxicity.ChainModel(("a",), (keys,), (rng.normal(size=len(keys)),), (np.zeros(1),))
+    assert np.allclose(model.probabilities(ids, first), model.probabilities(*toxicity.word_ids(raw, at, known)))
+
+
 def test_threshold_has_the_best_f1():
     rng = np.random.default_rng(3)
     chance, target = rng.integers(0, 9, 60) / 9, rng.integers(0, 2, 60)
