@@ -150,3 +150,17 @@ def highlighted_hits(spark, sf_dir):
     """Marked fragments of the ten best documents."""
     top = S.top(_ranked(spark, sf_dir))
     return _docs(spark, sf_dir).join(F.broadcast(top), "doc_id").select("doc_id", S.highlight(F.col("text"), tuple(_TERMS)).alias("fragment"))
+
+
+@query(f"""WITH {_INDEX}, s AS (SELECT unnest([10, 50, 100]) AS percent), n AS (SELECT max(doc_id) + 1 AS n FROM documents),
+p AS (SELECT percent, doc_id, contains(text, 'er') AS scanned FROM s, n, documents WHERE doc_id * 100 < n * percent), h AS (SELECT DISTINCT doc_id FROM i WHERE term = 'er')
+SELECT percent, count(*) AS docs, count(*) FILTER (scanned) AS scanned, count(h.doc_id) AS found FROM p LEFT JOIN h USING (doc_id) GROUP BY 1""")
+def prefix_scaling(spark, sf_dir):
+    """Hits of a scan and of the index in the first 10, 50 and 100 % of the ids."""
+    docs = table(spark, sf_dir, "documents")
+    n = (docs.agg(F.max("doc_id")).first()[0] or 0) + 1
+    found = S.search(_index(spark, sf_dir), S.Term("er")).withColumn("hit", F.lit(1))
+    rows = docs.select("doc_id", F.contains("text", F.lit("er")).alias("scanned")).join(found, "doc_id", "left")
+    shares = F.filter(F.array(F.lit(10), F.lit(50), F.lit(100)), lambda p: F.col("doc_id") * 100 < p * n)
+    rows = rows.select("scanned", "hit", F.explode(shares).alias("percent"))
+    return rows.groupBy("percent").agg(F.count("*").alias("docs"), F.count_if("scanned").alias("scanned"), F.count("hit").alias("found"))
