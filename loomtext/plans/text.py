@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import similarity as S, stemming, text as X
 from ..operators import tokens as T
+from ..sources.stored import written
 from ._register import query, table
 
 _STOP = "(" + ",".join(f"'{w}'" for w in X.STOP_WORDS) + ")"
@@ -190,11 +191,11 @@ def over_and_under_stemming(spark, sf_dir):
 
 @query()
 def byte_pair_units(spark, sf_dir):
-    """Corpus tokens after 0, 10, 20 and 40 merges of one list."""
-    counts = _vocabulary(spark, sf_dir).withColumnRenamed("w", "word")
-    merges = T.train_bpe(counts, 40)
+    """Corpus tokens after 0, 4, 8 and 12 merges of one list."""
+    counts = written(_vocabulary(spark, sf_dir).withColumnRenamed("w", "word"))
+    merges = T.train_bpe(counts, 12)
     out = None
-    for k in (0, 10, 20, 40):
+    for k in (0, 4, 8, 12):
         pieces = T.apply_bpe(counts, "word", merges[:k]).agg(F.sum(F.size("pieces") * F.col("c")).alias("tokens")).select(F.lit(k).alias("merges"), "tokens")
         out = pieces if out is None else out.unionAll(pieces)
     return out
