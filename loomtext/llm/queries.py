@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontaminate, html, licences, materialise, mixing, ngram_join, quality, topk, toxicity
+from . import chat, decontaminate, html, licences, materialise, merkle, mixing, ngram_join, quality, token_counts, topk, toxicity, vector_codes
 from ._frames import table
 
 
@@ -66,13 +66,33 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), size=4, percent=85)
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document."""
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    counted = token_counts.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, proof and folded root of every document; one leaf in seven is tampered with."""
+    more = F.when(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, F.col("n_chars") + 1).otherwise(F.col("n_chars"))
+    return merkle.manifest(table(spark, sf_dir, "documents"), tampered={"n_chars": more})
+
+
+def op13_filtering_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of every vector, and the error of its label."""
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_decontamination, op2_toxicity_chain, op3_mix_sources, op4_quality_ftrl, op5_chat_template, op6_token_shards, op7_html_density, op8_exact_topk,
-        op9_licence_rules, op10_ngram_jaccard,
+        op9_licence_rules, op10_ngram_jaccard, op11_token_counts, op12_merkle_manifest, op13_filtering_lloyd,
     )
 }
 
 #: Where SQL can express the whole result and is quick on whole tables.
-ORACLE_SQL: dict[str, str] = {"op3_mix_sources": mixing.ORACLE_SQL, "op8_exact_topk": topk.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_mix_sources": mixing.ORACLE_SQL, "op8_exact_topk": topk.ORACLE_SQL, "op12_merkle_manifest": merkle.ORACLE_SQL, "op13_filtering_lloyd": vector_codes.ORACLE_SQL}
