@@ -6,8 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import similarity as S, stemming, text as X
-from ..operators import tokens as T
-from ..sources.stored import written
+from ..operators import subwords as U, tokens as T
+from ..sources.stored import kept, written
 from ._register import query, table
 
 _STOP = "(" + ",".join(f"'{w}'" for w in X.STOP_WORDS) + ")"
@@ -201,6 +201,41 @@ def byte_pair_units(spark, sf_dir):
     return out
 
 
+def _byte_merges(spark, sf_dir) -> DataFrame:
+    """1000 merges over all documents, trained once for each version of the table."""
+    def make(folder: str) -> None:
+        found = U.train(U.piece_counts(_docs(spark, sf_dir)), 1000)
+        spark.createDataFrame([(k, x, y, n) for k, ((x, y), n) in enumerate(found)], "rank int, first int, second int, c long").coalesce(1).write.parquet(folder)
+
+    return spark.read.parquet(kept(spark, f"{sf_dir}/documents.parquet", "byte merges", make))
+
+
+def _byte_vocabulary(merges: DataFrame) -> U.ByteVocabulary:
+    return U.ByteVocabulary([(r["first"], r["second"]) for r in merges.orderBy("rank").collect()])  # as many as were asked for
+
+
+@query()
+def byte_level_merges(spark, sf_dir):
+    """The merges of a byte-level vocabulary with five special tokens."""
+    return _byte_merges(spark, sf_dir)
+
+
+@query()
+def byte_level_units(spark, sf_dir):
+    """Units of each document, and whether they give the text back."""
+    vocabulary = _byte_vocabulary(_byte_merges(spark, sf_dir))
+    units = U.encode(_docs(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text")), vocabulary)
+    back = U.decode(F.col("ids"), vocabulary)
+    return units.select("doc_id", F.size("ids").cast("long").alias("units"), ((back == F.col("text")) | (back == F.concat(F.lit(" "), "text"))).alias("lossless"))
+
+
+@query()
+def byte_level_curve(spark, sf_dir):
+    """Units of all documents after 0, 250, 500 and 1000 merges."""
+    merges = _byte_vocabulary(_byte_merges(spark, sf_dir)).merges
+    return U.unit_counts(U.piece_counts(_docs(spark, sf_dir)), merges, (0, 250, 500, 1000))
+
+
 @query(f"""WITH t AS (SELECT {_WORDS} AS w FROM documents), v AS (SELECT 'words' AS variant, unnest(w) AS unit FROM t UNION ALL SELECT 'no stop words', unnest(list_filter(w, lambda x: x NOT IN {_STOP})) FROM t),
 s AS (SELECT variant, count(*) AS units, count(DISTINCT unit) AS vocabulary FROM v GROUP BY 1), b AS (SELECT vocabulary AS base, units AS words FROM s WHERE variant = 'words') SELECT variant, units, vocabulary, round(vocabulary / units, 6) AS ttr, round(units / words, 6) AS per_word, round((vocabulary / base - 1) * 100, 6) AS change FROM s, b""")
 def variant_table(spark, sf_dir):
