@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import similarity as S, stemming, text as X
-from ..operators import subwords as U, tokens as T
+from ..operators import sentences as N, subwords as U, tokens as T
 from ..sources.stored import kept, written
 from ._register import query, table
 
@@ -127,6 +127,56 @@ def count_sentences(spark, sf_dir):
     return _docs(spark, sf_dir).where(F.trim("text") != "").select("doc_id", (F.size(F.regexp_extract_all("text", F.lit(r"([.!?]\s+\S)"))) + 1).cast("long").alias("sentences"))
 
 
+_CLOSE = r"""["'')\]}»”’]*\z"""
+_TYPE = r"(CASE WHEN regexp_matches({0}, '^\p{{N}}[\p{{N}}.,]*\z') THEN '##number##' ELSE lower({0}) END)"
+_FACTS = rf"""t AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\r\f\v{chr(160)}]+'), lambda w: w <> '') AS t FROM documents),
+x AS (SELECT doc_id, unnest(t) AS a, unnest(list_append(list_slice(t, 2, len(t)), NULL)) AS b, generate_subscripts(t, 1) - 1 AS pos FROM t),
+y AS (SELECT doc_id, pos, CASE WHEN regexp_matches(a, '[!?]{_CLOSE}') THEN 'hard' WHEN regexp_matches(a, '\.{_CLOSE}') THEN 'dot' END AS k, regexp_replace(a, '^[^\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+\z', '', 'g') AS pa, regexp_replace(b, '^[^\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+\z', '', 'g') AS pb FROM x),
+z AS MATERIALIZED (SELECT doc_id, pos, k, {_TYPE.format("pa")} AS w, regexp_matches(pa, '^\p{{Lu}}') AS up, {_TYPE.format("pb")} AS nxt, regexp_matches(pb, '^\p{{Lu}}') AS nup FROM y),
+begun AS (SELECT w, count(*) AS n FROM (SELECT nxt AS w FROM z WHERE k IS NOT NULL AND nup UNION ALL SELECT w FROM z WHERE pos = 0 AND up) GROUP BY 1),
+ty AS MATERIALIZED (SELECT w, count(*) AS c, count(*) FILTER (k = 'dot') AS dots, count(*) FILTER (NOT up) AS lower, count(*) FILTER (up) - coalesce(any_value(n), 0) AS inside FROM z LEFT JOIN begun USING (w) WHERE w <> '' GROUP BY 1),
+s AS (SELECT sum(c) AS n, sum(dots) AS periods FROM ty),
+ab AS MATERIALIZED (SELECT w, c, dots, -2 * ((CASE WHEN periods = n THEN 0 ELSE dots * ln(periods / n) + (c - dots) * ln(1 - periods / n) END) - (dots * ln(0.99) + (c - dots) * ln(0.01))) * exp(-length(replace(w, '.', ''))) * (length(w) - length(replace(w, '.', '')) + 1) * pow(length(replace(w, '.', '')), -(c - dots)) AS score
+  FROM ty, s WHERE dots > 0 AND w <> '##number##' AND regexp_matches(w, '\p{{L}}'))"""
+
+
+@query(f"WITH {_FACTS} SELECT w, c, dots, round(score, 6) + 0.0 AS score FROM ab")
+def abbreviation_scores(spark, sf_dir):
+    """How surely each word type that ever has a period after it is an abbreviation."""
+    return N.abbreviations(N.types(written(N.facts(_docs(spark, sf_dir))))).withColumn("score", F.round("score", 6) + F.lit(0.0))
+
+
+def _ratio(a: str, b: str, both: str, n: str) -> str:
+    part = lambda hits, n, p: f"(CASE WHEN {p} <= 0 OR {p} >= 1 THEN 0 ELSE ({hits}) * ln({p}) + (({n}) - ({hits})) * ln(1 - {p}) END)"
+    p, p1, p2 = f"({b} / {n})", f"({both} / {a})", f"(({b} - {both}) / ({n} - {a}))"
+    return f"-2 * ({part(both, a, p)} + {part(f'{b} - {both}', f'{n} - {a}', p)} - {part(both, a, p1)} - {part(f'{b} - {both}', f'{n} - {a}', p2)})"
+
+
+_LEARNED = rf"""{_FACTS}, pr AS MATERIALIZED (SELECT doc_id, pos, k, z.w, nxt, nup, coalesce(ab.score >= 0.3, false) AS short, regexp_matches(z.w, '^\p{{L}}\z') AS initial, z.w = '##number##' AS number FROM z LEFT JOIN ab USING (w) WHERE k IS NOT NULL AND nxt <> ''),
+e AS (SELECT nxt AS w, count(*) AS begun FROM pr WHERE k = 'hard' OR NOT (short OR initial OR number) GROUP BY 1), en AS (SELECT sum(begun) AS ends FROM e),
+st AS (SELECT w, score FROM (SELECT w, {_ratio('ends', 'c', 'begun', 'n')} AS score FROM e JOIN ty USING (w), en, s WHERE begun * n > c * ends AND ends < n) WHERE score >= 30),
+co AS (SELECT w, nxt FROM (SELECT p.w, p.nxt, {_ratio('a.c', 'b.c', 'times', 'n')} AS score FROM (SELECT w, nxt, count(*) AS times FROM pr WHERE k = 'dot' AND (initial OR number) GROUP BY 1, 2) p JOIN ty a ON a.w = p.w JOIN ty b ON b.w = p.nxt, s
+  WHERE times > 1 AND p.nxt NOT IN (SELECT w FROM st) AND times * n > a.c * b.c AND a.c < n) WHERE score >= 7.88),
+de AS (SELECT doc_id, pos, CASE WHEN k = 'hard' OR NOT (short OR initial OR number) THEN true WHEN short AND NOT initial THEN fin ELSE NOT (habit OR NOT nup OR (initial AND nup AND low = 0 AND NOT fin)) END AS ends
+  FROM (SELECT pr.*, coalesce(ty.lower, 0) AS low, nup AND ((coalesce(ty.lower, 0) > 0 AND ty.inside = 0) OR st.w IS NOT NULL) AS fin, co.w IS NOT NULL AS habit FROM pr LEFT JOIN ty ON ty.w = pr.nxt LEFT JOIN st ON st.w = pr.nxt LEFT JOIN co ON co.w = pr.w AND co.nxt = pr.nxt)
+  UNION ALL SELECT doc_id, pos, true FROM z WHERE k IS NOT NULL AND nxt = '')"""
+
+
+@query(f"WITH {_LEARNED} SELECT w, round(score, 6) AS score FROM st")
+def sentence_starters(spark, sf_dir):
+    """Word types that stand at the beginning of sentences more often than by chance."""
+    kinds = written(N.types(counts := written(N.facts(_docs(spark, sf_dir)))))
+    return N.starters(kinds, N._pairs(counts, N.abbreviations(kinds))).withColumn("score", F.round("score", 6))
+
+
+@query(f"WITH {_LEARNED} SELECT doc_id, count(*) + 1 AS sentences, string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) AS ends FROM de WHERE ends GROUP BY 1")
+def learned_sentences(spark, sf_dir):
+    """Sentences of the documents that have more than one, and their last words' places."""
+    docs = _docs(spark, sf_dir)
+    found = N.ends(docs, N.learn(docs)).groupBy("doc_id").agg(F.sort_array(F.collect_list("pos")).alias("p"))
+    return found.select("doc_id", (F.size("p") + 1).cast("long").alias("sentences"), F.array_join(F.transform("p", lambda x: x.cast("string")), ",").alias("ends"))
+
+
 _SENT_STOP = "(" + ",".join(f"'{w}'" for w in X.STOP_WORDS) + ")"
 _NEG = "(" + ",".join(f"'{w}'" for w in X.NEGATIONS) + ")"
 
