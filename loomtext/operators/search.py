@@ -9,8 +9,11 @@ leaves are answered in one aggregation by document. Phrases never cross fields.
 
 from __future__ import annotations
 
+import itertools
+import re
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.text import STOP_WORDS
@@ -257,11 +260,68 @@ def word_similarity(terms: DataFrame, word: str, threshold: float = 0.6) -> Data
     return scored.where(F.col("similarity") >= threshold)
 
 
-def highlight(text: Column, words: tuple[str, ...], before: int = 60, after: int = 100) -> Column:
-    """A fragment around the first hit, its hits marked with <em>."""
-    pattern = r"(?i)\b(" + "|".join(words) + r")\b"
-    at = F.greatest(F.regexp_instr(text, F.lit(pattern)) - before, F.lit(1))
-    return F.regexp_replace(F.substring(text, at, F.lit(before + after)), pattern, "<em>$1</em>")
+def extent_similarity(query: str, title: str, threshold: float) -> float:
+    """The largest share of common among all distinct trigrams of the query and of a run of the
+    title's trigrams, in their order; 0 if no run reaches the threshold. A run that is best
+    begins and ends with a trigram of the query, and has at most len(query's) / threshold distinct ones."""
+    wanted = set(_triples(query))
+    ordered = [g for w in re.findall(r"[^\W_]+", title) for g in _triples(w)]
+    at = [k for k, g in enumerate(ordered) if g in wanted]
+    best = 0.0
+    for begin in at:
+        seen: set[str] = set()
+        common = 0
+        for g in itertools.islice(ordered, begin, None):
+            if g not in seen:
+                seen.add(g)
+                common += g in wanted
+                if len(seen) * threshold > len(wanted):
+                    break
+            if g in wanted:
+                best = max(best, common / (len(wanted) + len(seen) - common))
+    return best if best >= threshold else 0.0
+
+
+def _triples(word: str) -> list[str]:
+    padded = f"  {word} "
+    return [padded[k : k + 3] for k in range(len(padded) - 2)]
+
+
+def similar_titles(docs: DataFrame, column: str, word: str, threshold: float = 0.6, key: str = "doc_id") -> DataFrame:
+    """key and similarity of the texts with a run of trigrams that is similar enough to the word's
+    (see ``extent_similarity``). Only texts that hold enough of its trigrams are compared."""
+    mine = sorted(set(_triples(word)))
+    padded = F.concat(F.lit("  "), F.regexp_replace(F.lower(column), r"[^\p{L}\p{N}]+", "   "), F.lit("  "))
+    held = sum((F.contains(padded, F.lit(g)).cast("int") for g in mine), F.lit(0))
+
+    @F.pandas_udf("double")
+    def best(titles: pd.Series) -> pd.Series:
+        return titles.map(lambda t: extent_similarity(word, t, threshold)).astype(float)
+
+    near = docs.where(held >= threshold * len(mine) - 1e-9).select(key, best(F.lower(column)).alias("similarity"))
+    return near.where("similarity > 0")
+
+
+def best_fragments(index: Index, docs: DataFrame, text: str, field: str, words: tuple[str, ...], least: int = 12, most: int = 25, key: str = "doc_id") -> DataFrame:
+    """key and fragment of docs: the run of ``least`` to ``most`` words with most distinct
+    hits, then most hits, then the shortest and the first one; hits are marked with <em>.
+    Places come from the index, the text is only cut. A run of too few words goes on to
+    the right, at the end of the text to the left; a text without hits gives its first words."""
+    hits = index.postings.where(F.col("term").isin(*words) & (F.col("field") == field)).select(F.col("doc_id").alias(key), "term", F.explode("pos").alias("pos"))
+    hits = hits.join(docs.select(key), key, "left_semi")
+    within = W.partitionBy(key).orderBy("pos").rangeBetween(0, most - 1)
+    runs = hits.select(key, "pos", F.size(F.collect_set("term").over(within)).alias("terms"), F.count("*").over(within).alias("n"), F.max("pos").over(within).alias("last"))
+    order = F.struct(-F.col("terms"), -F.col("n"), F.col("last") - F.col("pos"), F.col("pos"))
+    best = runs.groupBy(key).agg(F.min_by(F.struct("pos", "last"), order).alias("run"))
+    places = hits.groupBy(key).agg(F.collect_set("pos").alias("hits"))
+    parts = F.regexp_extract_all(F.col(text), F.lit(r"([\p{L}\p{N}]+[^\p{L}\p{N}]*)"), 1)
+    cut = docs.select(key, parts.alias("parts")).join(best.join(places, key), key, "left")
+    n = F.size("parts")
+    stop = F.least(F.greatest(F.coalesce("run.last", F.lit(0)) + 1, F.coalesce("run.pos", F.lit(0)) + least), n)
+    begin = F.greatest(F.least(F.coalesce("run.pos", F.lit(0)), stop - least), F.lit(0))
+    cut = cut.select(key, "parts", "hits", begin.alias("begin"), stop.alias("stop"))
+    marked = F.transform(F.slice("parts", F.col("begin") + 1, F.col("stop") - F.col("begin")), lambda w, i: F.when(F.array_contains(F.coalesce("hits", F.array().cast("array<int>")), i + F.col("begin")), F.regexp_replace(w, r"^([\p{L}\p{N}]+)", "<em>$1</em>")).otherwise(w))
+    return cut.select(key, F.regexp_replace(F.array_join(marked, ""), r"[^\p{L}\p{N}>]+$", "").alias("fragment"))
 
 
 def overlap(a: DataFrame, b: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -145,11 +145,33 @@ def trigram_similarity(spark, sf_dir):
     return S.word_similarity(_index(spark, sf_dir).terms, "reserved").withColumn("similarity", F.round("similarity", 6))
 
 
-@query()
+_GRAMS = """g AS (SELECT doc_id, flatten(list_transform(regexp_extract_all(lower(title), '[\\p{L}\\p{N}]+'), lambda w: list_transform(range(1, length(w) + 2), lambda k: substr('  ' || w || ' ', k, 3)))) AS g FROM d),
+q AS (SELECT list_distinct(list_transform(range(1, length('  thanedbl ') - 1), lambda k: substr('  thanedbl ', k, 3))) AS q),
+c AS MATERIALIZED (SELECT doc_id, g, q FROM g, q WHERE len(list_intersect(g, q)) >= 0.6 * len(q)),
+a AS MATERIALIZED (SELECT doc_id, i, q, hit, coalesce(lag(i) OVER (PARTITION BY doc_id, x ORDER BY i), 0) AS before FROM (SELECT doc_id, q, i, g[i] AS x, list_contains(q, g[i]) AS hit FROM (SELECT doc_id, g, q, unnest(range(1, len(g) + 1)) AS i FROM c))),
+e AS (SELECT doc_id, i, i AS j, len(q) AS size, 1 AS n, 1 AS m FROM a WHERE hit
+  UNION ALL SELECT e.doc_id, e.i, a.i, e.size, n + CAST(before < e.i AS INT), m + CAST(hit AND before < e.i AS INT) FROM e JOIN a ON a.doc_id = e.doc_id AND a.i = e.j + 1 WHERE (n + CAST(before < e.i AS INT)) * 0.6 <= e.size)"""
+
+
+@query(f"WITH RECURSIVE {_INDEX}, {_GRAMS} SELECT doc_id, round(max(m / (size + n - m)), 6) AS similarity FROM e GROUP BY 1 HAVING max(m / (size + n - m)) >= 0.6")
+def misspelt_titles(spark, sf_dir):
+    """Titles with a run of trigrams like those of a misspelt word."""
+    return S.similar_titles(_docs(spark, sf_dir), "title", "thanedbl").withColumn("similarity", F.round("similarity", 6))
+
+
+@query(rf"""WITH {_BM25}, top AS (SELECT doc_id FROM (SELECT doc_id, round(score, 6) AS s FROM r) ORDER BY s DESC, doc_id LIMIT 10),
+h AS MATERIALIZED (SELECT doc_id, term, pos FROM i WHERE field = 'body' AND term IN ('er', 'th', 'onnd') AND doc_id IN (SELECT doc_id FROM top)),
+u AS (SELECT a.doc_id, a.pos, count(DISTINCT b.term) AS terms, count(*) AS n, max(b.pos) AS last FROM h a JOIN h b ON a.doc_id = b.doc_id AND b.pos BETWEEN a.pos AND a.pos + 24 GROUP BY 1, 2),
+b AS (SELECT doc_id, arg_min({{'p': pos, 'l': last}}, (-terms, -n, last - pos, pos)) AS run FROM u GROUP BY 1), p AS (SELECT doc_id, list(pos) AS hits FROM h GROUP BY 1),
+c AS (SELECT doc_id, hits, run, regexp_extract_all(body, '[\p{{L}}\p{{N}}]+[^\p{{L}}\p{{N}}]*') AS parts FROM d JOIN top USING (doc_id) LEFT JOIN b USING (doc_id) LEFT JOIN p USING (doc_id)),
+e AS (SELECT doc_id, hits, parts, run, least(greatest(coalesce(run.l, 0) + 1, coalesce(run.p, 0) + 12), len(parts)) AS stop FROM c),
+f AS (SELECT doc_id, hits, parts, stop, greatest(least(coalesce(run.p, 0), stop - 12), 0) AS begin FROM e)
+SELECT doc_id, regexp_replace(array_to_string(list_transform(range(begin, stop), lambda k: CASE WHEN list_contains(hits, k) THEN regexp_replace(parts[k + 1], '^([\p{{L}}\p{{N}}]+)', '<em>\1</em>') ELSE parts[k + 1] END), ''), '[^\p{{L}}\p{{N}}>]+$', '') AS fragment FROM f""")
 def highlighted_hits(spark, sf_dir):
-    """Marked fragments of the ten best documents."""
-    top = S.top(_ranked(spark, sf_dir))
-    return _docs(spark, sf_dir).join(F.broadcast(top), "doc_id").select("doc_id", S.highlight(F.col("text"), tuple(_TERMS)).alias("fragment"))
+    """The best fragment of 12 to 25 words of the ten best documents, its hits marked."""
+    top = S.top(_ranked(spark, sf_dir).withColumn("score", F.round("score", 6)))
+    docs = _docs(spark, sf_dir).join(F.broadcast(top.select("doc_id")), "doc_id", "left_semi").select("doc_id", "body")
+    return S.best_fragments(_index(spark, sf_dir), docs, "body", "body", tuple(_TERMS))
 
 
 @query(f"""WITH {_INDEX}, s AS (SELECT unnest([10, 50, 100]) AS percent), n AS (SELECT max(doc_id) + 1 AS n FROM documents),
