@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W, functions as F
 
 from ..functions import cleaning as C
-from ..operators import profile as P
+from ..operators import dom as D, profile as P
 from ..operators.paging import keyset_page, numbered_page, offset_page
 from ..operators.ranking import keep_first, ranked, top_per_group
 from ..operators.records import column_differences, merge_records
@@ -339,6 +339,34 @@ def html_counts(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", count("<p[ >]").alias("paragraphs"), count("<a ").alias("links"), F.length(h).cast("long").alias("chars"), F.regexp_extract(h, "<title>([^<]*)</title>", 1).alias("title"), count("<script").alias("scripts"))
 
 
+_DECODED = "replace(replace(replace(replace({0}, '&quot;', chr(34)), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
+_ONE_SPACE = "trim(regexp_replace({0}, '[ \\t\\n\\r\\f\\v]+', ' ', 'g'))"
+
+
+@query(f"""WITH m AS (SELECT page_id, regexp_extract(html, '<nav>(.*?)</nav>', 1, 's') AS nav FROM pages), l AS (SELECT page_id, unnest(regexp_extract_all(nav, '<li><a href="[^"]*">[^<]*</a></li>')) AS li, generate_subscripts(regexp_extract_all(nav, '<li><a href="[^"]*">[^<]*</a></li>'), 1) - 1 AS record FROM m)
+SELECT page_id, record, 'li' AS tag, {_ONE_SPACE.format(_DECODED.format("regexp_extract(li, '>([^<]*)</a>', 1)"))} AS label, {_DECODED.format("regexp_extract(li, 'href=.([^" + chr(34) + "]*)', 1)")} AS link FROM l""")
+def menu_records(spark, sf_dir):
+    """A record for each entry of the pages' menus."""
+    return D.records(table(spark, sf_dir, "pages"), "nav > ul > li", {"label": "a", "link": "a@href"})
+
+
+_ARTICLE = "a AS (SELECT page_id, regexp_extract(html, '<article>(.*)</article>', 1, 's') AS a, html FROM pages)"
+
+
+@query(f"""WITH {_ARTICLE}
+SELECT page_id, 0 AS record, 'article' AS tag, {_ONE_SPACE.format(_DECODED.format("regexp_extract(a, '<h1>([^<]*)</h1>', 1)"))} AS heading, len(regexp_extract_all(a, '<p>')) AS paragraphs, len(regexp_extract_all(a, '<br>')) AS breaks FROM a""")
+def article_records(spark, sf_dir):
+    """The article of each page: its heading and how many elements it has."""
+    return D.records(table(spark, sf_dir, "pages"), "body > article", {"heading": "h1", "paragraphs": "#count:p", "breaks": "#count:p br, h1 br"})
+
+
+@query(f"""WITH {_ARTICLE}, p AS (SELECT page_id, unnest(list_slice(string_split(a, '<p>'), 2, 1000000)) AS p, generate_subscripts(list_slice(string_split(a, '<p>'), 2, 1000000), 1) - 1 AS record FROM a)
+SELECT page_id, record, 'p' AS tag, {_ONE_SPACE.format(_DECODED.format("regexp_replace(replace(p, '<br>', ' '), '<[^>]*>', '', 'g')"))} AS text FROM p""")
+def paragraph_records(spark, sf_dir):
+    """A record for each paragraph of the articles, references decoded, blanks joined."""
+    return D.records(table(spark, sf_dir, "pages"), "article > p", {"text": ""})
+
+
 @query("""WITH t AS (SELECT page_id, regexp_replace(html, '<[^>]*>', '', 'g') AS t, html FROM pages) SELECT count(*) AS pages, CAST(sum(length(html)) AS BIGINT) AS raw_chars, CAST(sum(length(t)) AS BIGINT) AS text_chars, round(avg(length(t) / length(html)), 6) AS share FROM t""")
 def raw_against_text(spark, sf_dir):
     """Raw pages against their text without tags."""
