@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import similarity as S, stemming, text as X
+from ..functions import similarity as S, stemming, text as X, treebank as B
 from ..operators import sentences as N, subwords as U, tokens as T
 from ..sources.stored import kept, written
 from ._register import query, table
@@ -177,6 +179,47 @@ def learned_sentences(spark, sf_dir):
     return found.select("doc_id", (F.size("p") + 1).cast("long").alias("sentences"), F.array_join(F.transform("p", lambda x: x.cast("string")), ",").alias("ends"))
 
 
+def _rules_sql(c: str, rules: list[tuple[str, str]]) -> str:
+    for pattern, by in rules:
+        by = re.sub(r"\$(\d)", r"\\\1", by)
+        c = f"regexp_replace({c}, '{pattern.replace(chr(39), chr(39) * 2)}', '{by.replace(chr(39), chr(39) * 2)}', 'g')"
+    return c
+
+
+_TREEBANK = rf"""k AS (SELECT doc_id, unnest(string_split(regexp_replace(coalesce(text, ''), '([.!?])[ \t\n\r\f\v]+', '\1' || chr(1), 'g'), chr(1))) AS s, generate_subscripts(string_split(regexp_replace(coalesce(text, ''), '([.!?])[ \t\n\r\f\v]+', '\1' || chr(1), 'g'), chr(1)), 1) AS i FROM documents),
+w AS MATERIALIZED (SELECT doc_id, i, list_filter(regexp_split_to_array({_rules_sql('s', B.RULES)}, '[ \t\n\r\f\v]+'), lambda x: x <> '') AS t FROM k)"""
+
+
+@query(f"WITH {_TREEBANK} SELECT doc_id, CAST(sum(len(t)) AS BIGINT) AS tokens, md5(string_agg(array_to_string(t, ' '), ' ' ORDER BY i) FILTER (len(t) > 0)) AS digest FROM w GROUP BY 1")
+def treebank_tokens(spark, sf_dir):
+    """The tokens of each document, and a digest of them."""
+    t = _docs(spark, sf_dir).select("doc_id", B.text_tokens(F.col("text")).alias("t"))
+    return t.select("doc_id", F.size("t").cast("long").alias("tokens"), F.when(F.size("t") > 0, F.md5(F.array_join("t", " "))).alias("digest"))
+
+
+@query(f"WITH {_TREEBANK} SELECT sentence, tokens FROM (SELECT trim({_rules_sql("' ' || array_to_string(t, ' ') || ' '", B.INVERSE)}) AS sentence, count(*) AS tokens FROM w WHERE len(t) > 0 GROUP BY 1)")
+def rejoined_sentences(spark, sf_dir):
+    """Sentences that are joined from their tokens again, and how often each stands."""
+    parts = _docs(spark, sf_dir).select(F.explode(F.split(F.regexp_replace(F.coalesce("text", F.lit("")), r"([.!?])[ \t\n\r\f\x0B]+", "$1\u0001"), "\u0001")).alias("s"))
+    t = parts.select(B.tokens(F.col("s")).alias("t")).where("size(t) > 0")
+    return t.select(B.joined(F.col("t")).alias("sentence")).groupBy("sentence").agg(F.count("*").alias("tokens"))
+
+
+_CLOSE_BEFORE, _CLOSE_AFTER = ("(" + ",".join(f"'{c}'" for c in signs) + ")" for signs in (B.CLOSE_BEFORE, B.CLOSE_AFTER))
+
+
+_LM_OF_PART = _LM.replace("lower(text)", "lower(p)")
+
+
+@query(f"""WITH l AS (SELECT conv_id, turn, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])[ \\t\\n\\r\\f\\v]+', '\\1' || chr(1), 'g'), chr(1)), lambda p: {_LM_OF_PART}), lambda t: len(t) > 0) AS u FROM conversations WHERE text IS NOT NULL)
+SELECT conv_id, turn, array_to_string(list_transform(u, lambda t: list_reduce(t, lambda o, x: CASE WHEN x IN {_CLOSE_BEFORE} OR right(o, 1) IN {_CLOSE_AFTER} THEN o || x ELSE o || ' ' || x END)), chr(10)) AS text FROM l WHERE len(u) > 0""")
+def rendered_units(spark, sf_dir):
+    """The tokens of each turn, an end mark after each sentence, split by it and rendered."""
+    parts = F.split(F.regexp_replace("text", r"([.!?])[ \t\n\r\f\x0B]+", "$1\u0001"), "\u0001")
+    stream = F.flatten(F.transform(parts, lambda p: F.concat(X.lm_tokens(p), F.array(F.lit("</s>")))))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", B.rendered_units(stream, "</s>").alias("text")).where("text <> ''")
+
+
 _SENT_STOP = "(" + ",".join(f"'{w}'" for w in X.STOP_WORDS) + ")"
 _NEG = "(" + ",".join(f"'{w}'" for w in X.NEGATIONS) + ")"
 
