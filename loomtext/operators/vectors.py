@@ -38,6 +38,16 @@ def tf_idf(tf: DataFrame, key: str, min_df: int = 2, max_features: int = 50_000)
     return weights.join(norm, key).select(key, "term", (F.col("x") / F.col("norm")).alias("weight"))
 
 
+def hashed_features(docs: DataFrame, key: str, units: Column, buckets: int) -> DataFrame:
+    """key and vec: ln(1 + count) of the units in each bucket of their hash, rows of length one;
+    a document without units is all zeros."""
+    slot = F.pmod(F.xxhash64("u"), F.lit(buckets)).cast("int")
+    counts = each(docs, units, "u", key).groupBy(key, slot.alias("slot")).agg(F.log1p(F.count("*").cast("double")).alias("x"))
+    held = counts.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("slot", "x"))).alias("m"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+    vec = F.transform(F.sequence(F.lit(0), F.lit(buckets - 1)), lambda k: F.coalesce(F.element_at("m", k) / F.col("norm"), F.lit(0.0)))
+    return docs.select(key).join(held, key, "left").select(key, vec.alias("vec"))
+
+
 def mean_vectors(tokens: DataFrame, vectors: DataFrame, key: str, width: int) -> DataFrame:
     """(key, vector, tokens, known): the mean of the known tokens' vectors, zeros
     if there is none. tokens: (key, w); vectors: (w, vec)."""

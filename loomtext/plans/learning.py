@@ -10,7 +10,8 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import text as X
-from ..operators import vectors as V
+from ..operators import gradients as G, vectors as V
+from ..sources.stored import written
 from ._register import query, table
 
 _CLEAN = r"list_filter(string_split(trim(regexp_replace(lower(regexp_replace(text, '[^\p{L}\p{N}_\s]', '', 'g')), '\s+', ' ', 'g')), ' '), lambda w: w <> '')"
@@ -160,3 +161,23 @@ def feature_weights(spark, sf_dir):
     terms, weights = fitted.stages[0].vocabulary, fitted.stages[-1].coefficients.toArray()
     rows = spark.createDataFrame(list(zip(terms, map(float, weights), strict=True)), "term string, weight double")
     return rows.orderBy(F.desc("weight"), "term").limit(10).unionAll(rows.orderBy("weight", "term").limit(10))
+
+
+#: Buckets of hashed tokens, and random features of the kernel.
+BUCKETS, FEATURES = 128, 256
+
+
+@query()
+def gradient_classifiers(spark, sf_dir):
+    """Linear and Gaussian-kernel classifiers by mini-batch gradients, scored on the test split."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", X.lm_tokens(F.coalesce("text", F.lit(""))).alias("t"))
+    labelled = _split(spark, sf_dir).select("doc_id", "split", F.col("quality").alias("label"))
+    data = written(labelled.join(V.hashed_features(docs.join(labelled, "doc_id", "left_semi"), "doc_id", F.col("t"), BUCKETS), "doc_id").withColumnRenamed("doc_id", "key"))
+    train, test = data.where("split = 'train'"), data.where("split = 'test'")
+    kernel = G.Fourier.draw(BUCKETS, FEATURES, 1.0, seed=42)
+    out = None
+    for name, loss, features in (("linear hinge", "hinge", None), ("linear log", "log", None), ("kernel hinge", "hinge", kernel)):
+        model = G.fit(train, BUCKETS, loss, epochs=4, batches=6, rate=4.0, features=features)
+        part = V.evaluate(G.predicted(test, model), "label", "predicted").select(F.lit(name).alias("classifier"), "*")
+        out = part if out is None else out.unionAll(part)
+    return out
