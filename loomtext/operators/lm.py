@@ -8,6 +8,8 @@ the start mark is never predicted. Contexts are texts joined by a blank.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..sources.stored import written
@@ -104,27 +106,92 @@ def chance(seed: int, *parts: str) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *(F.col(p).cast("string") for p in parts))), 1, 8), 16, 10).cast("double") / (1 << 32)
 
 
-def generate(train: DataFrame, n: int, texts: int, words: int, seed: int = 1) -> DataFrame:
-    """(text, pos, w): words drawn from the maximum-likelihood model, all texts at
-    once, a join for each place. A successor holds a part of [0, 1), in the order of
-    the words; a context has as many buckets as successors, and a text meets
-    those of one bucket, so a context that all texts share is no product."""
+@dataclass(frozen=True)
+class Successors:
+    """What may follow each context: a successor holds a part [lo, hi) of [0, 1), in the order of
+    the words. A context has as many buckets as successors, and a text meets those of one
+    bucket, so a context that all texts share is no product."""
+
+    n: int
+    parts: DataFrame
+    known: DataFrame
+
+
+def successors(train: DataFrame, n: int) -> Successors:
+    """The maximum-likelihood model of order n; written."""
     table = counts(train, n).where(F.col("k") == n)
     upto = W.partitionBy("ctx").orderBy("w")
     parts = table.select("ctx", "w", F.sum("c").over(upto).alias("hi"), "c", F.sum("c").over(W.partitionBy("ctx")).alias("total"), F.count("*").over(W.partitionBy("ctx")).alias("buckets"))
     parts = parts.select("ctx", "w", "buckets", ((F.col("hi") - F.col("c")) / F.col("total")).alias("lo"), (F.col("hi") / F.col("total")).alias("hi"))
-    bucket = lambda x: F.least(F.floor(F.col(x) * F.col("buckets")), F.col("buckets") - 1)
-    parts = written(parts.select("ctx", "w", "lo", "hi", "buckets", F.explode(F.sequence(bucket("lo"), bucket("hi"))).alias("bucket")))
-    known = written(parts.groupBy("ctx").agg(F.max("buckets").alias("buckets")))
-    now = train.sparkSession.range(texts).select(F.col("id").alias("text"), F.lit(" ".join([BOS] * (n - 1))).alias("ctx"))
-    out = None
+    parts = written(parts.select("ctx", "w", "lo", "hi", "buckets", F.explode(F.sequence(_bucket("lo"), _bucket("hi"))).alias("bucket")))
+    return Successors(n, parts.drop("buckets"), written(parts.groupBy("ctx").agg(F.max("buckets").alias("buckets"))))
+
+
+def _bucket(x: str) -> Column:
+    return F.least(F.floor(F.col(x) * F.col("buckets")), F.col("buckets") - 1)
+
+
+#: Places that are drawn in one job.
+_PLACES = 4
+
+
+def draw(model: Successors, starts: DataFrame, words: int, seed: int) -> DataFrame:
+    """text and t (its words) for each text of ``starts``: all texts at once, a join for each place."""
+    last = max(model.n - 1, 1)
+    follow = model.parts.select(F.col("ctx").alias("of"), F.col("bucket").alias("part"), "w", "lo", "hi")
+    now = starts.select("text", F.lit(" ".join([BOS] * (model.n - 1))).alias("ctx"), F.array().cast("array<string>").alias("t"), F.lit(True).alias("open"))
     for pos in range(words):
-        drawn = now.join(known, "ctx").withColumn("pos", F.lit(pos)).withColumn("u", chance(seed, "text", "pos")).withColumn("bucket", bucket("u")).drop("buckets")
-        chosen = drawn.join(parts.drop("buckets"), ["ctx", "bucket"]).where((F.col("lo") <= F.col("u")) & (F.col("u") < F.col("hi"))).where(F.col("w") != EOS)
-        step = written(chosen.select("text", "pos", "w", "ctx"))
-        out = step if out is None else out.unionAll(step)
-        now = step.select("text", F.expr(f"array_join(slice(split(concat_ws(' ', nullif(ctx, ''), w), ' '), -{max(n - 1, 1)}, {max(n - 1, 1)}), ' ')").alias("ctx") if n > 1 else F.lit("").alias("ctx"))
-    return out.select("text", "pos", "w")
+        drawn = now.withColumn("pos", F.lit(pos)).join(model.known, "ctx", "left").withColumn("u", chance(seed, "text", "pos"))
+        drawn = drawn.withColumn("bucket", F.when(F.col("open"), _bucket("u"))).drop("pos", "buckets")
+        met = drawn.join(follow, (F.col("ctx") == F.col("of")) & (F.col("bucket") == F.col("part")) & (F.col("lo") <= F.col("u")) & (F.col("u") < F.col("hi")), "left")
+        goes = F.col("open") & F.col("w").isNotNull() & (F.col("w") != EOS)
+        ctx = F.expr(f"array_join(slice(split(concat_ws(' ', nullif(ctx, ''), w), ' '), -{last}, {last}), ' ')") if model.n > 1 else F.lit("")
+        now = met.select("text", F.when(goes, ctx).otherwise("").alias("ctx"), F.when(goes, F.concat("t", F.array("w"))).otherwise(F.col("t")).alias("t"), goes.alias("open"))
+        if pos % _PLACES == _PLACES - 1:
+            now = written(now)
+    return now.select("text", "t")
+
+
+def generate(train: DataFrame, n: int, texts: int, words: int, seed: int = 1) -> DataFrame:
+    """(text, pos, w): words drawn from the maximum-likelihood model."""
+    starts = train.sparkSession.range(texts).select(F.col("id").alias("text"))
+    return draw(successors(train, n), starts, words, seed).select("text", F.posexplode("t").alias("pos", "w"))
+
+
+def copies(drawn: DataFrame, source: DataFrame, share: float, most: int) -> DataFrame:
+    """text of those (text, t) that hold a run of more than ``share`` of their words, or of more than
+    ``most``, that the source (sid, t) has too; or that stand there whole. Only the lengths that occur are cut from the source."""
+    longer = F.least(F.round(F.size("t") * F.lit(share)).cast("int"), F.lit(most)) + 1
+    rows = drawn.where(F.size("t") > 0).select("text", "t", F.least(longer, F.size("t")).alias("n"))
+    asked = rows.select("text", "n", F.explode(F.transform(F.sequence(F.lit(1), F.size("t") - F.col("n") + 1), lambda i: F.array_join(F.slice("t", i, F.col("n")), " "))).alias("gram"))
+    asked = written(asked)
+    lengths = sorted(r["n"] for r in asked.select("n").distinct().collect())  # at most one for each length of a text
+    if not lengths:
+        return asked.select("text")
+    at = source.where(F.size("t") > 0).select("t", F.explode(F.sequence(F.lit(1), F.size("t"))).alias("i"))
+    cut = at.select("t", "i", F.explode(F.array(*map(F.lit, lengths))).alias("n")).where(F.col("i") + F.col("n") - 1 <= F.size("t"))
+    seen = cut.select("n", F.array_join(F.slice("t", F.col("i"), F.col("n")), " ").alias("gram"))
+    # the drawn runs are few beside the source's: they reduce those first
+    met = seen.join(asked.select("n", "gram").distinct(), ["n", "gram"], "left_semi").distinct()
+    return asked.join(met, ["n", "gram"], "left_semi").select("text").distinct()
+
+
+def generate_original(train: DataFrame, n: int, texts: int, words: int, share: float = 0.7, most: int = 15, tries: int = 10, seed: int = 1, least: int = 1) -> DataFrame:
+    """text, tries (that it took) and t: texts of ``least`` words or more of which none copies a long run of
+    the source (see ``copies``). Those that do are drawn again, all at once, up to ``tries`` times; texts that
+    never pass are left out."""
+    model = successors(train, n)
+    left = train.sparkSession.range(texts).select(F.col("id").alias("text"))
+    out = None
+    for k in range(tries):
+        drawn = written(draw(model, left, words, seed + 7919 * k))
+        bad = written(copies(drawn, train, share, most).unionAll(drawn.where(F.size("t") < least).select("text")).distinct())
+        passed = drawn.join(bad, "text", "left_anti").select("text", F.lit(k + 1).alias("tries"), "t")
+        out = passed if out is None else out.unionAll(passed)
+        left = bad
+        if left.isEmpty():
+            break
+    return out
 
 
 def grams(units: DataFrame, n: int) -> DataFrame:

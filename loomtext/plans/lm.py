@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.text import words
+from ..functions.text import characters, words
+from ..functions.treebank import rendered
 from ..operators import lm as L
 from ._register import query, table
 
@@ -118,6 +119,21 @@ def lm_generate(spark, sf_dir):
     return L.generate(_sentences(spark, sf_dir)[0], 2, 20, 20, seed=7)
 
 
+@query()
+def lm_generate_original(spark, sf_dir):
+    """Twenty texts from the trigram model without long copied runs, rendered."""
+    found = L.generate_original(_sentences(spark, sf_dir)[0], 3, 20, 20, tries=5, seed=7)
+    return found.select("text", "tries", F.size("t").alias("words"), rendered(F.col("t")).alias("line"))
+
+
+@query()
+def lm_generate_characters(spark, sf_dir):
+    """Twenty texts of at most forty characters from the model of five characters."""
+    train = _sentences(spark, sf_dir)[0].select("sid", F.transform(characters(F.array_join("t", " ")), lambda c: F.when(c == " ", "_").otherwise(c)).alias("t"))
+    found = L.generate_original(train, 5, 20, 40, share=0.9, most=30, tries=3, seed=7, least=3)
+    return found.select("text", "tries", F.replace(F.array_join("t", ""), F.lit("_"), F.lit(" ")).alias("line"))
+
+
 _GRAM = "SELECT unnest(list_transform(range(1, len(t) - {m}), lambda i: array_to_string(t[i:i + {k}], ' '))) AS g FROM {src} WHERE len(t) >= {n}"
 
 
