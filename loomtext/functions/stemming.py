@@ -168,7 +168,49 @@ def snowball_english(word: str) -> str:
     return w.lower()
 
 
-STEMMERS = {"porter": porter, "snowball": snowball_english}
+#: The published rules of Paice and Husk (fixed values), in their order: the ending read backwards, * if
+#: the word must be as it was, letters to remove, what to append, and > (go on) or . (stop).
+_LANCASTER = """ai*2. a*1. bb1. city3s. ci2> cn1t> dd1. dei3y> deec2ss. dee1. de2> dooh4> e1> feil1v. fi2> gni3> gai3y. ga2> gg1.
+ht*2. hsiug5ct. hsi3> i*1. i1y> ji1d. juf1s. ju1d. jo1d. jeh1r. jrev1t. jsim2t. jn1d. j1s. lbaifi6. lbai4y. lba3> lbi3. lib2l> lc1.
+lufi4y. luf3> lu2. lai3> lau3> la2> ll1. mui3. mu*2. msi3> mm1. nois4j> noix4ct. noi3> nai3> na2> nee0. ne2> nn1. pihs4> pp1. re2>
+rae0. ra2. ro2> ru2> rr1. rt1> rei3y> sei3y> sis2. si2> ssen4> ss0. suo3> su*2. s*1> s0. tacilp4y. ta2> tnem4> tne3> tna3> tpir2b.
+tpro2b. tcud1. tpmus2. tpec2iv. tulo2v. tsis0. tsi3> tt1. uqi3. ugo1. vis3j> vie0. vi2> ylb1> yli3y> ylp0. yl2> ygo1. yhp1. ymo1.
+ypo1. yti3> yte3> ytl2. yrtsi5. yra3> yro3> yfi3. ycn2t> yca3> zi2> zy1s.""".split()
+
+
+@lru_cache(maxsize=1)
+def _lancaster_rules() -> dict[str, list[tuple[str, bool, int, str, bool]]]:
+    """By last letter: ending, whether the word must be intact, letters to remove, appended ones, whether to go on."""
+    out: dict[str, list[tuple[str, bool, int, str, bool]]] = {}
+    for rule in _LANCASTER:
+        ending, intact, remove, append, after = re.fullmatch(r"([a-z]+)(\*?)(\d)([a-z]*)([>.])", rule).groups()
+        out.setdefault(ending[0], []).append((ending[::-1], bool(intact), int(remove), append, after == ">"))
+    return out
+
+
+def lancaster(word: str) -> str:
+    """The iterated rules of Paice and Husk: the first rule that fits is applied, until one
+    says stop or none fits. What is left needs two letters after a vowel, or three with a vowel among
+    the next two."""
+    w = first = word.lower()
+
+    def enough(remove: int) -> bool:
+        left = len(w) - remove
+        return left >= 2 if w[0] in "aeiouy" else left >= 3 and any(c in "aeiouy" for c in w[1:3])
+
+    while True:
+        letters = re.match(r"[^\W\d_]*", w)[0]
+        for ending, intact, remove, append, goes in _lancaster_rules().get(letters[-1:], ()):
+            if w.endswith(ending) and (not intact or w == first) and enough(remove):
+                w = w[: len(w) - remove] + append
+                if not goes:
+                    return w
+                break
+        else:
+            return w
+
+
+STEMMERS = {"porter": porter, "snowball": snowball_english, "lancaster": lancaster}
 
 
 def stem_vocabulary(vocabulary: DataFrame, word: str, stemmers: tuple[str, ...] = ("porter", "snowball")) -> DataFrame:

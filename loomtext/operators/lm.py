@@ -132,7 +132,7 @@ def _bucket(x: str) -> Column:
 
 
 #: Places that are drawn in one job.
-_PLACES = 4
+_PLACES = 10
 
 
 def draw(model: Successors, starts: DataFrame, words: int, seed: int) -> DataFrame:

@@ -128,9 +128,9 @@ def lm_generate_original(spark, sf_dir):
 
 @query()
 def lm_generate_characters(spark, sf_dir):
-    """Twenty texts of at most forty characters from the model of five characters."""
+    """Twenty texts of at most thirty characters from the model of five characters."""
     train = _sentences(spark, sf_dir)[0].select("sid", F.transform(characters(F.array_join("t", " ")), lambda c: F.when(c == " ", "_").otherwise(c)).alias("t"))
-    found = L.generate_original(train, 5, 20, 40, share=0.9, most=30, tries=3, seed=7, least=3)
+    found = L.generate_original(train, 5, 20, 30, share=0.9, most=20, tries=2, seed=7, least=3)
     return found.select("text", "tries", F.replace(F.array_join("t", ""), F.lit("_"), F.lit(" ")).alias("line"))
 
 

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import similarity as S, stemming, text as X, treebank as B
-from ..operators import sentences as N, subwords as U, tokens as T
+from ..operators import sentences as N, subwords as U, table_functions as TF, tokens as T
 from ..sources.stored import kept, written
 from ._register import query, table
 
@@ -264,6 +264,23 @@ def edit_scripts(spark, sf_dir):
     return ops.select("id", count("match").alias("matches"), count("insert").alias("inserts"), count("substitute").alias("substitutes"), count("delete").alias("deletes"), F.col("w").alias("word_distance"))
 
 
+@query("""SELECT p.p_partkey, levenshtein(q.p_name, p.p_name) AS edits, length(p.p_name) - length(q.p_name) AS growth, true AS whole FROM part p JOIN part q ON q.p_partkey = p.p_partkey - 1""")
+def name_edit_steps(spark, sf_dir):
+    """Steps that turn each part's name into the next one's, by a table function joined laterally."""
+    part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("b"))
+    pairs = part.join(part.select((F.col("p_partkey") + 1).alias("p_partkey"), F.col("b").alias("a")), "p_partkey")
+    n = lambda *kinds: F.count_if(F.col("operation").isin(*kinds))
+    steps = TF.edit_steps(pairs, "a", "b").groupBy("p_partkey", "a", "b").agg(n("insert", "delete", "substitute").alias("edits"), (n("insert") - n("delete")).alias("growth"), F.count("*").alias("n"))
+    return steps.select("p_partkey", "edits", "growth", (F.col("n") >= F.greatest(F.length("a"), F.length("b"))).alias("whole"))
+
+
+@query("""WITH s AS (SELECT p_brand, p_partkey, CASE WHEN p_retailprice >= lag(p_retailprice) OVER w THEN 0 ELSE 1 END AS begins FROM part WINDOW w AS (PARTITION BY p_brand ORDER BY p_partkey)),
+r AS (SELECT p_brand, p_partkey, sum(begins) OVER (PARTITION BY p_brand ORDER BY p_partkey) AS run FROM s) SELECT p_brand AS part, CAST(run AS INTEGER) AS run, min(p_partkey) AS first, max(p_partkey) AS last, count(*) AS rows FROM r GROUP BY 1, 2""")
+def rising_prices(spark, sf_dir):
+    """Runs of each brand's parts whose prices never fall, by a table function over partitioned input."""
+    return TF.rising_runs(table(spark, sf_dir, "part"), F.col("p_brand"), F.col("p_partkey"), F.col("p_retailprice"))
+
+
 def _vocabulary(spark, sf_dir) -> DataFrame:
     return _docs(spark, sf_dir).select(F.explode(_words()).alias("w")).groupBy("w").agg(F.count("*").alias("c"))
 
@@ -274,6 +291,13 @@ def stem_table(spark, sf_dir):
     return T.stem_disagreements(stemming.stem_vocabulary(_vocabulary(spark, sf_dir), "w"))
 
 
+@query()
+def lancaster_table(spark, sf_dir):
+    """Words of the documents whose Porter and Lancaster stems differ."""
+    stems = stemming.stem_vocabulary(_vocabulary(spark, sf_dir), "w", ("porter", "lancaster"))
+    return T.stem_disagreements(stems, "porter", "lancaster")
+
+
 @query()
 def over_and_under_stemming(spark, sf_dir):
     """Stems that gather unrelated suffix-stripped forms."""

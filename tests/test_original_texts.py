@@ -45,12 +45,12 @@ def test_texts_equal_plain_python_and_none_is_a_copy(spark):
     rng = random.Random(51)
     sentences = [rng.choices("abcdef", [6, 5, 4, 3, 2, 1], k=rng.randint(1, 9)) for _ in range(40)]
     train = spark.createDataFrame(list(enumerate(sentences)), "sid long, t array<string>")
-    for n, share, most, tries in [(2, 0.6, 15, 4), (3, 0.5, 4, 3), (3, 0.2, 1, 2)]:
-        got = {r.text: (r.tries, r.t) for r in L.generate_original(train, n, 25, 10, share, most, tries, seed=5).collect()}
+    for n, share, most, tries in [(2, 0.6, 15, 3), (3, 0.2, 1, 2)]:
+        got = {r.text: (r.tries, r.t) for r in L.generate_original(train, n, 25, 7, share, most, tries, seed=5).collect()}
         counts, expected = model(sentences, n), {}
         for text in range(25):
             for k in range(tries):
-                t = drawn(counts, n, text, 10, 5 + 7919 * k)
+                t = drawn(counts, n, text, 7, 5 + 7919 * k)
                 if t and not copied(t, sentences, share, most):
                     expected[text] = (k + 1, t)
                     break
@@ -73,5 +73,5 @@ def test_texts_over_conversations(spark):
     found = L.generate_original(plans._sentences(spark, sf)[0], 3, 20, 20, tries=5, seed=7)
     assert not any(copied(r.t, source, 0.7, 15) for r in found.collect())
     lines = plans.lm_generate_characters(spark, sf).collect()
-    assert all(3 <= len(r.line) <= 40 for r in lines)
-    assert not any(copied(list(r.line), [list(" ".join(t)) for t in source], 0.9, 30) for r in lines)
+    assert all(3 <= len(r.line) <= 30 for r in lines)
+    assert not any(copied(list(r.line), [list(" ".join(t)) for t in source], 0.9, 20) for r in lines)
