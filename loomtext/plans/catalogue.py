@@ -9,6 +9,8 @@ from ..operators import dom as D, profile as P
 from ..operators.paging import keyset_page, numbered_page, offset_page
 from ..operators.ranking import keep_first, ranked, top_per_group
 from ..operators.records import column_differences, merge_records
+from ..sources.paged import PagedSource
+from ..sources.stored import new_path
 from ._register import query, table
 
 _R = "round({}, 6)"
@@ -395,6 +397,17 @@ def corpus_checks(spark, sf_dir):
     return parts.unionAll(orphans.select(F.lit("labels_without_document"), "bad")).unionAll(shared.select(F.lit("shared_texts"), "bad"))
 
 
+@query("SELECT page_id, url, length(html) AS chars FROM pages")
+def paged_source(spark, sf_dir):
+    """Pages of a hundred records, written as JSON envelopes and read through the paged source."""
+    rows = table(spark, sf_dir, "pages").select((F.col("page_id") - F.pmod("page_id", F.lit(100))).alias("page"), F.struct("page_id", "url", F.length("html").alias("chars")).alias("x"))
+    envelope = F.to_json(F.struct("page", F.collect_list("x").alias("items")), {"ignoreNullFields": "false"})
+    folder = new_path(spark)
+    rows.groupBy("page").agg(envelope.alias("value")).write.partitionBy("page").text(folder)
+    spark.dataSource.register(PagedSource)
+    return spark.read.format("paged").options(path=f"{folder}/none\n{folder}", fields="page_id long, url string, chars long", rows="items").load()
+
+
 @query("SELECT * FROM (VALUES (1, 1.0), (2, 2.0), (3, 4.0), (4, 8.0), (5, 10.0)) t(attempt, w)".replace("SELECT *", "SELECT attempt, CAST(w AS DOUBLE) AS wait_s"))
 def backoff_schedule(spark, sf_dir):
     """Waits between attempts, doubled up to a limit."""
