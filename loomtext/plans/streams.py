@@ -58,11 +58,40 @@ def paced_requests(spark, sf_dir):
 
 @query("SELECT DISTINCT user_id FROM events")
 def first_seen_stream(spark, sf_dir):
-    """Distinct users of a stream with a seen set."""
-    return drained(_stream(spark, sf_dir).select("user_id").dropDuplicates(["user_id"]))
+    """Distinct users of a stream. The seen set forgets a user a day after the last event; who comes
+    back later is met among the few rows that the stream has put out."""
+    return drained(L.distinct_stream(_stream(spark, sf_dir).select("user_id", "ts"), "user_id", "ts", "1 day").select("user_id")).distinct()
 
 
 @query("SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H') AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def tumbling_counts(spark, sf_dir):
     """Extension: hourly windows."""
     return L.windowed_counts(table(spark, sf_dir, "events"), "ts", "event_type", "1 hour").select(F.date_format("start", "yyyy-MM-dd HH").alias("hour"), "event_type", "n")
+
+
+_SESSIONS = f"""WITH s AS (SELECT user_id, {_T} AS t, CASE WHEN {_T} - lag({_T}) OVER w <= 1800000000 THEN 0 ELSE 1 END AS begins FROM events WINDOW w AS (PARTITION BY user_id ORDER BY {_T})),
+r AS (SELECT user_id, t, sum(begins) OVER (PARTITION BY user_id ORDER BY t, begins DESC ROWS UNBOUNDED PRECEDING) AS k FROM s),
+o AS (SELECT user_id, min(t) AS start_us, max(t) + 1800000000 AS end_us, count(*) AS n FROM r GROUP BY user_id, k)"""
+
+
+def _in_micros(df: DataFrame) -> DataFrame:
+    return df.select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n")
+
+
+@query(f"{_SESSIONS} SELECT user_id, start_us, end_us, n FROM o")
+def session_windows(spark, sf_dir):
+    """Extension: sessions of each user, half an hour apart."""
+    return _in_micros(L.sessions(table(spark, sf_dir, "events"), "user_id", "ts", "30 minutes"))
+
+
+@query(f"{_SESSIONS} SELECT user_id, start_us, end_us, n FROM o WHERE end_us <= (SELECT max({_T}) FROM events) - 3600000000")
+def session_windows_as_stream(spark, sf_dir):
+    """Extension: the sessions that a stream has closed, with rows up to an hour late."""
+    return _in_micros(drained(L.sessions(_stream(spark, sf_dir).select("user_id", "ts"), "user_id", "ts", "30 minutes", "1 hour")))
+
+
+@query(f"WITH w AS (SELECT event_type, unnest(range(({_T} // 900000000 - 3) * 900000000, ({_T} // 900000000 + 1) * 900000000, 900000000)) AS start_us FROM events) SELECT start_us, event_type, count(*) AS n FROM w GROUP BY 1, 2")
+def sliding_counts(spark, sf_dir):
+    """Extension: windows of an hour that begin every quarter."""
+    found = L.windowed_counts(table(spark, sf_dir, "events"), "ts", "event_type", "1 hour", "15 minutes")
+    return found.select(F.unix_micros("start").alias("start_us"), "event_type", "n")

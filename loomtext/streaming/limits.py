@@ -96,3 +96,13 @@ def windowed_counts(log: DataFrame, time: str, by: str, length: str, slide: str
     rows = rows.withWatermark(time, delay) if delay else rows
     w = F.window(time, length, slide) if slide else F.window(time, length)
     return rows.groupBy(w.alias("w"), by).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), by, "n")
+
+
+def sessions(log: DataFrame, by: str, time: str, gap: str, delay: str | None = None) -> DataFrame:
+    """start, end (the gap after the last row) and n of each group's sessions: rows at most the gap
+    apart. Over a stream, ``delay`` says how late a row may come: until then it joins sessions, or
+    makes two of them one; sessions whose end the watermark has passed are put out and forgotten."""
+    rows = log.withColumn(time, F.col(time).cast("timestamp"))
+    rows = rows.withWatermark(time, delay) if delay else rows
+    found = rows.groupBy(by, F.session_window(time, gap).alias("w")).agg(F.count("*").alias("n"))
+    return found.select(by, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
