@@ -12,13 +12,15 @@ CURRENCIES = (("zł", "PLN"), ("pln", "PLN"), ("eur", "EUR"), ("€", "EUR"), ("
 RATES = {"PLN": 1.0, "EUR": 4.30, "USD": 4.00}
 #: Warranty texts without a number, and their months (fixed values).
 WARRANTIES = {"zgodnie z rękojmią": 24}
+#: Patterns of numbers, months and relative days (fixed values).
+NUMBER, WHOLE, PERIOD, AGO = r"\d+(?:[.,]\d+)?", r"\d[\d ]*", r"(\d+)\s*(mies|lat|rok)", r"^(\d+)\s+dni\s+temu$"
 #: Days before today of relative dates (fixed values).
 DAYS_AGO = {"dzisiaj": 0, "dziś": 0, "wczoraj": 1, "przedwczoraj": 2}
 
 
 def normalise(c: Column) -> Column:
     """White space collapsed, no-break spaces too; texts for "no value" are null."""
-    x = F.trim(F.regexp_replace(F.regexp_replace(c.cast("string"), " ", " "), r"\s+", " "))
+    x = F.trim(F.regexp_replace(F.replace(c.cast("string"), F.lit("\u00a0"), F.lit(" ")), r"\s+", " "))
     return F.when(~F.lower(x).isin(*MISSING), x)
 
 
@@ -48,7 +50,7 @@ def price(c: Column) -> Column:
 def price_in_pln(c: Column) -> Column:
     """struct(amount, currency, pln): a leading $ is USD, any € is EUR, all else
     PLN; USD drops commas, the others read them as decimal. Two dots: no amount."""
-    x = F.trim(F.regexp_replace(c.cast("string"), " ", " "))
+    x = F.trim(F.replace(c.cast("string"), F.lit("\u00a0"), F.lit(" ")))
     code = F.when(F.startswith(x, F.lit("$")), F.lit("USD")).when(F.contains(x, F.lit("€")), F.lit("EUR")).otherwise(F.lit("PLN"))
     digits = F.regexp_replace(x, r"[^\d,.]", "")
     amount = F.round(F.replace(digits, F.lit(","), F.when(code == "USD", F.lit("")).otherwise(F.lit("."))).try_cast("double"), 2)
@@ -59,7 +61,7 @@ def price_in_pln(c: Column) -> Column:
 
 def decimal_number(c: Column) -> Column:
     """The first number with an optional fraction (ratings, weights)."""
-    return F.replace(first_match(normalise(c), r"\d+(?:[.,]\d+)?"), F.lit(","), F.lit(".")).try_cast("double")
+    return F.replace(first_match(normalise(c), NUMBER), F.lit(","), F.lit(".")).try_cast("double")
 
 
 def weight_kg(c: Column) -> Column:
@@ -69,15 +71,15 @@ def weight_kg(c: Column) -> Column:
 
 def whole_number(c: Column) -> Column:
     """The first whole number; spaces between digits are dropped."""
-    return F.replace(first_match(normalise(c), r"\d[\d ]*"), F.lit(" "), F.lit("")).try_cast("long")
+    return F.replace(first_match(normalise(c), WHOLE), F.lit(" "), F.lit("")).try_cast("long")
 
 
 def warranty(c: Column) -> Column:
     """struct(text, months): months as such, years times 12, else null."""
     x = normalise(c)
     low = F.lower(x)
-    number = F.regexp_extract(low, r"(\d+)\s*(mies|lat|rok)", 1).try_cast("long")
-    unit = F.regexp_extract(low, r"(\d+)\s*(mies|lat|rok)", 2)
+    number = F.regexp_extract(low, PERIOD, 1).try_cast("long")
+    unit = F.regexp_extract(low, PERIOD, 2)
     fixed = F.create_map(*(F.lit(v) for kv in WARRANTIES.items() for v in kv))[low]
     months = F.coalesce(fixed.cast("long"), F.when(unit.isin("lat", "rok"), number * 12).otherwise(number))
     return F.struct(x.alias("text"), months.alias("months"))
@@ -95,7 +97,7 @@ def any_date(c: Column, today: Column) -> Column:
     """A date in one of three formats or relative to ``today``; else null."""
     x = normalise(c)
     low = F.lower(x)
-    days = F.coalesce(F.create_map(*(F.lit(v) for kv in DAYS_AGO.items() for v in kv))[low], F.regexp_extract(low, r"^(\d+)\s+dni\s+temu$", 1).try_cast("int"))
+    days = F.coalesce(F.create_map(*(F.lit(v) for kv in DAYS_AGO.items() for v in kv))[low], F.regexp_extract(low, AGO, 1).try_cast("int"))
     return F.coalesce(F.date_sub(today, days), *(F.try_to_date(x, f) for f in ("yyyy-MM-dd", "dd.MM.yyyy", "dd/MM/yyyy")))
 
 

@@ -24,7 +24,7 @@ def _distances(a: str, b: str) -> list[list[int]]:
 
 def edit_script(a, b) -> list[tuple[str, str, str]]:
     """(operation, from, to) of a cheapest edit; going back, a diagonal step is
-    preferred, then an insertion, then a deletion."""
+    preferred, then an insertion, then a deletion (a fixed order)."""
     d, i, j = _distances(a, b), len(a), len(b)
     out = []
     while i or j:
@@ -85,7 +85,7 @@ def jaro(a: str, b: str) -> float:
     if not mine:
         return 0.0
     other = [y for y, u in zip(b, used, strict=True) if u]
-    half = sum(x != y for x, y in zip(mine, other, strict=True)) / 2
+    half = sum(x != y for x, y in zip(mine, other, strict=True)) // 2  # whole transpositions
     m = len(mine)
     return (m / len(a) + m / len(b) + (m - half) / m) / 3
 

@@ -178,6 +178,23 @@ def first_sentence_with(sentences: DataFrame, phrases: DataFrame) -> DataFrame:
     return found
 
 
+def near_pairs(texts: DataFrame, column: str, edits: int) -> DataFrame:
+    """a, b (a < b) and distance of the distinct texts within so many edits. Two such texts give an
+    equal one when at most ``edits`` letters are deleted from each, so they meet at it: no
+    pair is compared that doesn't, and none is missed. For names: a text of n letters has about n^edits of these."""
+    own = texts.select(F.col(column).alias("t")).where(F.col(column).isNotNull()).distinct()
+
+    def shorter(t: Column) -> Column:
+        return F.when(F.length(t) > 0, F.transform(F.sequence(F.lit(1), F.length(t)), lambda i: F.concat(F.substring(t, F.lit(1), i - 1), F.substring(t, i + 1, F.length(t))))).otherwise(F.array().cast("array<string>"))
+
+    kept = own.select("t", F.array("t").alias("v"), F.array("t").alias("last"))
+    for _ in range(edits):
+        kept = kept.withColumn("last", F.array_distinct(F.flatten(F.transform("last", shorter)))).withColumn("v", F.concat("v", "last"))
+    met = written(kept.select("t", F.explode(F.array_distinct("v")).alias("v")))
+    pairs = met.select(F.col("t").alias("a"), "v").join(met.select(F.col("t").alias("b"), "v"), "v").where("a < b").select("a", "b").distinct()
+    return pairs.withColumn("distance", F.levenshtein("a", "b", edits)).where("distance >= 0")
+
+
 def song_lines(lines: DataFrame, own: str) -> DataFrame:
     """Lines (song, pos, line) without section headers and without the verses
     that a header gives to someone else; the header's decision holds until the

@@ -16,59 +16,83 @@ from ._register import query, table
 _R = "round({}, 6)"
 
 
-@query("""SELECT * FROM (VALUES (1,'Dell'),(2,NULL),(3,NULL),(4,'a b c'),(5,NULL),(6,NULL),(7,'Brak x')) t(id, v)""")
+def _messy(spark, sf_dir, name: str, key: str, styles: list, column: str = "x"):
+    """A text for each row of the table, in the style that its key gives: the styles are columns over the table."""
+    rows = table(spark, sf_dir, name)
+    style = F.pmod(F.col(key), F.lit(len(styles)))
+    text = F.coalesce(*(F.when(style == k, s.cast("string") if s is not None else F.lit(None).cast("string")) for k, s in enumerate(styles)))
+    return rows.withColumn(column, text)
+
+
+def _case(key: str, *values: str) -> str:
+    return f"CASE {key} % {len(values)} " + " ".join(f"WHEN {k} THEN {v}" for k, v in enumerate(values)) + " END"
+
+
+@query(f"SELECT p_partkey, {_case('p_partkey', 'p_name', 'p_name', 'NULL', 'NULL', 'NULL', 'NULL', chr(39) + 'Brak ' + chr(39) + ' || p_name')} AS v FROM part")
 def clean_normalise(spark, sf_dir):
-    """P1."""
-    rows = [(1, "  Dell  "), (2, "Brak danych"), (3, " - "), (4, "a \t b\n c"), (5, None), (6, ""), (7, "Brak  x")]
-    return spark.createDataFrame(rows, "id int, x string").select("id", C.normalise(F.col("x")).alias("v"))
+    """Names with stray white space, and texts that say there is none."""
+    name = F.col("p_name")
+    styles = [F.concat(F.lit("  "), F.replace(name, F.lit(" "), F.lit(" \t\n ")), F.lit("\u00a0 ")), F.replace(name, F.lit(" "), F.lit("\u00a0")), F.lit("Brak danych"), F.lit(" - "), None, F.lit(""), F.concat(F.lit("Brak  "), name)]
+    return _messy(spark, sf_dir, "part", "p_partkey", styles).select("p_partkey", C.normalise(F.col("x")).alias("v"))
 
 
-@query("""SELECT * FROM (VALUES (1,1201.35,'PLN'),(2,7726.24,'PLN'),(3,99.0,'PLN'),(4,799.0,'EUR'),(5,649.99,'USD'),(6,1234.56,'USD'),(7,1234.56,'USD'),(8,1234.56,'EUR'),(9,NULL,NULL),(10,NULL,NULL))
-t(id, a, currency) """.replace("SELECT *", "SELECT id, CAST(a AS DOUBLE) AS amount, currency"))
+def _prices() -> list:
+    """How catalogues write a price."""
+    english = F.format_number("p_retailprice", 2)
+    spaced = F.replace(F.replace(english, F.lit(","), F.lit(" ")), F.lit("."), F.lit(","))
+    dotted = F.translate(english, ",.", ".,")
+    return [F.concat(spaced, F.lit(" zł")), F.concat(F.replace(spaced, F.lit(" "), F.lit("\u00a0")), F.lit("\u00a0zł")), F.concat(spaced, F.lit(" EUR")), F.concat(F.lit("$"), F.replace(english, F.lit(","), F.lit(""))), F.concat(F.lit("$"), english), F.concat(dotted, F.lit(" €")), None, F.lit("")]
+
+
+@query(f"""SELECT p_partkey, CASE WHEN p_partkey % 8 < 6 THEN round(p_retailprice, 2) END AS amount, {_case('p_partkey', "'PLN'", "'PLN'", "'EUR'", "'USD'", "'USD'", "'EUR'", 'NULL', 'NULL')} AS currency FROM part""")
 def clean_price(spark, sf_dir):
-    """P2."""
-    rows = ["1 201,35 zł", "7 726,24 zł", "99,00 zł", "799,00 EUR", "$649.99", "$1 234.56", "$1,234.56", "1.234,56 €", None, ""]
-    return spark.createDataFrame(list(enumerate(rows, 1)), "id int, x string").select("id", C.price(F.col("x")).alias("p")).select("id", "p.*")
+    """Prices in eight spellings."""
+    return _messy(spark, sf_dir, "part", "p_partkey", _prices()).select("p_partkey", C.price(F.col("x")).alias("p")).select("p_partkey", "p.*")
 
 
-@query("""SELECT id, CAST(a AS DOUBLE) AS amount, currency, CAST(p AS DOUBLE) AS pln FROM (VALUES (1,1299.0,'PLN',1299.0),(2,100.0,'EUR',430.0),(3,250.0,'USD',1000.0),(4,3499.99,'PLN',3499.99),(5,NULL,NULL,NULL),(6,NULL,NULL,NULL),(7,NULL,'EUR',NULL))
-t(id, a, currency, p)""")
+@query(f"""WITH c AS (SELECT p_partkey, {_case('p_partkey', "'PLN'", "'PLN'", "'PLN'", "'USD'", "'USD'", "'EUR'", 'NULL', 'NULL')} AS currency, CASE WHEN p_partkey % 8 < 5 OR (p_partkey % 8 = 5 AND p_retailprice < 1000) THEN round(p_retailprice, 2) END AS amount FROM part)
+SELECT p_partkey, amount, currency, round(amount * CASE currency WHEN 'PLN' THEN 1.0 WHEN 'EUR' THEN 4.3 ELSE 4.0 END, 2) AS pln FROM c""")
 def clean_price_pln(spark, sf_dir):
-    """P3."""
-    rows = ["1 299,00 zł", "100,00 €", "$250.00", "3 499,99 zł", None, "", "1.234,56 €"]
-    return spark.createDataFrame(list(enumerate(rows, 1)), "id int, x string").select("id", C.price_in_pln(F.col("x")).alias("p")).select("id", "p.*")
+    """The same prices by the rules that know no thousands' dots."""
+    return _messy(spark, sf_dir, "part", "p_partkey", _prices()).select("p_partkey", C.price_in_pln(F.col("x")).alias("p")).select("p_partkey", "p.*")
 
 
-@query("""SELECT id, CAST(r AS DOUBLE) AS number, CAST(w AS VARCHAR) AS whole, CAST(k AS DOUBLE) AS kg FROM (VALUES (1,4.7,4,NULL),(2,3.2,3,3.2),(3,NULL,NULL,NULL),(4,142.0,142,NULL),(5,1.75,1,1.75),(6,1.0,1200,NULL),(7,1.43,1,1.43)) t(id, r, w, k)""")
+@query(f"""SELECT p_partkey, {_case('p_partkey', 'p_size / 10', 'p_size / 10', 'NULL', 'CAST(left(CAST(1000 + p_partkey AS VARCHAR), -3) AS DOUBLE)', 'p_size / 100', 'p_size / 100')} AS number,
+CAST({_case('p_partkey', 'p_size // 10', 'p_size // 10', 'NULL', '1000 + p_partkey', 'p_size // 100', 'p_size // 100')} AS VARCHAR) AS whole, {_case('p_partkey', 'NULL', 'p_size / 10', 'NULL', 'NULL', 'p_size / 100', 'p_size / 100')} AS kg FROM part""")
 def clean_numbers(spark, sf_dir):
-    """P4-P6."""
-    rows = ["4.7/5.0 ⭐", "3.2", "Brak oceny", "142 opinii", "1.75 kg", "1 200 opinii", "1,43 kg"]
+    """Ratings, counts of opinions and weights."""
+    rating, weight = F.format_string("%.1f", F.col("p_size") / 10), F.format_string("%.2f", F.col("p_size") / 100)
+    styles = [F.concat(rating, F.lit("/5.0 ⭐")), rating, F.lit("Brak oceny"), F.concat(F.replace(F.format_number(1000 + F.col("p_partkey"), 0), F.lit(","), F.lit(" ")), F.lit(" opinii")), F.concat(weight, F.lit(" kg")), F.concat(F.replace(weight, F.lit("."), F.lit(",")), F.lit(" kg"))]
     x = F.col("x")
-    return spark.createDataFrame(list(enumerate(rows, 1)), "id int, x string").select("id", C.decimal_number(x).alias("number"), C.whole_number(x).cast("string").alias("whole"), C.weight_kg(x).alias("kg"))
+    return _messy(spark, sf_dir, "part", "p_partkey", styles).select("p_partkey", C.decimal_number(x).alias("number"), C.whole_number(x).cast("string").alias("whole"), C.weight_kg(x).alias("kg"))
 
 
-@query("""SELECT * FROM (VALUES (1,'24 miesiące',24,24,'24 mies.'),(2,'12 miesięcy',12,12,'12 mies.'),(3,'Dożywotnia producenta',NULL,NULL,'Dożywotnia producenta'),(4,NULL,NULL,NULL,'brak informacji'),(5,'2 lata',24,2,'2 mies.'),(6,'Zgodnie z rękojmią',24,NULL,'Zgodnie z rękojmią'),(7,NULL,NULL,NULL,'-')) t(id, text, a, b, text2)""".replace("SELECT *", "SELECT id, text, CAST(a AS VARCHAR) AS months, CAST(b AS VARCHAR) AS months2, text2"))
+@query(f"""WITH n AS (SELECT p_partkey, CAST(p_size AS VARCHAR) AS n, CAST(p_size * 12 AS VARCHAR) AS y FROM part)
+SELECT p_partkey, {_case('p_partkey', "n || ' miesięcy'", "n || ' lat'", "'Dożywotnia producenta'", "'Zgodnie z rękojmią'", 'NULL', 'NULL')} AS text, {_case('p_partkey', 'n', 'y', 'NULL', "'24'", 'NULL', 'NULL')} AS months, {_case('p_partkey', 'n', 'n', 'NULL', 'NULL', 'NULL', 'NULL')} AS months2,
+{_case('p_partkey', "n || ' mies.'", "n || ' mies.'", "'Dożywotnia producenta'", "'Zgodnie z rękojmią'", "'brak informacji'", "'-'")} AS text2 FROM n""")
 def clean_warranty(spark, sf_dir):
-    """P7, P8."""
-    rows = ["24 miesiące", "12 miesięcy", "Dożywotnia producenta", "brak informacji", "2 lata", "Zgodnie z rękojmią", "-"]
-    x = F.col("x")
-    both = spark.createDataFrame(list(enumerate(rows, 1)), "id int, x string").select("id", C.warranty(x).alias("a"), C.warranty_months(x).alias("b"))
-    return both.select("id", "a.text", F.col("a.months").cast("string").alias("months"), F.col("b.months").cast("string").alias("months2"), F.col("b.text").alias("text2"))
+    """Warranties in months, years and words."""
+    n = F.col("p_size").cast("string")
+    styles = [F.concat(n, F.lit(" miesięcy")), F.concat(n, F.lit(" lat")), F.lit("Dożywotnia producenta"), F.lit("Zgodnie z rękojmią"), F.lit("brak informacji"), F.lit("-")]
+    both = _messy(spark, sf_dir, "part", "p_partkey", styles).select("p_partkey", C.warranty(F.col("x")).alias("a"), C.warranty_months(F.col("x")).alias("b"))
+    return both.select("p_partkey", "a.text", F.col("a.months").cast("string").alias("months"), F.col("b.months").cast("string").alias("months2"), F.col("b.text").alias("text2"))
 
 
-@query("""SELECT id, CAST(d AS DATE) AS d, p FROM (VALUES (1,'2026-04-03','03.04.2026'),(2,'2026-04-03','03.04.2026'),(3,'2026-04-03','03/04/2026'),(4,'2026-10-07','dzisiaj'),(5,'2026-10-06','wczoraj'),(6,'2026-10-05','przedwczoraj'),(7,'2026-10-04','3 dni temu'),(8,NULL,'kiedyś'),(9,NULL,NULL)) t(id, d, p)""")
+@query(f"""WITH o AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day, DATE '2026-10-07' AS today, CAST(o_orderkey // 9 % 40 AS INTEGER) AS ago FROM orders)
+SELECT o_orderkey, {_case('o_orderkey', 'day', 'day', 'day', 'today', 'today - 1', 'today - 2', 'today - ago', 'NULL', 'NULL')} AS d, {_case('o_orderkey', "strftime(day, '%d.%m.%Y')", "strftime(day, '%d.%m.%Y')", "strftime(day, '%d/%m/%Y')", "'dzisiaj'", "'wczoraj'", "'przedwczoraj'", "ago || ' dni temu'", "'kiedyś'", 'NULL')} AS p FROM o""")
 def clean_dates(spark, sf_dir):
-    """P9, P10."""
-    rows = ["2026-04-03", "03.04.2026", "03/04/2026", "dzisiaj", "wczoraj", "przedwczoraj", "3 dni temu", "kiedyś", None]
+    """Order dates in three formats and in words."""
+    day, ago = F.col("o_orderdate").cast("date"), F.expr("o_orderkey div 9 % 40").cast("string")
+    styles = [day.cast("string"), F.date_format(day, "dd.MM.yyyy"), F.date_format(day, "dd/MM/yyyy"), F.lit("dzisiaj"), F.lit("wczoraj"), F.lit("przedwczoraj"), F.concat(ago, F.lit(" dni temu")), F.lit("kiedyś"), None]
     x = F.col("x")
-    return spark.createDataFrame(list(enumerate(rows, 1)), "id int, x string").select("id", C.any_date(x, F.lit("2026-10-07").cast("date")).alias("d"), C.polish_date(x).alias("p"))
+    return _messy(spark, sf_dir, "orders", "o_orderkey", styles).select("o_orderkey", C.any_date(x, F.lit("2026-10-07").cast("date")).alias("d"), C.polish_date(x).alias("p"))
 
 
-@query("""SELECT * FROM (VALUES (1,true,'tak'),(2,false,'nie'),(3,NULL,'moze-zolc-1'),(4,NULL,NULL)) t(id, b, s)""")
+@query(f"""SELECT p_partkey, {_case('p_partkey', 'true', 'false', 'NULL', 'NULL')} AS b, {_case('p_partkey', "'tak'", "'nie'", "'moze-' || replace(p_name, ' ', '-') || '-zolc'", 'NULL')} AS s FROM part""")
 def clean_flags_and_slugs(spark, sf_dir):
-    """P11, P24."""
-    x = F.col("x")
-    return spark.createDataFrame([(1, "Tak"), (2, " nie "), (3, "Może -- żółć 1!"), (4, None)], "id int, x string").select("id", C.yes_no(x).alias("b"), C.slug(x).alias("s"))
+    """Yes, no and other texts."""
+    styles = [F.lit("Tak"), F.lit(" nie "), F.concat(F.lit("Może -- "), F.initcap("p_name"), F.lit(", żółć!")), None]
+    return _messy(spark, sf_dir, "part", "p_partkey", styles).select("p_partkey", C.yes_no(F.col("x")).alias("b"), C.slug(F.col("x")).alias("s"))
 
 
 @query("SELECT p_partkey, replace(lower(p_name), ' ', '-') AS slug, replace(p_brand, '#', '&lt;') AS brand, repeat('★', CAST(least(5, floor(p_size/10+0.5)) AS INT)) || repeat('☆', 5 - CAST(least(5, floor(p_size/10+0.5)) AS INT)) AS stars, 'brand: ' || p_brand || ' | type: ' || p_type AS spec FROM part")
@@ -113,13 +137,15 @@ def usable_and_bucketed(spark, sf_dir):
     return table(spark, sf_dir, "documents").where(usable & (F.col("n_chars") >= 1000)).select("doc_id", F.expr("1990 + 5 * ((1990 + doc_id % 36 - 1990) div 5)").alias("bucket"))
 
 
-@query("SELECT * FROM (VALUES (1,1998,'Physics'),(2,2004,'Computer Science'),(3,1991,'Math'),(4,2090,'Physics')) t(id, year, field)")
+@query("SELECT doc_id, CAST(CASE WHEN doc_id % 100 >= 91 THEN 1900 ELSE 2000 END + doc_id % 100 AS INTEGER) AS year, CASE lang WHEN 'en' THEN 'Computer Science' WHEN 'de' THEN 'Math' ELSE 'Physics' END AS field FROM documents")
 def paper_year_and_field(spark, sf_dir):
     """The year from an id with a pivot, the field from a category."""
-    rows = [(1, "9804001", "hep-th.x"), (2, "0403.1", "cs.CL"), (3, "9112.1", "math.AG"), (4, "9001.2", "zz")]
+    code = F.concat(F.lpad((F.col("doc_id") % 100).cast("string"), 2, "0"), F.lit("04."), F.col("doc_id").cast("string"))
+    category = F.when(F.col("lang") == "en", "cs.CL").when(F.col("lang") == "de", "math.AG").otherwise("hep-th.x")
+    rows = table(spark, sf_dir, "documents").select("doc_id", code.alias("code"), category.alias("cat"))
     yy = F.substring("code", 1, 2).cast("int")
     fields = F.create_map(F.lit("cs"), F.lit("Computer Science"), F.lit("math"), F.lit("Math"))
-    return spark.createDataFrame(rows, "id int, code string, cat string").select("id", F.when(yy >= 91, 1900 + yy).otherwise(2000 + yy).alias("year"), F.coalesce(fields[F.split("cat", r"\.")[0]], F.lit("Physics")).alias("field"))
+    return rows.select("doc_id", F.when(yy >= 91, 1900 + yy).otherwise(2000 + yy).alias("year"), F.coalesce(fields[F.split("cat", r"\.")[0]], F.lit("Physics")).alias("field"))
 
 
 @query()
@@ -408,7 +434,12 @@ def paged_source(spark, sf_dir):
     return spark.read.format("paged").options(path=f"{folder}/none\n{folder}", fields="page_id long, url string, chars long", rows="items").load()
 
 
-@query("SELECT * FROM (VALUES (1, 1.0), (2, 2.0), (3, 4.0), (4, 8.0), (5, 10.0)) t(attempt, w)".replace("SELECT *", "SELECT attempt, CAST(w AS DOUBLE) AS wait_s"))
+@query("""WITH e AS (SELECT event_id, user_id, event_type, row_number() OVER w AS k, max(CASE WHEN event_type <> 'error' THEN event_id END) OVER w AS ok FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+a AS (SELECT event_id, row_number() OVER (PARTITION BY user_id, ok ORDER BY event_id) AS attempt FROM e WHERE event_type = 'error') SELECT event_id, attempt, least(pow(2.0, attempt - 1), 10.0) AS wait_s FROM a""")
 def backoff_schedule(spark, sf_dir):
-    """Waits between attempts, doubled up to a limit."""
-    return spark.range(1, 6).select(F.col("id").cast("int").alias("attempt"), F.least(F.pow(F.lit(2.0), F.col("id") - 1), F.lit(10.0)).alias("wait_s"))
+    """The wait after each failed event of a user, doubled with each failure in a row up to a limit."""
+    w = W.partitionBy("user_id").orderBy("event_id")
+    failed = F.col("event_type") == "error"
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", failed.alias("failed"), F.max(F.when(~failed, F.col("event_id"))).over(w).alias("ok")).where("failed")
+    attempt = F.row_number().over(W.partitionBy("user_id", "ok").orderBy("event_id"))
+    return rows.select("event_id", attempt.cast("long").alias("attempt"), F.least(F.pow(F.lit(2.0), attempt - 1), F.lit(10.0)).alias("wait_s"))

@@ -51,21 +51,25 @@ def word_tf_idf(spark, sf_dir):
     return V.tf_idf(V.term_counts(pairs, "doc_id", F.col("units")), "doc_id").withColumn("weight", F.round("weight", 6))
 
 
-@query(f"WITH t0 AS (SELECT doc_id, string_split(' ' || w || ' ', '') AS c FROM (SELECT doc_id, unnest({_CLEAN}) AS w FROM documents JOIN labels USING (doc_id))), t AS (SELECT doc_id, unnest(list_transform(range(1, len(c) - 1), lambda i: c[i] || c[i + 1] || c[i + 2])) AS term FROM t0), {_TFIDF.format(m=2000)}")
+@query(f"WITH t0 AS (SELECT doc_id, string_split(' ' || w || ' ', '') AS c FROM (SELECT doc_id, unnest({_CLEAN}) AS w FROM documents JOIN labels USING (doc_id))), t AS (SELECT doc_id, unnest(flatten(list_transform([3, 4, 5], lambda n: list_transform(range(1, len(c) - n + 2), lambda i: array_to_string(c[i:i + n - 1], ''))))) AS term FROM t0), {_TFIDF.format(m=50000)}")
 def char_tf_idf(spark, sf_dir):
-    """M4: letter triples inside words with a blank at both ends."""
+    """M4: runs of three to five letters inside words with a blank at both ends."""
     words = _tokens(spark, sf_dir).select("doc_id", F.explode_outer("tokens").alias("w")).where("w is not null").select("doc_id", X.characters(F.concat(F.lit(" "), "w", F.lit(" "))).alias("c"))
-    return V.tf_idf(V.term_counts(words.withColumn("u", X.char_ngrams(F.col("c"), 3)), "doc_id", F.col("u")), "doc_id", max_features=2000).withColumn("weight", F.round("weight", 6))
+    units = F.concat(*(X.char_ngrams(F.col("c"), n) for n in (3, 4, 5)))
+    return V.tf_idf(V.term_counts(words, "doc_id", units), "doc_id").withColumn("weight", F.round("weight", 6))
 
 
-@query("WITH v AS (SELECT e.user_id, x.embedding AS vec FROM events e LEFT JOIN embeddings x ON x.vec_id = e.event_id % (SELECT 3 * count(*) // 2 FROM embeddings)) SELECT user_id, count(*) AS tokens, count(vec) AS known, round(coalesce(avg(CAST(vec[1] AS DOUBLE)), 0.0), 6) AS v0, round(coalesce(avg(CAST(vec[64] AS DOUBLE)), 0.0), 6) AS v63 FROM v GROUP BY 1")
+_MICRO = ", ".join(f"CAST(round(coalesce(avg(CAST(vec[{k}] AS DOUBLE)), 0.0) * 1000000) AS BIGINT)" for k in range(1, 65))
+
+
+@query(f"WITH v AS (SELECT e.user_id, x.embedding AS vec FROM events e LEFT JOIN embeddings x ON x.vec_id = e.event_id % (SELECT 3 * count(*) // 2 FROM embeddings)) SELECT user_id, count(*) AS tokens, count(vec) AS known, array_to_string([{_MICRO}], ',') AS millionths FROM v GROUP BY 1")
 def mean_embeddings(spark, sf_dir):
-    """The mean vector of each user's events, as far as vectors exist."""
+    """The mean vector of each user's events, as far as vectors exist, in millionths."""
     embeddings = table(spark, sf_dir, "embeddings")
     tokens = table(spark, sf_dir, "events").select("user_id", (F.col("event_id") % (embeddings.count() * 3 // 2)).alias("w"))
     vectors = embeddings.select(F.col("vec_id").alias("w"), F.col("embedding").alias("vec"))
     m = V.mean_vectors(tokens, vectors, "user_id", 64)
-    return m.select("user_id", "tokens", "known", F.round(F.col("vector")[0], 6).alias("v0"), F.round(F.col("vector")[63], 6).alias("v63"))
+    return m.select("user_id", "tokens", "known", F.array_join(F.transform("vector", lambda x: F.round(x * 1000000).cast("long").cast("string")), ",").alias("millionths"))
 
 
 @query("SELECT p_partkey, round((p_size - avg(p_size) OVER ()) / stddev_pop(p_size) OVER (), 6) AS p_size, round((p_retailprice - avg(p_retailprice) OVER ()) / stddev_pop(p_retailprice) OVER (), 6) AS p_retailprice FROM part")

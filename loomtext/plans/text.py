@@ -231,44 +231,50 @@ def sentiment_preprocess(spark, sf_dir):
     return t.select("doc_id", F.size("t").cast("long").alias("before"), F.size("k").cast("long").alias("after"), F.exists("t", lambda w: w.isin(*X.NEGATIONS) | F.endswith(w, F.lit("n't"))).alias("negated"))
 
 
-_PAIRS = [("Ala ma kota", "Ala posiada kota"), ("kot", "kto"), ("Kraków", "Krakow"), ("profesor", "proffesor"), ("kot w butach", "butach w kot")]
+def _name_pairs(spark, sf_dir) -> DataFrame:
+    """p_partkey, the part's name (b) and that of the part before it (a)."""
+    part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("b"))
+    return part.join(part.select((F.col("p_partkey") + 1).alias("p_partkey"), F.col("b").alias("a")), "p_partkey")
+
+
+_NAME_PAIRS = "p AS (SELECT p.p_partkey, q.p_name AS a, p.p_name AS b, string_split(q.p_name, '') AS ca, string_split(p.p_name, '') AS cb FROM part p JOIN part q ON q.p_partkey = p.p_partkey - 1)"
 
 
-@query("SELECT id, CAST(lev AS INT) AS lev, CAST(dam AS INT) AS dam, CAST(jw AS DOUBLE) AS jw, CAST(jac AS DOUBLE) AS jac, CAST(nl AS DOUBLE) AS nl FROM (VALUES (1,6,6,0.1532,0.4118,0.6250),(2,2,1,0.4444,0.0,0.3333),(3,1,1,0.0667,0.2857,0.8333),(4,1,1,0.0222,0.1111,0.8889),(5,10,10,0.3889,0.0,0.1667)) t(id,lev,dam,jw,jac,nl)")
+@query(f"""WITH {_NAME_PAIRS}, m AS (SELECT *, greatest(length(a), length(b)) AS n, list_sum(list_transform(list_distinct(ca), lambda x: least(len(list_filter(ca, lambda y: y = x)), len(list_filter(cb, lambda y: y = x))))) AS inter FROM p),
+r AS (SELECT p_partkey, levenshtein(a, b) AS lev, damerau_levenshtein(a, b) AS dam, round(1 - jaro_winkler_similarity(a, b), 6) AS jw, round(1 - inter / (length(a) + length(b) - inter), 6) AS jac, 1 - levenshtein(a, b) / n AS nl, 1 - damerau_levenshtein(a, b) / n AS nd, jaro_winkler_similarity(a, b) AS sj, inter / (length(a) + length(b) - inter) AS sc FROM m)
+SELECT p_partkey, lev, dam, jw, jac, round(nl, 6) AS nl, round(greatest(nl, nd, sj, sc) - least(nl, nd, sj, sc), 6) AS spread FROM r""")
 def string_measures(spark, sf_dir):
-    """Known values of five pairs."""
+    """Four measures of each part's name and the one before it, and how far they are apart."""
     a, b = F.col("a"), F.col("b")
-    pairs = spark.createDataFrame([(i, *p) for i, p in enumerate(_PAIRS, 1)], "id int, a string, b string")
-    return pairs.select(
-        "id", F.levenshtein(a, b).alias("lev"), S.damerau_column()(a, b).alias("dam"), F.round(1 - S.jaro_winkler_column()(a, b), 4).alias("jw"),
-        F.round(1 - X.multiset_jaccard(X.characters(a), X.characters(b)), 4).alias("jac"), F.round(X.normalised_levenshtein(a, b), 4).alias("nl"),
-    )
+    n = F.greatest(F.length(a), F.length(b))
+    m = _name_pairs(spark, sf_dir).select("p_partkey", "a", "b", F.levenshtein(a, b).alias("lev"), S.damerau_column()(a, b).alias("dam"), S.jaro_winkler_column()(a, b).alias("sj"), X.multiset_jaccard(X.characters(a), X.characters(b)).alias("sc"))
+    every = [1 - F.col("lev") / n, 1 - F.col("dam") / n, F.col("sj"), F.col("sc")]
+    return m.select("p_partkey", F.col("lev").cast("long").alias("lev"), F.col("dam").cast("long").alias("dam"), F.round(1 - F.col("sj"), 6).alias("jw"), F.round(1 - F.col("sc"), 6).alias("jac"), F.round(every[0], 6).alias("nl"), F.round(F.greatest(*every) - F.least(*every), 6).alias("spread"))
 
 
-@query("""WITH n AS (SELECT DISTINCT p_name AS n FROM part) SELECT a.n AS a, b.n AS b, levenshtein(a.n, b.n) AS lev, round(jaro_winkler_similarity(a.n, b.n), 6) AS jw, round(len(list_intersect(string_split(a.n, ' '), string_split(b.n, ' '))) / sqrt(len(string_split(a.n, ' ')) * len(string_split(b.n, ' '))), 6) AS cos FROM n a JOIN n b ON a.n < b.n AND substr(a.n, 1, 1) = substr(b.n, 1, 1)""")
+@query("""WITH n AS (SELECT DISTINCT p_name AS n FROM part) SELECT a.n AS a, b.n AS b, levenshtein(a.n, b.n) AS lev, round(jaro_winkler_similarity(a.n, b.n), 6) AS jw, round(len(list_intersect(string_split(a.n, ' '), string_split(b.n, ' '))) / sqrt(len(string_split(a.n, ' ')) * len(string_split(b.n, ' '))), 6) AS cos FROM n a JOIN n b ON a.n < b.n AND levenshtein(a.n, b.n) <= 3""")
 def name_pairs(spark, sf_dir):
-    """Distinct part names that begin with the same letter."""
-    n = table(spark, sf_dir, "part").select("p_name").distinct()
+    """Distinct part names within three edits."""
     a, b = F.col("a"), F.col("b")
-    pairs = n.select(F.col("p_name").alias("a"), F.substring("p_name", 1, 1).alias("k")).join(n.select(F.col("p_name").alias("b"), F.substring("p_name", 1, 1).alias("k")), "k").where("a < b")
-    return pairs.select("a", "b", F.levenshtein(a, b).cast("long").alias("lev"), F.round(S.jaro_winkler_column()(a, b), 6).alias("jw"), F.round(X.bag_cosine(F.split(a, " "), F.split(b, " ")), 6).alias("cos"))
+    pairs = T.near_pairs(table(spark, sf_dir, "part").select("p_name"), "p_name", 3)
+    return pairs.select("a", "b", F.col("distance").cast("long").alias("lev"), F.round(S.jaro_winkler_column()(a, b), 6).alias("jw"), F.round(X.bag_cosine(F.split(a, " "), F.split(b, " ")), 6).alias("cos"))
 
 
-@query("SELECT * FROM (VALUES (1, 10, 5, 1, 0, 1), (2, 1, 0, 2, 0, 1), (3, 5, 0, 1, 0, 1), (4, 8, 1, 0, 0, 1), (5, 0, 0, 0, 0, 0)) t(id, m, i, s, d, w)".replace("(5, 0, 0, 0, 0, 0)", "(6, 0, 0, 0, 0, 0)").replace("SELECT *", "SELECT id, m AS matches, i AS inserts, s AS substitutes, d AS deletes, w AS word_distance") + " WHERE id < 5")
+@query(f"""WITH {_NAME_PAIRS}, v AS (SELECT w, chr(CAST(32 + row_number() OVER (ORDER BY w) AS INTEGER)) AS c FROM (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS w FROM part)), vm AS (SELECT map(list(w), list(c)) AS m FROM v)
+SELECT p_partkey, levenshtein(a, b) AS edits, length(b) - length(a) AS growth, levenshtein(array_to_string(list_transform(string_split(a, ' '), lambda w: m[w]), ''), array_to_string(list_transform(string_split(b, ' '), lambda w: m[w]), '')) AS word_distance FROM p, vm""")
 def edit_scripts(spark, sf_dir):
-    """Operations of cheapest edits, and distances of word lists."""
+    """Edits of cheapest scripts between names, and distances of their word lists."""
     a, b = F.col("a"), F.col("b")
-    pairs = spark.createDataFrame([(i, *p) for i, p in enumerate(_PAIRS[:4], 1)], "id int, a string, b string")
-    ops = pairs.withColumn("o", S.edit_script_column()(a, b)).withColumn("w", S.word_distance_column()(F.split(a, " "), F.split(b, " ")))
-    count = lambda name: F.size(F.filter("o", lambda x: F.startswith(x, F.lit(name + ":"))))
-    return ops.select("id", count("match").alias("matches"), count("insert").alias("inserts"), count("substitute").alias("substitutes"), count("delete").alias("deletes"), F.col("w").alias("word_distance"))
+    ops = _name_pairs(spark, sf_dir).withColumn("o", S.edit_script_column()(a, b)).withColumn("w", S.word_distance_column()(F.split(a, " "), F.split(b, " ")))
+    one = lambda name: F.size(F.filter("o", lambda x: F.startswith(x, F.lit(name + ":"))))
+    count = lambda *names: sum(map(one, names), F.lit(0))
+    return ops.select("p_partkey", count("insert", "substitute", "delete").cast("long").alias("edits"), (count("insert") - count("delete")).cast("long").alias("growth"), F.col("w").cast("long").alias("word_distance"))
 
 
 @query("""SELECT p.p_partkey, levenshtein(q.p_name, p.p_name) AS edits, length(p.p_name) - length(q.p_name) AS growth, true AS whole FROM part p JOIN part q ON q.p_partkey = p.p_partkey - 1""")
 def name_edit_steps(spark, sf_dir):
     """Steps that turn each part's name into the next one's, by a table function joined laterally."""
-    part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("b"))
-    pairs = part.join(part.select((F.col("p_partkey") + 1).alias("p_partkey"), F.col("b").alias("a")), "p_partkey")
+    pairs = _name_pairs(spark, sf_dir)
     n = lambda *kinds: F.count_if(F.col("operation").isin(*kinds))
     steps = TF.edit_steps(pairs, "a", "b").groupBy("p_partkey", "a", "b").agg(n("insert", "delete", "substitute").alias("edits"), (n("insert") - n("delete")).alias("growth"), F.count("*").alias("n"))
     return steps.select("p_partkey", "edits", "growth", (F.col("n") >= F.greatest(F.length("a"), F.length("b"))).alias("whole"))
@@ -369,31 +375,34 @@ def language_tax(spark, sf_dir):
     return t.groupBy("lang").agg(F.round(F.avg("a"), 6).alias("words"), F.round(F.avg("b"), 6).alias("chars"), F.round(F.avg("c"), 6).alias("lm"))
 
 
-@query("""WITH s AS (SELECT doc_id, generate_subscripts(l, 1) AS pos, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)), b AS (SELECT item_id, substr(string_split(text, chr(10))[1], 1, 40) AS phrase FROM benchmark)
+@query("""WITH s AS (SELECT doc_id, generate_subscripts(l, 1) AS pos, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)),
+b AS (SELECT DISTINCT trim(p) AS phrase FROM (SELECT unnest(string_split(regexp_replace(l, '([.!?])[ \\t\\r\\f\\v]+', '\\1' || chr(1), 'g'), chr(1))) AS p FROM (SELECT unnest(string_split(text, chr(10))) AS l FROM benchmark)) WHERE trim(p) <> '')
 SELECT phrase, arg_min(line, (doc_id, pos)) AS sentence FROM s JOIN b ON contains(line, phrase) GROUP BY 1""")
 def first_line_with_phrase(spark, sf_dir):
-    """The first line that holds the start of each benchmark item."""
+    """The first line that holds each whole sentence of the benchmark's items."""
     lines = _docs(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "sentence"))
-    phrases = table(spark, sf_dir, "benchmark").select(F.substring(F.split("text", "\n")[0], 1, 40).alias("phrase")).distinct()
+    phrases = table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", "\n")).alias("l")).select(F.explode(X.sentences(F.col("l"))).alias("phrase")).distinct()
     return T.first_sentence_with(lines, phrases)
 
 
-_SONGS = [(1, "[Zwrotka: Ala]\nraz dwa trzy\n[Refren: Gość]\nobcy wers tu\n[Zwrotka]\nsześć siedem osiem"), (2, "[Intro: Ala]\nraz dwa trzy\nsześć siedem osiem"), (3, "nowy wers jest\nraz dwa trzy")]
-
-
-@query("SELECT * FROM (VALUES (1, 'raz dwa trzy'), (1, 'sześć siedem osiem'), (3, 'nowy wers jest')) t(song, line)")
+@query("""WITH l AS (SELECT conv_id AS song, turn AS pos, trim(text) AS line FROM conversations WHERE role = 'user' AND trim(text) <> ''),
+o AS (SELECT song, pos, line, row_number() OVER (PARTITION BY song ORDER BY pos) AS k FROM (SELECT *, row_number() OVER (PARTITION BY song, lower(line) ORDER BY pos) AS r FROM l) WHERE r = 1),
+f AS (SELECT min(song) AS song FROM (SELECT song, lower(string_agg(line, ' ' ORDER BY pos)) AS print FROM o WHERE k <= 4 GROUP BY 1) GROUP BY print),
+u AS (SELECT o.*, row_number() OVER (PARTITION BY lower(line) ORDER BY o.song, pos) AS r FROM o JOIN f ON f.song = o.song) SELECT song, line FROM u WHERE r = 1""")
 def song_cleaning(spark, sf_dir):
-    """S16, X44, X45, U5."""
-    songs = spark.createDataFrame(_SONGS, "song int, text string")
-    lines = songs.select("song", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    """Conversations as songs, a header before each turn that names who sings it."""
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("song"), "turn", "role", "text")
+    header = F.when(F.col("role") == "user", F.lit("[Zwrotka: Ala]")).otherwise(F.lit("[Refren: Gość]"))
+    lines = turns.select("song", F.posexplode(F.array(header, F.coalesce("text", F.lit("")))).alias("k", "line"), "turn").select("song", (2 * F.col("turn") + F.col("k")).alias("pos"), "line")
     return T.distinct_songs(T.song_lines(lines, "Ala")).select("song", "line")
 
 
-@query("SELECT 1 AS id, 'Treść książki.\nKoniec rozdziału.' AS body")
+@query(r"SELECT doc_id, length(body) AS chars, md5(body) AS digest FROM (SELECT doc_id, trim(regexp_replace(ltrim(text), '[ \t\n\r\f\v]+\z', '')) AS body FROM documents WHERE text IS NOT NULL)")
 def book_frame(spark, sf_dir):
-    """What stands between a book's header and footer."""
-    text = "Nagłówek\n*** START OF THE BOOK ***\nTreść książki.\nKoniec rozdziału.\n*** END OF THE BOOK ***\nlicencja"
-    return spark.createDataFrame([(1, text)], "id int, t string").select("id", F.trim(F.regexp_replace(X.book_body(F.col("t"), "*** START OF", "*** END OF"), r"\s+$", "")).alias("body"))
+    """What stands between a book's header and footer, put around each document."""
+    book = F.concat(F.lit("Nagłówek\n*** START OF THE BOOK ***\n"), "text", F.lit("\n*** END OF THE BOOK ***\nlicencja"))
+    body = F.trim(F.regexp_replace(X.book_body(book, "*** START OF", "*** END OF"), r"[ \t\n\r\f\x0B]+\z", ""))
+    return _docs(spark, sf_dir).where("text is not null").select("doc_id", body.alias("b")).select("doc_id", F.length("b").cast("long").alias("chars"), F.md5("b").alias("digest"))
 
 
 @query()
