@@ -3,9 +3,10 @@
 A page becomes a tree of elements; end tags that HTML lets a page leave out are
 implied. What the contract of the scan names is marked as no content: navigation,
 footers, sidebars, forms and page headers by their tags and roles; adverts, notices,
-menus, comments and the like by a whole part of a class or id, never on html, body,
+menus and the like by a whole part of a class or id, never on html, body,
 main, article, a heading or what holds an article, main or h1; elements that are
-``hidden`` or ``aria-hidden="true"``.
+``hidden`` or ``aria-hidden="true"``; what readers write (see ``_cut_comments``), whether its
+comments are articles of their own or not. Parsing takes time in proportion to the page.
 
 For every other node the link-adjusted density of characters per tag is computed; a
 node's sum is that of its children's densities. The subtree of the largest sum is
@@ -14,7 +15,7 @@ threshold: beside each node of the path, a block whose density reaches it and
 that isn't mostly links is content too, and so are headings and paragraphs
 there, and inside the article or main of the path all that isn't mostly links.
 
-Null and empty pages give the empty text; a page without markup gives its text.
+Of equal largest sums the outer node's, then the first one's subtree is taken. Null and empty pages give the empty text; a page without markup gives its text.
 A page of any length is parsed whole; repeated rows give equal rows; an empty table
 gives an empty one; a column of pages that is named text or n_chars is replaced.
 """
@@ -24,6 +25,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
@@ -38,7 +40,7 @@ _RAW = {"script", "style", "title", "textarea", "noscript", "template", "iframe"
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _FOREIGN = {"svg", "math"}
 _CUT = {"nav", "footer", "aside", "form", "dialog", "menu", "label", "fieldset", "button", "select", "option", "optgroup", "datalist", "svg", "canvas", "object", "audio", "video", "head"}
-_CUT_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alertdialog", "menu", "menubar", "toolbar"}
+_CUT_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar"}
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 _KEPT = {"html", "body", "article", "main", *_HEADINGS}
 _BODY = {"body", "html", "#root"}
@@ -47,9 +49,14 @@ _INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del",
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"thead", "tbody", "tr", "td", "th"}, "option": {"option"}, "optgroup": {"option", "optgroup"}, "body": {"head"}} | {h: _HEADINGS for h in _HEADINGS}
 _LIMITS = {"ul", "ol", "table", "dl", "div", "article", "section", "main", "body", "blockquote", "select"}
 #: Parts of a class or id that name no content ...
-_UNWANTED = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "banner", "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "sidebar", "masthead", "footer", "cookie", "cookies", "consent", "notice", "popup", "modal", "newsletter", "subscribe", "share", "sharing", "social", "related", "comment", "comments", "replies", "disqus", "search", "toolbar", "widget", "header"}
+_UNWANTED = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "banner", "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "sidebar", "masthead", "footer", "cookie", "cookies", "consent", "notice", "popup", "modal", "newsletter", "subscribe", "share", "sharing", "social", "related", "recommended", "recommendations", "cta", "gdpr", "alert", "dropdown", "search", "toolbar", "widget", "header"}
 #: ... as the only part of a name on a paragraph or an inline element,
-_ALONE = {"ad", "ads", "advert", "adverts", "advertisement", "sponsored", "promo", "cookie", "notice", "breadcrumb", "breadcrumbs", "newsletter", "comment"}
+_ALONE = {"ad", "ads", "advert", "adverts", "advertisement", "sponsored", "promo", "cookie", "notice", "breadcrumb", "breadcrumbs", "newsletter", "alert", "gdpr", "cta", "comment", "comments"}
+#: or as the first of several;
+_FIRST = {"share", "sharing", "social"}
+#: parts that name what readers write: always, and outside an article only (a paper has a discussion too);
+_COMMENTS = re.compile(r"comment(s|ers?|list|form|box|area|section|thread)?\d*|disqus|respond|repl(y|ies)\d*")
+_TALK = re.compile(r"discuss(ions?)?|responses?|thread")
 #: unless the name says what else is there,
 _BESIDE = {"has", "with", "without", "no", "hide", "show", "is"}
 #: or is one of the layout that only has such a part in its middle;
@@ -60,11 +67,16 @@ _SPACE = re.compile(r"\s+")
 
 
 class _Node:
-    __slots__ = ("chars", "cut", "density", "items", "link_chars", "link_tags", "named", "parent", "sum", "tag", "tags", "top")
+    __slots__ = ("block", "chars", "cut", "density", "items", "link_chars", "link_tags", "named", "open", "parent", "scope", "sum", "tag", "tags", "talk", "top", "within")
 
     def __init__(self, tag: str, parent: _Node | None) -> None:
         self.tag, self.parent, self.items = tag, parent, []
-        self.cut = self.named = False
+        self.cut = self.named = self.talk = False
+        #: the block and the container that it stands in (or is), and their open inline and block elements
+        self.block = self if parent is None or tag not in _INLINE else parent.block
+        self.scope = self if parent is None or tag in _LIMITS else parent.scope
+        self.open: Counter[str] | None = Counter() if self.block is self or self.scope is self else None
+        self.within = parent is not None and (parent.within or parent.tag in ("article", "main"))
         self.chars = self.link_chars = self.tags = self.link_tags = 0
         self.density = self.sum = 0.0
         self.top = self
@@ -89,18 +101,25 @@ def _attributes(text: str) -> dict[str, str]:
 def _names_no_content(tag: str, name: str) -> bool:
     parts = [x for x in re.split(r"[-_]+", name) if x]
     if tag in _INLINE or tag in _PROSE or tag == "li":
-        return len(parts) == 1 and parts[0] in _ALONE
+        return parts[0] in _FIRST if len(parts) > 1 else bool(parts) and parts[0] in _ALONE
     found = [x in _UNWANTED and not (k and parts[k - 1] in _BESIDE) and not (x == "header" and parts[0] in _OWN_HEADER) for k, x in enumerate(parts)]
     return any(found) and (parts[0] not in _LAYOUT or found[-1])
 
 
+def _names_comments(node: _Node, name: str) -> bool:
+    """Whether a name says that readers write here."""
+    parts = [x for x in re.split(r"[-_]+", name) if x]
+    if any(parts[k - 1] in _BESIDE for k, x in enumerate(parts) if k and _COMMENTS.fullmatch(x)):
+        return False
+    if any(_COMMENTS.fullmatch(x) for x in parts):
+        return parts[0] not in _LAYOUT or bool(_COMMENTS.fullmatch(parts[-1]))
+    return "-".join(parts) in ("author-bio", "about-author", "authorbio") or (not node.within and any(_TALK.fullmatch(x) for x in parts) and parts[0] not in _LAYOUT)
+
+
 def _mark(node: _Node, attributes: str) -> None:
-    """cut: no content by its tag, role or state; named: by its names."""
+    """cut: no content by its tag, role or state; named: by its names; talk: by names of comments."""
     tag, own = node.tag, _attributes(attributes)
-    inside = node.parent
-    while tag == "header" and inside.tag not in ("article", "main", "#root"):
-        inside = inside.parent
-    if tag in _CUT or tag == "header" and inside.tag == "#root":
+    if tag in _CUT or tag == "header" and not node.within:
         node.cut = True
     elif tag not in ("html", "body", "article", "main") and ("hidden" in own or own.get("aria-hidden", "").strip() == "true"):
         node.cut = True
@@ -108,12 +127,29 @@ def _mark(node: _Node, attributes: str) -> None:
         node.cut = own.get("role", "").strip() in _CUT_ROLES
         names = own.get("class", "").split() + ([] if tag in _INLINE or tag in _PROSE else own.get("id", "").split())
         node.named = own.get("role") != "main" and any(_names_no_content(tag, n) for n in names)
+    if tag not in ("html", "body", "main", *_HEADINGS) and tag not in _INLINE and tag != "p" and own:
+        names = own.get("class", "").split() + own.get("id", "").split()
+        node.talk = "comment" in own.get("itemtype", "") or own.get("itemprop", "") == "comment" or any(_names_comments(node, n) for n in names)
 
 
 def parse_page(page: str) -> _Node:
-    """The tree of a page; items are nodes, texts and breaks (None)."""
+    """The tree of a page; items are nodes, texts and breaks (None). Open elements are counted, inline ones
+    for each block and blocks for each container, so no end tag or implied end looks for what isn't there."""
     root = _Node("#root", None)
     node, at, foreign = root, 0, None
+    opened: Counter[str] = Counter()
+
+    def left(now: _Node, upto: _Node) -> _Node:
+        """Leaves the elements inside ``upto``, an ancestor."""
+        while now is not upto:
+            if now.tag in _INLINE:
+                now.block.open[now.tag] -= 1
+            else:
+                opened[now.tag] -= 1
+                now.parent.scope.open[now.tag] -= 1
+            now = now.parent
+        return now
+
     last = page.rfind(">") + 1  # no tag ends after it
     while at <= len(page):
         m = _TAG.search(page, at, last)
@@ -126,11 +162,11 @@ def parse_page(page: str) -> _Node:
         if not tag:
             continue
         if m[1] or m[4]:
-            walk = node
-            while walk.tag not in (tag, "#root") and not (tag in _INLINE and walk.tag not in _INLINE):
-                walk = walk.parent
-            if walk.tag == tag and tag not in ("html", "body"):
-                node = walk.parent
+            if tag not in ("html", "body") and (node.block.open[tag] if tag in _INLINE else opened[tag]):
+                walk = node
+                while walk.tag != tag:
+                    walk = walk.parent
+                node = left(node, walk.parent)
                 foreign = foreign if foreign is not walk else None
             continue
         attributes = m[3] if m[3] is not None else m[6] or ""
@@ -143,33 +179,77 @@ def parse_page(page: str) -> _Node:
                 node.items.append(None)
             continue
         if tag not in _INLINE and not foreign:
-            walk, closes = node, _CLOSES.get(tag, ())
-            while walk.tag in _INLINE:
-                walk = walk.parent
-            if walk.tag == "p":
-                node = walk = walk.parent
-            while closes and walk.tag not in _LIMITS and walk.tag != "#root":
-                if walk.tag in closes:
-                    node = walk.parent
+            if node.block.tag == "p":
+                node = left(node, node.block.parent)
+            scope = node.scope
+            walk, ends, n = node, node, sum(scope.open[t] for t in _CLOSES.get(tag, ()))
+            while n:
+                if walk.tag in _CLOSES[tag]:
+                    ends, n = walk.parent, n - 1
                 walk = walk.parent
+            node = left(node, ends)
         child = _Node(tag, node)
         _mark(child, attributes)
         node.items.append(child)
         if not (attributes.endswith("/") and (foreign or tag in _FOREIGN)):
+            if tag in _INLINE:
+                node.block.open[tag] += 1
+            else:
+                opened[tag] += 1
+                node.scope.open[tag] += 1
             node = child
             if tag in _FOREIGN and not foreign:
                 foreign = child
     return root
 
 
+def _cut_comments(every: list[_Node]) -> None:
+    """Cuts what readers write. ``every``: the nodes in the order of the page.
+
+    The page's own is its first article that isn't named as comments, else such a main, else such an h1. A
+    container named as comments is cut unless it holds that. So is an article inside the page's own that
+    names a time, and lists of two or more articles with a time each that stand apart from it."""
+    talking = {id(n) for n in every if n.talk}  # in the order of the page, so parents come before what they hold
+    for n in every:
+        if n.parent is not None and id(n.parent) in talking:
+            talking.add(id(n))
+    own = next((n for tag in ("article", "main", "h1") for n in every if n.tag == tag and id(n) not in talking), None)
+    own = own or next((n for tag in ("article", "main", "h1") for n in every if n.tag == tag), None)
+    above, walk = set(), own
+    while walk is not None:
+        above.add(id(walk))
+        walk = walk.parent
+    under: set[int] = {id(own)} if own is not None else set()
+    article: dict[int, _Node | None] = {}  # the nearest article of each node
+    timed: set[int] = set()  # articles with a time of their own
+    lists: dict[int, list[_Node]] = {}
+    for n in every:
+        if id(n.parent) in under:
+            under.add(id(n))
+        article[id(n)] = n if n.tag == "article" else article.get(id(n.parent))
+        if n.tag == "time" and article[id(n)] is not None:
+            timed.add(id(article[id(n)]))
+        if n.tag == "article" and id(n) not in above:
+            lists.setdefault(id(n.parent), []).append(n)
+        if n.talk and id(n) not in above:
+            n.cut = True
+    if own is not None and own.tag == "article":
+        for articles in lists.values():
+            up = articles[0].parent
+            apart = len(articles) > 1 and id(up) not in above and all(id(n) in timed for n in articles)
+            for n in articles:
+                n.cut = n.cut or apart or (id(n) in under and id(n) in timed)
+
+
 def _measure(root: _Node) -> None:
     every, stack = [], [root]
     while stack:
         every.append(node := stack.pop())
-        stack += [x for x in node.items if isinstance(x, _Node)]
+        stack += [x for x in reversed(node.items) if isinstance(x, _Node)]
+    _cut_comments(every)
     holders: set[int] = set()  # what holds an article, main or h1 isn't cut by its names
     for node in reversed(every):
-        if id(node) in holders or node.tag in ("article", "main", "h1"):
+        if id(node) in holders or node.tag in ("article", "main", "h1") and not node.cut:
             node.named = False
             holders.add(id(node.parent))
         node.cut = node.cut or node.named

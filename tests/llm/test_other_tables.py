@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 import numpy as np
 import pytest
@@ -100,6 +101,43 @@ def test_every_page_has_text(spark):
     assert op7_html_density(spark, SF).where("n_chars = 0 or n_chars <> length(text)").count() == 0
 
 
+LONG = "<p>" + "A long answer of a reader that goes on and on. " * 40 + "</p>"
+ARTICLE = "<article><h1>Title</h1><p>First text of the article.</p><p>Second text.</p></article>"
+SHORT = "<p>Nice.</p>"
+
+
+@pytest.mark.parametrize("beside", [
+    f'<section class="comments"><article class="comment">{LONG}</article></section>', f'<section id="reader-responses"><article>{LONG}</article><article>{LONG}</article></section>', f'<div class="comments"><h1>Comments</h1>{LONG}</div>',
+    f'<ol class="commentlist"><li>{LONG}</li></ol>', f'<div class="discussion">{LONG}</div>', f'<div id="respond">{LONG}</div>', f'<div class="dropdown">{SHORT}</div>', f'<div role=alert>{LONG}</div>', f'<div class="gdpr-bar">{LONG}</div>',
+    f'<div class="cta">{LONG}</div>', f'<section class="recommended">{LONG}</section>', f'<div class="author-bio">{LONG}</div>', '<p class="share-count">12 shares</p>', '<p><span class="share-links">Mail</span></p>', f'<div class="thread">{LONG}</div>',
+    f'<div class=x><article class=y><header>Ann <time>1 May</time></header>{LONG}</article><article class=y><header>Bob <time>2 May</time></header>{LONG}</article></div>', f'<div id="comments-42"><ul><li class="comment2">{LONG}</li></ul></div>',
+    f'<div itemprop="comment">{LONG}</div>', f'<section id="replies"><article>{LONG}<article>{SHORT}</article></article></section>',
+])
+def test_what_readers_write_is_cut(beside):
+    expected = "Title\nFirst text of the article.\nSecond text."
+    assert html.main_text(f"<body><div>{ARTICLE}{beside}</div></body>") == expected
+    assert html.main_text(f"<body><main>{ARTICLE}</main>{beside}</body>") == expected
+    inside = ARTICLE.replace("</article>", beside + "</article>")
+    if not any(x in beside for x in ("discussion", "thread", "class=x", "responses")):
+        assert html.main_text(f"<body>{inside}</body>") == expected
+
+
+@pytest.mark.parametrize(("page", "text"), [
+    ("<body><div class='comments'><article><h1>T</h1><p>Only article here.</p></article></div></body>", "T\nOnly article here."), ("<body><article><h1>T</h1><section class='discussion'><p>Part of the paper.</p></section></article></body>", "T\nPart of the paper."),
+    ("<body><div class='commentary'><p>An essay.</p></div></body>", "An essay."), ("<body><div class='has-comments'><p>Text here.</p></div></body>", "Text here."), ("<body><article><p>One.</p><article><p>Quoted.</p></article></article></body>", "One.\nQuoted."),
+    ("<body><div><article><time>1</time><p>Post one of the blog.</p></article><article><time>2</time><p>Post two of the blog.</p></article></div></body>", "1\nPost one of the blog.\n2\nPost two of the blog."),
+])
+def test_what_only_looks_like_comments_stays(page, text):
+    assert html.main_text(page) == text
+
+
+@pytest.mark.parametrize("unit", ["<b></i>", "<b>", "</b>", "</div>", "<p><b>", "<li><x>", "<x><li></li>", "<td><tr>", "</body>", "<header></header>", "<div><time></time>", "<article><time>", "<x></b>"])
+def test_pages_cost_time_in_proportion(unit):
+    began = time.time()
+    html.main_text("<body><p>text</p>" + "<x>" * 20_000 + unit * (400_000 // len(unit)))
+    assert time.time() - began < 12
+
+
 def brute_top(rows, queries, k):
     ok = {i: [int(np.floor(256 * float(np.float32(x)))) for x in v] for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)}
     out = set()
