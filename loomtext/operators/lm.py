@@ -64,24 +64,42 @@ def score(train: DataFrame, test: DataFrame, n: int, method: str = "kn", discoun
         c, total = F.coalesce("c", F.lit(0)), F.coalesce("total", F.lit(0))
         p = F.when(total > 0, c / total).otherwise(0.0) if method == "mle" else (c + 1) / (total + F.col("v"))
         return joined.select("sid", "i", "w", p.alias("p"))
-    # level 1: continuation counts (or plain ones of a unigram model) over a uniform share
-    lower = None
+    scored = _interpolated(model, rows.select("ctx", "w").distinct(), n, [discount]).select("ctx", "w", "p")
+    return rows.join(scored, ["ctx", "w"]).select("sid", "i", "w", "p")
+
+
+def _interpolated(model: DataFrame, asked: DataFrame, n: int, discounts: list[float]) -> DataFrame:
+    """asked (distinct ctx and w, and other columns) with discount and p, interpolated Kneser-Ney: from
+    the lowest order up, each order's counts meet the asked pairs once for all discounts."""
+    v = model.where("k = 1").select("w").distinct().agg(F.count("*").alias("v"))
+    rows = asked.join(F.broadcast(v)).withColumn("ps", F.transform(F.array(*map(F.lit, discounts)), lambda d: F.struct(d.alias("discount"), F.lit(None).cast("double").alias("p"))))
     for k in range(1, n + 1):
         if k == n:
-            table = model.where(F.col("k") == n).select("ctx", "w", "c")
+            table = model.where(F.col("k") == n).select(F.col("ctx").alias("of"), F.col("w").alias("follows"), "c")
         else:  # in how many contexts of one more word does (ctx, w) occur
-            table = model.where(F.col("k") == k + 1).select(F.when(F.lit(k) == 1, F.lit("")).otherwise(F.expr("substring(ctx, instr(ctx, ' ') + 1)")).alias("ctx"), "w").groupBy("ctx", "w").agg(F.count("*").alias("c"))
-        sums = _context_sums(table)
-        back = rows.select("sid", "i", "w", F.array_join(F.slice(F.split("ctx", " "), n - k + 1, k), " ").alias("ctx") if 1 < k < n else (F.lit("").alias("ctx") if k == 1 else F.col("ctx")))
-        here = back.join(table, ["ctx", "w"], "left").join(sums, "ctx", "left")
-        gain = F.greatest(F.coalesce("c", F.lit(0)) - discount, F.lit(0.0)) / F.col("total")
-        share = F.lit(discount) * F.col("types") / F.col("total")
-        if lower is None:
-            lower = here.join(F.broadcast(v)).select("sid", "i", "w", (gain + share / F.col("v")).alias("p"))
-        else:
-            both = here.join(lower.withColumnRenamed("p", "q").drop("w"), ["sid", "i"])
-            lower = both.select("sid", "i", "w", F.when(F.col("total").isNull(), F.col("q")).otherwise(gain + share * F.col("q")).alias("p"))
-    return lower
+            table = model.where(F.col("k") == k + 1).select(F.when(F.lit(k) == 1, F.lit("")).otherwise(F.expr("substring(ctx, instr(ctx, ' ') + 1)")).alias("of"), F.col("w").alias("follows")).groupBy("of", "follows").agg(F.count("*").alias("c"))
+        sums = table.groupBy(F.col("of").alias("back")).agg(F.sum("c").alias("total"), F.count("*").alias("types"))
+        back = F.lit("") if k == 1 else F.col("ctx") if k == n else F.array_join(F.slice(F.split("ctx", " "), n - k + 1, k), " ")
+        here = rows.withColumn("back", back).join(table, (F.col("w") == F.col("follows")) & (F.col("back") == F.col("of")), "left").drop("of", "follows")
+        here = here.join(F.broadcast(sums) if k == 1 else sums, "back", "left")
+
+        def with_order(x: Column) -> Column:
+            gain = F.greatest(F.coalesce("c", F.lit(0)) - x["discount"], F.lit(0.0)) / F.col("total")
+            share = x["discount"] * F.col("types") / F.col("total")
+            p = gain + share / F.col("v") if k == 1 else F.when(F.col("total").isNull(), x["p"]).otherwise(gain + share * x["p"])
+            return F.struct(x["discount"].alias("discount"), p.alias("p"))
+
+        rows = here.withColumn("ps", F.transform("ps", with_order)).drop("back", "c", "total", "types")
+    return rows.select(*asked.columns, F.explode("ps").alias("x")).select(*asked.columns, "x.*")
+
+
+def smoothed_perplexity(train: DataFrame, test: DataFrame, n: int, discounts: list[float]) -> DataFrame:
+    """discount, perplexity, tokens and zero tokens: the distinct pairs of the test set are scored once."""
+    asked = contexts(test, n, n).groupBy("ctx", "w").agg(F.count("*").alias("times"))
+    scored = _interpolated(counts(train, n), asked, n, discounts)
+    zero = F.sum(F.when(F.col("p") <= 0, F.col("times")).otherwise(0))
+    bits = F.sum(F.when(F.col("p") > 0, F.log2("p") * F.col("times")))
+    return scored.groupBy("discount").agg(F.when(zero > 0, F.lit(float("inf"))).otherwise(F.pow(F.lit(2.0), -bits / F.sum("times"))).alias("perplexity"), F.sum("times").alias("tokens"), zero.alias("zero_tokens"))
 
 
 def perplexity(scored: DataFrame) -> DataFrame:

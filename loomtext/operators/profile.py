@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..sources.stored import written
 from .ranking import running
 
 
@@ -23,8 +24,13 @@ def null_report(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 def quantiles(df: DataFrame, column: str, shares: dict[str, float], *by: str) -> DataFrame:
     """Of each group the interpolated quantiles of the known values, by counts of
     equal values: no group's values meet in one buffer."""
-    counts = df.where(F.col(column).isNotNull()).groupBy(*by, F.col(column).cast("double").alias("_v")).agg(F.count("*").alias("_c"))
-    placed = running(counts, "_v", "_c", *by)
+    return counted_quantiles(df.groupBy(*by, F.col(column).cast("double").alias("value")).agg(F.count("*").alias("c")), shares, *by)
+
+
+def counted_quantiles(counts: DataFrame, shares: dict[str, float], *by: str) -> DataFrame:
+    """The same from counts (value, c) of each group."""
+    known = counts.where("value is not null").select(*by, F.col("value").alias("_v"), F.col("c").alias("_c"))
+    placed = running(known, "_v", "_c", *by)
 
     def at(place: Column) -> Column:
         here = (F.col("before") <= place) & (place < F.col("before") + F.col("_c"))
@@ -42,16 +48,20 @@ def quantiles(df: DataFrame, column: str, shares: dict[str, float], *by: str) ->
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
     """n, missing, mean, median, mode (the least on a tie), min, max, quartiles,
     IQR, sample deviation, and fences of 1.5 IQR with the rows outside them."""
-    rows = long_form(df, columns)
-    stats = rows.groupBy("column").agg(
-        F.count("value").alias("n"), F.count_if(F.col("value").isNull()).alias("missing"), F.avg("value").alias("mean"),
-        F.min("value").alias("min"), F.max("value").alias("max"), F.stddev_samp("value").alias("std"),
+    counts = written(long_form(df, columns).groupBy("column", "value").agg(F.count("*").alias("c")))
+    value, c = F.col("value"), F.when(F.col("value").isNotNull(), F.col("c")).otherwise(0)
+    stats = counts.groupBy("column").agg(
+        F.sum(c).alias("n"), F.sum(F.when(value.isNull(), F.col("c")).otherwise(0)).alias("missing"), (F.sum(value * c) / F.sum(c)).alias("mean"), F.min("value").alias("min"), F.max("value").alias("max"),
+        F.min_by("value", F.when(value.isNotNull(), F.struct(-F.col("c"), value))).alias("mode"),
+    )
+    inner = counted_quantiles(counts, {"q1": 0.25, "median": 0.5, "q3": 0.75}, "column")
+    fences = stats.join(inner, "column", "left").withColumn("iqr", F.col("q3") - F.col("q1")).withColumn("low", F.col("q1") - 1.5 * F.col("iqr")).withColumn("high", F.col("q3") + 1.5 * F.col("iqr"))
+    fences = written(fences.coalesce(1))  # a row for each column
+    far = counts.join(F.broadcast(fences.select("column", "low", "high", "mean", F.col("n").alias("_n"))), "column").groupBy("column").agg(
+        F.sum(F.when((value < F.col("low")) | (value > F.col("high")), c).otherwise(0)).alias("outliers"),
+        F.when(F.max("_n") > 1, F.sqrt(F.sum(c * (value - F.col("mean")) * (value - F.col("mean"))) / (F.max("_n") - 1))).alias("std"),
     )
-    stats = stats.join(quantiles(rows, "value", {"q1": 0.25, "median": 0.5, "q3": 0.75}, "column"), "column", "left")
-    modes = rows.where("value is not null").groupBy("column", "value").count().groupBy("column").agg(F.min_by("value", F.struct(-F.col("count"), F.col("value"))).alias("mode"))
-    fences = stats.withColumn("iqr", F.col("q3") - F.col("q1")).withColumn("low", F.col("q1") - 1.5 * F.col("iqr")).withColumn("high", F.col("q3") + 1.5 * F.col("iqr"))
-    outside = rows.join(F.broadcast(fences.select("column", "low", "high")), "column").groupBy("column").agg(F.count_if((F.col("value") < F.col("low")) | (F.col("value") > F.col("high"))).alias("outliers"))
-    return fences.join(modes, "column").join(outside, "column")
+    return fences.join(F.broadcast(far), "column")
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:

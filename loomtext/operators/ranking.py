@@ -7,22 +7,19 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..sources.stored import written
 
 
-def ranked(df: DataFrame, buckets: list[Column], order: list[Column], name: str = "rank") -> DataFrame:
-    """A global row number (from 1) in the order (buckets, order): the buckets
-    are numbered inside, and their sizes are summed in a small window."""
-    keys = [f"_b{i}" for i in range(len(buckets))]
-    plain = [b if isinstance(b, Column) else F.col(b) for b in buckets]
-    rows = df
-    for k, b in zip(keys, plain, strict=True):
-        rows = rows.withColumn(k, b)
-    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(W.partitionBy(F.lit(0)).orderBy(*keys).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    sizes = sizes.select(*(F.col(k).alias(f"{k}r") for k in keys), before.alias("_before"))
-    inside = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
-    condition = F.lit(True)
-    for k in keys:
-        condition &= F.col(k).eqNullSafe(F.col(f"{k}r"))
-    return rows.withColumn("_inside", inside).join(sizes, condition).withColumn(name, (F.col("_before") + F.col("_inside")).cast("long")).select(*df.columns, name)
+def ranked(df: DataFrame, order: list[Column | str], name: str = "rank") -> DataFrame:
+    """A global row number (from 1): rows are dealt by ranges of the order and sorted in each, and
+    written with their places there; the sizes of the ranges, one number each, are summed."""
+    keys = [f"_k{i}" for i in range(len(order))]
+    rows = df.select("*", *((x if isinstance(x, Column) else F.col(x)).alias(k) for k, x in zip(keys, order, strict=True)))
+    dealt = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).drop(*keys)
+    placed = written(dealt.withColumn("_at", F.monotonically_increasing_id()))  # range << 33 | place
+    part = F.shiftright("_at", 33)
+    sizes = placed.groupBy(part.alias("_range")).agg(F.count("*").alias("_n"))
+    every = sizes.agg(F.collect_list(F.struct("_range", "_n")).alias("x")).select(F.explode_outer("x").alias("r"), "x")  # as many as ranges
+    before = every.select(F.col("r._range").alias("_range"), F.aggregate(F.filter("x", lambda y: y["_range"] < F.col("r._range")), F.lit(0).cast("long"), lambda s, y: s + y["_n"]).alias("_before"))
+    inside = F.col("_at") - F.shiftleft(F.col("_range"), 33)
+    return placed.withColumn("_range", part).join(F.broadcast(before), "_range").select(*df.columns, (F.col("_before") + inside + 1).alias(name))
 
 
 def keep_first(df: DataFrame, key: str | list[str], order: list[str]) -> DataFrame:

@@ -2,7 +2,8 @@
 
 ``postings`` has a row for each token: (term, doc_id, field, pos). ``stored`` writes
 them once for each version of a table, a row for each term, field and document with
-its places and the field's length, in ranges of terms: a query reads the row groups
+its places and the field's length, in ranges of terms and documents, so that a term that stands
+everywhere is spread over files: a query reads the row groups
 of its terms. A query is a small tree of Term, Phrase, And, Or and Not; all of its
 leaves are answered in one aggregation by document. Phrases never cross fields.
 """
@@ -90,7 +91,7 @@ def stored(docs: DataFrame, path: str, fields: tuple[str, ...], name: str) -> In
 
     def make(folder: str) -> None:
         rows = grouped(postings(docs, fields))
-        ranges = rows.repartitionByRange("term").sortWithinPartitions("term", "field", "doc_id")
+        ranges = rows.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "field", "doc_id")
         ranges.write.option("parquet.block.size", ROW_GROUP).parquet(f"{folder}/postings")
         made = spark.read.parquet(f"{folder}/postings")
         made.groupBy("term").agg(F.count_distinct("doc_id").alias("docs"), F.sum(F.size("pos")).alias("places")).write.parquet(f"{folder}/terms")

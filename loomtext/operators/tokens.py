@@ -46,8 +46,8 @@ def distribution(counts: DataFrame) -> DataFrame:
 
 
 def rank_frequency(counts: DataFrame) -> DataFrame:
-    """gram, c and rank by falling count: ranks are summed over equal counts."""
-    return ranked(counts, [-F.col("c"), F.substring("gram", 1, 2)], ["gram"])
+    """gram, c and rank by falling count, then by the first two letters and the whole gram."""
+    return ranked(counts, [-F.col("c"), F.substring("gram", 1, 2), "gram"])
 
 
 def successors(df: DataFrame, tokens: Column, *keep: str) -> DataFrame:

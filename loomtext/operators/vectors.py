@@ -34,8 +34,8 @@ def tf_idf(tf: DataFrame, key: str, min_df: int = 2, max_features: int = 50_000)
     n = tf.agg(F.countDistinct(key).alias("docs"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).where(F.col("df") >= min_df).orderBy(F.desc("cf"), "term").limit(max_features)
     weights = tf.join(F.broadcast(df), "term").join(F.broadcast(n)).select(key, "term", (F.col("tf") * (F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1)).alias("x"))
-    norm = weights.groupBy(key).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    return weights.join(norm, key).select(key, "term", (F.col("x") / F.col("norm")).alias("weight"))
+    whole = weights.groupBy(key).agg(F.collect_list(F.struct("term", "x")).alias("terms"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))  # the terms of one text
+    return whole.select(key, "norm", F.explode("terms").alias("t")).select(key, "t.term", (F.col("t.x") / F.col("norm")).alias("weight"))
 
 
 def hashed_features(docs: DataFrame, key: str, units: Column, buckets: int) -> DataFrame:
@@ -89,9 +89,10 @@ def nearest(train: DataFrame, queries: DataFrame, k: int) -> DataFrame:
             for batch in batches:
                 ids, labels = batch.column("id").to_numpy(), batch.column("label")
                 vecs = np.array(batch.column("vec").to_pylist(), np.float64)
-                for at in range(0, len(names) if len(ids) else 0, 32):
-                    d = np.sqrt(((wanted[at : at + 32, None, :] - vecs) ** 2).sum(axis=2))
-                    for q, row in zip(names[at : at + 32].tolist(), d, strict=True):
+                step = max(1, (1 << 20) // max(vecs.size, 1))  # 8 MB of differences at once, about
+                for at in range(0, len(names) if len(ids) else 0, step):
+                    d = np.sqrt(((wanted[at : at + step, None, :] - vecs) ** 2).sum(axis=2))
+                    for q, row in zip(names[at : at + step].tolist(), d, strict=True):
                         row[ids == q] = np.inf
                         near = np.lexsort((ids, row))[:k] if len(ids) <= 4 * k else np.flatnonzero(row <= np.partition(row, k)[k])
                         mine = held.setdefault(q, []) + [(row[i], int(ids[i]), labels[i].as_py()) for i in near.tolist() if row[i] < np.inf]

@@ -10,7 +10,7 @@ from ..operators.paging import keyset_page, numbered_page, offset_page
 from ..operators.ranking import keep_first, ranked, top_per_group
 from ..operators.records import column_differences, merge_records
 from ..sources.paged import PagedSource
-from ..sources.stored import new_path
+from ..sources.stored import new_path, written
 from ._register import query, table
 
 _R = "round({}, 6)"
@@ -158,7 +158,7 @@ def hash_sample(spark, sf_dir):
 u AS (SELECT rn AS id, doc_id AS orig_id, 0 AS copy_no FROM r UNION ALL SELECT (SELECT count(*) FROM r) + rn // 10, doc_id, 1 FROM r WHERE rn % 10 = 0) SELECT * FROM u""")
 def replicate_rows(spark, sf_dir):
     """Every tenth row once more, with a dense new id."""
-    rows = ranked(table(spark, sf_dir, "documents").select("doc_id"), [F.floor(F.col("doc_id") / 4096)], ["doc_id"], "rn")
+    rows = ranked(table(spark, sf_dir, "documents").select("doc_id"), ["doc_id"], "rn")
     n = rows.agg(F.count("*").alias("n"))
     copies = rows.where("rn % 10 = 0").join(F.broadcast(n)).select((F.col("n") + F.expr("rn div 10")).alias("id"), F.col("doc_id").alias("orig_id"), F.lit(1).alias("copy_no"))
     return rows.select(F.col("rn").alias("id"), F.col("doc_id").alias("orig_id"), F.lit(0).alias("copy_no")).unionAll(copies)
@@ -270,7 +270,7 @@ SELECT (SELECT count(*) FROM documents) AS total, count(*) AS kept, (SELECT coun
 def dedup_report(spark, sf_dir):
     """A21, W1."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("t"), "n_chars", "lang")
-    kept = keep_first(docs, "t", ["doc_id"])
+    kept = written(keep_first(docs, "t", ["doc_id"]))
     stats = kept.agg(F.count("*").alias("kept"), F.min("n_chars").alias("shortest"), F.max("n_chars").alias("longest"), F.round(F.avg("n_chars"), 6).alias("mean"), F.count_if(F.col("lang") == "en").alias("english"))
     median = P.quantiles(kept, "n_chars", {"median": 0.5}).select(F.round("median", 6).alias("median"))
     stats = stats.join(F.broadcast(median))
@@ -306,7 +306,7 @@ def pivot_table(spark, sf_dir):
 SELECT s.click, CAST(sum(p.n) AS BIGINT) AS elements, (SELECT count(*) FROM f WHERE first <= s.click) AS uniques FROM s JOIN s p ON p.click <= s.click GROUP BY s.click""")
 def load_more_progress(spark, sf_dir):
     """Elements and unique ids after each batch of 1000."""
-    rows = ranked(table(spark, sf_dir, "events").select("event_id", "user_id"), [F.floor(F.col("event_id") / 4096)], ["event_id"], "rn").withColumn("click", F.expr("(rn - 1) div 1000"))
+    rows = ranked(table(spark, sf_dir, "events").select("event_id", "user_id"), ["event_id"], "rn").withColumn("click", F.expr("(rn - 1) div 1000"))
     new = rows.groupBy("user_id").agg(F.min("click").alias("click")).groupBy("click").agg(F.count("*").alias("new"))
     sizes = rows.groupBy("click").agg(F.count("*").alias("n")).join(new, "click", "left")
     upto = W.partitionBy(F.lit(0)).orderBy("click")
@@ -316,7 +316,7 @@ def load_more_progress(spark, sf_dir):
 @query("SELECT page_id, CASE WHEN rn <= ceil(n / 2) THEN 'table' ELSE 'card' END AS view, url FROM (SELECT page_id, url, row_number() OVER (ORDER BY page_id) rn, count(*) OVER () n FROM pages)")
 def alternate_halves(spark, sf_dir):
     """The first half of the list as table rows, the second as cards."""
-    rows = ranked(table(spark, sf_dir, "pages").select("page_id", "url"), [F.floor(F.col("page_id") / 4096)], ["page_id"], "rn")
+    rows = ranked(table(spark, sf_dir, "pages").select("page_id", "url"), ["page_id"], "rn")
     n = rows.agg(F.count("*").alias("n"))
     return rows.join(F.broadcast(n)).select("page_id", F.when(F.col("rn") <= F.ceil(F.col("n") / 2), "table").otherwise("card").alias("view"), "url")
 

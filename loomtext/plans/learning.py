@@ -125,7 +125,8 @@ def _features() -> list:
 def classifier_table(spark, sf_dir):
     """Four classifiers on tf-idf features, scored on the test split."""
     data = _tokens(spark, sf_dir).withColumn("label", F.col("quality").cast("double"))
-    prepared = Pipeline(stages=_features()).fit(data.where("split = 'train'")).transform(data).select("split", "label", "features").cache()
+    prepared = Pipeline(stages=_features()).fit(data.where("split = 'train'")).transform(data).select("split", "label", "features")
+    prepared = written(prepared)
     models = {"LogisticRegression": LogisticRegression(maxIter=20, regParam=0.01), "LinearSVC": LinearSVC(maxIter=20, regParam=0.01), "DecisionTree": DecisionTreeClassifier(maxDepth=4, maxBins=8, seed=1), "RandomForest": RandomForestClassifier(numTrees=10, maxDepth=4, maxBins=8, seed=1)}
     out = None
     for name, model in models.items():
@@ -140,7 +141,8 @@ def cross_validation(spark, sf_dir):
     """A grid over two stratified folds."""
     data = _tokens(spark, sf_dir).where("split = 'train'").withColumn("label", F.col("quality").cast("double"))
     data = V.stratified_split(data.drop("split"), "quality", F.md5(F.concat(F.col("doc_id").cast("string"), F.lit("cv"))), 0.5).withColumn("fold", (F.col("split") == "train").cast("int"))
-    prepared = Pipeline(stages=_features()).fit(data).transform(data).select("fold", "label", "features").cache()
+    prepared = Pipeline(stages=_features()).fit(data).transform(data).select("fold", "label", "features")
+    prepared = written(prepared)
     lr = LogisticRegression(maxIter=10)
     grid = ParamGridBuilder().addGrid(lr.regParam, [0.1, 0.01]).build()
     cv = CrossValidator(estimator=lr, estimatorParamMaps=grid, evaluator=MulticlassClassificationEvaluator(metricName="f1"), numFolds=2, foldCol="fold").fit(prepared)

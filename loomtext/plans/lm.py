@@ -51,8 +51,11 @@ _PP = "CASE WHEN count(*) FILTER (p <= 0) > 0 THEN 1e300 ELSE round(pow(2, -sum(
 
 
 def _report(scored: DataFrame) -> DataFrame:
-    p = L.perplexity(scored)
-    return p.select(F.when(F.col("perplexity") == float("inf"), 1e300).otherwise(F.round("perplexity", 4)).alias("perplexity"), "tokens", "zero_tokens")
+    return _shown(L.perplexity(scored))
+
+
+def _shown(p: DataFrame, *more: str) -> DataFrame:
+    return p.select(*more, F.when(F.col("perplexity") == float("inf"), 1e300).otherwise(F.round("perplexity", 4)).alias("perplexity"), "tokens", "zero_tokens")
 
 
 @query(f"WITH {_TOP2}, x AS (SELECT coalesce(c.c / n.total, 0.0) AS p FROM q LEFT JOIN c USING (ctx, w) LEFT JOIN n USING (ctx)) SELECT {_PP} FROM x")
@@ -74,18 +77,13 @@ def _kn(d: str) -> str:
 @query(f"WITH {_TOP2}, {_kn('0.75')} SELECT {_PP} FROM x")
 def lm_perplexity_kneser_ney(spark, sf_dir):
     """L6, L7, L9."""
-    return _report(L.score(*_mapped(spark, sf_dir), 2, "kn"))
+    return _shown(L.smoothed_perplexity(*_mapped(spark, sf_dir), 2, [0.75]))
 
 
 @query(" UNION ALL ".join(f"SELECT * FROM (WITH {_TOP2}, {_kn(d)} SELECT CAST({d} AS DOUBLE) AS discount, {_PP} FROM x)" for d in ("0.3", "0.5", "0.75", "0.9", "1.0")))
 def lm_discounts(spark, sf_dir):
     """Perplexity under five discounts."""
-    train, test = _mapped(spark, sf_dir)
-    out = None
-    for d in (0.3, 0.5, 0.75, 0.9, 1.0):
-        part = _report(L.score(train, test, 2, "kn", d)).select(F.lit(d).alias("discount"), "*")
-        out = part if out is None else out.unionAll(part)
-    return out
+    return _shown(L.smoothed_perplexity(*_mapped(spark, sf_dir), 2, [0.3, 0.5, 0.75, 0.9, 1.0]), "discount")
 
 
 def _level(c: str, n: str, p: str) -> str:
@@ -104,7 +102,7 @@ x AS (SELECT {_level('c3', 'n3', 'b.p')} FROM b LEFT JOIN c3 ON c3.ctx = b.ctx A
 @query(f"WITH {_TRI} SELECT {_PP} FROM x")
 def lm_trigram_kneser_ney(spark, sf_dir):
     """L7 of order three."""
-    return _report(L.score(*_mapped(spark, sf_dir), 3, "kn"))
+    return _shown(L.smoothed_perplexity(*_mapped(spark, sf_dir), 3, [0.75]))
 
 
 @query(f"WITH {_SENT}, {_ctx('m', 'tr0', 2, 2)}, c AS (SELECT w, pow(count(*), 2.0) AS x FROM (SELECT w FROM m WHERE ctx = 'the') GROUP BY 1 ORDER BY count(*) DESC, w LIMIT 5) SELECT w, round(x / (SELECT sum(x) FROM c), 6) AS p FROM c")

@@ -56,8 +56,10 @@ def test_mode_takes_the_least_of_a_tie(spark):
 
 def test_ranked_is_a_global_row_number(spark):
     df = spark.range(1000).withColumn("k", (F.col("id") * 37 % 1000))
-    rows = ranked(df, [F.floor(F.col("k") / 100)], ["k"]).collect()
-    assert all(r["rank"] == r["k"] + 1 for r in rows)
+    rows = ranked(df.repartition(7), ["k"]).collect()
+    assert len(rows) == 1000 and all(r["rank"] == r["k"] + 1 for r in rows)
+    assert sorted(r["rank"] for r in ranked(df.withColumn("k", F.lit(1)), [-F.col("k")]).collect()) == list(range(1, 1001))
+    assert ranked(df.where("false"), ["k"]).count() == 0
 
 
 def test_keep_first(spark):
