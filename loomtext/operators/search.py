@@ -303,26 +303,25 @@ def similar_titles(docs: DataFrame, column: str, word: str, threshold: float = 0
     return near.where("similarity > 0")
 
 
-def best_fragments(index: Index, docs: DataFrame, text: str, field: str, words: tuple[str, ...], least: int = 12, most: int = 25, key: str = "doc_id") -> DataFrame:
-    """key and fragment of docs: the run of ``least`` to ``most`` words with most distinct
-    hits, then most hits, then the shortest and the first one; hits are marked with <em>.
-    Places come from the index, the text is only cut. A run of too few words goes on to
-    the right, at the end of the text to the left; a text without hits gives its first words."""
-    hits = index.postings.where(F.col("term").isin(*words) & (F.col("field") == field)).select(F.col("doc_id").alias(key), "term", F.explode("pos").alias("pos"))
-    hits = hits.join(docs.select(key), key, "left_semi")
-    within = W.partitionBy(key).orderBy("pos").rangeBetween(0, most - 1)
-    runs = hits.select(key, "pos", F.size(F.collect_set("term").over(within)).alias("terms"), F.count("*").over(within).alias("n"), F.max("pos").over(within).alias("last"))
+def best_fragments(index: Index, texts: DataFrame, words: tuple[str, ...], least: int = 12, most: int = 25) -> DataFrame:
+    """doc_id, field, n (its hits) and fragment of texts (doc_id, field, text): the run of ``least`` to
+    ``most`` words with most distinct hits, then most hits, then the shortest and the first one; hits are marked
+    with <em>. Places come from the index, the text is only cut. A run of too few words goes on to the
+    right, at the end of the text to the left; a text without hits gives its first words."""
+    key = ["doc_id", "field"]
+    hits = index.postings.where(F.col("term").isin(*words)).select(*key, "term", F.explode("pos").alias("pos"))
+    hits = hits.join(texts.select(*key), key, "left_semi")
+    within = W.partitionBy(*key).orderBy("pos").rangeBetween(0, most - 1)
+    runs = hits.select(*key, "pos", F.size(F.collect_set("term").over(within)).alias("terms"), F.count("*").over(within).alias("n"), F.max("pos").over(within).alias("last"))
     order = F.struct(-F.col("terms"), -F.col("n"), F.col("last") - F.col("pos"), F.col("pos"))
-    best = runs.groupBy(key).agg(F.min_by(F.struct("pos", "last"), order).alias("run"))
-    places = hits.groupBy(key).agg(F.collect_set("pos").alias("hits"))
-    parts = F.regexp_extract_all(F.col(text), F.lit(r"([\p{L}\p{N}]+[^\p{L}\p{N}]*)"), 1)
-    cut = docs.select(key, parts.alias("parts")).join(best.join(places, key), key, "left")
-    n = F.size("parts")
-    stop = F.least(F.greatest(F.coalesce("run.last", F.lit(0)) + 1, F.coalesce("run.pos", F.lit(0)) + least), n)
+    best = runs.groupBy(*key).agg(F.min_by(F.struct("pos", "last", "n"), order).alias("run"), F.collect_set("pos").alias("hits"))
+    parts = F.regexp_extract_all(F.col("text"), F.lit(r"([\p{L}\p{N}]+[^\p{L}\p{N}]*)"), 1)
+    cut = texts.select(*key, parts.alias("parts")).join(best, key, "left")
+    stop = F.least(F.greatest(F.coalesce("run.last", F.lit(0)) + 1, F.coalesce("run.pos", F.lit(0)) + least), F.size("parts"))
     begin = F.greatest(F.least(F.coalesce("run.pos", F.lit(0)), stop - least), F.lit(0))
-    cut = cut.select(key, "parts", "hits", begin.alias("begin"), stop.alias("stop"))
+    cut = cut.select(*key, "parts", "hits", F.coalesce("run.n", F.lit(0)).alias("n"), begin.alias("begin"), stop.alias("stop"))
     marked = F.transform(F.slice("parts", F.col("begin") + 1, F.col("stop") - F.col("begin")), lambda w, i: F.when(F.array_contains(F.coalesce("hits", F.array().cast("array<int>")), i + F.col("begin")), F.regexp_replace(w, r"^([\p{L}\p{N}]+)", "<em>$1</em>")).otherwise(w))
-    return cut.select(key, F.regexp_replace(F.array_join(marked, ""), r"[^\p{L}\p{N}>]+$", "").alias("fragment"))
+    return cut.select(*key, "n", F.regexp_replace(F.array_join(marked, ""), r"[^\p{L}\p{N}>]+$", "").alias("fragment"))
 
 
 def overlap(a: DataFrame, b: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -160,18 +160,23 @@ def misspelt_titles(spark, sf_dir):
 
 
 @query(rf"""WITH {_BM25}, top AS (SELECT doc_id FROM (SELECT doc_id, round(score, 6) AS s FROM r) ORDER BY s DESC, doc_id LIMIT 10),
-h AS MATERIALIZED (SELECT doc_id, term, pos FROM i WHERE field = 'body' AND term IN ('er', 'th', 'onnd') AND doc_id IN (SELECT doc_id FROM top)),
-u AS (SELECT a.doc_id, a.pos, count(DISTINCT b.term) AS terms, count(*) AS n, max(b.pos) AS last FROM h a JOIN h b ON a.doc_id = b.doc_id AND b.pos BETWEEN a.pos AND a.pos + 24 GROUP BY 1, 2),
-b AS (SELECT doc_id, arg_min({{'p': pos, 'l': last}}, (-terms, -n, last - pos, pos)) AS run FROM u GROUP BY 1), p AS (SELECT doc_id, list(pos) AS hits FROM h GROUP BY 1),
-c AS (SELECT doc_id, hits, run, regexp_extract_all(body, '[\p{{L}}\p{{N}}]+[^\p{{L}}\p{{N}}]*') AS parts FROM d JOIN top USING (doc_id) LEFT JOIN b USING (doc_id) LEFT JOIN p USING (doc_id)),
-e AS (SELECT doc_id, hits, parts, run, least(greatest(coalesce(run.l, 0) + 1, coalesce(run.p, 0) + 12), len(parts)) AS stop FROM c),
-f AS (SELECT doc_id, hits, parts, stop, greatest(least(coalesce(run.p, 0), stop - 12), 0) AS begin FROM e)
-SELECT doc_id, regexp_replace(array_to_string(list_transform(range(begin, stop), lambda k: CASE WHEN list_contains(hits, k) THEN regexp_replace(parts[k + 1], '^([\p{{L}}\p{{N}}]+)', '<em>\1</em>') ELSE parts[k + 1] END), ''), '[^\p{{L}}\p{{N}}>]+$', '') AS fragment FROM f""")
+h AS MATERIALIZED (SELECT doc_id, field, term, pos FROM i WHERE term IN ('er', 'th', 'onnd') AND doc_id IN (SELECT doc_id FROM top)),
+u AS (SELECT a.doc_id, a.field, a.pos, count(DISTINCT b.term) AS terms, count(*) AS n, max(b.pos) AS last FROM h a JOIN h b ON a.doc_id = b.doc_id AND a.field = b.field AND b.pos BETWEEN a.pos AND a.pos + 24 GROUP BY 1, 2, 3),
+b AS (SELECT doc_id, field, arg_min({{'p': pos, 'l': last}}, (-terms, -n, last - pos, pos)) AS run FROM u GROUP BY 1, 2), p AS (SELECT doc_id, field, list(pos) AS hits FROM h GROUP BY 1, 2),
+tx AS (SELECT doc_id, 'body' AS field, body AS x FROM d JOIN top USING (doc_id) UNION ALL SELECT doc_id, 'title', title FROM d JOIN top USING (doc_id)),
+c AS (SELECT doc_id, field, hits, run, regexp_extract_all(x, '[\p{{L}}\p{{N}}]+[^\p{{L}}\p{{N}}]*') AS parts FROM tx LEFT JOIN b USING (doc_id, field) LEFT JOIN p USING (doc_id, field)),
+e AS (SELECT doc_id, field, hits, parts, run, least(greatest(coalesce(run.l, 0) + 1, coalesce(run.p, 0) + 12), len(parts)) AS stop FROM c),
+f AS (SELECT doc_id, field, hits, parts, stop, greatest(least(coalesce(run.p, 0), stop - 12), 0) AS begin FROM e),
+g AS (SELECT doc_id, field, hits, regexp_replace(array_to_string(list_transform(range(begin, stop), lambda k: CASE WHEN list_contains(hits, k) THEN regexp_replace(parts[k + 1], '^([\p{{L}}\p{{N}}]+)', '<em>\1</em>') ELSE parts[k + 1] END), ''), '[^\p{{L}}\p{{N}}>]+$', '') AS fragment FROM f)
+SELECT doc_id, arg_min(fragment, (hits IS NULL, field = 'title')) AS fragment FROM g GROUP BY 1""")
 def highlighted_hits(spark, sf_dir):
-    """The best fragment of 12 to 25 words of the ten best documents, its hits marked."""
+    """The best fragment of 12 to 25 words of the ten best documents, its hits marked; from
+    the title where the body has no hit."""
     top = S.top(_ranked(spark, sf_dir).withColumn("score", F.round("score", 6)))
-    docs = _docs(spark, sf_dir).join(F.broadcast(top.select("doc_id")), "doc_id", "left_semi").select("doc_id", "body")
-    return S.best_fragments(_index(spark, sf_dir), docs, "body", "body", tuple(_TERMS))
+    docs = _docs(spark, sf_dir).join(F.broadcast(top.select("doc_id")), "doc_id", "left_semi")
+    texts = docs.select("doc_id", "body").select("doc_id", F.lit("body").alias("field"), F.col("body").alias("text")).unionAll(docs.select("doc_id", F.lit("title"), "title"))
+    found = S.best_fragments(_index(spark, sf_dir), texts, tuple(_TERMS))
+    return found.groupBy("doc_id").agg(F.min_by("fragment", F.struct(F.col("n") == 0, F.col("field") == "title")).alias("fragment"))
 
 
 @query(f"""WITH {_INDEX}, s AS (SELECT unnest([10, 50, 100]) AS percent), n AS (SELECT max(doc_id) + 1 AS n FROM documents),

@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -40,10 +40,25 @@ def written(df: DataFrame, compression: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Files that the driver lists by itself; more are listed by a job.
+_LISTED = 1000
+
+
 def version(spark: SparkSession, path: str) -> str:
     """A digest of the names, sizes and times of a table's files."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", "modificationTime").collect()
-    return hashlib.sha256(repr(sorted((r.path, r.length, r.modificationTime) for r in files)).encode()).hexdigest()[:24]
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(hadoop, True)
+    files: list[tuple[str, int, int]] | None = []
+    while found.hasNext():
+        if len(files) >= _LISTED:
+            files = None
+            break
+        f = found.next()
+        files.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    if files is None:
+        rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", F.unix_millis("modificationTime").alias("time")).collect()
+        files = [tuple(r) for r in rows]
+    return hashlib.sha256(repr(sorted(files)).encode()).hexdigest()[:24]
 
 
 def kept(spark: SparkSession, path: str, name: str, make: Callable[[str], None]) -> str:

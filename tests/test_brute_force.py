@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from loomtext.functions import stemming
 from loomtext.operators import lm as L, profile as P, tokens as T, vectors as V
-from loomtext.plans import catalogue, search, text
+from loomtext.plans import catalogue, learning, search, text
 from loomtext.streaming import limits
 
 SF = "/root/testdata/sf0.001"
@@ -135,10 +135,39 @@ def test_unicode_forms_and_proper_names(spark):
     assert {r.name: r.c for r in text.proper_names(spark, SF).collect()} == dict(names)
 
 
+def vocabulary():
+    import pyarrow.parquet as pq
+
+    return {w for t in pq.read_table(f"{SF}/documents.parquet").column("text").to_pylist() for w in regex.sub(r"\s+", " ", regex.sub(r"[^\p{L}\p{N}_\s]", "", t or "").lower()).split(" ") if w}
+
+
 def test_stem_table_lists_the_words_with_different_stems(spark):
-    words = {r.w for r in text._vocabulary(spark, SF).collect()}
-    table = stemming.stem_vocabulary(spark.createDataFrame([(w,) for w in sorted(words)], "w string"), "w").collect()
-    assert {r.w for r in text.stem_table(spark, SF).collect()} == {r.w for r in table if r.porter != r.snowball}
+    got = {r.w: (r.porter, r.snowball) for r in text.stem_table(spark, SF).collect()}
+    assert got == {w: (p, s) for w in vocabulary() if (p := stemming.porter(w)) != (s := stemming.snowball_english(w))}
+
+
+def test_over_and_under_stemming(spark):
+    lemma = {w: regex.sub("(s|ed|ing)$", "", w) for w in vocabulary()}
+    stems, lemmas = collections.defaultdict(set), collections.defaultdict(set)
+    for w, x in lemma.items():
+        stems[stemming.porter(w)].add(x)
+        lemmas[x].add(stemming.porter(w))
+    over = {("over", k, len(v)) for k, v in stems.items() if len(v) > 1 and not any(a != b and b.startswith(a) for a in v for b in v)}
+    under = {("under", k, len(v)) for k, v in lemmas.items() if len(v) > 1}
+    assert {tuple(r) for r in text.over_and_under_stemming(spark, SF).collect()} == over | under
+
+
+def test_classifiers_count_the_whole_test_split(spark):
+    sizes = {r.quality: r.n for r in learning.split_sizes(spark, SF).where("split = 'test'").collect()}
+    for r in learning.classifier_table(spark, SF).collect():
+        assert (r.tn + r.fp, r.fn + r.tp) == (sizes.get(0, 0), sizes.get(1, 0)) and r.accuracy == pytest.approx((r.tn + r.tp) / sum(sizes.values()))
+
+
+def test_feature_weights_are_the_ends_of_the_same_model(spark):
+    rows = learning.feature_weights(spark, SF).collect()
+    top, low = rows[:10], rows[10:]
+    assert [(-r.weight, r.term) for r in top] == sorted((-r.weight, r.term) for r in top) and [(r.weight, r.term) for r in low] == sorted((r.weight, r.term) for r in low)
+    assert min(r.weight for r in top) > 0 > max(r.weight for r in low)
 
 
 def test_highlights_mark_the_words_of_the_best_documents(spark):

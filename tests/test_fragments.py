@@ -53,5 +53,5 @@ def test_best_fragments_equal_every_window(spark):
     docs = spark.createDataFrame([(k, "", b) for k, b in enumerate(bodies)], "doc_id int, title string, body string")
     index = S.in_memory(S.postings(docs, ("title", "body")))
     for least, most in [(12, 25), (3, 5), (1, 1)]:
-        got = {r.doc_id: r.fragment for r in S.best_fragments(index, docs.select("doc_id", "body"), "body", "body", ("kot", "pies", "dom"), least, most).collect()}
+        got = {r.doc_id: r.fragment for r in S.best_fragments(index, docs.selectExpr("doc_id", "'body' AS field", "body AS text"), ("kot", "pies", "dom"), least, most).collect()}
         assert got == {k: fragment(b, {"kot", "pies", "dom"}, least, most) for k, b in enumerate(bodies)}

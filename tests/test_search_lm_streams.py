@@ -129,3 +129,18 @@ def test_an_index_is_made_once_for_each_version_of_a_table(spark, tmp_path):
     assert find() == find() == [0, 2] and len(spark.sparkContext._loomtext_kept) == before + 1
     make(["y", "x"])
     assert find() == [1] and len(spark.sparkContext._loomtext_kept) == before + 2
+
+
+def test_a_term_that_stands_everywhere_is_spread_over_files(spark, tmp_path):
+    path = str(tmp_path / "docs.parquet")
+    spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("hot "), F.col("id").cast("string")).alias("t")).write.parquet(path)
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        index = S.stored(spark.read.parquet(path), path, ("t",), "hot")
+    finally:
+        spark.conf.set(key, before)
+    files = index.postings.where("term = 'hot'").select(F.input_file_name().alias("f")).groupBy("f").count().collect()
+    assert len(files) > 1 and sum(r["count"] for r in files) == 4000
+    assert S.search(index, S.Term("hot")).count() == 4000 and [r.doc_id for r in S.search(index, S.Term("17")).collect()] == [17]
