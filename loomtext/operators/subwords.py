@@ -270,6 +270,22 @@ def unit_counts(counts: DataFrame, merges: list[Pair], sizes: tuple[int, ...], s
     return counts.select("piece", F.col("c").cast("long")).mapInArrow(run, "merges long, units long").groupBy("merges").agg(F.sum("units").alias("units"))
 
 
+def piece_units(counts: DataFrame, vocabulary: ByteVocabulary) -> DataFrame:
+    """unit (its id) and c over all pieces (piece, c)."""
+    first = vocabulary.first_ids
+    rank = {pair: (k, len(vocabulary.specials) + 256 + k) for k, pair in enumerate(vocabulary.merges)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums: dict[int, int] = defaultdict(int)
+            for piece, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for u in encoded([first[b] for b in piece.encode()], rank):
+                    sums[u] += c
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(list(sums.values()), pa.int64())], names=["unit", "c"])
+
+    return counts.select("piece", F.col("c").cast("long")).mapInArrow(run, "unit int, c long").groupBy("unit").agg(F.sum("c").alias("c"))
+
+
 def decode(ids: Column, vocabulary: ByteVocabulary) -> Column:
     """The text of units (without the space put before it, if any), inside the JVM."""
     table = F.array(*(F.lit(p.hex()) for p in vocabulary.payloads))

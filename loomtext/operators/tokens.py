@@ -178,6 +178,13 @@ def first_sentence_with(sentences: DataFrame, phrases: DataFrame) -> DataFrame:
     return found
 
 
+def variant_counts(variants: DataFrame, base: str) -> DataFrame:
+    """variant_stats from counts (variant, unit, c)."""
+    stats = variants.groupBy("variant", "unit").agg(F.sum("c").alias("c")).groupBy("variant").agg(F.sum("c").alias("units"), F.count("*").alias("vocabulary"))
+    ref = stats.where(F.col("variant") == base).select(F.col("vocabulary").alias("base"), F.col("units").alias("words"))
+    return stats.join(F.broadcast(ref)).select("variant", "units", "vocabulary", (F.col("vocabulary") / F.col("units")).alias("ttr"), (F.col("units") / F.col("words")).alias("per_word"), ((F.col("vocabulary") / F.col("base") - 1) * 100).alias("change"))
+
+
 def near_pairs(texts: DataFrame, column: str, edits: int) -> DataFrame:
     """a, b (a < b) and distance of the distinct texts within so many edits. Two such texts give an
     equal one when at most ``edits`` letters are deleted from each, so they meet at it: no

@@ -9,6 +9,7 @@ from ..operators import dom as D, profile as P
 from ..operators.paging import keyset_page, numbered_page, offset_page
 from ..operators.ranking import keep_first, ranked, top_per_group
 from ..operators.records import column_differences, merge_records
+from ..sources import files
 from ..sources.paged import PagedSource
 from ..sources.stored import new_path, written
 from ._register import query, table
@@ -443,3 +444,38 @@ def backoff_schedule(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select("event_id", "user_id", failed.alias("failed"), F.max(F.when(~failed, F.col("event_id"))).over(w).alias("ok")).where("failed")
     attempt = F.row_number().over(W.partitionBy("user_id", "ok").orderBy("event_id"))
     return rows.select("event_id", attempt.cast("long").alias("attempt"), F.least(F.pow(F.lit(2.0), attempt - 1), F.lit(10.0)).alias("wait_s"))
+
+
+@query("SELECT p_partkey, p_name, p_brand, p_type, p_size, p_retailprice FROM part")
+def csv_round_trip(spark, sf_dir):
+    """Parts written as CSV with semicolons and read again by a schema."""
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice")
+    folder = new_path(spark)
+    files.write_csv(part, folder, ";")
+    return files.read_csv(spark, folder, part.schema, ";")
+
+
+@query("SELECT event_id, user_id, event_type, value FROM events")
+def json_lines_round_trip(spark, sf_dir):
+    """Events written as gzipped JSON lines, read again and dealt over eight tasks."""
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
+    folder = new_path(spark)
+    files.write_json(events, folder, "gzip")
+    return files.read_jsonl(spark, folder, events.schema, 8)
+
+
+@query("SELECT doc_id FROM documents LIMIT 100")
+def head_limited_load(spark, sf_dir):
+    """The first hundred rows of the file."""
+    return files.head(table(spark, sf_dir, "documents").select("doc_id"), 100)
+
+
+@query("SELECT event_type, count(*) AS runs, round(median(value), 6) AS median FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS k FROM events) WHERE k > 1 GROUP BY 1")
+def median_timings(spark, sf_dir):
+    """The median of each kind's measured values, the first of each user taken as warm-up."""
+    events = table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "value")
+    warm = events.groupBy("user_id", "event_type").agg(F.min("event_id").alias("event_id"))
+    timed = events.join(warm, ["user_id", "event_type", "event_id"], "left_anti")
+    runs = timed.groupBy(F.col("event_type").alias("kind")).agg(F.count("*").alias("runs"))
+    found = P.quantiles(timed, "value", {"median": 0.5}, "event_type").join(F.broadcast(runs), F.col("event_type").eqNullSafe(F.col("kind")))  # a row for each kind
+    return found.select("event_type", "runs", F.round("median", 6).alias("median"))

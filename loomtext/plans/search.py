@@ -118,6 +118,17 @@ def facet_counts(spark, sf_dir):
     return S.facets(hits.withColumn("size", F.expr("n_chars div 1000")), ["lang", "source", "size"])
 
 
+@query(f"WITH {_INDEX} SELECT lang, count(*) AS found, count(*) AS scanned, true AS equal FROM d WHERE doc_id IN (SELECT doc_id FROM i WHERE term = 'er') GROUP BY 1")
+def facets_agree(spark, sf_dir):
+    """A facet of the index's hits against the same from a scan of the words."""
+    docs = _docs(spark, sf_dir)
+    found = docs.join(S.search(_index(spark, sf_dir), S.Term("er")), "doc_id", "left_semi").groupBy("lang").agg(F.count("*").alias("found"))
+    has = F.exists(S.analyse(F.concat_ws("\n", "title", "body")), lambda x: x["term"] == "er")
+    scanned = docs.where(has).groupBy(F.col("lang").alias("_lang")).agg(F.count("*").alias("scanned"))
+    both = found.join(scanned, F.col("lang").eqNullSafe(F.col("_lang")), "full")
+    return both.select(F.coalesce("lang", "_lang").alias("lang"), F.coalesce("found", F.lit(0)).alias("found"), F.coalesce("scanned", F.lit(0)).alias("scanned"), F.col("found").eqNullSafe(F.col("scanned")).alias("equal"))
+
+
 @query("SELECT g.i AS bucket, count(d.doc_id) AS n FROM (SELECT unnest(range(0, (SELECT CAST(max(n_chars) AS BIGINT) + 1 FROM documents), 2000)) AS i) g LEFT JOIN documents d ON d.n_chars >= g.i AND d.n_chars < g.i + 2000 GROUP BY 1")
 def range_facets(spark, sf_dir):
     """A4: lengths in steps of 2000 up to the longest, empty steps too."""

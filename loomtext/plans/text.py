@@ -368,6 +368,17 @@ def variant_table(spark, sf_dir):
     return T.variant_stats(v, "words").withColumns({c: F.round(c, 6) for c in ("ttr", "per_word", "change")})
 
 
+@query()
+def four_variants(spark, sf_dir):
+    """Words, stems in the place of lemmas, words without stop words, and byte-level units."""
+    words = written(_vocabulary(spark, sf_dir).select(F.col("w").alias("unit"), "c"))
+    stems = stemming.stem_vocabulary(words, "unit", ("snowball",)).select(F.lit("stems").alias("variant"), F.col("snowball").alias("unit"), "c")
+    units = U.piece_units(U.piece_counts(_docs(spark, sf_dir)), _byte_vocabulary(_byte_merges(spark, sf_dir)))
+    every = words.select(F.lit("words").alias("variant"), "unit", "c").unionAll(stems).unionAll(words.where(~F.col("unit").isin(*X.STOP_WORDS)).select(F.lit("no stop words"), "unit", "c"))
+    every = every.unionAll(units.select(F.lit("byte units"), F.col("unit").cast("string"), "c"))
+    return T.variant_counts(every, "words").withColumns({c: F.round(c, 6) for c in ("ttr", "per_word", "change")})
+
+
 @query(f"SELECT lang, round(avg(len({_WORDS})), 6) AS words, round(avg(length(text)), 6) AS chars, round(avg(len({_LM})), 6) AS lm FROM documents GROUP BY 1")
 def language_tax(spark, sf_dir):
     """Mean units of each language under three tokenisers."""

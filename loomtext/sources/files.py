@@ -51,14 +51,23 @@ def read_embeddings(spark: SparkSession, path: str, vocabulary: DataFrame, width
     return wanted.withColumn("vec", F.when(F.size("vec") == width, F.col("vec")).otherwise(F.raise_error(F.concat(F.lit("wrong width: "), "word"))))
 
 
+def head(df: DataFrame, n: int) -> DataFrame:
+    """The first n rows of a table read from files, by the files' numbers and the rows' places in them; a scan of
+    places finds them, and each task keeps n at most."""
+    path = F.col("_metadata.file_path")
+    number = F.lpad(F.regexp_extract(path, r"part-(\d+)[^/]*$", 1), 12, "0")
+    placed = df.select("*", F.struct(number, path, F.col("_metadata.row_index")).alias("_place"))
+    return placed.orderBy("_place").limit(n).drop("_place")
+
+
 def write_csv(df: DataFrame, path: str, sep: str = ",") -> None:
     """CSV parts with a header; null is empty."""
     df.write.mode("overwrite").csv(path, sep=sep, header=True, nullValue="", emptyValue="")
 
 
-def write_json(df: DataFrame, path: str) -> None:
-    """One JSON record per line."""
-    df.write.mode("overwrite").json(path)
+def write_json(df: DataFrame, path: str, compression: str | None = None) -> None:
+    """One JSON record per line; null fields are left out."""
+    df.write.mode("overwrite").json(path, compression=compression)
 
 
 def markdown(df: DataFrame, most: int = 100) -> str:
