@@ -10,7 +10,8 @@ Nothing else of Python can be reached from a template.
 
 Rows of one conversation are sorted by (turn, role, text); null role and text
 are empty. A conversation is one output row, so its own text is what a task
-holds; conversations are streamed one after the other. An empty table gives an
+holds; conversations are streamed one after the other. Rows that repeat are turns each; very long texts
+are rendered whole. An empty table gives an
 empty table; a null conv_id is a conversation of its own.
 """
 

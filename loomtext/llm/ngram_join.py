@@ -29,7 +29,8 @@ components of these links without making all pairs of a group of copies:
 
 Defined results: null or empty texts and texts without words have n_shingles
 0 and are their own component; null ids make a component of their class but
-never name one unless all its ids are null; rows that repeat share a component.
+never name one unless all its ids are null; rows that repeat share a component; very long
+texts are read whole; an empty table gives an empty one; other columns take no part in it.
 Classes are named by 64-bit hashes.
 """
 

@@ -10,7 +10,7 @@ repetition of words it has never seen. Unigrams and bigrams are hashed into
 weight of its n-grams, so length alone does not move it.
 
 Defined results: null and empty texts score by the bias alone; repeated rows
-get equal scores; an empty table gives an empty table; without labels every
+get equal scores; very long texts are read whole; an empty table gives an empty table; without labels every
 score is 0.5, with labels of one class the score is near that class.
 """
 

@@ -20,7 +20,8 @@ bound reaches the k-th lower bound, equal ones included.
 Defined results: null vectors and vectors that hold null, NaN or infinite
 components, of another length than the most frequent one, or without an id
 take no part; equal vectors are ranked by id; rows that repeat an id are candidates each
-(all but those of the query's own id); an empty table gives an empty table.
+(all but those of the query's own id), and an id that repeats among the queries asks with its smallest
+vector, component by component, however the rows lie; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -117,7 +118,9 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, scale: int = 256, id_column:
         if block.num_rows and asked.num_rows:
             index = ImpactIndex(*_matrix(block, width))
             ids, values = _matrix(asked, width)
-            ids, first = np.unique(ids, return_index=True)
+            order = np.lexsort((*values.T[::-1], ids))  # of an id's vectors the smallest comes first
+            ids, first = np.unique(ids[order], return_index=True)
+            values = values[order]
             for at in range(0, len(ids), QUERIES):
                 rows += index.top(ids[at : at + QUERIES], values[first][at : at + QUERIES], k)
         columns = list(zip(*rows, strict=True)) or [(), (), ()]

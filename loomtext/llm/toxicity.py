@@ -16,7 +16,7 @@ fitted by FTRL updates on a bounded sample of the labelled rows (MAX_TRAINING_RO
 the smallest by hash) in one task; scoring is one scan of the documents.
 
 Defined results: null and empty texts score by the biases alone; rows that
-repeat score alike; ties of the threshold count as toxic; an empty table gives an
+repeat score alike; very long texts are read whole; ties of the threshold count as toxic; an empty table gives an
 empty table; without labels all probabilities are 0.5 and nothing is predicted toxic;
 a column of docs that has a result's name is replaced.
 """

@@ -171,6 +171,16 @@ def test_top_k_of_dimensions_of_different_ranges():
             assert sorted(got) == sorted((n + q, int(i), int(scores[q, i])) for q in range(20) for i in np.lexsort((np.arange(n), -scores[q]))[:k])
 
 
+def test_a_repeated_query_id_asks_with_its_smallest_vector(spark):
+    rng = np.random.default_rng(9)
+    others = [(k, rng.normal(0, 1, 4).round(2).tolist()) for k in range(1, 40)]
+    twice = [(50, [0.5, 2.0, 0.0, 0.0]), (50, [0.5, -2.0, 0.0, 0.0]), (50, [3.0, 0.0, 0.0, 0.0])]
+    expected = brute_top([*others, twice[1]], [50], 5)
+    for rows in ([*others, *twice], [*twice[::-1], *others], [twice[2], *others, twice[0], twice[1]]):
+        frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
+        assert {tuple(r) for r in topk.top_k(frame, lambda i: i == 50).collect()} == expected
+
+
 def test_top_k_of_the_table(spark):
     rows = [(r.vec_id, r.embedding) for r in table(spark, SF, "embeddings").collect()]
     assert {tuple(r) for r in op8_exact_topk(spark, SF).collect()} == brute_top(rows, [i for i, _ in rows if i % 50 == 0], 5)
