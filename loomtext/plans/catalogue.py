@@ -373,7 +373,7 @@ _ONE_SPACE = "trim(regexp_replace({0}, '[ \\t\\n\\r\\f\\v]+', ' ', 'g'))"
 
 
 @query(f"""WITH m AS (SELECT page_id, regexp_extract(html, '<nav>(.*?)</nav>', 1, 's') AS nav FROM pages), l AS (SELECT page_id, unnest(regexp_extract_all(nav, '<li><a href="[^"]*">[^<]*</a></li>')) AS li, generate_subscripts(regexp_extract_all(nav, '<li><a href="[^"]*">[^<]*</a></li>'), 1) - 1 AS record FROM m)
-SELECT page_id, record, 'li' AS tag, {_ONE_SPACE.format(_DECODED.format("regexp_extract(li, '>([^<]*)</a>', 1)"))} AS label, {_DECODED.format("regexp_extract(li, 'href=.([^" + chr(34) + "]*)', 1)")} AS link FROM l""")
+SELECT page_id, CAST(record AS INTEGER) AS record, 'li' AS tag, {_ONE_SPACE.format(_DECODED.format("regexp_extract(li, '>([^<]*)</a>', 1)"))} AS label, {_DECODED.format("regexp_extract(li, 'href=.([^" + chr(34) + "]*)', 1)")} AS link FROM l""")
 def menu_records(spark, sf_dir):
     """A record for each entry of the pages' menus."""
     return D.records(table(spark, sf_dir, "pages"), "nav > ul > li", {"label": "a", "link": "a@href"})
@@ -390,7 +390,7 @@ def article_records(spark, sf_dir):
 
 
 @query(f"""WITH {_ARTICLE}, p AS (SELECT page_id, unnest(list_slice(string_split(a, '<p>'), 2, 1000000)) AS p, generate_subscripts(list_slice(string_split(a, '<p>'), 2, 1000000), 1) - 1 AS record FROM a)
-SELECT page_id, record, 'p' AS tag, {_ONE_SPACE.format(_DECODED.format("regexp_replace(replace(p, '<br>', ' '), '<[^>]*>', '', 'g')"))} AS text FROM p""")
+SELECT page_id, CAST(record AS INTEGER) AS record, 'p' AS tag, {_ONE_SPACE.format(_DECODED.format("regexp_replace(replace(p, '<br>', ' '), '<[^>]*>', '', 'g')"))} AS text FROM p""")
 def paragraph_records(spark, sf_dir):
     """A record for each paragraph of the articles, references decoded, blanks joined."""
     return D.records(table(spark, sf_dir, "pages"), "article > p", {"text": ""})
