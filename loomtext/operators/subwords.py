@@ -65,6 +65,11 @@ class ByteVocabulary:
         place = {c: k for k, c in enumerate(sorted(letters))}
         return [len(self.specials) + place[c] for c in letters]
 
+    @property
+    def made(self) -> dict[Pair, int]:
+        """The new symbol of each merge."""
+        return {pair: len(self.specials) + 256 + k for k, pair in enumerate(self.merges)}
+
     @property
     def payloads(self) -> list[bytes]:
         """The bytes of each id; none for specials."""
@@ -102,15 +107,26 @@ def merged(symbols: list[int], pair: Pair, new: int) -> list[int]:
     return out
 
 
-def encoded(symbols: list[int], rank: dict[Pair, tuple[int, int]]) -> list[int]:
-    """The symbols after all merges; ``rank`` gives a pair's place and new symbol."""
-    while len(symbols) > 1:
-        best = min(((rank[p], p) for p in zip(symbols, symbols[1:], strict=False) if p in rank), default=None)
-        if best is None:
-            return symbols
-        (_, new), pair = best
-        symbols = merged(symbols, pair, new)
-    return symbols
+_NONE = 1 << 60
+
+
+def encoded(symbols: list[int], made: dict[Pair, int]) -> list[int]:
+    """The symbols after all merges; ``made`` gives the new symbol of a pair, and earlier merges
+    have smaller ones. A merge looks again only at the pairs beside it."""
+    out, get = list(symbols), made.get
+    new = [get(p, _NONE) for p in zip(out, out[1:], strict=False)]  # of each symbol and the next one
+    while new:
+        best = min(new)
+        if best == _NONE:
+            break
+        k = new.index(best)  # of equal pairs the left one
+        out[k : k + 2] = [best]
+        del new[k]
+        if k < len(new):
+            new[k] = get((best, out[k + 1]), _NONE)
+        if k:
+            new[k - 1] = get((out[k - 1], best), _NONE)
+    return out
 
 
 def certain_merges(segments: list[tuple[list[int], int]], floor: int, most: int, next_id: int, least: int) -> list[tuple[Pair, int]]:
@@ -173,12 +189,12 @@ def _segments(words: DataFrame, leading: set[Pair]) -> DataFrame:
     return words.select("s", "c").mapInArrow(run, "s array<int>, c long").groupBy("s").agg(F.sum("c").alias("c"))
 
 
-def _rewritten(words: DataFrame, rank: dict[Pair, tuple[int, int]]) -> DataFrame:
+def _rewritten(words: DataFrame, made: dict[Pair, int]) -> DataFrame:
     """The words after the merges of a round; those without such a pair as they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = [(encoded(s, rank), c) for s, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            kept = [(encoded(s, made), c) for s, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
             kept = [(s, c) for s, c in kept if len(s) > 1]
             yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in kept], pa.list_(pa.int32())), pa.array([c for _, c in kept], pa.int64())], names=["s", "c"])
 
@@ -216,24 +232,24 @@ def train(counts: DataFrame, merges: int, min_frequency: int = 2, specials: tupl
             batch = certain_merges([(r["s"], r["c"]) for r in found], floor, merges - len(out), next_id, min_frequency)
         else:
             batch = [((top[0]["a"], top[0]["b"]), top[0]["n"])]
-        rank = {pair: (k, next_id + k) for k, (pair, _) in enumerate(batch)}
+        made = {pair: next_id + k for k, (pair, _) in enumerate(batch)}
         out += batch
         if len(out) < merges:
-            words = written(_rewritten(words, rank))
+            words = written(_rewritten(words, made))
     return out
 
 
 def encode(docs: DataFrame, vocabulary: ByteVocabulary, column: str = "text", prefix_space: bool = True) -> DataFrame:
     """docs and ``ids``: the whole text's units. A worker looks up each piece once."""
     first = vocabulary.first_ids
-    rank = {pair: (k, len(vocabulary.specials) + 256 + k) for k, pair in enumerate(vocabulary.merges)}
-    shared = docs.sparkSession.sparkContext.broadcast((first, rank))
+    made = vocabulary.made
+    shared = docs.sparkSession.sparkContext.broadcast((first, made))
     named = docs.select("*", pieces(F.coalesce(F.col(column), F.lit("")), prefix_space).alias("_pieces"))
     schema = T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, rank = shared.value
+        first, made = shared.value
         seen: dict[str, list[int]] = {}
 
         def units(piece: str) -> list[int]:
@@ -241,7 +257,7 @@ def encode(docs: DataFrame, vocabulary: ByteVocabulary, column: str = "text", pr
             if got is None:
                 if len(seen) >= 200_000:
                     seen.clear()
-                got = seen[piece] = encoded([first[b] for b in piece.encode()], rank)
+                got = seen[piece] = encoded([first[b] for b in piece.encode()], made)
             return got
 
         for batch in batches:
@@ -255,14 +271,14 @@ def unit_counts(counts: DataFrame, merges: list[Pair], sizes: tuple[int, ...], s
     """merges and units: how many units all pieces (piece, c) have after so many merges."""
     vocabulary = ByteVocabulary(merges, specials)
     first = vocabulary.first_ids
-    ranks = [(n, {pair: (k, len(specials) + 256 + k) for k, pair in enumerate(merges[:n])}) for n in sorted(sizes)]
+    upto = [(n, ByteVocabulary(merges[:n], specials).made) for n in sorted(sizes)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = dict.fromkeys(sizes, 0)
         for batch in batches:
             for piece, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 symbols = [first[b] for b in piece.encode()]
-                for n, known in ranks:  # more merges go on from fewer
+                for n, known in upto:  # more merges go on from fewer
                     symbols = encoded(symbols, known)
                     total[n] += c * len(symbols)
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], names=["merges", "units"])
@@ -273,13 +289,13 @@ def unit_counts(counts: DataFrame, merges: list[Pair], sizes: tuple[int, ...], s
 def piece_units(counts: DataFrame, vocabulary: ByteVocabulary) -> DataFrame:
     """unit (its id) and c over all pieces (piece, c)."""
     first = vocabulary.first_ids
-    rank = {pair: (k, len(vocabulary.specials) + 256 + k) for k, pair in enumerate(vocabulary.merges)}
+    made = vocabulary.made
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sums: dict[int, int] = defaultdict(int)
             for piece, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for u in encoded([first[b] for b in piece.encode()], rank):
+                for u in encoded([first[b] for b in piece.encode()], made):
                     sums[u] += c
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(list(sums.values()), pa.int64())], names=["unit", "c"])
 
