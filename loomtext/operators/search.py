@@ -2,8 +2,9 @@
 
 ``postings`` has a row for each token: (term, doc_id, field, pos). ``stored`` writes
 them once for each version of a table, a row for each term, field and document with
-its places and the field's length, in ranges of terms and documents, so that a term that stands
-everywhere is spread over files: a query reads the row groups
+its places and the field's length. Documents are dealt over files of bounded size, each sorted
+by terms, so places are gathered inside a document and only texts are shuffled; a term that stands
+everywhere is spread over files, and a query reads the row groups
 of its terms. A query is a small tree of Term, Phrase, And, Or and Not; all of its
 leaves are answered in one aggregation by document. Phrases never cross fields.
 """
@@ -13,12 +14,14 @@ from __future__ import annotations
 import itertools
 import re
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.text import STOP_WORDS
-from ..sources.stored import kept
+from ..sources.stored import bytes_of, kept, written
+from .tokens import each
 
 
 @dataclass(frozen=True)
@@ -58,6 +61,10 @@ class Index:
 
 #: Bytes of a row group of stored postings, so that a term reads little else.
 ROW_GROUP = 1 << 20
+#: Bytes of the documents' files that one file of postings is made of, so that its sort stays in memory.
+PART = 8 << 20
+#: Terms that are broadcast at most.
+_FEW = 100_000
 
 
 def analyse(c: Column) -> Column:
@@ -84,17 +91,44 @@ def grouped(places: DataFrame) -> DataFrame:
     return rows.join(lengths, ["field", "doc_id"]).select("term", "field", "doc_id", "pos", "dl")
 
 
+def by_document(docs: DataFrame, fields: tuple[str, ...], key: str = "doc_id") -> DataFrame:
+    """``grouped(postings(docs, fields))`` by arrays of one document, without a shuffle of places; and ``head``,
+    whether the row is the first of its term and document. Rows without a key have no postings."""
+    docs = docs.where(F.col(key).isNotNull())
+    none = F.array().cast("array<struct<term:string,at:bigint>>")
+    # the place of a word of the k-th field is its own and k * 2^32
+    placed = lambda k, f: F.coalesce(F.transform(analyse(F.col(f)), lambda x: F.struct(x["term"].alias("term"), (x["pos"] + F.lit(k << 32)).alias("at"))), none).alias(f"x{k}")
+    rows = docs.select(F.col(key).alias("doc_id"), *(placed(k, f) for k, f in enumerate(fields)))
+    names = [f"x{k}" for k in range(len(fields))]
+    again = docs.groupBy(F.col(key).alias("doc_id")).agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    if not again.isEmpty():  # rows of one key are one document
+        merged = rows.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(*(F.flatten(F.collect_list(x)).alias(x) for x in names))
+        rows = rows.join(again, "doc_id", "left_anti").unionAll(merged)
+    rows = rows.select("doc_id", F.sort_array(F.concat(*names)).alias("x"), F.array(*(F.size(x) for x in names)).alias("dl"))
+    field = lambda y: F.shiftright(y["at"], 32).cast("int")
+    before = lambda i: F.get("x", i - 1)
+    begins = F.array_compact(F.transform("x", lambda y, i: F.when((before(i)["term"] == y["term"]) & (field(before(i)) == field(y)), None).otherwise(i)))
+    rows = rows.select("doc_id", "x", "dl", F.when(F.size("x") > 0, begins).alias("s"))
+    runs = F.arrays_zip(F.col("s").alias("a"), F.concat(F.slice("s", 2, 1 << 30), F.array(F.size("x"))).alias("b"))
+    first = lambda r: F.get("x", r["a"])
+    pos = lambda r: F.transform(F.slice("x", r["a"] + 1, r["b"] - r["a"]), lambda y: y["at"].bitwiseAND(F.lit((1 << 32) - 1)).cast("int"))
+    run = lambda r: F.struct(first(r)["term"].alias("term"), field(first(r)).alias("k"), pos(r).alias("pos"), (~before(r["a"])["term"].eqNullSafe(first(r)["term"])).alias("head"))
+    out = each(rows, F.transform(runs, run), "r", "doc_id", "dl")
+    return out.select("r.term", F.get(F.array(*map(F.lit, fields)), F.col("r.k")).alias("field"), "doc_id", "r.pos", F.get("dl", F.col("r.k")).cast("long").alias("dl"), "r.head")
+
+
 def stored(docs: DataFrame, path: str, fields: tuple[str, ...], name: str) -> Index:
     """The index of docs' fields, made once for each version of the table at
     ``path`` that docs comes from; ``name`` tells apart indexes of one table."""
     spark = docs.sparkSession
 
     def make(folder: str) -> None:
-        rows = grouped(postings(docs, fields))
-        ranges = rows.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "field", "doc_id")
-        ranges.write.option("parquet.block.size", ROW_GROUP).parquet(f"{folder}/postings")
+        size = bytes_of(spark, path)
+        parts = max(-(-size // PART), min(-(-size // ROW_GROUP), spark.sparkContext.defaultParallelism), 1)
+        dealt = docs.select("doc_id", *fields).repartition(parts, "doc_id")
+        by_document(dealt, fields).sortWithinPartitions("term", "field", "doc_id").write.option("parquet.block.size", ROW_GROUP).parquet(f"{folder}/postings")
         made = spark.read.parquet(f"{folder}/postings")
-        made.groupBy("term").agg(F.count_distinct("doc_id").alias("docs"), F.sum(F.size("pos")).alias("places")).write.parquet(f"{folder}/terms")
+        made.groupBy("term").agg(F.count_if("head").alias("docs"), F.sum(F.size("pos")).alias("places")).write.parquet(f"{folder}/terms")
         lengths = made.select("field", "doc_id", "dl").distinct()
         lengths.groupBy("field").agg(F.avg("dl").alias("avgdl"), F.count("*").alias("docs")).coalesce(1).write.parquet(f"{folder}/sizes")
 
@@ -117,13 +151,14 @@ def _leaves(q) -> list:
 
 
 def _phrase(hits: DataFrame, words: tuple[str, ...]) -> DataFrame:
-    """doc_id of documents with the words at places in a row, by one aggregation
-    over the places where the phrase would begin."""
-    terms = [F.when(F.col("term") == w, F.lit(k)) for k, w in enumerate(words)]
-    at = F.explode(F.array_compact(F.array(*terms))).alias("k")  # a word may stand twice in a phrase
-    begun = hits.where(F.col("term").isin(*words)).select("doc_id", "field", "pos", at)
-    begun = begun.select("doc_id", "field", "k", F.explode("pos").alias("pos")).groupBy("doc_id", "field", (F.col("pos") - F.col("k")).alias("begin"))
-    return begun.agg(F.count("*").alias("n")).where(F.col("n") == len(words)).select("doc_id")
+    """doc_id of documents with the words at places in a row: the places where the phrase would begin by
+    each of its words have one in common."""
+    places = {w: F.flatten(F.collect_list(F.when(F.col("term") == w, F.col("pos")))).alias(f"w{k}") for k, w in enumerate(dict.fromkeys(words))}
+    held = hits.where(F.col("term").isin(*words)).groupBy("doc_id", "field").agg(*places.values())
+    order = list(places)
+    begins = lambda k, w: F.transform(f"w{order.index(w)}", lambda p: p - k)
+    common = reduce(F.array_intersect, (begins(k, w) for k, w in enumerate(words)))  # a word may stand twice in a phrase
+    return held.where(F.size(common) > 0).select("doc_id").distinct()
 
 
 def search(index: Index, query) -> DataFrame:
@@ -245,7 +280,9 @@ def fuzzy_terms(terms: DataFrame, word: str, edits: int = 2) -> DataFrame:
 def fuzzy_search(index: Index, word: str, edits: int = 2) -> DataFrame:
     """doc_id of documents with a term within so many edits, however many such
     terms there are."""
-    return index.postings.join(fuzzy_terms(index.terms, word, edits).select("term"), "term", "left_semi").select("doc_id").distinct()
+    near = written(fuzzy_terms(index.terms, word, edits).select("term"))
+    few = near.limit(_FEW + 1).count() <= _FEW
+    return index.postings.join(F.broadcast(near) if few else near, "term", "left_semi").select("doc_id").distinct()
 
 
 def trigrams(c: Column) -> Column:
@@ -309,8 +346,8 @@ def best_fragments(index: Index, texts: DataFrame, words: tuple[str, ...], least
     with <em>. Places come from the index, the text is only cut. A run of too few words goes on to the
     right, at the end of the text to the left; a text without hits gives its first words."""
     key = ["doc_id", "field"]
-    hits = index.postings.where(F.col("term").isin(*words)).select(*key, "term", F.explode("pos").alias("pos"))
-    hits = hits.join(texts.select(*key), key, "left_semi")
+    hits = index.postings.where(F.col("term").isin(*words)).join(texts.select(*key), key, "left_semi")
+    hits = hits.select(*key, "term", F.explode("pos").alias("pos"))
     within = W.partitionBy(*key).orderBy("pos").rangeBetween(0, most - 1)
     runs = hits.select(*key, "pos", F.size(F.collect_set("term").over(within)).alias("terms"), F.count("*").over(within).alias("n"), F.max("pos").over(within).alias("last"))
     order = F.struct(-F.col("terms"), -F.col("n"), F.col("last") - F.col("pos"), F.col("pos"))

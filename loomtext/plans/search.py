@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.text import STOP_WORDS
 from ..operators import search as S
+from ..sources.stored import written
 from ._register import query, table
 
 _STOP = "(" + ",".join(f"'{w}'" for w in STOP_WORDS) + ")"
@@ -186,7 +187,7 @@ def highlighted_hits(spark, sf_dir):
     top = S.top(_ranked(spark, sf_dir).withColumn("score", F.round("score", 6)))
     docs = _docs(spark, sf_dir).join(F.broadcast(top.select("doc_id")), "doc_id", "left_semi")
     texts = docs.select("doc_id", "body").select("doc_id", F.lit("body").alias("field"), F.col("body").alias("text")).unionAll(docs.select("doc_id", F.lit("title"), "title"))
-    found = S.best_fragments(_index(spark, sf_dir), texts, tuple(_TERMS))
+    found = S.best_fragments(_index(spark, sf_dir), written(texts), tuple(_TERMS))  # two texts for each of ten documents
     return found.groupBy("doc_id").agg(F.min_by("fragment", F.struct(F.col("n") == 0, F.col("field") == "title")).alias("fragment"))
 
 

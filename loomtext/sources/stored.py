@@ -40,6 +40,12 @@ def written(df: DataFrame, compression: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bytes_of(spark: SparkSession, path: str) -> int:
+    """The bytes of a table's files."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(hadoop).getLength()
+
+
 #: Files that the driver lists by itself; more are listed by a job.
 _LISTED = 1000
 

@@ -144,3 +144,26 @@ def test_a_term_that_stands_everywhere_is_spread_over_files(spark, tmp_path):
     files = index.postings.where("term = 'hot'").select(F.input_file_name().alias("f")).groupBy("f").count().collect()
     assert len(files) > 1 and sum(r["count"] for r in files) == 4000
     assert S.search(index, S.Term("hot")).count() == 4000 and [r.doc_id for r in S.search(index, S.Term("17")).collect()] == [17]
+
+
+def test_postings_by_document_are_those_by_places(spark):
+    rng = random.Random(5)
+    text = lambda n: " ".join(rng.choice(["a", "b", "the", "Żó", "x1", "b b", ",", "of", "cc"]) for _ in range(rng.randrange(n)))
+    rows = [(k if k % 9 else 3, text(6), None if k % 7 == 0 else text(60)) for k in range(120)] + [(None, "a b", "a"), (500, "", ""), (501, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, title string, body string")
+    fields = ("title", "body")
+    got = S.by_document(docs, fields)
+    assert sorted(map(tuple, got.select("term", "field", "doc_id", "pos", "dl").collect())) == sorted(map(tuple, S.grouped(S.postings(docs, fields)).collect()))
+    heads = {tuple(r) for r in got.where("head").select("term", "doc_id").collect()}
+    assert got.where("head").count() == len(heads) == got.select("term", "doc_id").distinct().count()
+    # places are gathered inside a document: nothing but keys is shuffled
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    unique = S.by_document(docs.where("doc_id > 3 and doc_id % 9 <> 0"), fields)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" in plan and "Exchange" not in unique
+
+
+def test_phrase_with_a_word_twice_by_places(spark):
+    rows = [(1, "er th er"), (2, "er er th"), (3, "th er er"), (3, "er th er th")]
+    index = S.in_memory(S.postings(spark.createDataFrame(rows, "doc_id int, t string"), ("t",)))
+    assert sorted(r[0] for r in S.search(index, S.Phrase(("er", "th", "er"))).collect()) == [1, 3]
+    assert sorted(r[0] for r in S.search(index, S.Phrase(("er", "er", "th"))).collect()) == [2, 3]
