@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import text as X
 from ..operators import gradients as G, vectors as V
-from ..sources.stored import written
+from ..sources.stored import bytes_of, written
 from ._register import query, table
 
 _CLEAN = r"list_filter(string_split(trim(regexp_replace(lower(regexp_replace(text, '[^\p{L}\p{N}_\s]', '', 'g')), '\s+', ' ', 'g')), ' '), lambda w: w <> '')"
@@ -27,6 +27,16 @@ def _tokens(spark, sf_dir) -> DataFrame:
     return _split(spark, sf_dir).join(docs, "doc_id")
 
 
+#: Bytes of the documents' files for one part of what is dealt by document, and for one learner of word vectors.
+_PART, _LEARNER = 4 << 20, 32 << 20
+
+
+def _dealt(spark, sf_dir) -> DataFrame:
+    """doc_id and tokens of the labelled documents, dealt by doc_id over parts of bounded size."""
+    parts = max(1, -(-bytes_of(spark, f"{sf_dir}/documents.parquet") // _PART))
+    return _tokens(spark, sf_dir).select("doc_id", "tokens").repartition(parts, "doc_id")
+
+
 @query(f"WITH {_SPLIT} SELECT split, quality, count(*) AS n FROM sp GROUP BY 1, 2")
 def split_sizes(spark, sf_dir):
     """A32, M1, M14."""
@@ -149,11 +159,18 @@ def cross_validation(spark, sf_dir):
     return spark.createDataFrame([(p[lr.regParam], float(f)) for p, f in zip(grid, cv.avgMetrics, strict=True)], "reg_param double, f1 double")
 
 
+def _learners(size: int, cores: int) -> int:
+    """Learners of word vectors for so many bytes: one for small texts, then as many as there are cores, then one for each part."""
+    return max(1, min(max(cores, size // _LEARNER), size // (_LEARNER // 4)))
+
+
 @query()
 def word_vectors(spark, sf_dir):
-    """M5: averaged skip-gram vectors of the labelled documents, to six decimals."""
-    data = _tokens(spark, sf_dir).select("doc_id", "tokens")
-    model = Word2Vec(vectorSize=16, windowSize=5, minCount=5, maxIter=1, seed=42, inputCol="tokens", outputCol="v").fit(data)
+    """M5: averaged skip-gram vectors of the labelled documents, to six decimals. Learners of a bounded part of the
+    texts each see all of their words; their vectors are averaged."""
+    data = written(_tokens(spark, sf_dir).select("doc_id", "tokens"))  # read for the vocabulary, the vectors and the means
+    learners = _learners(bytes_of(spark, f"{sf_dir}/documents.parquet"), spark.sparkContext.defaultParallelism)
+    model = Word2Vec(vectorSize=16, windowSize=5, minCount=5, maxIter=1, seed=42, numPartitions=learners, inputCol="tokens", outputCol="v").fit(data)
     from pyspark.ml.functions import vector_to_array
 
     return model.transform(data).select("doc_id", F.transform(vector_to_array("v"), lambda x: F.round(x, 6)).alias("vector"))

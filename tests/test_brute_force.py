@@ -12,7 +12,7 @@ import regex
 from pyspark.sql import functions as F
 
 from loomtext.functions import stemming
-from loomtext.operators import lm as L, profile as P, tokens as T, vectors as V
+from loomtext.operators import lm as L, profile as P, sentences as N, tokens as T, vectors as V
 from loomtext.plans import catalogue, learning, search, text
 from loomtext.streaming import limits
 
@@ -181,3 +181,26 @@ def test_opinions_beyond_a_million(spark, tmp_path):
     spark.createDataFrame(rows, "p_partkey long, p_size long").where("p_partkey % 6 = 3").write.parquet(f"{tmp_path}/part.parquet")
     for r in catalogue.clean_numbers(spark, str(tmp_path)).collect():
         assert (r.number, r.whole, r.kg) == (float((1000 + r.p_partkey) // 1000), str(1000 + r.p_partkey), None)
+
+
+def test_word_vectors_learn_in_parts(spark, monkeypatch):
+    assert [learning._learners(mb << 20, 12) for mb in (1, 16, 100, 1000, 6000)] == [1, 2, 12, 31, 187]
+    monkeypatch.setattr(learning, "_LEARNER", 256 << 10)
+    got = learning.word_vectors(spark, SF).collect()
+    assert len(got) == learning._split(spark, SF).count() and all(len(r.vector) == 16 for r in got)
+
+
+def test_term_counts_of_dealt_documents_are_not_shuffled(spark):
+    plan = V.term_counts(learning._dealt(spark, SF), "doc_id", F.col("tokens"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan
+    dealt = spark.range(20).select(F.col("id").alias("doc_id"), F.array(F.lit("a"), F.lit("b")).alias("t")).repartition(3, "doc_id")
+    counted = V.term_counts(dealt, "doc_id", F.col("t"))
+    assert counted._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1 and counted.count() == 40
+
+
+def test_rules_and_words_are_applied_once_for_each_row(spark):
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    for df in (text.rejoined_sentences(spark, SF), text._vocabulary(spark, SF)):
+        assert not any("Filter" in line.split("(")[0] and "regexp_replace" in line for line in plan(df).splitlines())
+    assert "forall" not in plan(text.content_trigrams(spark, SF))
+    assert plan(N.facts(spark.createDataFrame([("a b. C", )], "text string"))).count("Aggregate") == 2
