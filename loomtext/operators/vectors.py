@@ -23,19 +23,26 @@ def stratified_split(df: DataFrame, label: str, key: Column, share: float = 0.8)
 
 
 def term_counts(docs: DataFrame, key: str, units: Column) -> DataFrame:
-    """(key, term, tf) of the units of each document."""
+    """(key, term, tf) of the units of each document. Where ``docs`` are dealt by key, nothing is shuffled."""
     return each(docs, units, "term", key).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
+#: Documents whose norms are broadcast at most.
+_NORMS = 4_000_000
+
+
 def tf_idf(tf: DataFrame, key: str, min_df: int = 2, max_features: int = 50_000) -> DataFrame:
     """(key, term, weight): smooth idf ln((1 + N) / (1 + df)) + 1, rows of
     length one; the most frequent terms in the corpus are kept (ties by term)."""
     tf = written(tf)  # read by four branches; counting it tokenises
     n = tf.agg(F.countDistinct(key).alias("docs"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).where(F.col("df") >= min_df).orderBy(F.desc("cf"), "term").limit(max_features)
-    weights = tf.join(F.broadcast(df), "term").join(F.broadcast(n)).select(key, "term", (F.col("tf") * (F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1)).alias("x"))
-    whole = weights.groupBy(key).agg(F.collect_list(F.struct("term", "x")).alias("terms"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))  # the terms of one text
-    return whole.select(key, "norm", F.explode("terms").alias("t")).select(key, "t.term", (F.col("t.x") / F.col("norm")).alias("weight"))
+    df = written(df.join(F.broadcast(n)).select("term", (F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1).alias("idf")))
+    weights = tf.join(F.broadcast(df), "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("x"))
+    # a document's counts lie together, so its squares are summed where they are read; only norms are shuffled
+    norms = written(weights.groupBy(key).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm")))
+    few = norms.count() <= _NORMS
+    return weights.join(F.broadcast(norms) if few else norms, key).select(key, "term", (F.col("x") / F.col("norm")).alias("weight"))
 
 
 def hashed_features(docs: DataFrame, key: str, units: Column, buckets: int) -> DataFrame:

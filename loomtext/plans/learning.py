@@ -56,7 +56,7 @@ _TFIDF = "f AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY 1, 2), d AS
 @query(f"WITH t AS (SELECT doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM (SELECT doc_id, {_CLEAN} AS w FROM documents JOIN labels USING (doc_id))), {_TFIDF.format(m=50000)}")
 def word_tf_idf(spark, sf_dir):
     """M3: words and word pairs."""
-    docs = _tokens(spark, sf_dir).select("doc_id", "tokens")
+    docs = _dealt(spark, sf_dir)
     pairs = docs.withColumn("units", F.concat("tokens", X.joined_ngrams(F.col("tokens"), 2)))
     return V.tf_idf(V.term_counts(pairs, "doc_id", F.col("units")), "doc_id").withColumn("weight", F.round("weight", 6))
 
@@ -64,7 +64,7 @@ def word_tf_idf(spark, sf_dir):
 @query(f"WITH t0 AS (SELECT doc_id, string_split(' ' || w || ' ', '') AS c FROM (SELECT doc_id, unnest({_CLEAN}) AS w FROM documents JOIN labels USING (doc_id))), t AS (SELECT doc_id, unnest(flatten(list_transform([3, 4, 5], lambda n: list_transform(range(1, len(c) - n + 2), lambda i: array_to_string(c[i:i + n - 1], ''))))) AS term FROM t0), {_TFIDF.format(m=50000)}")
 def char_tf_idf(spark, sf_dir):
     """M4: runs of three to five letters inside words with a blank at both ends."""
-    words = _tokens(spark, sf_dir).select("doc_id", F.explode_outer("tokens").alias("w")).where("w is not null").select("doc_id", X.characters(F.concat(F.lit(" "), "w", F.lit(" "))).alias("c"))
+    words = _dealt(spark, sf_dir).select("doc_id", F.explode_outer("tokens").alias("w")).where("w is not null").select("doc_id", X.characters(F.concat(F.lit(" "), "w", F.lit(" "))).alias("c"))
     units = F.concat(*(X.char_ngrams(F.col("c"), n) for n in (3, 4, 5)))
     return V.tf_idf(V.term_counts(words, "doc_id", units), "doc_id").withColumn("weight", F.round("weight", 6))
 
