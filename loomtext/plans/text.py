@@ -200,9 +200,10 @@ def treebank_tokens(spark, sf_dir):
 @query(f"WITH {_TREEBANK} SELECT sentence, tokens FROM (SELECT trim({_rules_sql("' ' || array_to_string(t, ' ') || ' '", B.INVERSE)}) AS sentence, count(*) AS tokens FROM w WHERE len(t) > 0 GROUP BY 1)")
 def rejoined_sentences(spark, sf_dir):
     """Sentences that are joined from their tokens again, and how often each stands."""
-    parts = _docs(spark, sf_dir).select(F.explode(F.split(F.regexp_replace(F.coalesce("text", F.lit("")), r"([.!?])[ \t\n\r\f\x0B]+", "$1\u0001"), "\u0001")).alias("s"))
-    t = parts.select(B.tokens(F.col("s")).alias("t")).where("size(t) > 0")
-    return t.select(B.joined(F.col("t")).alias("sentence")).groupBy("sentence").agg(F.count("*").alias("tokens"))
+    parts = T.each(_docs(spark, sf_dir), F.split(F.regexp_replace(F.coalesce("text", F.lit("")), r"([.!?])[ \t\n\r\f\x0B]+", "$1\u0001"), "\u0001"), "s")
+    # the size is tested on the sums: a test of each row would apply all rules once more
+    t = parts.select(B.tokens(F.col("s")).alias("t")).select(B.joined(F.col("t")).alias("sentence"), F.size("t").alias("n"))
+    return t.groupBy("sentence").agg(F.count("*").alias("tokens"), F.max("n").alias("n")).where("n > 0").select("sentence", "tokens")
 
 
 _CLOSE_BEFORE, _CLOSE_AFTER = ("(" + ",".join(f"'{c}'" for c in signs) + ")" for signs in (B.CLOSE_BEFORE, B.CLOSE_AFTER))
