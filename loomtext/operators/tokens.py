@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -28,9 +30,15 @@ def gram_counts(df: DataFrame, tokens: Column, n: int) -> DataFrame:
 
 def content_grams(df: DataFrame, tokens: Column, n: int, stop: tuple[str, ...] = X.STOP_WORDS, drop_if: str = "any") -> DataFrame:
     """Gram counts without those in which any (or all) words are stop words."""
-    rows = each(df.select(tokens.alias("_t")), X.ngrams(F.col("_t"), n), "g")
-    test = F.exists if drop_if == "any" else F.forall
-    return rows.where(~test("g", lambda w: w.isin(*stop))).groupBy(F.array_join("g", " ").alias("gram")).agg(F.count("*").alias("c"))
+    count = F.size("_t") - (n - 1)
+
+    def run(i: Column) -> Column:
+        own = [F.get("_t", i + k) for k in range(n)]
+        drop = reduce(Column.__or__ if drop_if == "any" else Column.__and__, (w.isin(*stop) for w in own))
+        return F.when(~drop, F.concat_ws(" ", *own))
+
+    runs = F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), run))
+    return each(df.select(tokens.alias("_t")), runs, "gram").groupBy("gram").agg(F.count("*").alias("c"))
 
 
 def top_grams(counts: DataFrame, k: int) -> DataFrame:
