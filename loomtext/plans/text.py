@@ -289,7 +289,7 @@ def rising_prices(spark, sf_dir):
 
 
 def _vocabulary(spark, sf_dir) -> DataFrame:
-    return _docs(spark, sf_dir).select(F.explode(_words()).alias("w")).groupBy("w").agg(F.count("*").alias("c"))
+    return T.each(_docs(spark, sf_dir), _words(), "w").groupBy("w").agg(F.count("*").alias("c"))
 
 
 @query()
