@@ -59,14 +59,16 @@ def facts(docs: DataFrame, column: str = "text") -> DataFrame:
     and hard (w ends so, next follows), start (next begins a text). upper: the case of w, or of next in pairs."""
     t = docs.select(_tokens(F.col(column)).alias("t"))
     t = t.select(F.explode_outer(F.arrays_zip(F.col("t").alias("a"), F.slice("t", 2, 1 << 30).alias("b"), F.transform("t", lambda _, i: i).alias("i"))).alias("x"))
-    t = t.where("x.a is not null").select("x.a", "x.b", "x.i")
+    # what follows counts only after a mark: equal tokens, and such pairs, are looked at once
+    t = t.where("x.a is not null").select("x.a", F.when(F.col("x.a").rlike("[.!?]"), F.col("x.b")).alias("b"), (F.col("x.i") == 0).alias("begins"))
+    t = t.groupBy("a", "b", "begins").agg(F.count("*").alias("n"))
     k, a, b = F.col("k"), F.col("a"), F.col("b")
     fact = lambda what, w, nxt, upper: F.struct(F.lit(what).alias("what") if isinstance(what, str) else what.alias("what"), w.alias("w"), nxt.alias("next"), upper.alias("upper"))
     word = fact("word", word_type(a), F.when(k == "dot", ".").otherwise(""), capital(a))
     pair = F.when(k.isNotNull() & b.isNotNull(), fact(k, word_type(a), word_type(b), capital(b)))
-    first = F.when(F.col("i") == 0, fact("start", F.lit(""), word_type(a), capital(a)))
-    rows = t.withColumn("k", kind(a)).select(F.explode(F.array_compact(F.array(word, pair, first))).alias("f")).select("f.*")
-    return rows.groupBy("what", "w", "next", "upper").agg(F.count("*").alias("c"))
+    first = F.when(F.col("begins"), fact("start", F.lit(""), word_type(a), capital(a)))
+    rows = t.withColumn("k", kind(a)).select("n", F.explode(F.array_compact(F.array(word, pair, first))).alias("f")).select("f.*", "n")
+    return rows.groupBy("what", "w", "next", "upper").agg(F.sum("n").alias("c"))
 
 
 def types(facts: DataFrame) -> DataFrame:
