@@ -131,16 +131,27 @@ def _features() -> list:
     return [CountVectorizer(inputCol="tokens", outputCol="tf", minDF=2, vocabSize=30_000), IDF(inputCol="tf", outputCol="w"), Normalizer(inputCol="w", outputCol="features")]
 
 
+#: Rows times terms of one part that classifiers learn from: trees keep four bytes for each in memory.
+_CELLS = 60_000_000
+
+
+def _bounded(rows: DataFrame, terms: int) -> DataFrame:
+    """rows, dealt by doc_id over parts of bounded size with all terms written out."""
+    return rows.repartition(max(1, -(-rows.count() * terms // _CELLS)), "doc_id")
+
+
 @query()
 def classifier_table(spark, sf_dir):
     """Four classifiers on tf-idf features, scored on the test split."""
     data = _tokens(spark, sf_dir).withColumn("label", F.col("quality").cast("double"))
-    prepared = Pipeline(stages=_features()).fit(data.where("split = 'train'")).transform(data).select("split", "label", "features")
-    prepared = written(prepared)
+    features = Pipeline(stages=_features()).fit(data.where("split = 'train'"))
+    prepared = written(features.transform(data).select("doc_id", "split", "label", "features"))
+    # the files are small, since terms that a document lacks take no room: read as they are, many would be one task
+    train = _bounded(prepared.where("split = 'train'"), len(features.stages[0].vocabulary))
     models = {"LogisticRegression": LogisticRegression(maxIter=20, regParam=0.01), "LinearSVC": LinearSVC(maxIter=20, regParam=0.01), "DecisionTree": DecisionTreeClassifier(maxDepth=4, maxBins=8, seed=1), "RandomForest": RandomForestClassifier(numTrees=10, maxDepth=4, maxBins=8, seed=1)}
     out = None
     for name, model in models.items():
-        scored = model.fit(prepared.where("split = 'train'")).transform(prepared.where("split = 'test'"))
+        scored = model.fit(train).transform(prepared.where("split = 'test'"))
         part = V.evaluate(scored, "label", "prediction").select(F.lit(name).alias("classifier"), "*")
         out = part if out is None else out.unionAll(part)
     return out

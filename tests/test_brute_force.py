@@ -163,6 +163,17 @@ def test_classifiers_count_the_whole_test_split(spark):
         assert (r.tn + r.fp, r.fn + r.tp) == (sizes.get(0, 0), sizes.get(1, 0)) and r.accuracy == pytest.approx((r.tn + r.tp) / sum(sizes.values()))
 
 
+def test_classifiers_learn_from_parts_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(learning, "_CELLS", 60_000)
+    rows = spark.range(1200).select(F.col("id").alias("doc_id"))
+    sizes = [len(p) for p in learning._bounded(rows, 600).rdd.glom().collect()]
+    assert sum(sizes) == 1200 and len(sizes) == 12 and max(sizes) * 600 < 2 * 60_000
+    before = {r.classifier: r for r in learning.classifier_table(spark, SF).collect()}
+    monkeypatch.setattr(learning, "_CELLS", 10**9)
+    after = {r.classifier: r for r in learning.classifier_table(spark, SF).collect()}
+    assert before["DecisionTree"] == after["DecisionTree"] and before["LogisticRegression"] == after["LogisticRegression"]
+
+
 def test_feature_weights_are_the_ends_of_the_same_model(spark):
     rows = learning.feature_weights(spark, SF).collect()
     top, low = rows[:10], rows[10:]
