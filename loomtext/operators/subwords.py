@@ -17,7 +17,8 @@ that are certain to follow one another:
   at most ``SEGMENTS`` segments: where there would be more, fewer pairs lead, down to one, whose
   merge is always certain.
 * The pieces that hold a merged pair are rewritten once for all merges of the round, where
-  they are stored; pieces that are whole leave the table.
+  they are stored; pieces that are whole leave the table. Each symbol is one letter there, so a merge
+  is one replacement in all pieces of a batch at once.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -37,8 +39,10 @@ SPLIT = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: Special tokens that a vocabulary begins with (fixed values).
 SPECIALS = ("[UNK]", "[CLS]", "[SEP]", "[PAD]", "[MASK]")
 #: Pairs that may lead in a round, and distinct segments that come back.
-LEADING = 256
+LEADING = 2048
 SEGMENTS = 100_000
+#: Texts that are encoded together.
+_TEXTS = 4096
 
 Pair = tuple[int, int]
 
@@ -107,26 +111,38 @@ def merged(symbols: list[int], pair: Pair, new: int) -> list[int]:
     return out
 
 
-_NONE = 1 << 60
+#: Between two words of a joined text; no symbol is written so.
+_GAP = 10
 
 
-def encoded(symbols: list[int], made: dict[Pair, int]) -> list[int]:
-    """The symbols after all merges; ``made`` gives the new symbol of a pair, and earlier merges
-    have smaller ones. A merge looks again only at the pairs beside it."""
-    out, get = list(symbols), made.get
-    new = [get(p, _NONE) for p in zip(out, out[1:], strict=False)]  # of each symbol and the next one
-    while new:
-        best = min(new)
-        if best == _NONE:
-            break
-        k = new.index(best)  # of equal pairs the left one
-        out[k : k + 2] = [best]
-        del new[k]
-        if k < len(new):
-            new[k] = get((best, out[k + 1]), _NONE)
-        if k:
-            new[k - 1] = get((out[k - 1], best), _NONE)
-    return out
+def sign(symbol: int) -> str:
+    """The letter that stands for a symbol while texts are rewritten; letters are in the order of the symbols."""
+    return chr(symbol + 0x100 if symbol < 0xD700 else symbol + 0x900)
+
+
+def _codes(joined: str) -> np.ndarray:
+    """The code points of a joined text, with a gap at the end."""
+    return np.frombuffer(f"{joined}\n".encode("utf-32-le"), np.uint32).astype(np.int64)
+
+
+def _symbols(codes: np.ndarray) -> np.ndarray:
+    """The symbols of code points; gaps are below 0."""
+    return codes - np.where(codes < 0xD800, 0x100, 0x900)
+
+
+def spelt(pieces: list[str], first: list[int]) -> str:
+    """The pieces' bytes as signs, joined by gaps. A byte of 255 stands in no text."""
+    letters = np.array([ord(sign(k)) for k in first], "<u4")
+    letters[255] = _GAP
+    return letters[np.frombuffer(b"\xff".join(map(str.encode, pieces)), np.uint8)].tobytes().decode("utf-32-le")
+
+
+def replaced(joined: str, made: dict[Pair, int]) -> str:
+    """The joined words after all merges, in their order: a merge's symbol stands only in later ones, so
+    each of them is one replacement, from the left, in all words at once."""
+    for (x, y), new in made.items():
+        joined = joined.replace(sign(x) + sign(y), sign(new))
+    return joined
 
 
 def certain_merges(segments: list[tuple[list[int], int]], floor: int, most: int, next_id: int, least: int) -> list[tuple[Pair, int]]:
@@ -171,22 +187,61 @@ def certain_merges(segments: list[tuple[list[int], int]], floor: int, most: int,
     return out
 
 
+def _counted(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys and the sums of their weights."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    begins = np.flatnonzero(np.diff(keys, prepend=-1))
+    return keys[begins], np.add.reduceat(weights[order], begins) if len(begins) else np.zeros(0, np.int64)
+
+
+def _neighbours(joined: str, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code points, keys of each one and its next (0 at a gap) and the count of each one's word."""
+    codes = _codes(joined)
+    gap = codes == _GAP
+    keys = np.zeros(len(codes), np.int64)
+    keys[:-1] = np.where(gap[:-1] | gap[1:], 0, codes[:-1] << 21 | codes[1:])
+    return codes, keys, np.repeat(c, np.diff(np.flatnonzero(gap), prepend=-1))
+
+
+def _joined(batch: pa.RecordBatch) -> tuple[str, np.ndarray]:
+    return "\n".join(batch.column(0).to_pylist()), batch.column(1).to_numpy()
+
+
+def _pair_counts(words: DataFrame) -> DataFrame:
+    """a, b and n: how often the symbols are neighbours."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                _, keys, c = _neighbours(*_joined(batch))
+                keys, n = _counted(keys[keys > 0], c[keys > 0])
+                yield pa.RecordBatch.from_arrays([pa.array(_symbols(keys >> 21), pa.int32()), pa.array(_symbols(keys & 0x1FFFFF), pa.int32()), pa.array(n)], names=["a", "b", "n"])
+
+    return words.select("s", "c").mapInArrow(run, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+
+
 def _segments(words: DataFrame, leading: set[Pair]) -> DataFrame:
     """s and c: the runs of symbols in which all neighbours are leading pairs, added up."""
+    lead = np.array(sorted(ord(sign(a)) << 21 | ord(sign(b)) for a, b in leading))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sums: dict[tuple[int, ...], int] = defaultdict(int)
-            for s, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                begin = 0
-                for k in range(1, len(s) + 1):
-                    if k == len(s) or (s[k - 1], s[k]) not in leading:
-                        if k - begin > 1:
-                            sums[tuple(s[begin:k])] += c
-                        begin = k
-            yield pa.RecordBatch.from_arrays([pa.array([list(s) for s in sums], pa.list_(pa.int32())), pa.array(list(sums.values()), pa.int64())], names=["s", "c"])
+            if not batch.num_rows:
+                continue
+            codes, keys, c = _neighbours(*_joined(batch))
+            inside = lead[np.minimum(np.searchsorted(lead, keys), len(lead) - 1)] == keys  # of a symbol and the next one
+            held = inside.copy()
+            held[1:] |= inside[:-1]
+            ends = held & ~inside
+            codes, c, ends = codes[held], c[ends], ends[held]
+            runs = np.insert(codes, np.flatnonzero(ends) + 1, _GAP).astype("<u4").tobytes().decode("utf-32-le").split("\n")
+            sums: dict[str, int] = defaultdict(int)
+            for s, n in zip(runs, c.tolist(), strict=False):  # nothing stands behind the last gap
+                sums[s] += n
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array(list(sums.values()), pa.int64())], names=["s", "c"])
 
-    return words.select("s", "c").mapInArrow(run, "s array<int>, c long").groupBy("s").agg(F.sum("c").alias("c"))
+    return words.select("s", "c").mapInArrow(run, "s string, c long").groupBy("s").agg(F.sum("c").alias("c"))
 
 
 def _rewritten(words: DataFrame, made: dict[Pair, int]) -> DataFrame:
@@ -194,11 +249,9 @@ def _rewritten(words: DataFrame, made: dict[Pair, int]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = [(encoded(s, made), c) for s, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-            kept = [(s, c) for s, c in kept if len(s) > 1]
-            yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in kept], pa.list_(pa.int32())), pa.array([c for _, c in kept], pa.int64())], names=["s", "c"])
+            yield pa.RecordBatch.from_arrays([pa.array(replaced(_joined(batch)[0], made).split("\n") if batch.num_rows else [], pa.string()), batch.column(1)], names=["s", "c"])
 
-    return words.select("s", "c").mapInArrow(run, "s array<int>, c long")
+    return words.select("s", "c").mapInArrow(run, "s string, c long").where(F.length("s") > 1)
 
 
 def train(counts: DataFrame, merges: int, min_frequency: int = 2, specials: tuple[str, ...] = SPECIALS) -> list[tuple[Pair, int]]:
@@ -206,22 +259,24 @@ def train(counts: DataFrame, merges: int, min_frequency: int = 2, specials: tupl
     that stands ``min_frequency`` times. New symbols are numbered after specials and bytes."""
     ids = ByteVocabulary([], specials).first_ids
 
-    def spelt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [([ids[b] for b in w.encode()], c) for w, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.list_(pa.int32())), pa.array([c for _, c in rows], pa.int64())], names=["s", "c"])
+            yield pa.RecordBatch.from_arrays([pa.array(spelt(batch.column(0).to_pylist(), ids).split("\n") if batch.num_rows else [], pa.string()), batch.column(1)], names=["s", "c"])
 
-    words = written(counts.select("piece", F.col("c").cast("long")).mapInArrow(spelt, "s array<int>, c long").where(F.size("s") > 1))
+    words = written(counts.select("piece", F.col("c").cast("long").alias("c")).mapInArrow(spell, "s string, c long").where(F.length("s") > 1))
     out: list[tuple[Pair, int]] = []
     leading = LEADING
     while len(out) < merges:
-        pairs = words.select("c", F.explode(F.arrays_zip(F.slice("s", 1, F.size("s") - 1).alias("a"), F.slice("s", 2, F.size("s") - 1).alias("b"))).alias("p"))
-        top = pairs.groupBy("p.a", "p.b").agg(F.sum("c").alias("n")).orderBy(F.desc("n"), "a", "b").limit(LEADING + 1).collect()
+        top = _pair_counts(words).orderBy(F.desc("n"), "a", "b").limit(LEADING + 1).collect()
         if not top or top[0]["n"] < min_frequency:
             break
-        leading = min(2 * leading, LEADING)
+        leading = min(4 * leading, LEADING)
         while True:
             first = {(r["a"], r["b"]) for r in top[:leading]}
+            # where a sixteenth of the words has so many, the whole pass is spared; how many pairs lead changes no merge
+            if leading > 1 and _segments(words.where(F.pmod(F.xxhash64("s"), F.lit(16)) == 0), first).limit(SEGMENTS // 2 + 1).count() > SEGMENTS // 2:
+                leading //= 2
+                continue
             found = _segments(words, first).limit(SEGMENTS + 1).collect() if leading > 1 else [(top[0]["a"], top[0]["b"])]
             if len(found) <= SEGMENTS:
                 break
@@ -229,7 +284,7 @@ def train(counts: DataFrame, merges: int, min_frequency: int = 2, specials: tupl
         floor = top[leading]["n"] if len(top) > leading else 0
         next_id = len(specials) + 256 + len(out)
         if leading > 1:
-            batch = certain_merges([(r["s"], r["c"]) for r in found], floor, merges - len(out), next_id, min_frequency)
+            batch = certain_merges([(_symbols(_codes(r["s"]))[:-1].tolist(), r["c"]) for r in found], floor, merges - len(out), next_id, min_frequency)
         else:
             batch = [((top[0]["a"], top[0]["b"]), top[0]["n"])]
         made = {pair: next_id + k for k, (pair, _) in enumerate(batch)}
@@ -240,29 +295,29 @@ def train(counts: DataFrame, merges: int, min_frequency: int = 2, specials: tupl
 
 
 def encode(docs: DataFrame, vocabulary: ByteVocabulary, column: str = "text", prefix_space: bool = True) -> DataFrame:
-    """docs and ``ids``: the whole text's units. A worker looks up each piece once."""
-    first = vocabulary.first_ids
-    made = vocabulary.made
-    shared = docs.sparkSession.sparkContext.broadcast((first, made))
+    """docs and ``ids``: the whole text's units. The distinct pieces of a batch are encoded together."""
+    shared = docs.sparkSession.sparkContext.broadcast((vocabulary.first_ids, vocabulary.made))
     named = docs.select("*", pieces(F.coalesce(F.col(column), F.lit("")), prefix_space).alias("_pieces"))
     schema = T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, made = shared.value
-        seen: dict[str, list[int]] = {}
-
-        def units(piece: str) -> list[int]:
-            got = seen.get(piece)
-            if got is None:
-                if len(seen) >= 200_000:
-                    seen.clear()
-                got = seen[piece] = encoded([first[b] for b in piece.encode()], made)
-            return got
-
-        for batch in batches:
-            ids = [[u for p in ps for u in units(p)] for ps in batch.column(len(names)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(names))), pa.array(ids, pa.list_(pa.int32()))], names=[*names, "ids"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, _TEXTS):
+                batch = whole.slice(at, _TEXTS)
+                lists = batch.column(len(names))
+                found = lists.flatten().dictionary_encode()
+                at_piece = found.indices.to_numpy()
+                codes = _codes(replaced(spelt(found.dictionary.to_pylist(), first), made))
+                ends = np.flatnonzero(codes == _GAP)
+                begins = np.append(0, ends[:-1] + 1)
+                size = (ends - begins)[at_piece]
+                upto = np.append(0, np.cumsum(size))
+                ids = _symbols(codes)[np.repeat(begins[at_piece] - upto[:-1], size) + np.arange(upto[-1])]
+                bounds = upto[np.append(0, np.cumsum(lists.value_lengths().to_numpy()))]
+                units = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
+                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(names))), units], names=[*names, "ids"])
 
     return named.mapInArrow(run, schema)
 
@@ -270,20 +325,21 @@ def encode(docs: DataFrame, vocabulary: ByteVocabulary, column: str = "text", pr
 def unit_counts(counts: DataFrame, merges: list[Pair], sizes: tuple[int, ...], specials: tuple[str, ...] = SPECIALS) -> DataFrame:
     """merges and units: how many units all pieces (piece, c) have after so many merges."""
     vocabulary = ByteVocabulary(merges, specials)
-    first = vocabulary.first_ids
-    upto = [(n, ByteVocabulary(merges[:n], specials).made) for n in sorted(sizes)]
+    first, made = vocabulary.first_ids, list(vocabulary.made.items())
+    upto = sorted(sizes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = dict.fromkeys(sizes, 0)
+        total = dict.fromkeys(upto, 0)
         for batch in batches:
-            for piece, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                symbols = [first[b] for b in piece.encode()]
-                for n, known in upto:  # more merges go on from fewer
-                    symbols = encoded(symbols, known)
-                    total[n] += c * len(symbols)
+            if not batch.num_rows:
+                continue
+            joined, c, done = spelt(batch.column(0).to_pylist(), first), batch.column(1).to_numpy(), 0
+            for n in upto:  # more merges go on from fewer
+                joined, done = replaced(joined, dict(made[done:n])), n
+                total[n] += int(c @ (np.diff(np.flatnonzero(_codes(joined) == _GAP), prepend=-1) - 1))
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], names=["merges", "units"])
 
-    return counts.select("piece", F.col("c").cast("long")).mapInArrow(run, "merges long, units long").groupBy("merges").agg(F.sum("units").alias("units"))
+    return counts.select("piece", F.col("c").cast("long").alias("c")).mapInArrow(run, "merges long, units long").groupBy("merges").agg(F.sum("units").alias("units"))
 
 
 def piece_units(counts: DataFrame, vocabulary: ByteVocabulary) -> DataFrame:
@@ -293,13 +349,14 @@ def piece_units(counts: DataFrame, vocabulary: ByteVocabulary) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sums: dict[int, int] = defaultdict(int)
-            for piece, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for u in encoded([first[b] for b in piece.encode()], made):
-                    sums[u] += c
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(list(sums.values()), pa.int64())], names=["unit", "c"])
+            if not batch.num_rows:
+                continue
+            codes = _codes(replaced(spelt(batch.column(0).to_pylist(), first), made))
+            gap = codes == _GAP
+            unit, c = _counted(_symbols(codes[~gap]), np.repeat(batch.column(1).to_numpy(), np.diff(np.flatnonzero(gap), prepend=-1) - 1))
+            yield pa.RecordBatch.from_arrays([pa.array(unit, pa.int32()), pa.array(c, pa.int64())], names=["unit", "c"])
 
-    return counts.select("piece", F.col("c").cast("long")).mapInArrow(run, "unit int, c long").groupBy("unit").agg(F.sum("c").alias("c"))
+    return counts.select("piece", F.col("c").cast("long").alias("c")).mapInArrow(run, "unit int, c long").groupBy("unit").agg(F.sum("c").alias("c"))
 
 
 def decode(ids: Column, vocabulary: ByteVocabulary) -> Column:

@@ -55,3 +55,20 @@ def test_units_give_any_text_back(spark):
     rows = U.encode(docs, vocabulary, prefix_space=False).withColumn("back", U.decode(F.col("ids"), vocabulary)).collect()
     assert all(r.back == (r.text or "") for r in rows) and len(rows) == len(texts)
     assert U.train(U.piece_counts(docs.where("false")), 5) == []
+
+
+def test_a_batch_of_words_is_rewritten_at_once(spark):
+    rng = random.Random(9)
+    made, symbols = {}, list(range(70_000, 70_003)) + list(range(55_000, 55_003))
+    for new in range(80_000, 80_030):
+        made[rng.choice(symbols), rng.choice(symbols)] = new
+        symbols.append(new)
+    words = [rng.choices(symbols[:8], k=rng.randint(0, 9)) for _ in range(300)]
+    expected = []
+    for w in words:
+        for pair, new in made.items():
+            w = U.merged(w, pair, new)
+        expected.append("".join(map(U.sign, w)))
+    assert U.replaced("\n".join("".join(map(U.sign, w)) for w in words), made).split("\n") == expected
+    weights = spark.createDataFrame([("aab", 1 << 40), ("ab", 3), ("", 5), ("ba", 1)], "piece string, c long")
+    assert [n for _, n in U.train(weights, 2)] == [(1 << 40) + 3, 1 << 40]
