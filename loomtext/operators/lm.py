@@ -12,7 +12,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..functions.text import joined_ngrams
 from ..sources.stored import written
+from .tokens import each
 
 BOS, EOS, UNK = "<s>", "</s>", "<unk>"
 
@@ -214,8 +216,7 @@ def generate_original(train: DataFrame, n: int, texts: int, words: int, share: f
 
 def grams(units: DataFrame, n: int) -> DataFrame:
     """(sid, gram) of every run of n tokens."""
-    rows = units.where(F.size("t") >= n).select("sid", "t", F.explode(F.sequence(F.lit(1), F.size("t") - (n - 1))).alias("i"))
-    return rows.select("sid", F.array_join(F.slice("t", F.col("i"), n), " ").alias("gram"))
+    return each(units, joined_ngrams(F.col("t"), n), "gram", "sid")
 
 
 def copied(generated: DataFrame, source: DataFrame, n: int) -> DataFrame:
@@ -224,15 +225,18 @@ def copied(generated: DataFrame, source: DataFrame, n: int) -> DataFrame:
     return grams(generated, n).join(seen, "gram", "left").agg(F.count("*").alias("total"), (F.count("hit") / F.count("*")).alias("ratio"))
 
 
-def longest_copied(generated: DataFrame, source: DataFrame, most: int = 12) -> DataFrame:
-    """The largest n up to ``most`` with a run that the source has: one scan of
-    each side makes the runs of all lengths."""
+#: Runs that are broadcast at most.
+_RUNS = 200_000
 
-    def runs(units: DataFrame) -> DataFrame:
-        at = units.where(F.size("t") > 0).select("t", F.explode(F.sequence(F.lit(1), F.size("t"))).alias("i"))
-        ends = F.sequence(F.lit(1), F.least(F.lit(most), F.size("t") - F.col("i") + 1))
-        return at.select("t", "i", F.explode(ends).alias("n")).select("n", F.array_join(F.slice("t", F.col("i"), F.col("n")), " ").alias("gram"))
 
-    # the generated side is the smaller one; where it is small, Spark sends it to the source's scan
-    hits = runs(source).join(runs(generated).distinct(), ["n", "gram"], "left_semi")
-    return hits.agg(F.coalesce(F.max("n"), F.lit(0)).alias("longest"))
+def longest_copied(generated: DataFrame, source: DataFrame, most: int = 12) -> DataFrame:
+    """The largest n up to ``most`` with a run that the source has. The beginning of a run that the source has
+    is one too, so the longest length is tried first and then the middle of what is left: a
+    scan makes the runs of one length, and there are few scans."""
+    low, high, n = 0, most, most  # the source has a run of low tokens, and none of more than high
+    while low < high:
+        asked = written(grams(generated, n).select("gram").distinct())
+        met = grams(source, n).join(F.broadcast(asked) if asked.count() <= _RUNS else asked, "gram", "left_semi")
+        low, high = (n, high) if met.count() else (low, n - 1)
+        n = (low + high + 1) // 2
+    return generated.sparkSession.range(1).select(F.lit(low).alias("longest"))

@@ -167,3 +167,17 @@ def test_phrase_with_a_word_twice_by_places(spark):
     index = S.in_memory(S.postings(spark.createDataFrame(rows, "doc_id int, t string"), ("t",)))
     assert sorted(r[0] for r in S.search(index, S.Phrase(("er", "th", "er"))).collect()) == [1, 3]
     assert sorted(r[0] for r in S.search(index, S.Phrase(("er", "er", "th"))).collect()) == [2, 3]
+
+
+def test_longest_copied_run_is_found_by_one_length_at_a_time(spark, monkeypatch):
+    rng, asked, grams = random.Random(11), [], L.grams
+    monkeypatch.setattr(L, "grams", lambda units, n: asked.append(n) or grams(units, n))
+    source = [" ".join(rng.choices("abc", k=rng.randint(1, 30))) for _ in range(6)]
+    for text in [*(" ".join(rng.choices("abc", k=k)) for k in (1, 4, 15)), source[0] + " z", "z", "a z b"]:
+        own = text.split()
+        runs = {n: {tuple(w[i : i + n]) for w in map(str.split, source) for i in range(len(w) - n + 1)} for n in range(1, 13)}
+        longest = max((n for n in runs if any(tuple(own[i : i + n]) in runs[n] for i in range(len(own) - n + 1))), default=0)
+        asked.clear()
+        found = L.longest_copied(sentences(spark, [(1, text)]), sentences(spark, list(enumerate(source))))
+        assert found.dtypes == [("longest", "int")] and found.first()[0] == longest
+        assert asked[:2] == [12, 12] and len(asked) <= 10 and (longest < 12 or len(asked) == 2)
