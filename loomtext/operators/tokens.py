@@ -151,24 +151,36 @@ def variant_stats(variants: DataFrame, base: str) -> DataFrame:
     return stats.join(F.broadcast(ref)).select("variant", "units", "vocabulary", (F.col("vocabulary") / F.col("units")).alias("ttr"), (F.col("units") / F.col("words")).alias("per_word"), ((F.col("vocabulary") / F.col("base") - 1) * 100).alias("change"))
 
 
+#: Keys of phrases that are broadcast at most.
+_KEYS = 200_000
+
+
 def first_sentence_with(sentences: DataFrame, phrases: DataFrame) -> DataFrame:
     """For each phrase the first sentence (doc_id, pos) that contains it.
 
-    A phrase's words between its first and last blank stand whole in every sentence
-    that holds it, so phrase and sentence meet at the longest of them. A phrase of one
-    or two words meets the sentences that have a word with the longer one inside, by
-    the pieces of that length (only the lengths that occur)."""
+    A phrase's words between its first and last blank stand whole and side by side in every sentence
+    that holds it, so phrase and sentence meet at the longest two of them that are neighbours (or the only one). For a
+    phrase of one or two words, the distinct words of all sentences that have the longer one inside are
+    found by its first 16, 8, 4, 2 or 1 letters, and the sentences with such a word are met in the same scan."""
     parts = F.split("phrase", " ")
     inner = F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0)))
-    longest = lambda ws: F.array_max(F.transform(F.filter(ws, lambda w: w != ""), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    keyed = phrases.where("phrase is not null").select("phrase", longest(inner).alias("whole"), longest(parts).alias("piece"))
-    words = sentences.select("doc_id", "pos", "sentence", F.explode(F.array_distinct(F.split("sentence", " "))).alias("w"))
-    hits = words.join(keyed.where("whole is not null").select("phrase", F.col("whole").alias("w")), "w")
-    short = keyed.where("whole is null and piece is not null").select("phrase", "piece")
-    for n in sorted(r[0] for r in short.select(F.length("piece")).distinct().collect()):
-        pieces = F.expr(f"CASE WHEN length(w) >= {n} THEN transform(sequence(1, length(w) - {n - 1}), i -> substring(w, i, {n})) END")
-        cut = words.select("doc_id", "pos", "sentence", F.explode(F.array_distinct(pieces)).alias("piece"))
-        hits = hits.unionByName(cut.join(short.where(F.length("piece") == n), "piece").withColumnRenamed("piece", "w"))
+    longest = lambda ws: F.array_max(F.transform(F.filter(ws, lambda w: F.trim(w) != ""), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    keyed = phrases.where("phrase is not null").select("phrase", inner.alias("inner"), longest(parts).alias("piece"))
+    keyed = written(keyed.select("phrase", longest(F.when(F.size("inner") > 1, X.joined_ngrams(F.col("inner"), 2)).otherwise(F.col("inner"))).alias("whole"), "piece"))
+    lines = sentences.select("doc_id", "pos", "sentence", F.split("sentence", " ").alias("p"))
+    keys = keyed.where("whole is not null").select("phrase", F.col("whole").alias("w"))
+    size = F.length("piece")
+    short = keyed.where("whole is null and piece is not null").select("phrase", "piece", F.substring("piece", F.lit(1), F.when(size >= 16, 16).when(size >= 8, 8).when(size >= 4, 4).when(size >= 2, 2).otherwise(1)).alias("begin"))
+    lengths = sorted(r[0] for r in short.select(F.length("begin")).distinct().collect())
+    if lengths:
+        own = written(each(lines, F.array_distinct("p"), "w").select("w").distinct())
+        cut = own.select("w", F.explode(F.array(*map(F.lit, lengths))).alias("n")).where(F.length("w") >= F.col("n"))
+        pieces = F.transform(F.sequence(F.lit(1), F.length("w") - F.col("n") + 1), lambda i: F.substring("w", i, F.col("n")))
+        met = each(cut, pieces, "begin", "w").join(F.broadcast(short) if short.count() <= _KEYS else short, "begin").where(F.contains("w", "piece"))
+        keys = keys.unionByName(met.select("phrase", "w").distinct())
+    keys = written(keys)
+    runs = each(lines, F.array_distinct(F.concat("p", X.joined_ngrams(F.col("p"), 2))), "w", "doc_id", "pos", "sentence")
+    hits = runs.join(F.broadcast(keys) if keys.count() <= _KEYS else keys, "w")
     place = F.struct("doc_id", "pos")
     found = hits.where(F.contains("sentence", "phrase")).groupBy("phrase").agg(F.min_by("sentence", place).alias("sentence"))
     # phrases of blanks alone (and the empty one): as many as there are lengths

@@ -102,6 +102,14 @@ def test_first_sentence_with_phrases_of_any_length(spark):
     assert got == {p: t for p, t in first.items() if t is not None}
 
 
+def test_phrases_of_all_lengths_meet_the_sentences_in_one_scan(spark, tmp_path):
+    spark.createDataFrame([(1, 0, "xa b c"), (2, 0, "a  b ccc d"), (3, 0, "a b c d")], "doc_id int, pos int, sentence string").write.parquet(f"{tmp_path}/lines")
+    phrases = spark.createDataFrame([(p,) for p in ("a", "b c", "ccc", "a b c", "a  b c", "b ccc d", "a b c d", "a d")], "phrase string")
+    found = T.first_sentence_with(spark.read.parquet(f"{tmp_path}/lines"), phrases)
+    assert found._jdf.queryExecution().executedPlan().toString().count(f"{tmp_path}/lines") == 1
+    assert {r.phrase: r.sentence for r in found.collect()} == {"a": "xa b c", "b c": "xa b c", "ccc": "a  b ccc d", "a b c": "xa b c", "a  b c": "a  b ccc d", "b ccc d": "a  b ccc d", "a b c d": "a b c d"}
+
+
 def test_streamed_limits_forget_idle_clients(spark, tmp_path):
     path, out = str(tmp_path / "in"), str(tmp_path / "out")
     rng = random.Random(4)
