@@ -325,10 +325,15 @@ def byte_pair_units(spark, sf_dir):
     return out
 
 
+def _byte_pieces(spark, sf_dir) -> DataFrame:
+    """The pieces of all documents and how often they stand, counted once for each version of the table."""
+    return spark.read.parquet(kept(spark, f"{sf_dir}/documents.parquet", "byte pieces", lambda folder: U.piece_counts(_docs(spark, sf_dir)).write.option("compression", "zstd").parquet(folder)))
+
+
 def _byte_merges(spark, sf_dir) -> DataFrame:
     """1000 merges over all documents, trained once for each version of the table."""
     def make(folder: str) -> None:
-        found = U.train(U.piece_counts(_docs(spark, sf_dir)), 1000)
+        found = U.train(_byte_pieces(spark, sf_dir), 1000)
         spark.createDataFrame([(k, x, y, n) for k, ((x, y), n) in enumerate(found)], "rank int, first int, second int, c long").coalesce(1).write.parquet(folder)
 
     return spark.read.parquet(kept(spark, f"{sf_dir}/documents.parquet", "byte merges", make))
@@ -357,7 +362,7 @@ def byte_level_units(spark, sf_dir):
 def byte_level_curve(spark, sf_dir):
     """Units of all documents after 0, 250, 500 and 1000 merges."""
     merges = _byte_vocabulary(_byte_merges(spark, sf_dir)).merges
-    return U.unit_counts(U.piece_counts(_docs(spark, sf_dir)), merges, (0, 250, 500, 1000))
+    return U.unit_counts(_byte_pieces(spark, sf_dir), merges, (0, 250, 500, 1000))
 
 
 @query(f"""WITH t AS (SELECT {_WORDS} AS w FROM documents), v AS (SELECT 'words' AS variant, unnest(w) AS unit FROM t UNION ALL SELECT 'no stop words', unnest(list_filter(w, lambda x: x NOT IN {_STOP})) FROM t),
@@ -374,7 +379,7 @@ def four_variants(spark, sf_dir):
     """Words, stems in the place of lemmas, words without stop words, and byte-level units."""
     words = written(_vocabulary(spark, sf_dir).select(F.col("w").alias("unit"), "c"))
     stems = stemming.stem_vocabulary(words, "unit", ("snowball",)).select(F.lit("stems").alias("variant"), F.col("snowball").alias("unit"), "c")
-    units = U.piece_units(U.piece_counts(_docs(spark, sf_dir)), _byte_vocabulary(_byte_merges(spark, sf_dir)))
+    units = U.piece_units(_byte_pieces(spark, sf_dir), _byte_vocabulary(_byte_merges(spark, sf_dir)))
     every = words.select(F.lit("words").alias("variant"), "unit", "c").unionAll(stems).unionAll(words.where(~F.col("unit").isin(*X.STOP_WORDS)).select(F.lit("no stop words"), "unit", "c"))
     every = every.unionAll(units.select(F.lit("byte units"), F.col("unit").cast("string"), "c"))
     return T.variant_counts(every, "words").withColumns({c: F.round(c, 6) for c in ("ttr", "per_word", "change")})

@@ -72,3 +72,9 @@ def test_a_batch_of_words_is_rewritten_at_once(spark):
     assert U.replaced("\n".join("".join(map(U.sign, w)) for w in words), made).split("\n") == expected
     weights = spark.createDataFrame([("aab", 1 << 40), ("ab", 3), ("", 5), ("ba", 1)], "piece string, c long")
     assert [n for _, n in U.train(weights, 2)] == [(1 << 40) + 3, 1 << 40]
+
+
+def test_pieces_are_counted_once_for_each_version_of_the_table(spark):
+    first = plans._byte_pieces(spark, SF)
+    curve = plans.byte_level_curve(spark, SF)
+    assert first.inputFiles() == plans._byte_pieces(spark, SF).inputFiles() and set(curve.inputFiles()) == set(first.inputFiles())
