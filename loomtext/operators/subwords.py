@@ -17,8 +17,11 @@ that are certain to follow one another:
   at most ``SEGMENTS`` segments: where there would be more, fewer pairs lead, down to one, whose
   merge is always certain.
 * The pieces that hold a merged pair are rewritten once for all merges of the round, where
-  they are stored; pieces that are whole leave the table. Each symbol is one letter there, so a merge
-  is one replacement in all pieces of a batch at once.
+  they are stored; pieces that are whole leave the table. Each symbol is one letter there. In each turn
+  every piece of a batch makes its earliest merge.
+
+Texts are cut into pieces by the kinds of their characters, in all texts of a part at once; the kinds are those
+that Spark's own expressions find. Only the distinct pieces of a part are counted or encoded.
 """
 
 from __future__ import annotations
@@ -27,10 +30,13 @@ import heapq
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+import pyarrow.compute as pc
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..sources.stored import written
 
@@ -41,8 +47,11 @@ SPECIALS = ("[UNK]", "[CLS]", "[SEP]", "[PAD]", "[MASK]")
 #: Pairs that may lead in a round, and distinct segments that come back.
 LEADING = 2048
 SEGMENTS = 100_000
-#: Texts that are encoded together.
-_TEXTS = 4096
+#: Bytes of the texts that are cut into pieces at once, and of those whose distinct pieces are found together.
+_CUT = 1 << 19
+_BYTES = 16 << 20
+#: Symbols up to which a table holds the merges of all pairs.
+_DENSE = 2048
 
 Pair = tuple[int, int]
 
@@ -92,10 +101,106 @@ def pieces(text: Column, prefix_space: bool = True) -> Column:
     return F.regexp_extract_all(whole, F.lit(SPLIT), 0)
 
 
+#: Kinds of characters; what is none of them is 0.
+_LETTER, _NUMBER, _SPACE = 1, 2, 3
+
+
+def kinds(spark: SparkSession) -> Broadcast:
+    """The kind of each code point, as Spark's expressions see it; found once for each application."""
+    kept = spark.sparkContext.__dict__
+    if "_loomtext_kinds" not in kept:
+        points = spark.range(0x110000).where("id not between 55296 and 57343")
+        letter = F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32")
+        kind = F.when(F.regexp_like(letter, F.lit(r"\p{L}")), _LETTER).when(F.regexp_like(letter, F.lit(r"\p{N}")), _NUMBER).when(F.regexp_like(letter, F.lit(r"(?U)\s")), _SPACE)
+        found = points.select("id", kind.alias("kind")).where("kind is not null").toArrow()
+        table = np.zeros(0x110000, np.uint8)
+        table[found["id"].to_numpy()] = found["kind"].to_numpy()
+        kept["_loomtext_kinds"] = spark.sparkContext.broadcast(table)
+    return kept["_loomtext_kinds"]
+
+
+def _parts(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """Begins and ends of runs of rows with at most so many bytes of text, or of one row."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(), dtype=np.int64)
+    begin = 0
+    while begin < len(upto):
+        end = max(begin + 1, int(np.searchsorted(upto, (upto[begin - 1] if begin else 0) + most, "right")))
+        yield begin, end
+        begin = end
+
+
+def split(texts: pa.Array, kind_of: np.ndarray, prefix_space: bool = True) -> tuple[pa.Array, np.ndarray]:
+    """The pieces of all texts, one text after the other, and how many each text has; the same as ``pieces``."""
+    runs = [_split(texts[begin:end], kind_of, prefix_space) for begin, end in _parts(texts, _CUT)]
+    return pa.concat_arrays([found for found, _ in runs]), np.concatenate([many for _, many in runs])
+
+
+def _split(texts: pa.Array, kind_of: np.ndarray, prefix_space: bool) -> tuple[pa.Array, np.ndarray]:
+    texts = pc.fill_null(texts.cast(pa.string()), "")
+    try:
+        texts.validate(full=True)
+    except pa.ArrowInvalid:  # bytes that are no UTF-8
+        texts = pa.array([t.decode(errors="replace") for t in texts.cast(pa.binary()).to_pylist()], pa.string())
+    if prefix_space:
+        texts = pc.if_else(pc.or_(pc.starts_with(texts, " "), pc.equal(texts, "")), texts, pc.binary_join_element_wise("", texts, " "))
+    bounds = np.append(0, np.cumsum(pc.binary_length(texts).to_numpy(), dtype=np.int64))
+    begin = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset]
+    if not bounds[-1]:
+        return pa.array([], pa.string()), np.zeros(len(texts), np.int64)
+    data = texts.buffers()[2].slice(int(begin), int(bounds[-1]))
+    byte = np.frombuffer(data, np.uint8)
+    n = len(byte)
+    kind = np.frombuffer(bytearray(data).translate(kind_of[:256].tobytes()), np.uint8)
+    # every byte of a longer character has the character's kind
+    lead = np.flatnonzero(byte >= 0xC0)
+    more = 1 + (byte[lead] >= 0xE0) + (byte[lead] >= 0xF0)
+    code = byte[lead].astype(np.int32) & (0x3F >> more)
+    for k in (1, 2, 3):
+        code = np.where(more >= k, code << 6 | byte[np.minimum(lead + k, n - 1)] & 0x3F, code)
+    own = kind_of[code]
+    kind[lead] = own
+    for k in (1, 2, 3):
+        kind[lead[more >= k] + k] = own[more >= k]
+    first = np.zeros(n + 2, bool)
+    first[bounds[:-1][np.diff(bounds) > 0]] = True
+    first[n:] = True  # nothing follows the last text
+    space = np.append(kind == _SPACE, True)
+    starts = np.ones(n, bool)
+    # a kind begins; a blank goes with what follows it
+    starts[1:] = (kind[1:] != kind[:-1]) & ~((byte[:-1] == 0x20) & ~space[1:n])
+    # the last white space before something else
+    starts[:-1] |= space[: n - 1] & ~space[1:n] & ~first[1:n] & (byte[:-1] < 0x80)
+    wide, after = lead[own == _SPACE], (lead + more + 1)[own == _SPACE]
+    starts[wide[~space[after] & ~first[after]]] = True
+    starts |= first[:n]
+    at = np.flatnonzero((byte == 0x27) & starts)
+    padded = np.append(byte, np.zeros(2, np.uint8))
+    one, two = padded[at + 1], padded[at + 2]
+    short = np.isin(one, [ord(c) for c in "stmd"])
+    long = np.logical_or.reduce([(one == ord(x)) & (two == ord(y)) for x, y in ("re", "ve", "ll")]) & ~first[at + 2]
+    held = (short | long) & ~first[at + 1]
+    starts[at[held] + 1] = False
+    ends = at[held] + np.where(short[held], 2, 3)
+    starts[ends[ends < n]] = True
+    begins = np.flatnonzero(starts)
+    offsets = np.append(begins, n).astype(np.int32)
+    return pa.StringArray.from_buffers(len(begins), pa.py_buffer(offsets), data), np.diff(np.searchsorted(begins, bounds))
+
+
 def piece_counts(docs: DataFrame, column: str = "text") -> DataFrame:
     """piece and c (how often it stands) over all texts; null texts have none."""
-    rows = docs.select(F.explode_outer(pieces(F.coalesce(F.col(column), F.lit("")))).alias("piece"))
-    return rows.where("piece is not null and piece <> ''").groupBy("piece").agg(F.count("*").alias("c"))
+    shared = kinds(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind_of = shared.value
+        for batch in batches:
+            texts = batch.column(0)
+            for begin, end in _parts(texts, _BYTES):
+                found = split(texts[begin:end], kind_of)[0].dictionary_encode()
+                c = np.bincount(found.indices.to_numpy(), minlength=len(found.dictionary))
+                yield pa.RecordBatch.from_arrays([found.dictionary, pa.array(c, pa.int64())], names=["piece", "c"])
+
+    return docs.select(column).mapInArrow(run, "piece string, c long").groupBy("piece").agg(F.sum("c").alias("c"))
 
 
 def merged(symbols: list[int], pair: Pair, new: int) -> list[int]:
@@ -113,6 +218,8 @@ def merged(symbols: list[int], pair: Pair, new: int) -> list[int]:
 
 #: Between two words of a joined text; no symbol is written so.
 _GAP = 10
+#: The rank of a pair that has no merge.
+_NONE = np.int32(2**31 - 1)
 
 
 def sign(symbol: int) -> str:
@@ -137,12 +244,84 @@ def spelt(pieces: list[str], first: list[int]) -> str:
     return letters[np.frombuffer(b"\xff".join(map(str.encode, pieces)), np.uint8)].tobytes().decode("utf-32-le")
 
 
+@dataclass(frozen=True)
+class Merges:
+    """Merges in their order, found by the pairs of many symbols at once. No symbol may be above the largest new one."""
+
+    made: dict[Pair, int]
+
+    @cached_property
+    def new(self) -> np.ndarray:
+        """The new symbol of each merge."""
+        return np.array(list(self.made.values()), np.int32)
+
+    @cached_property
+    def _pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        x, y = np.array(list(self.made), np.int64).T
+        return x, y
+
+    @cached_property
+    def _table(self) -> np.ndarray:
+        x, y = self._pairs
+        k = int(self.new.max()) + 1
+        table = np.full((k, k), _NONE, np.int32)
+        table[x, y] = np.arange(len(x))
+        return table
+
+    @cached_property
+    def _sorted(self) -> tuple[np.ndarray, np.ndarray]:
+        keys = self._pairs[0] << 32 | self._pairs[1]
+        order = np.argsort(keys)
+        return keys[order], order.astype(np.int32)
+
+    def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The place of each pair's merge in the order; ``_NONE`` where it has none."""
+        if not self.made:
+            return np.full(len(a), _NONE, np.int32)
+        if self.new.max() < _DENSE:
+            return self._table[a, b]
+        keys, order = self._sorted
+        wanted = a.astype(np.int64) << 32 | b
+        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        return np.where(keys[at] == wanted, order[at], _NONE)
+
+
+def encoded(symbols: np.ndarray, sizes: np.ndarray, merges: Merges) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols of words (one after the other, with their sizes) after all merges, and the new sizes. In each turn
+    every word makes its earliest merge, wherever it stands there; words without one are done. A merge's symbol
+    stands only in later merges, so this is the same as one merge after the other in all words."""
+    word = np.repeat(np.arange(len(sizes)), sizes)
+    done_symbols, done_words = [symbols[:0]], [word[:0]]
+    while len(symbols):
+        begins = np.flatnonzero(np.diff(word, prepend=-1))
+        lengths = np.diff(begins, append=len(symbols))
+        rank = np.full(len(symbols), _NONE, np.int32)
+        rank[:-1] = merges.ranks(symbols[:-1], symbols[1:])
+        rank[begins[1:] - 1] = _NONE
+        best = np.minimum.reduceat(rank, begins)
+        left = np.repeat(best < _NONE, lengths)
+        done_symbols.append(symbols[~left])
+        done_words.append(word[~left])
+        symbols, word, rank = symbols[left], word[left], rank[left]
+        hit = rank == np.repeat(best[best < _NONE], lengths[best < _NONE])
+        if (hit[1:] & hit[:-1]).any():  # equal symbols in a row are paired from the left
+            at = np.flatnonzero(hit)
+            runs = np.flatnonzero(np.diff(at, prepend=-2) > 1)
+            hit[at[(np.arange(len(at)) - np.repeat(runs, np.diff(runs, append=len(at)))) % 2 == 1]] = False
+        symbols[hit] = merges.new[rank[hit]]
+        gone = np.flatnonzero(hit) + 1
+        symbols, word = np.delete(symbols, gone), np.delete(word, gone)
+    symbols, word = np.concatenate(done_symbols), np.concatenate(done_words)
+    return symbols[np.argsort(word, kind="stable")], np.bincount(word, minlength=len(sizes))
+
+
 def replaced(joined: str, made: dict[Pair, int]) -> str:
-    """The joined words after all merges, in their order: a merge's symbol stands only in later ones, so
-    each of them is one replacement, from the left, in all words at once."""
-    for (x, y), new in made.items():
-        joined = joined.replace(sign(x) + sign(y), sign(new))
-    return joined
+    """The joined words after all merges, in their order."""
+    codes = _codes(joined)
+    gap = codes == _GAP
+    symbols, sizes = encoded(_symbols(codes[~gap]), np.diff(np.flatnonzero(gap), prepend=-1) - 1, Merges(made))
+    letters = np.insert(symbols + np.where(symbols < 0xD700, 0x100, 0x900), np.cumsum(sizes)[:-1], _GAP)
+    return letters.astype("<u4").tobytes().decode("utf-32-le")
 
 
 def certain_merges(segments: list[tuple[list[int], int]], floor: int, most: int, next_id: int, least: int) -> list[tuple[Pair, int]]:
@@ -273,8 +452,9 @@ def train(counts: DataFrame, merges: int, min_frequency: int = 2, specials: tupl
         leading = min(4 * leading, LEADING)
         while True:
             first = {(r["a"], r["b"]) for r in top[:leading]}
-            # where a sixteenth of the words has so many, the whole pass is spared; how many pairs lead changes no merge
-            if leading > 1 and _segments(words.where(F.pmod(F.xxhash64("s"), F.lit(16)) == 0), first).limit(SEGMENTS // 2 + 1).count() > SEGMENTS // 2:
+            # a sixteenth of the words holds about a sixth of the segments; where that is too many, the whole pass is spared.
+            # how many pairs lead changes no merge
+            if leading > 1 and _segments(words.where(F.pmod(F.xxhash64("s"), F.lit(16)) == 0), first).limit(SEGMENTS // 6 + 1).count() > SEGMENTS // 6:
                 leading //= 2
                 continue
             found = _segments(words, first).limit(SEGMENTS + 1).collect() if leading > 1 else [(top[0]["a"], top[0]["b"])]
@@ -295,31 +475,35 @@ def train(counts: DataFrame, merges: int, min_frequency: int = 2, specials: tupl
 
 
 def encode(docs: DataFrame, vocabulary: ByteVocabulary, column: str = "text", prefix_space: bool = True) -> DataFrame:
-    """docs and ``ids``: the whole text's units. The distinct pieces of a batch are encoded together."""
+    """docs and ``ids``: the whole text's units. The distinct pieces of a part are encoded together."""
     shared = docs.sparkSession.sparkContext.broadcast((vocabulary.first_ids, vocabulary.made))
-    named = docs.select("*", pieces(F.coalesce(F.col(column), F.lit("")), prefix_space).alias("_pieces"))
+    shared_kinds = kinds(docs.sparkSession)
     schema = T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
     names = docs.columns
+    place = names.index(column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, made = shared.value
+        first, merges, kind_of = np.array(first, np.int32), Merges(made), shared_kinds.value
         for whole in batches:
-            for at in range(0, whole.num_rows, _TEXTS):
-                batch = whole.slice(at, _TEXTS)
-                lists = batch.column(len(names))
-                found = lists.flatten().dictionary_encode()
-                at_piece = found.indices.to_numpy()
-                codes = _codes(replaced(spelt(found.dictionary.to_pylist(), first), made))
-                ends = np.flatnonzero(codes == _GAP)
-                begins = np.append(0, ends[:-1] + 1)
-                size = (ends - begins)[at_piece]
+            for begin, end in _parts(whole.column(place), _BYTES):
+                batch = whole.slice(begin, end - begin)
+                parts, many = split(batch.column(place), kind_of, prefix_space)
+                found = parts.dictionary_encode()
+                at_piece, distinct = found.indices.to_numpy(), found.dictionary
+                length = pc.binary_length(distinct).to_numpy()
+                # distinct pieces lie in one buffer of their own, from its begin on
+                letters = np.frombuffer(distinct.buffers()[2] or b"", np.uint8)[: length.sum()]
+                units, sizes = encoded(first[letters], length, merges)
+                begins = np.cumsum(sizes) - sizes
+                size = sizes[at_piece]
                 upto = np.append(0, np.cumsum(size))
-                ids = _symbols(codes)[np.repeat(begins[at_piece] - upto[:-1], size) + np.arange(upto[-1])]
-                bounds = upto[np.append(0, np.cumsum(lists.value_lengths().to_numpy()))]
-                units = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(names))), units], names=[*names, "ids"])
+                ids = units[np.repeat(begins[at_piece] - upto[:-1], size) + np.arange(upto[-1])]
+                bounds = upto[np.append(0, np.cumsum(many))]
+                lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
+                yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*names, "ids"])
 
-    return named.mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 def unit_counts(counts: DataFrame, merges: list[Pair], sizes: tuple[int, ...], specials: tuple[str, ...] = SPECIALS) -> DataFrame:
@@ -360,6 +544,17 @@ def piece_units(counts: DataFrame, vocabulary: ByteVocabulary) -> DataFrame:
 
 
 def decode(ids: Column, vocabulary: ByteVocabulary) -> Column:
-    """The text of units (without the space put before it, if any), inside the JVM."""
-    table = F.array(*(F.lit(p.hex()) for p in vocabulary.payloads))
-    return F.decode(F.unhex(F.array_join(F.transform(ids, lambda k: F.get(table, k)), "")), "UTF-8")
+    """The text of units (without the space put before it, if any)."""
+    payloads = [*vocabulary.payloads, b""]  # the last one for what is no unit
+
+    @F.arrow_udf("binary")
+    def joined(lists: pa.Array) -> pa.Array:
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+        units = pc.fill_null(lists.flatten(), -1).to_numpy()
+        units = np.where((units < 0) | (units >= len(payloads)), len(payloads) - 1, units)
+        parts = pa.array(payloads, pa.large_binary()).take(pa.array(units))
+        upto = np.frombuffer(parts.buffers()[1], np.int64)[: len(parts) + 1][np.append(0, np.cumsum(sizes))]
+        whole = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(upto), parts.buffers()[2]])
+        return pc.if_else(lists.is_valid(), whole, pa.scalar(None, pa.large_binary())).cast(pa.binary())
+
+    return F.decode(joined(ids), "UTF-8")

@@ -3,6 +3,8 @@
 import json
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, decoders, models, pre_tokenizers, trainers
@@ -78,3 +80,39 @@ def test_pieces_are_counted_once_for_each_version_of_the_table(spark):
     first = plans._byte_pieces(spark, SF)
     curve = plans.byte_level_curve(spark, SF)
     assert first.inputFiles() == plans._byte_pieces(spark, SF).inputFiles() and set(curve.inputFiles()) == set(first.inputFiles())
+
+
+def test_texts_are_cut_as_the_pattern_says(spark, monkeypatch):
+    rng = random.Random(10)
+    letters = "'''  \n\tstmdrevlaé1٣!. ͅ ⅷ😀𝒳"
+    texts = ["", " ", "'s", "it's'll 's  'd\n've!'t'", None, "x" * 5000, *("".join(rng.choices(letters, k=rng.randint(0, 14))) for _ in range(1500))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    monkeypatch.setattr(U, "_CUT", 200)
+    kind_of = U.kinds(spark).value
+    for prefix in (True, False):
+        expected = [r.p for r in docs.select("i", U.pieces(F.coalesce("text", F.lit("")), prefix).alias("p")).orderBy("i").collect()]
+        found, many = U.split(pa.array(["before", *texts, "after"])[1:-1], kind_of, prefix)
+        assert many.tolist() == [len(e) for e in expected] and found.to_pylist() == [p for e in expected for p in e]
+    bad = pa.array([b"a\xff b", b"c"]).view(pa.string())
+    assert U.split(bad, kind_of)[0].to_pylist() == [" a", "�", " b", " c"]
+
+
+def test_pieces_stay_inside_their_tasks(spark):
+    """No row is made for each piece, and neither pieces nor units are looked up one by one."""
+    docs = spark.createDataFrame([(1, "aab ab")], "i int, text string")
+    vocabulary = U.ByteVocabulary([p for p, _ in U.train(U.piece_counts(docs), 2)])
+    units = U.encode(docs, vocabulary)
+    for frame in (U.piece_counts(docs), units.select(U.decode(F.col("ids"), vocabulary))):
+        plan = frame._jdf.queryExecution().optimizedPlan().toString()
+        assert "MapInArrow" in plan and not any(x in plan for x in ("Generate", "regexp", "transform("))
+    odd = spark.createDataFrame([([1 << 20, -1, 70, None],), ([],), (None,)], "ids array<int>").select(U.decode(F.col("ids"), vocabulary).alias("t"))
+    assert [r.t for r in odd.collect()] == [vocabulary.payloads[70].decode(), "", None]
+
+
+def test_long_pieces_are_encoded_in_few_turns():
+    made = {(1, 1): 3, (3, 3): 4, (1, 2): 5, (4, 1): 6}
+    symbols = np.array([1] * 100_001 + [2, 2] + [1] * 3, np.int32)
+    found, sizes = U.encoded(symbols, np.array([100_003, 0, 3]), U.Merges(made))
+    assert found.tolist() == [4] * 25_000 + [5, 2] + [3, 1] and sizes.tolist() == [25_002, 0, 2]
+    found, sizes = U.encoded(np.array([1, 1]), np.array([2]), U.Merges({}))
+    assert found.tolist() == [1, 1] and sizes.tolist() == [2]
