@@ -49,7 +49,9 @@ LEADING = 2048
 SEGMENTS = 100_000
 #: Bytes of the texts that are cut into pieces at once, and of those whose distinct pieces are found together.
 _CUT = 1 << 19
-_BYTES = 16 << 20
+_BYTES = 4 << 20
+#: Units that are decoded together.
+_UNITS = 1 << 19
 #: Symbols up to which a table holds the merges of all pairs.
 _DENSE = 2048
 
@@ -119,9 +121,9 @@ def kinds(spark: SparkSession) -> Broadcast:
     return kept["_loomtext_kinds"]
 
 
-def _parts(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
-    """Begins and ends of runs of rows with at most so many bytes of text, or of one row."""
-    upto = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(), dtype=np.int64)
+def _parts(sizes: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """Begins and ends of runs of rows whose sizes (of texts, of lists) sum up to at most so many, or of one row."""
+    upto = np.cumsum(pc.fill_null(sizes, 0).to_numpy(), dtype=np.int64)
     begin = 0
     while begin < len(upto):
         end = max(begin + 1, int(np.searchsorted(upto, (upto[begin - 1] if begin else 0) + most, "right")))
@@ -131,7 +133,7 @@ def _parts(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
 
 def split(texts: pa.Array, kind_of: np.ndarray, prefix_space: bool = True) -> tuple[pa.Array, np.ndarray]:
     """The pieces of all texts, one text after the other, and how many each text has; the same as ``pieces``."""
-    runs = [_split(texts[begin:end], kind_of, prefix_space) for begin, end in _parts(texts, _CUT)]
+    runs = [_split(texts[begin:end], kind_of, prefix_space) for begin, end in _parts(pc.binary_length(texts), _CUT)]
     return pa.concat_arrays([found for found, _ in runs]), np.concatenate([many for _, many in runs])
 
 
@@ -195,7 +197,7 @@ def piece_counts(docs: DataFrame, column: str = "text") -> DataFrame:
         kind_of = shared.value
         for batch in batches:
             texts = batch.column(0)
-            for begin, end in _parts(texts, _BYTES):
+            for begin, end in _parts(pc.binary_length(texts), _BYTES):
                 found = split(texts[begin:end], kind_of)[0].dictionary_encode()
                 c = np.bincount(found.indices.to_numpy(), minlength=len(found.dictionary))
                 yield pa.RecordBatch.from_arrays([found.dictionary, pa.array(c, pa.int64())], names=["piece", "c"])
@@ -486,7 +488,7 @@ def encode(docs: DataFrame, vocabulary: ByteVocabulary, column: str = "text", pr
         first, made = shared.value
         first, merges, kind_of = np.array(first, np.int32), Merges(made), shared_kinds.value
         for whole in batches:
-            for begin, end in _parts(whole.column(place), _BYTES):
+            for begin, end in _parts(pc.binary_length(whole.column(place)), _BYTES):
                 batch = whole.slice(begin, end - begin)
                 parts, many = split(batch.column(place), kind_of, prefix_space)
                 found = parts.dictionary_encode()
@@ -498,7 +500,7 @@ def encode(docs: DataFrame, vocabulary: ByteVocabulary, column: str = "text", pr
                 begins = np.cumsum(sizes) - sizes
                 size = sizes[at_piece]
                 upto = np.append(0, np.cumsum(size))
-                ids = units[np.repeat(begins[at_piece] - upto[:-1], size) + np.arange(upto[-1])]
+                ids = units[np.repeat((begins[at_piece] - upto[:-1]).astype(np.int32), size) + np.arange(upto[-1], dtype=np.int32)]
                 bounds = upto[np.append(0, np.cumsum(many))]
                 lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*names, "ids"])
@@ -547,14 +549,17 @@ def decode(ids: Column, vocabulary: ByteVocabulary) -> Column:
     """The text of units (without the space put before it, if any)."""
     payloads = [*vocabulary.payloads, b""]  # the last one for what is no unit
 
-    @F.arrow_udf("binary")
-    def joined(lists: pa.Array) -> pa.Array:
+    def part(lists: pa.Array) -> pa.Array:
         sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
         units = pc.fill_null(lists.flatten(), -1).to_numpy()
         units = np.where((units < 0) | (units >= len(payloads)), len(payloads) - 1, units)
-        parts = pa.array(payloads, pa.large_binary()).take(pa.array(units))
-        upto = np.frombuffer(parts.buffers()[1], np.int64)[: len(parts) + 1][np.append(0, np.cumsum(sizes))]
-        whole = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(upto), parts.buffers()[2]])
+        found = pa.array(payloads, pa.large_binary()).take(pa.array(units))
+        upto = np.frombuffer(found.buffers()[1], np.int64)[: len(found) + 1][np.append(0, np.cumsum(sizes))]
+        whole = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(upto), found.buffers()[2]])
         return pc.if_else(lists.is_valid(), whole, pa.scalar(None, pa.large_binary())).cast(pa.binary())
 
+    @F.arrow_udf("binary")
+    def joined(lists: pa.Array) -> pa.Array:
+        return pa.concat_arrays([pa.array([], pa.binary()), *(part(lists[begin:end]) for begin, end in _parts(pc.list_value_length(lists), _UNITS))])
+
     return F.decode(joined(ids), "UTF-8")
