@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from itertools import pairwise
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from ..sources.stored import written
 from .tokens import each
@@ -27,22 +31,140 @@ def term_counts(docs: DataFrame, key: str, units: Column) -> DataFrame:
     return each(docs, units, "term", key).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
-#: Documents whose norms are broadcast at most.
-_NORMS = 4_000_000
-
-
-def tf_idf(tf: DataFrame, key: str, min_df: int = 2, max_features: int = 50_000) -> DataFrame:
-    """(key, term, weight): smooth idf ln((1 + N) / (1 + df)) + 1, rows of
-    length one; the most frequent terms in the corpus are kept (ties by term)."""
-    tf = written(tf)  # read by four branches; counting it tokenises
-    n = tf.agg(F.countDistinct(key).alias("docs"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).where(F.col("df") >= min_df).orderBy(F.desc("cf"), "term").limit(max_features)
-    df = written(df.join(F.broadcast(n)).select("term", (F.log((1 + F.col("docs")) / (1 + F.col("df"))) + 1).alias("idf")))
-    weights = tf.join(F.broadcast(df), "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("x"))
-    # a document's counts lie together, so its squares are summed where they are read; only norms are shuffled
-    norms = written(weights.groupBy(key).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm")))
-    few = norms.count() <= _NORMS
-    return weights.join(F.broadcast(norms) if few else norms, key).select(key, "term", (F.col("x") / F.col("norm")).alias("weight"))
+def letter_runs(words: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """How many runs of three to five letters each word has with a blank at both ends, and these runs."""
+    blank, nothing = (pa.scalar(x, pa.large_string()) for x in (" ", ""))
+    text = pc.binary_join_element_wise(blank, words.cast(pa.large_string()), blank, nothing)
+    letters = np.frombuffer(text.buffers()[2], np.uint8)
+    begins = np.append(np.flatnonzero((letters & 0xC0) != 0x80), len(letters))  # of code points
+    length = pc.utf8_length(text).to_numpy()
+    left = np.repeat(np.cumsum(length), length) - np.arange(length.sum())  # code points to the word's end
+    many = np.clip(left - 2, 0, 3)
+    first = np.repeat(np.arange(len(many)), many)
+    n = 3 + np.arange(len(first)) - np.repeat(np.cumsum(many) - many, many)
+    size = begins[first + n] - begins[first]
+    bounds = np.append(0, np.cumsum(size))
+    runs = letters[np.repeat(begins[first] - bounds[:-1], size) + np.arange(bounds[-1])]
+    return np.maximum(3 * length - 9, length - 2), pa.LargeStringArray.from_buffers(len(size), pa.py_buffer(bounds), pa.py_buffer(runs)).cast(pa.string())
+
+
+#: What gives the number of terms of each unit, and these terms.
+Terms = Callable[[pa.Array], tuple[np.ndarray, pa.Array]]
+#: Documents whose counts are added at once, and bytes of the units that are spelled at once.
+_BLOCK, _BYTES = 16, 128 << 10
+#: What stands between the units of a document.
+_BETWEEN = "\u0000"
+
+
+def _parts(units: pa.Array) -> Iterator[slice]:
+    """Runs of units of about _BYTES."""
+    upto = np.cumsum(pc.binary_length(units).to_numpy())
+    cuts = [0, *(np.flatnonzero(np.diff(upto // _BYTES)) + 1).tolist(), len(units)]
+    return (slice(a, b) for a, b in pairwise(cuts) if a < b)
+
+
+def _distinct(bags: DataFrame, key: str) -> DataFrame:
+    """Distinct units of each batch in ``term``: how often they stand there (tf), and the keys of the first and last document with them."""
+    kind = bags.schema[key].dataType
+    schema = T.StructType([T.StructField("term", T.StringType()), T.StructField("tf", T.LongType()), T.StructField("lo", kind), T.StructField("hi", kind)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bag, keys = pc.split_pattern(batch.column("units"), _BETWEEN), batch.column(key)
+            found = bag.flatten().dictionary_encode()
+            unit, doc = found.indices.to_numpy(), np.repeat(np.arange(len(bag)), pc.list_value_length(bag).to_numpy())
+            first, last = np.empty((2, len(found.dictionary)), np.int64)
+            first[unit[::-1]], last[unit] = doc[::-1], doc
+            yield pa.RecordBatch.from_arrays([found.dictionary, pa.array(np.bincount(unit, minlength=len(last))), keys.take(pa.array(first)), keys.take(pa.array(last))], names=schema.names)
+
+    return bags.mapInArrow(run, schema)
+
+
+def _spelled(units: DataFrame, terms: Terms) -> DataFrame:
+    """A row for each term of each unit in ``term``, with the unit's other columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for part in _parts(whole.column("term")):
+                batch = whole[part]
+                sizes, found = terms(batch.column("term"))
+                of = batch.take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
+                yield of.set_column(of.schema.get_field_index("term"), "term", found)
+
+    return units.mapInArrow(run, units.schema)
+
+
+def _kept_ids(units: pa.Array, kept: pa.Array, terms: Terms | None) -> tuple[np.ndarray, np.ndarray]:
+    """How many terms of each unit are kept, and their places in ``kept``, unit by unit."""
+    many, ids = [np.empty(0, np.int64)], [np.empty(0, np.int32 if _BLOCK * len(kept) < 1 << 31 else np.int64)]
+    for part in _parts(units):
+        sizes, found = (np.ones(part.stop - part.start, np.int64), units[part]) if terms is None else terms(units[part])
+        at = pc.index_in(found, value_set=kept)
+        upto, ends = np.append(0, np.cumsum(at.is_valid().to_numpy(zero_copy_only=False))), np.cumsum(sizes)
+        many.append(upto[ends] - upto[ends - sizes])
+        ids.append(at.drop_null().to_numpy())
+    return np.concatenate(many), np.concatenate(ids)
+
+
+def _kept_counts(units: pa.Array, kept: pa.Array, terms: Terms | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Documents (their places in ``units``), kept terms and counts of a block of documents, in this order.
+    Terms are sought once for equal units."""
+    bags = pc.split_pattern(units, _BETWEEN)
+    found = bags.flatten().dictionary_encode()
+    unit, bounds = found.indices.to_numpy(), np.append(0, np.cumsum(pc.list_value_length(bags).to_numpy()))
+    sizes, ids = _kept_ids(found.dictionary, kept, terms)
+    begins, width = np.cumsum(sizes) - sizes, max(len(kept), 1)
+    for first in range(0, len(bags), _BLOCK):
+        ends = bounds[first : first + _BLOCK + 1]
+        here = unit[ends[0] : ends[-1]]
+        size = sizes[here]
+        cell = ids[np.repeat(begins[here] - np.cumsum(size) + size, size) + np.arange(size.sum())]
+        cell += np.repeat(np.repeat(np.arange(len(ends) - 1, dtype=cell.dtype) * width, np.diff(ends)), size)
+        cells, sums = np.unique(cell, return_counts=True)
+        doc = np.repeat(np.arange(len(ends) - 1), np.diff(np.searchsorted(cells, np.arange(len(ends)) * width)))
+        yield first + doc, cells - doc * width, sums
+
+
+def tf_idf(docs: DataFrame, key: str, units: Column, terms: Terms | None = None, max_features: int = 50_000, decimals: int = 6) -> DataFrame:
+    """(key, term, weight): smooth idf ln((1 + N) / (1 + df)) + 1, rows of length one, rounded; of the terms in two
+    documents or more the most frequent in the corpus are kept (ties by term).
+
+    ``units`` (not empty, without U+0000) are terms, or consist of those that ``terms`` gives (one at least, as often as a unit has it).
+    Where ``docs`` are dealt by key, nothing of a document is shuffled: which terms are kept is found from the distinct units,
+    only these terms pass the driver, and rows of documents and terms are made once, as they leave."""
+    spark, scale = docs.sparkSession, 10**decimals
+    rows = docs.select(key, F.array_join(units, _BETWEEN).alias("units")).groupBy(key).agg(F.collect_list("units").alias("units"))
+    bags = written(rows.select(key, F.array_join(F.filter("units", lambda u: u != ""), _BETWEEN).alias("units")).where("units <> ''"))
+    n = bags.count()
+    of_term = [F.sum("tf").alias("tf"), F.min(F.least("lo", "hi")).alias("lo"), F.max(F.greatest("lo", "hi")).alias("hi")]
+    counts = _distinct(bags, key).groupBy("term").agg(*of_term)
+    if terms is not None:
+        counts = _spelled(counts, terms).groupBy("term").agg(*of_term)
+    leading = written(counts.where("lo < hi").orderBy(F.desc("tf"), "term").limit(max_features).select("term"))  # else each part's would pass the driver
+    kept = [r["term"] for r in leading.collect()]
+    shared = spark.sparkContext.broadcast(kept)
+
+    def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, df = pa.array(shared.value, pa.string()), np.zeros(len(shared.value), np.int64)
+        for batch in batches:
+            for _, term, _ in _kept_counts(batch.column("units"), known, terms):
+                df += np.bincount(term, minlength=len(df))
+        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(df)), pa.array(df[df > 0])], names=["term", "df"])
+
+    df = np.zeros(len(kept))
+    for r in bags.select("units").mapInArrow(documents, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).collect():
+        df[r["term"]] = r["df"]
+    idf = spark.sparkContext.broadcast(np.log((1 + n) / (1 + df)) + 1)
+
+    def weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = pa.array(shared.value, pa.string())
+        for batch in batches:
+            for doc, term, tf in _kept_counts(batch.column("units"), known, terms):
+                x, at = tf * idf.value[term], doc - doc[:1].sum()
+                weight = np.floor(x / np.sqrt(np.bincount(at, x * x))[at] * scale + 0.5) / scale
+                yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(doc)), known.take(pa.array(term)), pa.array(weight)], names=[key, "term", "weight"])
+
+    return bags.mapInArrow(weights, T.StructType([bags.schema[key], T.StructField("term", T.StringType()), T.StructField("weight", T.DoubleType())]))
 
 
 def hashed_features(docs: DataFrame, key: str, units: Column, buckets: int) -> DataFrame:

@@ -29,12 +29,17 @@ def _tokens(spark, sf_dir) -> DataFrame:
 
 #: Bytes of the documents' files for one part of what is dealt by document, and for one learner of word vectors.
 _PART, _LEARNER = 4 << 20, 32 << 20
+#: Labels whose ids are broadcast at most.
+_IDS = 2_000_000
 
 
 def _dealt(spark, sf_dir) -> DataFrame:
-    """doc_id and tokens of the labelled documents, dealt by doc_id over parts of bounded size."""
+    """doc_id and tokens of the labelled documents: only their texts are dealt, by doc_id over parts of bounded size,
+    and cut into tokens there."""
     parts = max(1, -(-bytes_of(spark, f"{sf_dir}/documents.parquet") // _PART))
-    return _tokens(spark, sf_dir).select("doc_id", "tokens").repartition(parts, "doc_id")
+    labels = table(spark, sf_dir, "labels").select("doc_id")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").join(F.broadcast(labels) if labels.count() <= _IDS else labels, "doc_id")
+    return docs.repartition(parts, "doc_id").select("doc_id", X.words(F.col("text")).alias("tokens"))
 
 
 @query(f"WITH {_SPLIT} SELECT split, quality, count(*) AS n FROM sp GROUP BY 1, 2")
@@ -58,15 +63,13 @@ def word_tf_idf(spark, sf_dir):
     """M3: words and word pairs."""
     docs = _dealt(spark, sf_dir)
     pairs = docs.withColumn("units", F.concat("tokens", X.joined_ngrams(F.col("tokens"), 2)))
-    return V.tf_idf(V.term_counts(pairs, "doc_id", F.col("units")), "doc_id").withColumn("weight", F.round("weight", 6))
+    return V.tf_idf(pairs, "doc_id", F.col("units"))
 
 
 @query(f"WITH t0 AS (SELECT doc_id, string_split(' ' || w || ' ', '') AS c FROM (SELECT doc_id, unnest({_CLEAN}) AS w FROM documents JOIN labels USING (doc_id))), t AS (SELECT doc_id, unnest(flatten(list_transform([3, 4, 5], lambda n: list_transform(range(1, len(c) - n + 2), lambda i: array_to_string(c[i:i + n - 1], ''))))) AS term FROM t0), {_TFIDF.format(m=50000)}")
 def char_tf_idf(spark, sf_dir):
     """M4: runs of three to five letters inside words with a blank at both ends."""
-    words = _dealt(spark, sf_dir).select("doc_id", F.explode_outer("tokens").alias("w")).where("w is not null").select("doc_id", X.characters(F.concat(F.lit(" "), "w", F.lit(" "))).alias("c"))
-    units = F.concat(*(X.char_ngrams(F.col("c"), n) for n in (3, 4, 5)))
-    return V.tf_idf(V.term_counts(words, "doc_id", units), "doc_id").withColumn("weight", F.round("weight", 6))
+    return V.tf_idf(_dealt(spark, sf_dir), "doc_id", F.col("tokens"), V.letter_runs)
 
 
 _MICRO = ", ".join(f"CAST(round(coalesce(avg(CAST(vec[{k}] AS DOUBLE)), 0.0) * 1000000) AS BIGINT)" for k in range(1, 65))
